@@ -1,6 +1,14 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from tessera.llm import substring_dedup
+from tessera.llm import chat_format, ngram_jaccard, substring_dedup
 
-QUERIES = {"op4_substring_dedup": substring_dedup.op4_substring_dedup}
-SQL = {"op4_substring_dedup": substring_dedup.OP4_SQL}
+QUERIES = {
+    "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op10_chat_format": chat_format.op10_chat_format,
+}
+SQL = {
+    "op2_ngram_jaccard": ngram_jaccard.OP2_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op10_chat_format": chat_format.OP10_SQL,
+}
