@@ -1,14 +1,20 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat_format, ngram_jaccard, substring_dedup
+from tessera.llm import chat_format, langid, mixing, ngram_jaccard, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op7_warc": warc.op7_warc,
+    "op8_langid": langid.op8_langid,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 SQL = {
     "op2_ngram_jaccard": ngram_jaccard.OP2_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }
