@@ -7,12 +7,12 @@ pair below them, so a dual traversal of an R-tree skips box pairs whose bound is
 the threshold asks for, ``t / (1 + t) * (a + b)``. Surviving pairs are checked on the whole sets.
 
 One tree over all points does not scale: group counts of unrelated texts of one size look alike, so its
-boxes overlap. So points are first dealt to blocks by KEYS independent minimum hashes (a text is in KEYS
-blocks) and each block has its own tree. Two sets at the threshold miss all KEYS blocks with probability
-``(1 - 0.75) ** 24 < 4e-15``, the order of a hash collision; nothing else is approximate and no block is capped.
+boxes overlap. So points are first dealt to blocks by KEYS pairs of independent minimum hashes (a text is in
+KEYS blocks) and each block has its own tree. Two sets at the threshold miss all KEYS blocks with probability
+``(1 - 0.75 ** 2) ** 36 < 2e-13``, the order of a hash collision; nothing else is approximate and no block is capped.
 
-1. Star pass: in each block every node is paired with the block's smallest node, and checked. This ties
-   copies together without pairing them all.
+1. Star pass: in each block every node is paired with the block's most central node (that with the
+   largest blocks), and checked. This ties copies together without pairing them all.
 2. Tree pass: only blocks that still hold two components. Nodes are dealt again by size band (the
    tree's first dimension) and, where a band is large, by pairs of tiles; each tile pair is one tree join.
    Pairs already in one component are skipped, the others are checked.
@@ -34,7 +34,7 @@ from tessera.llm import by_value
 from tessera.llm import kernels as K
 from tessera.operators.graph import connected_components
 
-WIDTH, NUM, DEN, KEYS = 5, 75, 100, 24
+WIDTH, NUM, DEN, KEYS = 5, 75, 100, 36
 #: Points of one tree join; a larger block is cut into tiles.
 TILE = 2048
 LEAF = 16
@@ -68,8 +68,18 @@ def text_sets(buf: np.ndarray, off: np.ndarray, width: int):
 
 
 def groups_for(n: int) -> int:
-    """Number of groups (a power of two): about four shingles in each."""
-    return 1 << max(3, int(n // 4).bit_length())
+    """Number of groups (a power of two): about one shingle in each, so that few unlike shingles meet in one."""
+    return 1 << max(3, int(n).bit_length())
+
+
+def point_of(h: np.ndarray) -> np.ndarray:
+    """Group counts in one byte each; more groups where a count would not fit."""
+    g = groups_for(len(h))
+    while True:
+        count = np.bincount((h >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
+        if count.max() < 256:
+            return count.astype(np.uint8)
+        g *= 2
 
 
 def set_sums(h: np.ndarray, at: np.ndarray):
@@ -78,7 +88,7 @@ def set_sums(h: np.ndarray, at: np.ndarray):
 
 def _sketch(width: int, keys: int):
     def run(batches):
-        salt = K.mix(np.arange(1, keys + 1, dtype=np.uint64)) | np.uint64(1)
+        salt = K.mix(np.arange(1, 2 * keys + 1, dtype=np.uint64)) | np.uint64(1)
         for b in batches:
             buf, off = K.buffer(b.column(1))
             for i, j in K.chunks(off):
@@ -92,11 +102,9 @@ def _sketch(width: int, keys: int):
                     at = first[:-1][full]
                     hi[full], lo[full] = set_sums(h, at)
                     low = np.stack([np.minimum.reduceat((h ^ s) * s, at) for s in salt], axis=1)
-                    low = K.mix(low ^ salt).view(np.int64)
+                    low = (K.mix(low[:, :keys]) + low[:, keys:]).view(np.int64)
                     for r, d in enumerate(full):
-                        g = groups_for(int(n[d]))
-                        count = np.bincount((h[first[d] : first[d + 1]] >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
-                        mins[d], points[d] = low[r], count.astype(np.uint16).tobytes()
+                        mins[d], points[d] = low[r], point_of(h[first[d] : first[d + 1]]).tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), out_n, pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(mins, pa.list_(pa.int64())), pa.array(points, pa.binary())], ["doc_id", "n", "hi", "lo", "mins", "point"])
 
     return run
@@ -173,9 +181,9 @@ def _tree(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy().astype(np.int64)
         node, comp, tile, band = (table.column(c).to_numpy() for c in ("node", "component", "tile", "band"))
-        raw = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("point")]
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("point")]
         g = min(map(len, raw))
-        points = np.stack([x.reshape(-1, g).sum(axis=0) for x in raw]).astype(np.uint16)
+        points = np.stack([x.reshape(-1, g).sum(axis=0, dtype=np.uint16) for x in raw])
         a, b = tree_join(points, n, num, den)
         here = int(table.column("at")[0].as_py())
         cross = table.column("ti")[0].as_py() != table.column("tj")[0].as_py()
@@ -184,6 +192,10 @@ def _tree(num: int, den: int):
         ok &= np.minimum(band[a], band[b]) == here
         if cross:
             ok &= tile[a] != tile[b]
+        # and to the first of the blocks that its members share
+        a, b = a[ok], b[ok]
+        keys = np.stack([x.values.to_numpy() for x in table.column("mins")])
+        ok = (keys[a] == keys[b]).argmax(axis=1) == table.column("k")[0].as_py()
         return pa.table({"src": np.minimum(node[a[ok]], node[b[ok]]), "dst": np.maximum(node[a[ok]], node[b[ok]])})
 
     return run
@@ -215,14 +227,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
 
     near = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
     keyed = nodes.select("node", "n", F.posexplode("mins").alias("k", "key"))
-    hubs = tmp.save(keyed.groupBy("k", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("k", "key", "size", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
-    star = keyed.join(hubs, ["k", "key"]).where(F.col("node") != F.col("hub")).where(near).select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+    sizes = tmp.save(keyed.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1"))
+    keyed = tmp.save(keyed.join(sizes, ["k", "key"]))
+    central = tmp.save(keyed.groupBy("node").agg(F.sum("size").alias("weight")))
+    hubs = keyed.join(central, "node").groupBy("k", "key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+    hubs = tmp.save(hubs.select("k", "key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
+    star = keyed.join(hubs, ["k", "key"]).where(F.col("node") != F.col("hub")).where(near).select(F.least("hub", "node").alias("src"), F.greatest("hub", "node").alias("dst"))
     links = checked(star)
     comp = tmp.save(connected_components(links))
 
     # tree pass: blocks with more than one component
-    tied = tmp.save(nodes.select("node", "n", "mins").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    blocks = tied.select("node", "n", "component", F.posexplode("mins").alias("k", "key"))
+    blocks = tmp.save(keyed.select("node", "n", "k", "key").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_ = tmp.save(blocks.groupBy("k", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "key"))
     base = float(np.log(den / num))
     blocks = blocks.join(open_, ["k", "key"]).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / base + 1e-9).cast("long"))
@@ -231,7 +246,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     large = tmp.save(dealt.groupBy("k", "key", "at").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "key", "at", F.ceil(F.col("size") / TILE).alias("tiles")))
     dealt = dealt.join(large, ["k", "key", "at"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("k", "key", "at", "node", "n", "component", "band", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-    dealt = dealt.join(nodes.select("node", "point"), "node")
+    dealt = dealt.join(nodes.select("node", "point", "mins"), "node")
     more = dealt.groupBy("k", "key", "at", "ti", "tj").applyInArrow(_tree(num, den), "src long, dst long")
     links = links.union(checked(more))
 

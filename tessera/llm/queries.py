@@ -1,12 +1,14 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat_format, langid, mixing, ngram_jaccard, substring_dedup, toxicity, warc
+from tessera.llm import chat_format, decontaminate, embedding_dedup, langid, mixing, ngram_jaccard, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_warc": warc.op7_warc,
     "op8_langid": langid.op8_langid,
     "op10_chat_format": chat_format.op10_chat_format,
@@ -15,6 +17,7 @@ SQL = {
     "op2_ngram_jaccard": ngram_jaccard.OP2_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }
