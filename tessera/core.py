@@ -50,10 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables of one operator run, in a folder of their own under the shared one."""
 
+    made: list[tuple[SparkSession, str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        Scratch.made.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back; the schema is kept, so no file is opened to infer it."""
@@ -69,8 +72,18 @@ class Scratch:
         for df in dfs:
             path = getattr(df, "_tessera_path", None)
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                delete(self.spark, path)
+
+    @classmethod
+    def drop_all(cls) -> None:
+        """Delete the folders of all runs so far: for a caller that has written every result it needs."""
+        while cls.made:
+            delete(*cls.made.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
