@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat_format, decontaminate, embedding_dedup, langid, mixing, ngram_jaccard, substring_dedup, toxicity, warc
+from tessera.llm import chat_format, decontaminate, embedding_dedup, langid, line_dedup, mixing, ngram_jaccard, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_warc": warc.op7_warc,
     "op8_langid": langid.op8_langid,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 SQL = {
@@ -19,5 +20,6 @@ SQL = {
     "op5_mixing": mixing.OP5_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }

@@ -196,10 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, fold=None, max_labeled: int = MAX_
     return model | {"law": law}
 
 
-def _score(model):
+def _score(model, names):
     def run(batches):
         for b in batches:
-            buf, off = K.buffer(b.column(1))
+            buf, off = K.buffer(b.column(0))
             for i, j in K.chunks(off):
                 if model is None:
                     score, parts = np.zeros(j - i), [[]] * (j - i)
@@ -209,7 +209,7 @@ def _score(model):
                     z = np.array([evidence(law, int(a), x) for a, x in zip(n, found)])
                     score = 1 / (1 + np.exp(-np.clip(law["a"] * z + law["b"], -500, 500)))
                     parts = [[{"start": s, "end": e, "score": v, "expected": float(law["k"] * a * np.exp(-law["lam"] * v))} for s, e, v in x if law["k"] * a * np.exp(-law["lam"] * v) < SIGNIFICANT] for a, x in zip(n.tolist(), found)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(score), pa.array(parts, SEGMENTS)], ["doc_id", "score", "segments"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[1:]), pa.array(score), pa.array(parts, SEGMENTS)], [*names, "score", "segments"])
 
     return run
 
@@ -217,9 +217,11 @@ def _score(model):
 SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """Per row: ``doc_id, score`` and ``segments`` (significant passages as token intervals, with chance expectation)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(model), "doc_id long, score double, segments array<struct<start:long,end:long,score:double,expected:double>>")
+def score(docs: DataFrame, model, keep=("doc_id",)) -> DataFrame:
+    """The columns ``keep``, ``score`` and ``segments`` (significant passages as token intervals, with chance expectation)."""
+    names = list(keep)
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    return docs.select(F.col("text").alias("_scored"), *names).mapInArrow(_score(model, names), schema + "score double, segments array<struct<start:long,end:long,score:double,expected:double>>")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
