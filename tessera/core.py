@@ -9,9 +9,11 @@ execution may split a skewed join over it.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -86,5 +88,10 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship(module: str) -> None:
+    """Send the task-side functions of a module to executors by value, so that workers need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
