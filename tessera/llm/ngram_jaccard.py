@@ -218,7 +218,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
         pairs = tmp.save(pairs.distinct())
         ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node", "rep", "hi", "lo"), "node")
         ends = tmp.save(ends)
-        texts = d.join(ends.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+        # one plan at every size: whether the ids would fit a broadcast depends on the input
+        texts = d.join(ends.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("text")
         sets = texts.mapInArrow(_sets(width), "hi long, lo long, shingles binary")
         sets = tmp.save(sets.join(ends.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "shingles").dropDuplicates(["node"]))
         left = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src")
