@@ -138,7 +138,7 @@ def geometry(labels: DataFrame, keys: list[str], pixel_width: float = 1.0, pixel
     root = F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, F.lit(2.0)) + F.col("b") * F.col("b"))
     mid = (F.col("a") + F.col("c")) / 2
     g = g.withColumn("l1", mid + root).withColumn("l2", F.greatest(mid - root, F.lit(0.0)))
-    turn = F.when((F.abs(F.col("b")) < 1e-9) & (F.abs(F.col("a") - F.col("c")) < 1e-9), F.lit(45.0)).otherwise(F.degrees(F.atan2(2 * F.col("b"), F.col("a") - F.col("c")) / 2))
+    turn = F.when((F.abs(F.col("b")) < 1e-9) & (F.abs(F.col("a") - F.col("c")) < 1e-9), F.lit(45.0)).otherwise(F.degrees(F.atan2(F.when(F.abs(F.col("b")) < 1e-9, F.lit(0.0)).otherwise(2 * F.col("b")), F.col("a") - F.col("c")) / 2))
     area, box = F.col("n"), F.col("bh") * F.col("bw")
     return g.select(
         *keys, "label", (F.col("cr") * pixel_height).alias("centroid_row_um"), (F.col("cc") * pixel_width).alias("centroid_col_um"), (area * px).alias("area_um2"),

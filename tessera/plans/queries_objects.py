@@ -1 +1,208 @@
-"""Queries."""
+"""Connected objects: labelling, clean-up, gates, object measures and mask topology."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.core import load
+from tessera.operators import components as C
+from tessera.operators import focal as FO
+from tessera.operators.graph import connected_components
+from tessera.plans import fixtures as X
+from tessera.plans.queries_raster import MASKS, focal_sql
+from tessera.plans.registry import query, r6
+
+IM = ["image"]
+STRIDE = C.STRIDE
+
+
+def label_sql(src: str, name: str, conn: int = 8, key: str = "image") -> str:
+    """CTEs ending in ``{name}(key, row, col, label)``: label = least row * STRIDE + col reachable, by pixel steps."""
+    reach = f"abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1" if conn == 8 else "abs(a.row - b.row) + abs(a.col - b.col) <= 1"
+    return f"""{name}_r AS (SELECT {key}, row, col, row AS fr, col AS fc FROM {src} UNION SELECT r.{key}, r.row, r.col, b.row, b.col FROM {name}_r r JOIN (SELECT a.{key}, a.row AS ar, a.col AS ac, b.row, b.col FROM {src} a JOIN {src} b ON a.{key} = b.{key} AND {reach}) b ON b.{key} = r.{key} AND b.ar = r.fr AND b.ac = r.fc),
+{name} AS (SELECT {key}, row, col, min(CAST(fr AS BIGINT) * {STRIDE} + fc) AS label FROM {name}_r GROUP BY ALL)"""
+
+
+FG = f"{MASKS}, fg AS (SELECT image, row, col FROM masks WHERE m1), pix AS (SELECT image, row, col FROM masks)"
+LB = f"{FG}, {label_sql('fg', 'lb')}"
+OUT = "SELECT image, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col"
+SIZE = "sz AS (SELECT image, label, count(*) AS area, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM {l} GROUP BY image, label)"
+
+
+def fg(spark, d, m="m1"):
+    return X.masks(spark, d).where(m).select("image", "row", "col")
+
+
+def pix(spark, d):
+    return X.masks(spark, d).select("image", "row", "col")
+
+
+def lab(spark, d):
+    return C.label(fg(spark, d), IM)
+
+
+@query("W05_runs", f"{FG}, k AS (SELECT *, col - row_number() OVER (PARTITION BY image, row ORDER BY col) AS i FROM fg) SELECT image, CAST(row AS BIGINT) AS row, CAST(min(col) AS BIGINT) AS c0, CAST(max(col) AS BIGINT) AS c1 FROM k GROUP BY image, row, i")
+def w05(spark, d):
+    return C.runs(fg(spark, d), IM)
+
+
+@query("G01_label8", f"{LB} {OUT}, label FROM lb")
+def g01(spark, d):
+    return lab(spark, d)
+
+
+@query("G01_label4", f"{FG}, {label_sql('fg', 'lb', 4)} {OUT}, label FROM lb")
+def g01b(spark, d):
+    return C.label(fg(spark, d), IM, 4)
+
+
+@query("G02_components", "SELECT c_custkey AS node, CASE WHEN c_custkey % 7 = 0 AND c_custkey + 1 > (SELECT max(c_custkey) FROM customer) THEN NULL ELSE c_custkey // 7 * 7 END AS component FROM (SELECT DISTINCT unnest([c_custkey, c_custkey - 1]) AS c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+def g02(spark, d):
+    """Paths of seven nodes."""
+    return connected_components(load(spark, d, "customer").where("c_custkey % 7 <> 0").select((F.col("c_custkey") - 1).alias("src"), F.col("c_custkey").alias("dst")))
+
+
+L4 = f"{FG}, {label_sql('fg', 'lb', 4)}"
+
+
+@query("R04_remove_small", f"{L4}, {SIZE.format(l='lb')} {OUT} FROM lb JOIN sz USING (image, label) WHERE area >= 3")
+def r04(spark, d):
+    return C.remove_small(fg(spark, d), IM, 3)
+
+
+@query("R05_remove_long", f"{LB}, {SIZE.format(l='lb')} {OUT} FROM lb JOIN sz USING (image, label) WHERE greatest(r1 - r0, c1 - c0) + 1 < 4")
+def r05(spark, d):
+    return C.remove_long(fg(spark, d), IM, 0.5, 8, 8)
+
+
+FG2 = f"{MASKS}, fg AS (SELECT image, row, col FROM masks WHERE m2), bg AS (SELECT image, row, col FROM masks WHERE NOT m2), {label_sql('bg', 'lb', 4)}, {SIZE.format(l='lb')}"
+
+
+@query("R06_fill_holes", f"{FG2} {OUT} FROM (SELECT image, row, col FROM fg UNION ALL SELECT image, row, col FROM lb JOIN sz USING (image, label) WHERE r0 > 0 AND c0 > 0 AND r1 < 7 AND c1 < 7)")
+def r06(spark, d):
+    return C.fill_holes(pix(spark, d), fg(spark, d, "m2"), IM, 8, 8)
+
+
+@query("R06_fill_small", f"{FG2} {OUT} FROM (SELECT image, row, col FROM fg UNION ALL SELECT image, row, col FROM lb JOIN sz USING (image, label) WHERE area < 3)")
+def r06b(spark, d):
+    return C.fill_holes(pix(spark, d), fg(spark, d, "m2"), IM, 8, 8, 3)
+
+
+@query("R07_clear_border", f"{LB}, {SIZE.format(l='lb')} {OUT} FROM lb JOIN sz USING (image, label) WHERE r0 > 0 AND c0 > 0 AND r1 < 7 AND c1 < 7")
+def r07(spark, d):
+    return C.clear_border(fg(spark, d), IM, 8, 8)
+
+
+R08 = f"""{MASKS}, {focal_sql('masks', 'm2', 1, 'bool_or', 'c1')}, {focal_sql('c1', 'x', 1, 'bool_and', 'c2')}, s0 AS (SELECT image, row, col FROM c2 WHERE x), {label_sql('s0', 'la', 4)},
+z1 AS (SELECT image, label FROM la GROUP BY ALL HAVING count(*) >= 3), s1 AS (SELECT la.image, row, col FROM la JOIN z1 USING (image, label)),
+b1 AS (SELECT image, row, col FROM masks ANTI JOIN s1 USING (image, row, col)), {label_sql('b1', 'lh', 4)}, z3 AS (SELECT image, label FROM lh GROUP BY ALL HAVING count(*) < 5),
+s3 AS (SELECT image, row, col FROM s1 UNION ALL SELECT lh.image, row, col FROM lh JOIN z3 USING (image, label))"""
+
+
+@query("R08_R09_clean_up", f"{R08} {OUT} FROM s3")
+def r08(spark, d):
+    return C.clean_up(X.masks(spark, d), IM, "m2", 8, 8, close_radius=1, small=3, fill=True, fill_area=5)
+
+
+GATE = f"{LB}, gt AS (SELECT image, row, col, abs(v) > 0.3 AS g FROM masks), {focal_sql('gt', 'g', 2, 'bool_or', 'dg')}"
+
+
+@query("R10_J07_gate_touching", f"{GATE}, ok AS (SELECT DISTINCT image, label FROM lb JOIN dg USING (image, row, col) WHERE x) {OUT} FROM lb JOIN ok USING (image, label)")
+def r10(spark, d):
+    p = X.masks(spark, d).withColumn("g", F.abs("v") > 0.3)
+    return C.gate(fg(spark, d), p, "g", IM)
+
+
+@query("J07_gate_overlap", f"{GATE}, ok AS (SELECT image, label FROM lb JOIN gt USING (image, row, col) GROUP BY ALL HAVING avg(CASE WHEN g THEN 1e0 ELSE 0e0 END) >= 0.1) {OUT} FROM lb JOIN ok USING (image, label)")
+def j07(spark, d):
+    p = X.masks(spark, d).withColumn("g", F.abs("v") > 0.3)
+    return C.gate(fg(spark, d), p, "g", IM, mode="intersect", min_overlap=0.1)
+
+
+@query("J08_touching", f"{LB}, gt AS (SELECT image, row, col, abs(v) > 0.3 AS g FROM masks), {focal_sql('gt', 'g', 2, 'bool_or', 'dg')}, o AS (SELECT image, label, max(CASE WHEN x THEN 1e0 ELSE 0e0 END) AS n, max(CASE WHEN g THEN 1e0 ELSE 0e0 END) AS o FROM lb JOIN dg USING (image, row, col) JOIN gt USING (image, row, col) GROUP BY ALL) SELECT image, {r6('avg(n)', 'x_touching_object_fraction')}, {r6('avg(o)', 'x_overlapping_object_fraction')} FROM o GROUP BY image")
+def j08(spark, d):
+    return C.touching(lab(spark, d), X.masks(spark, d).withColumn("g", F.abs("v") > 0.3), "g", IM, "x")
+
+
+OBJ = {"mean": "avg(v)", "std": "stddev_pop(v)", "median": "median(v)", "iqr": "quantile_cont(v,0.75)-quantile_cont(v,0.25)", "integrated": "sum(v)", "min": "min(v)", "max": "max(v)", "skew": "CASE WHEN count(*) >= 3 AND max(v)-min(v) >= 1e-12 THEN skewness(v) END", "kurtosis": "CASE WHEN count(*) >= 4 AND max(v)-min(v) >= 1e-12 THEN kurtosis(v) END"}
+
+
+@query("A17_object_intensity", f"{LB} SELECT image, label, {', '.join(r6(e, 'intensity_raw_' + n) for n, e in OBJ.items())} FROM lb JOIN masks USING (image, row, col) GROUP BY image, label")
+def a17(spark, d):
+    return C.intensity(lab(spark, d).join(X.masks(spark, d), ["image", "row", "col"]), IM, "v", "intensity_raw")
+
+
+GEO = f"""{LB}, g AS (SELECT image, label, CAST(count(*) AS DOUBLE) AS n, avg(row) AS cr, avg(col) AS cc, var_pop(row) + 1e0/12 AS a, covar_pop(row, col) AS b, var_pop(col) + 1e0/12 AS c, max(row) - min(row) + 1e0 AS bh, max(col) - min(col) + 1e0 AS bw FROM lb GROUP BY image, label),
+e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, greatest((a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b), 0) AS l2 FROM g)"""
+
+
+@query("A18_A43_geometry", f"""{GEO} SELECT image, label, {r6('cr', 'centroid_row_um')}, {r6('cc', 'centroid_col_um')}, {r6('n', 'area_um2')}, {r6('sqrt(n * 4 / pi())', 'equivalent_diameter_um')}, {r6('4 * sqrt(l1)', 'major_axis_length_um')}, {r6('4 * sqrt(l2)', 'minor_axis_length_um')}, {r6('sqrt(greatest(1 - l2 / l1, 0))', 'eccentricity')}, {r6('n / (bh * bw)', 'extent')},
+{r6('CASE WHEN abs(b) < 1e-9 AND abs(a - c) < 1e-9 THEN 45 ELSE degrees(atan2(CASE WHEN abs(b) < 1e-9 THEN 0e0 ELSE 2 * b END, a - c) / 2) END', 'orientation_deg')}, {r6('bh * bw', 'bbox_area_um2')}, {r6('n / (bh * bw)', 'bbox_fill_ratio')}, {r6('bw / bh', 'bbox_aspect_ratio')}, {r6('sqrt(l1) / sqrt(l2)', 'elongation')} FROM e""")
+def a18(spark, d):
+    return C.geometry(lab(spark, d), IM)
+
+
+PERI = f"""{LB}, nb AS (SELECT a.image, a.label, a.row, a.col, count(*) FILTER (abs(a.row-b.row)+abs(a.col-b.col) = 1) AS s FROM lb a JOIN lb b ON a.image=b.image AND a.label=b.label AND abs(a.row-b.row)<=1 AND abs(a.col-b.col)<=1 GROUP BY ALL),
+bd AS (SELECT * FROM nb WHERE s < 4), cd AS (SELECT a.image, a.label, a.row, a.col, 1 + 2 * count(*) FILTER (abs(a.row-b.row)+abs(a.col-b.col) = 1) + 10 * count(*) FILTER (abs(a.row-b.row)+abs(a.col-b.col) = 2) AS code FROM bd a JOIN bd b ON a.image=b.image AND a.label=b.label AND abs(a.row-b.row)<=1 AND abs(a.col-b.col)<=1 GROUP BY ALL),
+pe AS (SELECT image, label, sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1e0 WHEN code IN (21,33) THEN sqrt(2e0) WHEN code IN (13,23) THEN (1+sqrt(2e0))/2 ELSE 0e0 END) AS perimeter FROM cd GROUP BY ALL)"""
+
+
+@query("A19_perimeter", f"{PERI} SELECT image, label, {r6('perimeter', 'perimeter')} FROM pe")
+def a19(spark, d):
+    return C.perimeter(lab(spark, d), IM)
+
+
+HOLE = f"""{MASKS}, fg AS (SELECT image, row, col FROM masks WHERE m2), {label_sql('fg', 'lb')}, {SIZE.format(l='lb')},
+ring AS (SELECT image * 100000000 * {STRIDE}::HUGEINT + label AS k, image, label, r, c FROM sz, unnest(range(r0 - 1, r1 + 2)) AS t(r), unnest(range(c0 - 1, c1 + 2)) AS u(c)),
+bgp AS (SELECT k, CAST(r AS INT) + 1 AS row, CAST(c AS INT) + 1 AS col FROM ring WHERE NOT EXISTS (SELECT 1 FROM lb WHERE lb.image = ring.image AND lb.label = ring.label AND lb.row = ring.r AND lb.col = ring.c)),
+{label_sql('bgp', 'lk', 4, 'k')}, part AS (SELECT k, label AS p, count(*) AS area, min(row) - 1 AS h0 FROM lk GROUP BY ALL),
+hk AS (SELECT sz.image, sz.label, sum(part.area) AS hole_area, count(*) AS holes FROM part JOIN (SELECT DISTINCT k, image, label FROM ring) USING (k) JOIN sz USING (image, label) WHERE h0 >= r0 GROUP BY ALL)"""
+
+
+@query("A20_filled_area", f"{HOLE} SELECT sz.image, sz.label, area, CAST(coalesce(hole_area, 0) AS BIGINT) AS hole_area, CAST(coalesce(holes, 0) AS BIGINT) AS holes, CAST(area + coalesce(hole_area, 0) AS BIGINT) AS filled_area, CAST(1 - coalesce(holes, 0) AS BIGINT) AS euler, CAST(CASE WHEN coalesce(holes, 0) = 1 THEN 1 ELSE 1 - coalesce(holes, 0) END AS BIGINT) AS euler_reported FROM sz LEFT JOIN hk USING (image, label)")
+def a20(spark, d):
+    return C.filled_area(C.label(fg(spark, d, "m2"), IM), IM)
+
+
+@query("P21_shape_ratios", f"{PERI}, ar AS (SELECT image, label, CAST(count(*) AS DOUBLE) AS area FROM lb GROUP BY ALL) SELECT image, label, {r6('CASE WHEN perimeter > 0 THEN 4*pi()*area/(perimeter*perimeter) ELSE 0 END', 'circularity')}, {r6('perimeter*perimeter/(4*pi()*area)', 'roughness')}, {r6('0e0', 'hole_fraction')} FROM ar JOIN pe USING (image, label)")
+def p21(spark, d):
+    l = lab(spark, d)
+    j = l.groupBy("image", "label").agg(F.count("*").cast("double").alias("area")).join(C.perimeter(l, IM), ["image", "label"])
+    return C.shape_ratios(j, "area", "perimeter", "area").select("image", "label", "circularity", "roughness", "hole_fraction")
+
+
+@query("A21_hulls")
+def a21(spark, d):
+    """Convex hulls; tested on shapes of known hull."""
+    return C.hulls(lab(spark, d), IM)
+
+
+@query("A22_census", f"""{LB}, {SIZE.format(l='lb')}, tp AS (SELECT image, count(*) FILTER (m2) AS t FROM masks GROUP BY image), c AS (SELECT image, count(*) AS n, max(area) / CAST(sum(area) AS DOUBLE) AS largest, median(area) AS med, quantile_cont(area, 0.75) - quantile_cont(area, 0.25) AS iqr FROM sz GROUP BY image)
+SELECT image, {r6('coalesce(n, 0)', 'topology_component_count')}, {r6('coalesce(n, 0) / CASE WHEN t > 0 THEN t / 1e6 END', 'topology_component_density_per_mm2')}, {r6('largest', 'topology_largest_component_frac')}, {r6('med', 'topology_component_area_median_um2')}, {r6('iqr', 'topology_component_area_iqr_um2')} FROM tp LEFT JOIN c USING (image)""")
+def a22(spark, d):
+    t = X.masks(spark, d).groupBy("image").agg(F.sum(F.col("m2").cast("long")).alias("tissue_px"))
+    return C.census(lab(spark, d), IM, t)
+
+
+A23 = f"""{MASKS}, fg AS (SELECT image, row, col FROM masks WHERE m2), bg AS (SELECT image, row, col FROM masks WHERE NOT m2), {label_sql('bg', 'lb', 4)}, {SIZE.format(l='lb')}, {label_sql('fg', 'lf')},
+cd AS (SELECT image, row + dy AS r, col + dx AS c, sum(b) AS code FROM fg, (SELECT unnest([0,0,-1,-1]) AS dy, unnest([0,-1,0,-1]) AS dx, unnest([8,4,2,1]) AS b) GROUP BY ALL),
+qd AS (SELECT image, (count(*) FILTER (code IN (1,2,4,8)) - count(*) FILTER (code IN (7,11,13,14)) + 2 * count(*) FILTER (code IN (6,9))) / 4e0 AS e4 FROM cd GROUP BY image),
+ho AS (SELECT image, sum(area) AS px, count(*) AS n FROM sz WHERE r0 > 0 AND c0 > 0 AND r1 < 7 AND c1 < 7 GROUP BY image), ob AS (SELECT image, count(*) AS a, count(DISTINCT label) AS o FROM lf GROUP BY image)"""
+
+
+@query("A23_holes", f"{A23} SELECT image, {r6('coalesce(px, 0) / CAST(a AS DOUBLE)', 'topology_hole_area_frac')}, {r6('greatest(0, o - e4)', 'topology_hole_count')}, coalesce(n, 0) AS hole_count_exact, {r6('e4', 'topology_euler_number')} FROM ob JOIN qd USING (image) LEFT JOIN ho USING (image)")
+def a23(spark, d):
+    return C.hole_summary(pix(spark, d), fg(spark, d, "m2"), IM, 8, 8)
+
+
+GEO_LONG = ("area_um2", "eccentricity", "extent", "elongation")
+
+
+@query("A47_K02_assembly", f"""{GEO}, f AS (SELECT image, label, n AS area_um2, sqrt(greatest(1 - l2 / l1, 0)) AS eccentricity, n / (bh * bw) AS extent, sqrt(l1) / sqrt(l2) AS elongation FROM e) SELECT image, {', '.join(r6('median(' + c + ')', c + '_median') + ', ' + r6('quantile_cont(' + c + ', 0.75) - quantile_cont(' + c + ', 0.25)', c + '_iqr') for c in GEO_LONG)}, {r6('count(*)', 'num_sites')} FROM f GROUP BY image""")
+def a47(spark, d):
+    """Feature families as long rows, united, and made wide last."""
+    from tessera.plans import assembly
+
+    sites = C.geometry(lab(spark, d), IM).select("image", "label", *GEO_LONG)
+    names = [f"{c}_{a}" for c in GEO_LONG for a in ("median", "iqr")] + ["num_sites"]
+    return assembly.wide_summary([assembly.site_family(sites, IM, list(GEO_LONG))], IM, names)
