@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tessera.core import session
 
-    s = session("tests", "8", **{"spark.sql.shuffle.partitions": "8"})
+    s = session("tests", "8", **{"spark.sql.shuffle.partitions": "2"})
     yield s
     s.stop()
