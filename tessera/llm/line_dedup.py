@@ -63,14 +63,15 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     full = (1 << width) - 1
     start = F.struct(*[F.lit((((1 << (e + 1)) - 1) << edits) & full).cast("int").alias(f"r{e}") for e in range(edits + 1)])
-    x, y = F.split(a, ""), F.split(b, "")
+    # each character of b beside the characters of a on all diagonals, built once per pair
+    none = F.array_repeat(F.lit(None).cast("string"), edits)
+    padded = F.concat(none, F.split(a, ""), none)
+    rows = F.arrays_zip(F.split(b, "").alias("ch"), *[F.slice(padded, d + 1, F.length(b)).alias(f"x{d}") for d in range(width)])
 
-    def step(acc: Column, j: Column) -> Column:
-        ch = F.get(y, j)
+    def step(acc: Column, z: Column) -> Column:
         match = None
         for d in range(width):
-            at = j + (d - edits)
-            hit = F.when((at >= 0) & (F.get(x, F.greatest(at, F.lit(0))) == ch), F.lit(1 << d)).otherwise(F.lit(0))
+            hit = F.when(z[f"x{d}"] == z["ch"], F.lit(1 << d)).otherwise(F.lit(0))
             match = hit if match is None else match.bitwiseOR(hit)
         new = [acc["r0"].bitwiseAND(match)]
         for e in range(1, edits + 1):
@@ -79,7 +80,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             new.append(one.bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full)))
         return F.struct(*[c.cast("int").alias(f"r{e}") for e, c in enumerate(new)])
 
-    last = F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), start, step)[f"r{edits}"]
+    last = F.aggregate(rows, start, step)[f"r{edits}"]
     end = F.length(a) - F.length(b) + edits
     bit = F.element_at(F.array(*[F.lit(1 << d) for d in range(width)]), F.least(F.greatest(end + 1, F.lit(1)), F.lit(width)))
     return F.when((end < 0) | (end >= width), F.lit(False)).when(F.length(b) == 0, F.length(a) <= edits).otherwise(last.bitwiseAND(bit) != 0)

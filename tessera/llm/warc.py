@@ -130,6 +130,8 @@ def parse_record(raw: bytes, pos: int, whole: bool):
     if head_end < 0:
         raise Broken("no end of header")
     lines = raw[pos:head_end].decode("utf-8", "replace").split("\r\n")[1:]
+    if any(":" not in x or "WARC/1." in x for x in lines):
+        raise Broken("header line")
     head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     try:
         length = int(head["content-length"])
