@@ -8,7 +8,9 @@ execution may split a skewed join over it.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -44,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="tessera-", dir=os.environ.get("TMPDIR", "/tmp"))
+        own = tempfile.mkdtemp(prefix="tessera-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        d = "file://" + own
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
