@@ -29,7 +29,7 @@ MAX_LABELED = 40_000
 #: Prefix bytes (0: the whole word) and table bits of each level; prior strength; drift per token.
 LEVELS = ((4, 18), (6, 18), (0, 20))
 PRIOR = (20.0, 8.0, 4.0)
-DRIFT = 1.0
+DRIFT = 2.0
 SIGNIFICANT = 0.05
 
 
