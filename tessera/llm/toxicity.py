@@ -5,8 +5,7 @@ the estimate of its first six bytes, theirs that of the first four, theirs the c
 form of a known stem still scores. Each token scores its log-odds less DRIFT, so that ordinary text drifts
 down; one linear scan (Ruzzo & Tompa 1999) finds all maximal segments. Under the extreme-value law a clean text
 of n tokens has about ``K n exp(-lambda S)`` segments of score S by chance; K and lambda are fitted on
-clean labelled texts that the log-odds did not see. A text's evidence is the sum of ``lambda S - log(K n)``
-over its significant segments (that of its best one, if none is), and a logistic curve fitted on the same texts turns it into a score.
+clean labelled texts that the log-odds did not see. The evidence of a text without a segment is 0, that of another is the sum of ``lambda S - log(K n)`` over its significant segments (that of its best one, if none is), and a logistic curve fitted on the same texts turns it into a score.
 
 The labelled sample is at most MAX_LABELED rows in expectation (chosen by hash of the id; a parameter), so it
 can be broadcast; scoring covers every text whole.
@@ -105,10 +104,12 @@ def text_segments(model, buf, off):
 
 
 def evidence(law, n: int, found) -> float:
+    if not found:
+        return 0.0  # every text has a best score of 0 or more
     base = np.log(law["k"] * max(n, 1))
     each = [law["lam"] * s - base for _, _, s in found]
     strong = sum(x for x in each if x > -np.log(SIGNIFICANT))
-    return strong if strong else max(each, default=-base)
+    return strong if strong else max(0.0, *each)
 
 
 def _measure(model):
@@ -126,7 +127,7 @@ def gumbel(n: np.ndarray, most: np.ndarray):
     """lambda and K by likelihood over a grid, texts without a positive token censored at 0."""
     pos = most > 0
     best = (-np.inf, 1.0, 1e-3)
-    for lam in np.linspace(0.2, 3.0, 57):
+    for lam in sorted(np.linspace(0.2, 3.0, 57), key=lambda x: abs(x - 1)):  # log-odds have lambda 1 in theory: it stays if the texts can't tell
         x = n * np.exp(-lam * most)
         k = max(int(pos.sum()), 1) / max(float(x.sum()), 1e-9)
         like = float((np.log(lam * k * n[pos]) - lam * most[pos] - k * x[pos]).sum() - k * x[~pos].sum())
@@ -136,9 +137,13 @@ def gumbel(n: np.ndarray, most: np.ndarray):
 
 
 def logistic(z: np.ndarray, y: np.ndarray):
-    """Slope and offset by ridge Newton steps with Platt's smoothed targets."""
+    """Slope and offset by ridge Newton steps with Platt's smoothed targets.
+
+    Four added texts of even odds at the significance level place the curve where the sample leaves a gap.
+    """
     n1, n0 = y.sum(), (1 - y).sum()
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    t = np.append(np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), [0.5] * 4)
+    z = np.append(z, [-np.log(SIGNIFICANT)] * 4)
     scale = max(float(z.std()), 1e-6)
     x = np.stack([z / scale, np.ones(len(z))], axis=1)
     w = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
