@@ -9,7 +9,8 @@ from tessera.operators import components as C
 from tessera.operators import focal as FO
 from tessera.operators.graph import connected_components
 from tessera.plans import fixtures as X
-from tessera.plans.queries_raster import MASKS, focal_sql
+from tessera.plans import segmentation as SG
+from tessera.plans.queries_raster import HSV, MASKS, RGB, STAINS, VALID, focal_sql, norm_sql, otsu_sql, valid
 from tessera.plans.registry import query, r6
 
 IM = ["image"]
@@ -93,12 +94,36 @@ def r07(spark, d):
     return C.clear_border(fg(spark, d), IM, 8, 8)
 
 
-R08 = f"""{MASKS}, {focal_sql('masks', 'm2', 1, 'bool_or', 'c1')}, {focal_sql('c1', 'x', 1, 'bool_and', 'c2')}, s0 AS (SELECT image, row, col FROM c2 WHERE x), {label_sql('s0', 'la', 4)},
+def clean_sql(src: str, hit: str, pixels: str) -> str:
+    """CTEs ending in ``s3``: closing 1, objects of 3 pixels and more, holes below 5 filled."""
+    return f"""{focal_sql(src, hit, 1, 'bool_or', 'c1')}, {focal_sql('c1', 'x', 1, 'bool_and', 'c2')}, s0 AS (SELECT image, row, col FROM c2 WHERE x), {label_sql('s0', 'la', 4)},
 z1 AS (SELECT image, label FROM la GROUP BY ALL HAVING count(*) >= 3), s1 AS (SELECT la.image, row, col FROM la JOIN z1 USING (image, label)),
-b1 AS (SELECT image, row, col FROM masks ANTI JOIN s1 USING (image, row, col)), {label_sql('b1', 'lh', 4)}, z3 AS (SELECT image, label FROM lh GROUP BY ALL HAVING count(*) < 5),
+b1 AS (SELECT image, row, col FROM {pixels} ANTI JOIN s1 USING (image, row, col)), {label_sql('b1', 'lh', 4)}, z3 AS (SELECT image, label FROM lh GROUP BY ALL HAVING count(*) < 5),
 s3 AS (SELECT image, row, col FROM s1 UNION ALL SELECT lh.image, row, col FROM lh JOIN z3 USING (image, label))"""
 
 
+R08 = f"{MASKS}, {clean_sql('masks', 'm2', 'masks')}"
+MORPH = {"close_radius": 1, "small": 3, "fill": True, "fill_area": 5}
+
+
+@query("R09_hue_engine", f"{HSV}, hh AS (SELECT image, row, col, (h >= 0.9 OR h <= 0.2) AND s >= 0.05 AND v >= 0.2 AND v <= 0.95 AND ({VALID}) AS hit FROM hsv), {clean_sql('hh', 'hit', 'hh')} {OUT} FROM s3")
+def r09(spark, d):
+    return SG.hue_range(X.rgb(spark, d), IM, valid(), 8, 8, 0.9, 0.2, 0.05, 0.2, 0.95, **MORPH)[0]
+
+
+SEG = f"""{STAINS}, sv AS (SELECT st.image, st.row, st.col, st.dab AS raw, ({VALID}) AS ok FROM st JOIN hsv USING (image, row, col)), {norm_sql('sv', 'raw', 'ok')},
+n1 AS (SELECT *, 1 - norm AS inv, bool_or(ok) OVER (PARTITION BY image) AS has FROM nrm), us AS (SELECT * FROM n1 WHERE ok OR NOT has), {otsu_sql('us', 'norm', 'a')}, {otsu_sql('us', 'inv', 'b')},
+fr AS (SELECT image, avg(CASE WHEN norm > aotsu.t THEN 1e0 ELSE 0e0 END) AS f1, avg(CASE WHEN inv > botsu.t THEN 1e0 ELSE 0e0 END) AS f2 FROM n1 JOIN aotsu USING (image) JOIN botsu USING (image) GROUP BY image),
+iv AS (SELECT image, CASE WHEN f1 BETWEEN 0.005 AND 0.35 AND NOT f2 BETWEEN 0.005 AND 0.35 THEN false WHEN f2 BETWEEN 0.005 AND 0.35 AND NOT f1 BETWEEN 0.005 AND 0.35 THEN true ELSE abs(f1 - 0.1775) > abs(f2 - 0.1775) END AS invert FROM fr),
+hh AS (SELECT n1.image, n1.row, n1.col, ok AND CASE WHEN invert THEN inv > least(greatest(botsu.t * 0.9, 0), 1) ELSE norm > least(greatest(aotsu.t * 0.9, 0), 1) END AS hit FROM n1 JOIN iv USING (image) JOIN aotsu USING (image) JOIN botsu USING (image))"""
+SEG = SEG.replace(STAINS, HSV + STAINS[len(RGB) :])
+
+
+@query("R08_stain_channel", f"{SEG}, {clean_sql('hh', 'hit', 'hh')} {OUT} FROM s3")
+def r08s(spark, d):
+    return SG.stain_channel(X.rgb(spark, d), IM, "dab", valid(), 8, 8, scale=0.9, **MORPH)[0]
+
+
 @query("R08_R09_clean_up", f"{R08} {OUT} FROM s3")
 def r08(spark, d):
     return C.clean_up(X.masks(spark, d), IM, "m2", 8, 8, close_radius=1, small=3, fill=True, fill_area=5)

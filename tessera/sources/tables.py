@@ -87,6 +87,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str], sort: list[st
     (df.sortWithinPartitions(*partition_by, *sort) if sort else df).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def save_parameters(params: DataFrame, path: str) -> None:
+    """Parameter records as JSON lines, nested fields and all; ``spark.read.schema(...).json(path)`` reads them back."""
+    params.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -42,6 +42,12 @@ def test_metadata_and_clashes(spark, tmp_path):
     assert IO.with_metadata(s, m).first()["image_meta"] == "z"
 
 
+def test_parameters_round_trip(spark, tmp_path):
+    d = spark.createDataFrame([("a", {"dab": (0.5, [1, 2])})], "type string, channels map<string,struct<t:double,r:array<int>>>")
+    IO.save_parameters(d, str(tmp_path / "p"))
+    assert spark.read.schema(d.schema).json(str(tmp_path / "p")).collect() == d.collect()
+
+
 def test_gating_defaults(spark):
     d = spark.sql("SELECT * FROM VALUES (1, true, array(1)), (2, cast(null as boolean), array(1)), (3, null, null) AS t(k, gating_enabled, gating_rules)")
     assert [r["g"] for r in d.select("k", IO.gating().alias("g")).orderBy("k").collect()] == [True, True, False]
