@@ -63,6 +63,20 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, np.int32)), pa.array(at), pa.array(s[0][at]), pa.array(s[1][at])], ["level", "feature", "n0", "n1"])
 
 
+BLOCK = 1 << 12
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """Counts of one block of features as two arrays: the driver takes a few hundred rows instead of one a feature."""
+    at = table.column("feature").to_numpy() % BLOCK
+    both = []
+    for c in ("n0", "n1"):
+        n = np.zeros(BLOCK, np.float32)
+        n[at] = table.column(c).to_numpy()
+        both.append(pa.array([n.tobytes()], pa.binary()))
+    return pa.table({"level": table.column("level").slice(0, 1), "block": table.column("block").slice(0, 1), "n0": both[0], "n1": both[1]})
+
+
 def log_odds(model, feats):
     """Posterior log-odds of each token over the class shares."""
     base = model["base"]
@@ -174,15 +188,14 @@ def train(docs: DataFrame, labels: DataFrame, fold=None, max_labeled: int = MAX_
         some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labeled / rows))
     some = some.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"), F.first("fold").alias("fold"))
     seen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    got = seen.where("fold <> 4").select("text", "y").mapInArrow(_count, "level int, feature long, n0 long, n1 long").groupBy("level", "feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    tables = []
-    for level, (_, bits) in enumerate(LEVELS):
-        part = got[got["level"] == level]
-        n1, n = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)
-        at = part["feature"].to_numpy(dtype=np.int64)
-        n1[at] = part["n1"]
-        n[at] = part["n0"] + part["n1"]
-        tables.append((n1, n))
+    counts = seen.where("fold <> 4").select("text", "y").mapInArrow(_count, "level int, feature long, n0 long, n1 long").groupBy("level", "feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = counts.withColumn("block", F.floor(F.col("feature") / BLOCK)).groupBy("level", "block").applyInArrow(_pack, "level int, block long, n0 binary, n1 binary")
+    tables = [(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)) for _, bits in LEVELS]
+    for r in counts.collect():
+        n1, n = tables[r["level"]]
+        part = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
+        n1[part] = np.frombuffer(r["n1"], np.float32)
+        n[part] = n1[part] + np.frombuffer(r["n0"], np.float32)
     n1, n = (float(x.sum()) for x in tables[-1])
     if not 0 < n1 < n:
         return None
