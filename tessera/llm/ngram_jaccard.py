@@ -38,6 +38,8 @@ WIDTH, NUM, DEN, KEYS = 5, 75, 100, 36
 #: Points of one tree join; a larger block is cut into tiles.
 TILE = 2048
 LEAF = 16
+#: Ids (of 8 bytes) that may be broadcast.
+BROADCAST_IDS = 100_000
 
 
 def text_sets(buf: np.ndarray, off: np.ndarray, width: int):
@@ -214,17 +216,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
         rows.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("point").alias("point")).withColumn("node", F.monotonically_increasing_id())
     )
 
-    def checked(pairs: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame, few: bool) -> DataFrame:
+        """The pairs that link. few: ids that fit a checked broadcast are expected; else one plan at every size."""
         pairs = tmp.save(pairs.distinct())
         ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node", "rep", "hi", "lo"), "node")
         ends = tmp.save(ends)
-        # one plan at every size: whether the ids would fit a broadcast depends on the input
-        texts = d.join(ends.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("text")
+        ids = ends.select(F.col("rep").alias("doc_id")).distinct()
+        ids = F.broadcast(ids) if few and ids.count() <= BROADCAST_IDS else ids.hint("merge")
+        texts = d.join(ids, "doc_id", "left_semi").select("text")
         sets = texts.mapInArrow(_sets(width), "hi long, lo long, shingles binary")
         sets = tmp.save(sets.join(ends.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "shingles").dropDuplicates(["node"]))
         left = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src")
         both = left.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst").select("src", "dst", "a", "b")
-        return tmp.save(both.mapInArrow(_check(num, den), "src long, dst long"))
+        out = tmp.save(both.mapInArrow(_check(num, den), "src long, dst long"))
+        tmp.drop(pairs, ends, sets)
+        return out
 
     near = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
     keyed = nodes.select("node", "n", F.posexplode("mins").alias("k", "key"))
@@ -234,8 +240,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     hubs = keyed.join(central, "node").groupBy("k", "key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
     hubs = tmp.save(hubs.select("k", "key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
     star = keyed.join(hubs, ["k", "key"]).where(F.col("node") != F.col("hub")).where(near).select(F.least("hub", "node").alias("src"), F.greatest("hub", "node").alias("dst"))
-    links = checked(star)
+    links = checked(star, few=False)
     comp = tmp.save(connected_components(links))
+    tmp.drop(sizes, central, hubs)
 
     # tree pass: blocks with more than one component
     blocks = tmp.save(keyed.select("node", "n", "k", "key").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -249,7 +256,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("k", "key", "at", "node", "n", "component", "band", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
     dealt = dealt.join(nodes.select("node", "point", "mins"), "node")
     more = dealt.groupBy("k", "key", "at", "ti", "tj").applyInArrow(_tree(num, den), "src long, dst long")
-    links = links.union(checked(more))
+    links = links.union(checked(more, few=True))
 
     comp = tmp.save(connected_components(links))
     known = nodes.select("hi", "lo", "node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
