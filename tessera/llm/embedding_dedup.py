@@ -2,9 +2,12 @@
 
 Equal vectors of one label become one node. Each node starts with its nearest nodes in random-hyperplane buckets;
 then, round by round, every node's list meets the lists of its neighbours (and of those that
-list it), and the K most similar stay. A list that is full of links is saturated: it is enlarged to
-all nodes of its link component, compared in blocks, so that degrees are exact inside a component.
-``audit`` measures the links found against brute force.
+list it), and the K most similar stay. A list that is full of links is saturated: there may be more links than it
+holds, also to nodes of other components. So all saturated nodes of a label are joined exactly across components:
+they are covered by balls no wider than the threshold angle, and by the triangle inequality only balls whose
+centres are near enough can hold a link; these are compared node by node. Components are then compared in blocks, so
+that degrees are exact inside a component. What can be missed is a link of two nodes that neither list holds, one of them not
+saturated: ``audit`` measures the links found against brute force.
 
 Cosines of reported links are computed in double precision. Buckets over BUCKET nodes are split at random, since
 the rounds join the parts again; components are compared tile by tile, in no more than 2 x TILE rows a task.
@@ -95,6 +98,93 @@ def _tile(cosine: float):
     return run
 
 
+def _balls(cosine: float):
+    """Each node's centre, an earlier node within the threshold angle, and its angle to it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        v = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("vec")])
+        centre, angle, left = np.empty(len(node), np.int64), np.zeros(len(node)), np.arange(len(node))
+        while len(left):
+            sim = v[left] @ v[left[0]]
+            near = sim >= cosine
+            near[0] = True
+            centre[left[near]], angle[left[near]] = node[left[0]], np.arccos(np.clip(sim[near], -1, 1))
+            left = left[~near]
+        return pa.table({"node": node, "centre": centre, "angle": angle})
+
+    return run
+
+
+def _meet(cosine: float):
+    """Pairs of balls of two components that may hold a link; of linked centres only as many pairs as unite their components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, block, reach = (table.column(x).to_numpy() for x in ("centre", "component", "block", "reach"))
+        v = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("vec")])
+        a, z = (np.flatnonzero(block == table.column(x)[0].as_py()) for x in ("bi", "bj"))
+        sim = v[a] @ v[z].T
+        apart = comp[a][:, None] != comp[z][None, :]
+        if table.column("bi")[0].as_py() == table.column("bj")[0].as_py():
+            apart &= np.triu(np.ones_like(apart), 1)
+        i, j = np.nonzero(apart & (sim >= cosine))
+        _, first = np.unique(np.stack([comp[a[i]], comp[z[j]]]), axis=1, return_index=True)
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for f in first:
+            x, y = find(comp[a[i[f]]]), find(comp[z[j[f]]])
+            if x != y:
+                root[x] = y
+                links.append(f)
+        one = np.array([find(x) for x in comp])
+        i, j = i[links], j[links]
+        p, q = np.nonzero(apart & (one[a][:, None] != one[z][None, :]) & (np.arccos(np.clip(sim, -1, 1)) <= reach[a][:, None] + reach[z][None, :] + np.arccos(cosine) + 1e-6))
+        return pa.table({"a": node[np.concatenate([a[i], a[p]])], "b": node[np.concatenate([z[j], z[q]])], "linked": np.arange(len(i) + len(p)) < len(i)})
+
+    return run
+
+
+def _touch(cosine: float):
+    """A link between two balls, if there is one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        v = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("vec")])
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = np.nonzero(v[x] @ v[y].T >= cosine)
+        return pa.table({"src": node[x[i[:1]]], "dst": node[y[j[:1]]]})
+
+    return run
+
+
+def _across(full: DataFrame, edges: DataFrame, comp: DataFrame, cosine: float, tmp: Scratch) -> DataFrame:
+    """Components after an exact join of the nodes of ``full`` (``node, part, vec``) across components."""
+    full = full.join(comp, "node")
+    tiles = full.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    full = tmp.save(full.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))))
+    balls = tmp.save(full.select("component", "tile", "node", "vec").groupBy("component", "tile").applyInArrow(_balls(cosine), "node long, centre long, angle double"))
+    centres = balls.groupBy("centre").agg(F.max("angle").alias("reach")).join(full.select(F.col("node").alias("centre"), "component", "part", "vec"), "centre")
+    centres = tmp.save(centres)
+    blocks = centres.groupBy("part").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    dealt = centres.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("centre"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("part", "centre", "component", "reach", "vec", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    met = tmp.save(dealt.groupBy("part", "bi", "bj").applyInArrow(_meet(cosine), "a long, b long, linked boolean"))
+    edges = edges.union(met.where("linked").select("a", "b"))
+    comp = tmp.save(connected_components(edges))
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    open_ = tmp.save(met.where("not linked").join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b"))
+    members = balls.join(full.select("node", "vec"), "node").select("centre", "node", "vec")
+    sides = [open_.withColumn("centre", F.col(x)).withColumn("side", F.lit(n)).join(members, "centre").select("a", "b", "side", "node", "vec") for n, x in enumerate("ab")]
+    found = tmp.save(sides[0].union(sides[1]).groupBy("a", "b").applyInArrow(_touch(cosine), "src long, dst long"))
+    return comp if found.isEmpty() else tmp.save(connected_components(edges.union(found)))
+
+
 def _links(cosine: float):
     def run(batches):
         for b in batches:
@@ -165,10 +255,13 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, k: int = NEIGHBO
         if moved * 50 < (parts.agg(F.sum("n")).first()[0] or 0):
             break
 
-    # threshold edges, checked in double precision; saturated lists are enlarged inside their components
+    # threshold edges, checked in double precision; saturated lists are enlarged across and inside components
     pairs = lists.select("src", F.explode("l").alias("x")).where(F.col("x.sim") >= cosine - 1e-3).select(F.least("src", F.col("x.dst")).alias("src"), F.greatest("src", F.col("x.dst")).alias("dst")).distinct()
     pairs = pairs.join(units.select(F.col("node").alias("src"), F.col("vec").alias("a")), "src").join(units.select(F.col("node").alias("dst"), F.col("vec").alias("b")), "dst").select("src", "dst", "a", "b")
-    comp = tmp.save(connected_components(tmp.save(pairs.mapInArrow(_links(cosine), "src long, dst long"))))
+    links = tmp.save(pairs.mapInArrow(_links(cosine), "src long, dst long"))
+    comp = tmp.save(connected_components(links))
+    full = lists.where((F.size("l") >= k) & (F.element_at("l", -1)["sim"] >= cosine - 1e-3)).select(F.col("src").alias("node")).join(units.select("node", "part", "vec"), "node")
+    comp = _across(full, links, comp, cosine, tmp)
     inside = tmp.save(comp.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("tiles")))
     tiled = comp.join(inside, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("component", "node", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj")).join(units.select("node", "vec"), "node").join(nodes.select("node", "copies"), "node")

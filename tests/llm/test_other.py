@@ -60,6 +60,27 @@ def test_saturated_lists_and_split_buckets(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(69, 0)}
 
 
+def test_saturated_groups_meet(spark):
+    """Groups of more vectors than a list holds, 16 degrees apart (all link) and 24.5 (only those at the near ends link)."""
+    rng = np.random.default_rng(5)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    v = []
+    for g, apart in enumerate((16, 24.5)):
+        for k in (0, 1):
+            t = np.radians(k * apart + np.linspace(-2, 2, 40))[:, None]
+            v.append(np.cos(t) * axes[2 * g] + np.sin(t) * axes[2 * g + 1] + 0.002 * rng.standard_normal((40, 64)))
+    v = np.concatenate(v).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    near = u @ u.T >= embedding_dedup.COSINE
+    first = np.arange(len(v))
+    for _ in v:
+        first = np.where(near, first[None, :], len(v)).min(axis=1)
+    top = np.argsort(-(u @ u.T - 2 * np.eye(len(v))), axis=1)[:, : embedding_dedup.NEIGHBOURS]
+    assert (np.arange(len(v))[:, None] // 40 == top // 40).all() and near[:40, 40:80].all() and 0 < near[80:120, 120:].sum() < 800
+    out = embedding_dedup.near_vectors(vectors(spark, [(i, x.tolist(), 1) for i, x in enumerate(v)]))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == {i: (near[i].sum() - 1, first[i]) for i in range(len(v))}
+
+
 PAGES = [(3, "http://a/ x\r\ny", "p" * 150), (1, None, "p" * 150), (2, "u", "p" * 150), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", "p" * 150), (7, "é", "é" * 60), (8, "é", "é" * 60), (1, "twin", "p" * 150)]
 
 
