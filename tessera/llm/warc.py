@@ -122,23 +122,39 @@ def member_at(data: memoryview, pos: int):
     return b"".join(out), min(at, len(data)) - len(z.unused_data)
 
 
-def parse_record(raw: bytes, pos: int, whole: bool):
-    """Fields of the record at ``pos`` of plain WARC bytes, and its end. whole: nothing else may follow (a gzip member)."""
+def fields_of(lines: list) -> dict:
+    """Header fields by name, folded lines joined. Broken if another record's header begins in the midst of it."""
+    joined: list = []
+    for x in lines:
+        if x[:1] in (" ", "\t") and joined:
+            joined[-1] += " " + x.strip()
+        else:
+            joined.append(x)
+    names = [x.partition(":")[0].strip().lower() for x in joined]
+    for i, x in enumerate(joined):
+        if ":" not in x:
+            raise Broken("header line")
+        # a header cut off in a line runs into the next version line, after which its fields come again; a URL may end alike
+        if re.search(r"WARC/1\.\d$", x) and set(names[: i + 1]) & set(names[i + 1 :]) - {"warc-concurrent-to"}:
+            raise Broken("header line")
+    return {k: x.partition(":")[2].strip() for k, x in zip(names, joined)}
+
+
+def parse_record(raw: bytes, pos: int):
+    """Fields of the record at ``pos`` of plain WARC bytes, and its end."""
     if raw[pos : pos + 5] != b"WARC/":
         raise Broken("no version line")
     head_end = raw.find(b"\r\n\r\n", pos)
     if head_end < 0:
         raise Broken("no end of header")
     lines = raw[pos:head_end].decode("utf-8", "replace").split("\r\n")[1:]
-    if any(":" not in x or "WARC/1." in x for x in lines):
-        raise Broken("header line")
-    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    head = fields_of(lines)
     try:
         length = int(head["content-length"])
     except (KeyError, ValueError):
         raise Broken("no length") from None
     start, stop = head_end + 4, head_end + 4 + length
-    if length < 0 or raw[stop : stop + 4] != b"\r\n\r\n" or whole and stop + 4 != len(raw):
+    if length < 0 or raw[stop : stop + 4] != b"\r\n\r\n":
         raise Broken("length")
     block = raw[start:stop]
     said = head.get("warc-block-digest", "")
@@ -162,30 +178,38 @@ def parse_record(raw: bytes, pos: int, whole: bool):
     return {"page_id": page("warc-record-id"), "record_type": kind, "refers_to": page("warc-refers-to"), "url": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "payload": body if kind == "response" else None}, stop + 4
 
 
-def salvage(data: bytes):
-    """Records (``kind`` record) and quarantined gaps (``kind`` gap) of one archive, in order, covering every byte."""
+def salvage(data: bytes, packed: bool = True):
+    """Records (``kind`` record) and quarantined gaps (``kind`` gap) of one archive, in order, covering every byte.
+
+    A gzip member may hold several records. All its rows have the member's offset; the first has its length, the others 0.
+    """
     view, pos, n = memoryview(data), 0, len(data)
     gap, why = None, ""
 
     def take(at):
-        if data[at : at + 3] == MAGIC:
+        if packed and data[at : at + 3] == MAGIC:
             raw, end = member_at(view, at)
-            return parse_record(raw, 0, True)[0], end
-        return parse_record(data, at, False)
+            rows = list(salvage(raw, False))
+            if not any(x["kind"] == "record" for x in rows):
+                raise Broken(rows[0]["reason"] if rows else "empty member")
+            return rows, end
+        fields, end = parse_record(data, at)
+        return [fields | {"kind": "record"}], end
 
     while pos < n:
         try:
-            fields, end = take(pos)
+            rows, end = take(pos)
         except Broken as e:
             if gap is None:
                 gap, why = pos, str(e)
-            found = [x for x in (data.find(MAGIC, pos + 1), data.find(b"WARC/1.", pos + 1)) if x >= 0]
+            found = [x for x in (data.find(MAGIC, pos + 1) if packed else -1, data.find(b"WARC/1.", pos + 1)) if x >= 0]
             pos = min(found, default=n)
             continue
         if gap is not None:
             yield {"kind": "gap", "offset": gap, "length": pos - gap, "reason": why}
             gap = None
-        yield fields | {"kind": "record", "offset": pos, "length": end - pos}
+        for i, x in enumerate(rows):
+            yield x | {"offset": pos, "length": 0 if i else end - pos}
         pos = end
     if gap is not None:
         yield {"kind": "gap", "offset": gap, "length": n - gap, "reason": why}

@@ -129,6 +129,22 @@ def test_salvage_goes_on_after_damage(pack):
     assert kinds(b"") == []
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bytes])
+def test_salvage_keeps_whole_records(pack):
+    """Version text in URLs, folded header lines, several records in one member."""
+    digest = hashlib.sha256(b"payload").hexdigest()
+    urls = ["https://example.org/WARC/1.0/", "https://example.org/WARC/1.0", "u"]
+    raw = [warc.record(i, u, b"payload", digest, None) for i, u in enumerate(urls)]
+    raw[2] = raw[2].replace(b"WARC-Date: ", b"WARC-Date:\r\n\t")
+    want = [(i, u, b"payload") for i, u in enumerate(urls)]
+    for data in (b"".join(map(pack, raw)), pack(b"".join(raw))):
+        out = list(warc.salvage(data))
+        assert [(x["page_id"], x["url"], x["payload"]) for x in out] == want and sum(x["length"] for x in out) == len(data)
+    # a header cut off in a line is still no part of the next record
+    cut = raw[0][: raw[0].index(b"WARC-Date") - 8] + raw[1]
+    assert [(x["kind"], x.get("page_id")) for x in warc.salvage(pack(cut))][-2:] == [("gap", None), ("record", 1)]
+
+
 def test_conversations_round_trip(spark):
     rng = random.Random(0)
     odd = ["", None, "\\", "<|", "<\\|", "\\n", "a\nb", "<|im_end|>\n<|im_start|>user\nx", chat_format.HOSTILE, "<", "\\<|", "é𝄞", "x" * 100_000]
