@@ -9,7 +9,7 @@ as the next stage's ``docs``. All but the last return the columns of ``documents
 4. benchmark decontamination: documents that hold a benchmark item go.
 5. mixing: words that the mix takes of each document.
 
-``n_chars`` follows the text. Rows that share an id live and die by their own row where the operator is per row, else together (stages 1, 3, 4).
+``n_chars`` follows the text. Rows that share an id live and die by their own row where the operator is per row, else together (stages 1, 3).
 """
 
 from __future__ import annotations
@@ -45,8 +45,10 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Scratch.drop_all()
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    # a row is keyed by its id and text: rows equal in both match alike, and a null id is a key like others
+    key = F.xxhash64("doc_id", "text")
+    leaks = decontaminate.find_leaks(docs.withColumn("doc_id", key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), key == F.col("_key"), "left_anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,3 +185,13 @@ def test_pipeline_stages(spark, tmp_path):
             assert {10_002, 10_003, None} <= set(left)
             assert all(len(x) < 30 for x in left.get(10_001, "").split("\n"))
     assert docs.agg(F.sum("taken")).first()[0] > 0
+
+
+def test_leaks_go_by_row(spark, tmp_path):
+    """A leak without id goes; a clean row that shares the id of a leak stays."""
+    item = "what is the boiling point of water at the top of a high mountain"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"x {item} y"), (None, "clean"), (7, f"{item} z"), (7, "clean too"), (8, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == {(None, "clean"), (7, "clean too"), (8, None)}
