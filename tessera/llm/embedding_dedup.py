@@ -261,7 +261,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, k: int = NEIGHBO
     links = tmp.save(pairs.mapInArrow(_links(cosine), "src long, dst long"))
     comp = tmp.save(connected_components(links))
     full = lists.where((F.size("l") >= k) & (F.element_at("l", -1)["sim"] >= cosine - 1e-3)).select(F.col("src").alias("node")).join(units.select("node", "part", "vec"), "node")
-    comp = _across(full, links, comp, cosine, tmp)
+    full = tmp.save(full)
+    if not full.isEmpty():
+        comp = _across(full, links, comp, cosine, tmp)
     inside = tmp.save(comp.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("tiles")))
     tiled = comp.join(inside, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("component", "node", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj")).join(units.select("node", "vec"), "node").join(nodes.select("node", "copies"), "node")
