@@ -1,16 +1,21 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least MIN_CHARS characters are compared; two are near copies when at most ``edits`` character edits apart.
+Lines of at least ``min_chars`` characters are compared; two are near copies when at most ``edits`` character edits apart.
 A line is split into ``edits + 1`` segments, so that one of them survives in any near copy. Its segments are indexed by
 length and segment number; a line of equal or greater length probes the substrings that may hold each
 segment (multi-match-aware positions: a segment shifts by no more than the edits to its left and
-right allow). Lines that share a signature and nearly the same letter counts (``edits`` edits move
-at most twice that many) are verified by a banded bit-parallel automaton: one bit per diagonal, one word per number of edits.
+right allow). A line's own segments are probes of its own length at the same time, so they are sent once. Lines that share a
+signature and nearly the same letter counts (``edits`` edits move at most twice that many) are verified by a banded
+bit-parallel automaton: one bit per diagonal, one word per number of edits.
 
-Near copies are joined into classes; the class's first occurrence (by doc_id, then line) stays in its
-document and all others are removed. Lines are keyed by 96 bits of hash.
+A signature with more than HOT_SHARE of all (found on one line in SAMPLE, which decides the route only) is not gathered by key. Its
+lines get longer signatures: each segment is two halves, so that beside the segment that they share two more halves of a near
+copy survive; those are probed in the same way.
 
-Defined results: null text has no lines; shorter lines always stay; rows equal in id and text are
+Near copies, and equal lines of any length that are not blank, are joined into classes; the class's first occurrence (by doc_id, then
+line) stays in its document and all others are removed. Lines are keyed by 96 bits of hash.
+
+Defined results: null text has no lines; blank lines always stay; rows equal in id and text are
 treated alike; a null doc_id comes last in the order, then texts go by hash; very long lines are lines like others; empty tables give empty tables.
 """
 
@@ -26,6 +31,8 @@ from tessera.operators.graph import connected_components
 EDITS, MIN_CHARS = 2, 30
 #: Letter groups of the count filter (fixed split of the alphabet; other characters are the last group).
 GROUPS = ("ae", "io", "tn", "rs", "hd", "lu", "cmfgyp")
+#: A signature is hot with this share of the sampled ones and HOT_LEAST of them: so there are at most 1 / HOT_SHARE.
+SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1e-4, 64
 
 
 def segment(length: Column, i: int, parts: int):
@@ -41,19 +48,52 @@ def shifts(i: int, delta: int, edits: int):
     return [s for s in range(-i, i + 1) if abs(s - delta) <= edits - i]
 
 
-def signatures(line: Column, length: Column, edits: int) -> Column:
-    """``array<struct<sig, probe>>`` of a line; segments index, substrings of equal or longer lines probe."""
+def chars(line: Column) -> Column:
+    """Four bytes a character, so that a substring is a slice and need not be searched for."""
+    return F.encode(line, "UTF-32")
+
+
+def piece(utf32: Column, start: Column, size: Column) -> Column:
+    return F.substring(utf32, start * 4 + 1, size * 4)
+
+
+def signatures(utf32: Column, length: Column, edits: int, wide: bool = False) -> Column:
+    """``array<struct<sig, probe>>`` of a line: its segments (index and probe), and substrings that only probe; wide: with ``i, delta, shift``."""
     out = []
-    for i in range(edits + 1):
-        start, size = segment(length, i, edits + 1)
-        out.append(F.struct(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)).alias("sig"), F.lit(False).alias("probe")))
-        for delta in range(edits + 1):
+    for delta in range(edits + 1):
+        for i in range(edits + 1):
             start, size = segment(length - delta, i, edits + 1)
             for s in shifts(i, delta, edits):
-                out.append(F.struct(F.xxhash64((length - delta).cast("int"), F.lit(i), F.substring(line, start + 1 + s, size)).alias("sig"), F.lit(True).alias("probe")))
+                sig = F.xxhash64((length - delta).cast("int"), F.lit(i), piece(utf32, start + s, size))
+                more = [F.lit(x).alias(n) for x, n in ((i, "i"), (delta, "delta"), (s, "shift"))] if wide else []
+                out.append(F.struct(sig.alias("sig"), F.lit(bool(delta or s)).alias("probe"), *more))
     return F.array(*out)
 
 
+def longer_signatures(edits: int) -> Column:
+    """``array<struct<sig, probe>>`` of a line with a hot signature (columns ``utf32, len, sig, probe, i, delta, shift``).
+
+    Half ``h`` of the indexed line is half ``h % 2`` of its segment ``h // 2``. Where the lines share segment ``i`` at ``shift``, a
+    half to the left of it shifts by what the edits between allow, and so does one to the right.
+    """
+    parts = edits + 1
+    own = F.col("len") - F.col("delta")
+    out = []
+    for h in range(2 * parts):
+        start, size = segment(own, h // 2, parts)
+        first = F.floor(size / 2).cast("int")
+        start, size = (start, first) if h % 2 == 0 else ((start + first).cast("int"), (size - first).cast("int"))
+        for s in range(-edits, edits + 1):
+            sig = F.xxhash64("sig", F.lit(h), piece(F.col("utf32"), start + s, size))
+            # edits left of the segment, between half and segment, and right of it are the budget together
+            left = F.abs(F.lit(s)) + F.abs(F.col("shift") - s) + F.abs(F.col("delta") - F.col("shift"))
+            right = F.abs(F.col("shift")) + F.abs(F.lit(s) - F.col("shift")) + F.abs(F.col("delta") - s)
+            may = F.when(F.col("i") > h // 2, left <= edits).when(F.col("i") < h // 2, right <= edits).otherwise(F.lit(False)) & (start + s >= 0) & (start + s + size <= F.col("len"))
+            probe = F.col("probe") | F.lit(s != 0)
+            out.append(F.when(may, F.struct(sig.alias("sig"), probe.alias("probe"))))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are at most ``edits`` apart.
 
@@ -86,31 +126,48 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return F.when((end < 0) | (end >= width), F.lit(False)).when(F.length(b) == 0, F.length(a) <= edits).otherwise(last.bitwiseAND(bit) != 0)
 
 
-def line_rows(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    d = d.where(F.length("line") >= min_chars)
+    d = d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     owner = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "pos")
     return d.select("line", F.xxhash64("line").alias("k"), F.hash("line").alias("k2"), owner.alias("own"))
 
 
+def shared_signatures(lines: DataFrame, edits: int, tmp: Scratch) -> DataFrame:
+    """``sig, node, probe`` of the signatures (of ``lines``: ``node, line, len``) that two lines hold and one of them indexes."""
+    utf32 = lines.select("node", "len", chars(F.col("line")).alias("utf32"))
+    every = utf32.select("node", signatures(F.col("utf32"), F.col("len"), edits).alias("s"))
+    part = every.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("s.sig").alias("sig"))
+    seen = tmp.save(part.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST))
+    total = part.count() if not seen.isEmpty() else 0
+    hot = seen.where(F.col("n") >= HOT_SHARE * total).select("sig")
+
+    by = W.partitionBy("sig")
+    twice = (F.min("node").over(by) != F.max("node").over(by)) & ~F.min("probe").over(by)
+    sigs = every.select("node", F.explode("s").alias("s")).select("node", "s.sig", "s.probe")
+    if total:
+        few = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
+        wide = utf32.select("node", "len", "utf32", F.explode(signatures(F.col("utf32"), F.col("len"), edits, wide=True)).alias("s"))
+        wide = wide.select("node", "len", "utf32", "s.*").join(few, "sig")
+        longer = wide.select("node", F.explode(longer_signatures(edits)).alias("s")).select("node", "s.sig", "s.probe")
+        sigs = sigs.join(few, "sig", "left_anti").select("node", "sig", "probe").union(longer)
+    return tmp.save(sigs.withColumn("twice", twice).where("twice").select("sig", "node", "probe").distinct())
+
+
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, th, gone``: the 0-based lines to remove, for documents that lose any (th: hash of the text)."""
     spark = docs.sparkSession
     tmp = Scratch(spark, "lines")
-    lines = line_rows(docs, min_chars, id_col, text_col)
+    lines = line_rows(docs, id_col, text_col)
     distinct = lines.groupBy("k", "k2").agg(F.min("own").alias("own"), F.max("own").alias("far"), F.first("line").alias("line"))
     distinct = tmp.save(distinct.select("k", "k2", "own", (F.col("own") != F.col("far")).alias("again"), "line", F.length("line").alias("len")).withColumn("node", F.monotonically_increasing_id()))
 
-    sigs = distinct.select("node", F.explode(signatures(F.col("line"), F.col("len"), edits)).alias("s")).select("node", "s.sig", "s.probe")
-    sigs = sigs.repartition("sig")
-    by = W.partitionBy("sig")
-    hits = sigs.withColumn("a", F.min("node").over(by)).withColumn("z", F.max("node").over(by)).withColumn("p", F.min("probe").over(by)).where("a <> z and not p").select("sig", "node", "probe").distinct()
-    hits = tmp.save(hits)
+    hits = shared_signatures(distinct.where(F.col("len") >= min_chars), edits, tmp)
     counts = [F.length("line") - F.length(F.translate("line", g + g.upper(), "")) for g in GROUPS]
     some = distinct.join(hits.select("node").distinct(), "node", "left_semi").select("node", "len", *[c.alias(f"c{i}") for i, c in enumerate(counts)])
     some = tmp.save(some)
     left = tmp.save(hits.where("not probe").join(some, "node"))
-    right = tmp.save(hits.where("probe").join(some, "node"))
+    right = tmp.save(hits.join(some, "node"))
     l, r = left.alias("l"), right.alias("r")
     gap = F.col("r.len") - F.col("l.len")
     apart = sum((F.abs(F.col(f"l.c{i}") - F.col(f"r.c{i}")) for i in range(len(GROUPS))), F.abs(gap - sum((F.col(f"r.c{i}") - F.col(f"l.c{i}") for i in range(len(GROUPS))), F.lit(0))))
@@ -154,9 +211,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = r"""
 ld AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM {docs}),
 le AS (SELECT doc_id, unnest(parts) AS line, unnest(range(0, len(parts))) AS pos FROM ld),
-ll AS (SELECT * FROM le WHERE length(line) >= 30),
+ll AS (SELECT * FROM le WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 lx AS (SELECT line, min(struct_pack(d := doc_id, p := pos)) AS own, length(line) AS n, row_number() OVER () AS node FROM ll GROUP BY line),
-lp AS (SELECT a.node AS a, b.node AS b FROM lx a JOIN lx b ON b.n BETWEEN a.n AND a.n + 2 AND a.node <> b.node AND levenshtein(a.line, b.line) <= 2),
+lp AS (SELECT a.node AS a, b.node AS b FROM lx a JOIN lx b ON a.n >= 30 AND b.n BETWEEN a.n AND a.n + 2 AND a.node <> b.node AND levenshtein(a.line, b.line) <= 2),
 lq AS (SELECT a, b FROM lp UNION SELECT b, a FROM lp),
 lr AS (SELECT a AS node, a AS seen FROM lq UNION SELECT lr.node, lq.b FROM lr JOIN lq ON lq.a = lr.seen),
 lc AS (SELECT node, min(seen) AS m FROM lr GROUP BY node),

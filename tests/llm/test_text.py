@@ -129,16 +129,20 @@ def test_banded_automaton_equals_dynamic_programming(spark, edits):
     assert [(r["a"], r["b"]) for r in d.collect() if r["ok"] != (distance(r["a"], r["b"]) <= edits)] == []
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("all_hot", [False, True])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, all_hot):
+    if all_hot:  # every signature that two lines share goes by longer ones
+        monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+        monkeypatch.setattr(line_dedup, "HOT_LEAST", 2)
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(30, 50))) for _ in range(12)]
     rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randrange(0, 4)) if rng.random() < 0.8 else "short" for _ in range(rng.randrange(1, 6)))) for i in range(30)]
-    rows += [(90, None), (91, ""), (92, "\n\n"), (93, base[0] * 2000), (94, base[0] * 2000), (3, rows[3][1])]
-    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= 30})
+    rows += [(90, None), (91, ""), (92, "\n \n\t"), (95, " \n"), (93, base[0] * 2000), (94, base[0] * 2000), (3, rows[3][1])]
+    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if x.strip()})
     comp = {x: x for x in lines}
     for a in lines:
         for b in lines:
-            if a < b and abs(len(a) - len(b)) <= 2 and len(a) < 1000 and distance(a, b) <= 2 and comp[a] != comp[b]:
+            if a < b and abs(len(a) - len(b)) <= 2 and 30 <= min(len(a), len(b)) < 1000 and distance(a, b) <= 2 and comp[a] != comp[b]:
                 old, new = comp[b], comp[a]
                 comp = {k: new if v == old else v for k, v in comp.items()}
     first = {}
