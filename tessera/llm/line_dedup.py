@@ -35,12 +35,11 @@ GROUPS = ("ae", "io", "tn", "rs", "hd", "lu", "cmfgyp")
 SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1e-4, 64
 
 
-def segment(length: Column, i: int, parts: int):
+def segment(length: Column, i: Column, parts: int):
     """0-based start and length of segment ``i`` of ``parts``: the last ``length % parts`` are one longer."""
     base = F.floor(length / parts).cast("int")
     plain = F.lit(parts) - F.pmod(length, F.lit(parts))
-    start = base * i + F.greatest(F.lit(0), F.lit(i) - plain)
-    return start.cast("int"), (base + (F.lit(i) >= plain).cast("int")).cast("int")
+    return base * i + F.greatest(F.lit(0), i - plain), base + (i >= plain).cast("int")
 
 
 def shifts(i: int, delta: int, edits: int):
@@ -48,50 +47,44 @@ def shifts(i: int, delta: int, edits: int):
     return [s for s in range(-i, i + 1) if abs(s - delta) <= edits - i]
 
 
-def chars(line: Column) -> Column:
-    """Four bytes a character, so that a substring is a slice and need not be searched for."""
-    return F.encode(line, "UTF-32")
+def piece(start: Column, size: Column) -> Column:
+    """Characters of ``utf32``: four bytes each, so that a substring is a slice and need not be searched for."""
+    return F.substring("utf32", start * 4 + 1, size * 4)
 
 
-def piece(utf32: Column, start: Column, size: Column) -> Column:
-    return F.substring(utf32, start * 4 + 1, size * 4)
+def literals(rows: list, names: tuple) -> Column:
+    """A constant array to explode: the expressions over its fields are compiled once, not once per element."""
+    return F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in rows])).alias("p")
 
 
-def signatures(utf32: Column, length: Column, edits: int, wide: bool = False) -> Column:
-    """``array<struct<sig, probe>>`` of a line: its segments (index and probe), and substrings that only probe; wide: with ``i, delta, shift``."""
-    out = []
-    for delta in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = segment(length - delta, i, edits + 1)
-            for s in shifts(i, delta, edits):
-                sig = F.xxhash64((length - delta).cast("int"), F.lit(i), piece(utf32, start + s, size))
-                more = [F.lit(x).alias(n) for x, n in ((i, "i"), (delta, "delta"), (s, "shift"))] if wide else []
-                out.append(F.struct(sig.alias("sig"), F.lit(bool(delta or s)).alias("probe"), *more))
-    return F.array(*out)
+def signatures(lines: DataFrame, edits: int) -> DataFrame:
+    """``node, len, utf32, sig, probe, p (i, delta, shift)``: the segments of a line (index and probe), and substrings that only probe."""
+    every = [(i, delta, s) for delta in range(edits + 1) for i in range(edits + 1) for s in shifts(i, delta, edits)]
+    d = lines.select("node", "len", "utf32", literals(every, ("i", "delta", "shift")))
+    own = F.col("len") - F.col("p.delta")
+    start, size = segment(own, F.col("p.i"), edits + 1)
+    sig = F.xxhash64(own, "p.i", piece(start + F.col("p.shift"), size))
+    return d.select("node", "len", "utf32", sig.alias("sig"), ((F.col("p.delta") != 0) | (F.col("p.shift") != 0)).alias("probe"), "p")
 
 
-def longer_signatures(edits: int) -> Column:
-    """``array<struct<sig, probe>>`` of a line with a hot signature (columns ``utf32, len, sig, probe, i, delta, shift``).
+def longer_signatures(hot: DataFrame, edits: int) -> DataFrame:
+    """``node, sig, probe`` in place of rows of ``signatures`` whose signature is hot.
 
-    Half ``h`` of the indexed line is half ``h % 2`` of its segment ``h // 2``. Where the lines share segment ``i`` at ``shift``, a
-    half to the left of it shifts by what the edits between allow, and so does one to the right.
+    Half ``h`` of the indexed line is half ``h % 2`` of its segment ``h // 2``. Where the lines share segment ``i`` at its shift, the edits
+    left of it, between it and the half, and beyond are the budget together; they bound the shift of the half.
     """
     parts = edits + 1
-    own = F.col("len") - F.col("delta")
-    out = []
-    for h in range(2 * parts):
-        start, size = segment(own, h // 2, parts)
-        first = F.floor(size / 2).cast("int")
-        start, size = (start, first) if h % 2 == 0 else ((start + first).cast("int"), (size - first).cast("int"))
-        for s in range(-edits, edits + 1):
-            sig = F.xxhash64("sig", F.lit(h), piece(F.col("utf32"), start + s, size))
-            # edits left of the segment, between half and segment, and right of it are the budget together
-            left = F.abs(F.lit(s)) + F.abs(F.col("shift") - s) + F.abs(F.col("delta") - F.col("shift"))
-            right = F.abs(F.col("shift")) + F.abs(F.lit(s) - F.col("shift")) + F.abs(F.col("delta") - s)
-            may = F.when(F.col("i") > h // 2, left <= edits).when(F.col("i") < h // 2, right <= edits).otherwise(F.lit(False)) & (start + s >= 0) & (start + s + size <= F.col("len"))
-            probe = F.col("probe") | F.lit(s != 0)
-            out.append(F.when(may, F.struct(sig.alias("sig"), probe.alias("probe"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    every = [(h // 2, h % 2, s) for h in range(2 * parts) for s in range(-edits, edits + 1)]
+    d = hot.select("node", "len", "utf32", "sig", "probe", F.col("p").alias("q"), literals(every, ("i", "half", "shift")))
+    d = d.where("p.i <> q.i")
+    shift, delta, s = F.col("q.shift"), F.col("q.delta"), F.col("p.shift")
+    left = F.abs(s) + F.abs(shift - s) + F.abs(delta - shift)
+    right = F.abs(shift) + F.abs(s - shift) + F.abs(delta - s)
+    start, size = segment(F.col("len") - delta, F.col("p.i"), parts)
+    first = F.floor(size / 2).cast("int")
+    start, size = start + first * F.col("p.half"), F.when(F.col("p.half") == 0, first).otherwise(size - first)
+    d = d.where(F.when(F.col("p.i") < F.col("q.i"), left).otherwise(right) <= edits).where((start + s >= 0) & (start + s + size <= F.col("len")))
+    return d.select("node", F.xxhash64("sig", "p.i", "p.half", piece(start + s, size)).alias("sig"), (F.col("probe") | (s != 0)).alias("probe"))
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -135,22 +128,17 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shared_signatures(lines: DataFrame, edits: int, tmp: Scratch) -> DataFrame:
     """``sig, node, probe`` of the signatures (of ``lines``: ``node, line, len``) that two lines hold and one of them indexes."""
-    utf32 = lines.select("node", "len", chars(F.col("line")).alias("utf32"))
-    every = utf32.select("node", signatures(F.col("utf32"), F.col("len"), edits).alias("s"))
-    part = every.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("s.sig").alias("sig"))
+    every = signatures(lines.select("node", "len", F.encode("line", "UTF-32").alias("utf32")), edits)
+    part = every.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
     seen = tmp.save(part.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST))
     total = part.count() if not seen.isEmpty() else 0
-    hot = seen.where(F.col("n") >= HOT_SHARE * total).select("sig")
 
     by = W.partitionBy("sig")
     twice = (F.min("node").over(by) != F.max("node").over(by)) & ~F.min("probe").over(by)
-    sigs = every.select("node", F.explode("s").alias("s")).select("node", "s.sig", "s.probe")
+    sigs = every.select("node", "sig", "probe")
     if total:
-        few = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
-        wide = utf32.select("node", "len", "utf32", F.explode(signatures(F.col("utf32"), F.col("len"), edits, wide=True)).alias("s"))
-        wide = wide.select("node", "len", "utf32", "s.*").join(few, "sig")
-        longer = wide.select("node", F.explode(longer_signatures(edits)).alias("s")).select("node", "s.sig", "s.probe")
-        sigs = sigs.join(few, "sig", "left_anti").select("node", "sig", "probe").union(longer)
+        hot = F.broadcast(seen.where(F.col("n") >= HOT_SHARE * total).select("sig"))  # at most 1 / HOT_SHARE rows
+        sigs = sigs.join(hot, "sig", "left_anti").select("node", "sig", "probe").union(longer_signatures(every.join(hot, "sig"), edits))
     return tmp.save(sigs.withColumn("twice", twice).where("twice").select("sig", "node", "probe").distinct())
 
 
