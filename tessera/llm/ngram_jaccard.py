@@ -4,22 +4,25 @@ A text's set is its distinct 5-word shingles (64-bit hashes). Equal sets become
 point: its shingles hashed into groups, and the number in each group. Two sets share at most the sum
 of the coordinate minima of their points; the same sum over the upper corners of two boxes bounds every
 pair below them, so a dual traversal of an R-tree skips box pairs whose bound is under the overlap that
-the threshold asks for, ``t / (1 + t) * (a + b)``. Surviving pairs are checked on the whole sets.
+the threshold asks for, ``t / (1 + t) * (a + b)``. Surviving pairs are checked on the whole sets. Trees are loaded by
+recursive splits between two far seeds, so that like points share a box.
 
-One tree over all points does not scale: group counts of unrelated texts of one size look alike, so its
-boxes overlap. So points are first dealt to blocks by KEYS pairs of independent minimum hashes (a text is in
+One tree over all points does not scale: the counts of unlike texts of one size look alike in every group, so a box of
+several unlike points bounds nothing. So points are first dealt to blocks by KEYS pairs of independent minimum hashes (a text is in
 KEYS blocks) and each block has its own tree. Two sets at the threshold miss all KEYS blocks with probability
 ``(1 - 0.75 ** 2) ** 36 < 2e-13``, the order of a hash collision; nothing else is approximate and no block is capped.
+Every candidate comes from a tree:
 
-1. Star pass: in each block every node is paired with the block's most central node (that with the
-   largest blocks), and checked. This ties copies together without pairing them all.
-2. Tree pass: only blocks that still hold two components. Nodes are dealt again by size band (the
-   tree's first dimension) and, where a band is large, by pairs of tiles; each tile pair is one tree join.
-   Pairs already in one component are skipped, the others are checked.
+1. Nearest pass: each point meets the point before it in its block's tree with the highest bound. This ties copies together
+   without pairing them all. A block over NEAR points is cut into tiles, and one of its points is in all of them.
+2. Full pass: only blocks that then still hold two components, cut by size band and into pairs of tiles where they are large.
+   All pairs whose bound suffices are checked, but for those inside one component.
+
+Many small blocks share a task-side call (a bin); a bin has about BIN points however the block sizes are spread.
 
 Defined results: null or blank text: empty set, linked with nothing; null id: shingles counted, component
 null, never linked; rows with one id and several texts: every row keeps its own set, and its component is
-the smallest id among rows reachable from that row.
+the smallest id among rows reachable from that row; very long texts have points of at most MAX_GROUPS counts.
 """
 
 from __future__ import annotations
@@ -35,9 +38,13 @@ from tessera.llm import kernels as K
 from tessera.operators.graph import connected_components
 
 WIDTH, NUM, DEN, KEYS = 5, 75, 100, 36
-#: Points of one tree join; a larger block is cut into tiles.
-TILE = 2048
-LEAF = 16
+#: Points of one tree (a larger block is cut into tiles) in the nearest and in the full pass.
+NEAR, TILE = 256, 2048
+#: Points of a box, and of a bin; units up to ALL points are one box.
+LEAF, BIN, ALL = 16, 8192, 24
+#: Boxes in one of the level above.
+FAN = 4
+MAX_GROUPS = 4096
 #: Ids (of 8 bytes) that may be broadcast.
 BROADCAST_IDS = 100_000
 
@@ -70,18 +77,15 @@ def text_sets(buf: np.ndarray, off: np.ndarray, width: int):
 
 
 def groups_for(n: int) -> int:
-    """Number of groups (a power of two): about one shingle in each, so that few unlike shingles meet in one."""
-    return 1 << max(3, int(n).bit_length())
+    """Number of groups (a power of two): one or two shingles in each, so that few unlike shingles meet in one."""
+    return min(MAX_GROUPS, 1 << max(3, int(n).bit_length() - 1))
 
 
-def point_of(h: np.ndarray) -> np.ndarray:
-    """Group counts in one byte each; more groups where a count would not fit."""
+def point_of(h: np.ndarray) -> bytes:
+    """Group counts, in as many bytes each as the largest needs."""
     g = groups_for(len(h))
-    while True:
-        count = np.bincount((h >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
-        if count.max() < 256:
-            return count.astype(np.uint8)
-        g *= 2
+    count = np.bincount((h >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
+    return count.astype(np.min_scalar_type(int(count.max()))).tobytes()
 
 
 def set_sums(h: np.ndarray, at: np.ndarray):
@@ -106,7 +110,7 @@ def _sketch(width: int, keys: int):
                     low = np.stack([np.minimum.reduceat((h ^ s) * s, at) for s in salt], axis=1)
                     low = (K.mix(low[:, :keys]) + low[:, keys:]).view(np.int64)
                     for r, d in enumerate(full):
-                        mins[d], points[d] = low[r], point_of(h[first[d] : first[d + 1]]).tobytes()
+                        mins[d], points[d] = low[r], point_of(h[first[d] : first[d + 1]])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), out_n, pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(mins, pa.list_(pa.int64())), pa.array(points, pa.binary())], ["doc_id", "n", "hi", "lo", "mins", "point"])
 
     return run
@@ -143,62 +147,146 @@ def _check(num: int, den: int):
     return run
 
 
-def tree_levels(points: np.ndarray, sizes: np.ndarray):
-    """A bulk-loaded R-tree: points sorted by size, then by their fullest groups; boxes as (upper corner, least size)."""
-    order = np.lexsort((points.argmax(axis=1), sizes))
-    corner, least = points[order], sizes[order]
-    levels = [(corner, least)]
-    while len(corner) > 1:
-        cut = np.arange(0, len(corner), LEAF)
-        corner, least = np.maximum.reduceat(corner, cut, axis=0), np.minimum.reduceat(least, cut)
-        levels.append((corner, least))
-    return order, levels
+class Points:
+    """Count vectors of one bin. Two of unlike width are compared at the lesser one: groups are low bits, so halves of a vector add up."""
 
+    def __init__(self, raw, n: np.ndarray):
+        self.n = n
+        self.width = np.array([groups_for(x) for x in n], np.int64)
+        self.raw = raw
+        self.at: dict = {}
+
+    def matrix(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(rows), width), np.uint16 if self.n[rows].max() < 1 << 16 else np.int64)
+        for k, r in enumerate(rows.tolist()):
+            w = int(self.width[r])
+            out[k] = np.frombuffer(self.raw[r], f"u{len(self.raw[r]) // w}").reshape(-1, width).sum(axis=0)
+        return out
 
-def tree_join(points: np.ndarray, sizes: np.ndarray, num: int, den: int):
-    """Index pairs (i < j in tree order) whose bound reaches the overlap that the threshold asks for."""
-    order, levels = tree_levels(points, sizes)
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most that the sets of each pair share."""
+        out = np.zeros(len(a), np.int64)
+        least = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(least):
+            here = np.flatnonzero(least == w)
+            rows, place = np.unique(np.concatenate([a[here], b[here]]), return_inverse=True)
+            m = self.matrix(rows, int(w))
+            x, y = place[: len(here)], place[len(here) :]
+            step = max(1, (1 << 21) // int(w))
+            for i in range(0, len(here), step):
+                out[here[i : i + step]] = np.minimum(m[x[i : i + step]], m[y[i : i + step]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def loading_order(points: np.ndarray):
+    """Rows in tree order, and where boxes begin: recursive splits between two far seeds, at a wide gap that leaves both sides many."""
+    todo, out = [np.arange(len(points))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            out.append(rows)
+            continue
+        part = points[rows]
+        common = lambda r: np.minimum(part, part[r]).sum(axis=1, dtype=np.int64)
+        one = common(common(0).argmin())
+        side = one - common(one.argmin())
+        order = np.argsort(side, kind="stable")
+        at = np.arange(1, len(rows))
+        gap = np.diff(side[order]) * np.sqrt(np.minimum(at, len(rows) - at))
+        cut = int(gap.argmax()) + 1 if gap.max() > 0 else len(rows) // 2
+        todo += [rows[order[cut:]], rows[order[:cut]]]
+    return np.concatenate(out), np.cumsum([0, *map(len, out)])[:-1]
+
+
+def tree_join(points: np.ndarray, sizes: np.ndarray, num: int, den: int, seen: list | None = None):
+    """Pairs of rows whose bound reaches the overlap that the threshold asks for. seen: gets (pairs, kept) of each level, points last."""
+    order, starts = loading_order(points)
+    corner, least = points[order], sizes[order]
+    levels = [(corner, least, starts)]
+    while len(corner) > 1:
+        starts = levels[-1][2]
+        corner, least = np.maximum.reduceat(corner, starts, axis=0), np.minimum.reduceat(least, starts)
+        levels.append((corner, least, np.arange(0, len(corner), FAN)))
     i = j = np.zeros(1, np.int64)
     for depth in range(len(levels) - 1, -1, -1):
-        corner, least = levels[depth]
-        keep = []
-        for a in range(0, len(i), 4096):
-            x, y = i[a : a + 4096], j[a : a + 4096]
+        corner, least, _ = levels[depth]
+        if depth == 0:
+            i, j = i[i != j], j[i != j]
+        keep = np.zeros(len(i), bool)
+        step = max(1, (1 << 21) // max(corner.shape[1], 1))
+        for a in range(0, len(i), step):
+            x, y = i[a : a + step], j[a : a + step]
             bound = np.minimum(corner[x], corner[y]).sum(axis=1, dtype=np.int64)
-            ok = bound * (num + den) >= num * (least[x] + least[y])
-            keep.append(ok & (x != y) if depth == 0 else ok)
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+            keep[a : a + step] = bound * (num + den) >= num * (least[x] + least[y])
+        if seen is not None:
+            seen.append((len(i), int(keep.sum())))
         i, j = i[keep], j[keep]
         if depth:
-            below = len(levels[depth - 1][1])
-            step = np.arange(LEAF)
-            ci = (i[:, None, None] * LEAF + step[None, :, None]).repeat(LEAF, axis=2).ravel()
-            cj = (j[:, None, None] * LEAF + step[None, None, :]).repeat(LEAF, axis=1).ravel()
-            fine = (ci < below) & (cj < below) & (ci <= cj)
-            i, j = ci[fine], cj[fine]
+            begin = levels[depth - 1][2]
+            end = np.append(begin[1:], len(levels[depth - 1][1]))
+            wide = int((end - begin).max())
+            ci, cj = begin[i][:, None, None] + np.arange(wide)[None, :, None], begin[j][:, None, None] + np.arange(wide)[None, None, :]
+            fine = (ci < end[i][:, None, None]) & (cj < end[j][:, None, None]) & (ci <= cj)
+            i, j = np.broadcast_to(ci, fine.shape)[fine], np.broadcast_to(cj, fine.shape)[fine]
     return order[i], order[j]
 
 
-def _tree(num: int, den: int):
+def candidates(points: Points, unit: np.ndarray, num: int, den: int):
+    """Row pairs (a before b, of one unit) that sizes and bounds allow, and their bounds. Rows are sorted by unit."""
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
+    many = np.diff(cut)
+    parts = []
+    # small units: one box each, all of them at once
+    row = np.flatnonzero(np.repeat(many <= ALL, many))
+    ends = np.repeat(cut[1:], many)[row]
+    reps = ends - row - 1
+    a = np.repeat(row, reps)
+    parts.append((a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reps) - reps, reps)))
+    for u in np.flatnonzero(many > ALL):
+        rows = np.arange(cut[u], cut[u + 1])
+        i, j = tree_join(points.matrix(rows, int(points.width[rows].min())), points.n[rows], num, den)
+        parts.append((rows[np.minimum(i, j)], rows[np.maximum(i, j)]))
+    a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    ok = den * np.minimum(points.n[a], points.n[b]) >= num * np.maximum(points.n[a], points.n[b])
+    a, b = a[ok], b[ok]
+    bound = points.bounds(a, b)
+    ok = bound * (num + den) >= num * (points.n[a] + points.n[b])
+    return a[ok], b[ok], bound[ok]
+
+
+def _sorted_bin(table: pa.Table):
+    table = table.sort_by([("unit", "ascending"), ("node", "ascending")])
+    columns = {c: table.column(c).to_numpy() for c in table.column_names if c != "point"}
+    return columns, Points([x.as_buffer() for x in table.column("point")], columns["n"].astype(np.int64))
+
+
+def _nearest(num: int, den: int):
+    """Of each point the one before it with the highest bound."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c, points = _sorted_bin(table)
+        a, b, bound = candidates(points, c["unit"], num, den)
+        like = bound / (points.n[a] + points.n[b] - bound)
+        order = np.lexsort((-like, b))
+        first = np.ones(len(order), bool)
+        first[1:] = b[order][1:] != b[order][:-1]
+        a, b = c["node"][a[order[first]]], c["node"][b[order[first]]]
+        return pa.table({"src": a, "dst": b})
+
+    return run
+
+
+def _full(num: int, den: int):
+    """All pairs of two components."""
+
     def run(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy().astype(np.int64)
-        node, comp, tile, band = (table.column(c).to_numpy() for c in ("node", "component", "tile", "band"))
-        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("point")]
-        g = min(map(len, raw))
-        points = np.stack([x.reshape(-1, g).sum(axis=0, dtype=np.uint16) for x in raw])
-        a, b = tree_join(points, n, num, den)
-        here = int(table.column("at")[0].as_py())
-        cross = table.column("ti")[0].as_py() != table.column("tj")[0].as_py()
-        ok = (comp[a] != comp[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
+        c, points = _sorted_bin(table)
+        a, b, _ = candidates(points, c["unit"], num, den)
+        ok = c["component"][a] != c["component"][b]
         # the pair belongs to the band of its smaller member, and to two tiles only where they differ
-        ok &= np.minimum(band[a], band[b]) == here
-        if cross:
-            ok &= tile[a] != tile[b]
-        # and to the first of the blocks that its members share
-        a, b = a[ok], b[ok]
-        keys = np.stack([x.values.to_numpy() for x in table.column("mins")])
-        ok = (keys[a] == keys[b]).argmax(axis=1) == table.column("k")[0].as_py()
-        return pa.table({"src": np.minimum(node[a[ok]], node[b[ok]]), "dst": np.maximum(node[a[ok]], node[b[ok]])})
+        ok &= ~c["banded"][a] | (np.minimum(c["band"][a], c["band"][b]) == c["at"][a])
+        ok &= (c["ti"][a] == c["tj"][a]) | (c["tile"][a] != c["tile"][b])
+        return pa.table({"src": c["node"][a[ok]], "dst": c["node"][b[ok]]})
 
     return run
 
@@ -232,30 +320,32 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
         tmp.drop(pairs, ends, sets)
         return out
 
-    near = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
-    keyed = nodes.select("node", "n", F.posexplode("mins").alias("k", "key"))
-    sizes = tmp.save(keyed.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1"))
-    keyed = tmp.save(keyed.join(sizes, ["k", "key"]))
-    central = tmp.save(keyed.groupBy("node").agg(F.sum("size").alias("weight")))
-    hubs = keyed.join(central, "node").groupBy("k", "key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
-    hubs = tmp.save(hubs.select("k", "key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")))
-    star = keyed.join(hubs, ["k", "key"]).where(F.col("node") != F.col("hub")).where(near).select(F.least("hub", "node").alias("src"), F.greatest("hub", "node").alias("dst"))
-    links = checked(star, few=False)
+    def binned(d: DataFrame, unit: list[str], columns: list[str]) -> DataFrame:
+        """Points of the units (blocks, tiles or pairs of tiles), about BIN of them in a bin."""
+        d = tmp.save(d.select(F.xxhash64(*unit).alias("unit"), *columns))
+        bins = -(-d.count() // BIN) or 1
+        return d.join(nodes.select("node", "n", "point"), "node").withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(bins))).groupBy("bin")
+
+    keyed = nodes.select("node", F.posexplode("mins").alias("k", "key"))
+    sizes = tmp.save(keyed.groupBy("k", "key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"))
+    keyed = tmp.save(keyed.join(sizes, ["k", "key"]).withColumn("tiles", F.ceil(F.col("size") / NEAR)))
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    tile = F.explode(F.when(F.col("node") == F.col("hub"), every).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("tiles")))))
+    links = checked(binned(keyed.withColumn("tile", tile), ["k", "key", "tile"], ["node"]).applyInArrow(_nearest(num, den), "src long, dst long"), few=False)
     comp = tmp.save(connected_components(links))
-    tmp.drop(sizes, central, hubs)
 
-    # tree pass: blocks with more than one component
-    blocks = tmp.save(keyed.select("node", "n", "k", "key").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # full pass: blocks with more than one component
+    blocks = tmp.save(keyed.select("node", "k", "key", "size").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_ = tmp.save(blocks.groupBy("k", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "key"))
     base = float(np.log(den / num))
-    blocks = blocks.join(open_, ["k", "key"]).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / base + 1e-9).cast("long"))
     # a pair's sizes differ by the factor den / num at most, so it lies in one band or in two neighbours
-    dealt = blocks.withColumn("at", F.explode(F.array("band", F.col("band") - 1)))
-    large = tmp.save(dealt.groupBy("k", "key", "at").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "key", "at", F.ceil(F.col("size") / TILE).alias("tiles")))
-    dealt = dealt.join(large, ["k", "key", "at"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("k", "key", "at", "node", "n", "component", "band", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-    dealt = dealt.join(nodes.select("node", "point", "mins"), "node")
-    more = dealt.groupBy("k", "key", "at", "ti", "tj").applyInArrow(_tree(num, den), "src long, dst long")
+    blocks = blocks.join(open_, ["k", "key"]).join(nodes.select("node", F.floor(F.log(F.col("n").cast("double")) / base + 1e-9).cast("long").alias("band")), "node")
+    blocks = blocks.withColumn("banded", F.col("size") > TILE)
+    dealt = blocks.withColumn("at", F.explode(F.when(F.col("banded"), F.array("band", F.col("band") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    large = tmp.save(dealt.groupBy("k", "key", "at").agg(F.count("*").alias("points"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "key", "at", F.ceil(F.col("points") / TILE).alias("tiles")))
+    dealt = dealt.join(large, ["k", "key", "at"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(every))
+    dealt = dealt.withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
+    more = binned(dealt, ["k", "key", "at", "ti", "tj"], ["node", "component", "banded", "band", "at", "tile", "ti", "tj"]).applyInArrow(_full(num, den), "src long, dst long")
     links = links.union(checked(more, few=True))
 
     comp = tmp.save(connected_components(links))

@@ -42,7 +42,11 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_jaccard_components_equal_brute_force(spark, corpus):
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_components_equal_brute_force(spark, corpus, monkeypatch, small):
+    if small:  # blocks in tiles, trees for all but pairs, ids joined instead of broadcast
+        for name, value in (("NEAR", 4), ("TILE", 3), ("ALL", 2), ("LEAF", 2), ("BROADCAST_IDS", 0)):
+            monkeypatch.setattr(ngram_jaccard, name, value)
     sets = [(i, shingles(t)) for i, t in corpus]
     parent = list(range(len(sets)))
 
@@ -76,6 +80,21 @@ def test_tree_join_finds_every_pair_over_the_bound():
     assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == want
 
 
+def test_tree_prunes_boxes_of_unlike_groups():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    centre = rng.poisson(1.5, (64, 256))
+    points = np.repeat(centre, 32, axis=0) + (rng.random((2048, 256)) < 0.02)
+    points = points[rng.permutation(len(points))].astype(np.uint16)
+    seen: list = []
+    a, _ = ngram_jaccard.tree_join(points, points.sum(axis=1).astype(np.int64), 75, 100, seen)
+    assert len(a) == 64 * 32 * 31 // 2
+    shares = [kept / pairs for pairs, kept in seen]
+    assert shares[-2] < 0.25  # box pairs above the points: unlike groups part
+    assert sum(pairs for pairs, _ in seen) < 0.2 * 2048 * 2047 / 2
+
+
 def cut(rows, width):
     first = {}
     docs = [(i, WORD.findall(t or "")) for i, t in rows]
