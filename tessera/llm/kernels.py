@@ -96,45 +96,25 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((pre[ends] - pre[starts]) * down[starts])
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, width: int):
+def window_hashes(words: np.ndarray, first: np.ndarray, width: int, multiplier: int = P_WORD):
     """Hash of every run of ``width`` words inside one text, the index of its first word, and its text."""
     n = len(words)
     count = np.maximum(np.diff(first) - width + 1, 0)
     text = np.repeat(np.arange(len(count)), count)
     base = np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else np.zeros(0, np.int64)
     at = np.arange(int(count.sum()), dtype=np.int64) - base[text] + first[:-1][text]
-    up, down = powers(P_WORD, n + 1)
+    up, down = powers(multiplier, n + 1)
     pre = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(words * up[:n], out=pre[1:])
     return mix((pre[at + width] - pre[at]) * down[at]), at, text
 
 
-def pack_by_key(key: np.ndarray, ids: np.ndarray, hashes: np.ndarray):
-    """For each key: a block of (id, how many) runs and their hashes. Rows of an id stay together."""
-    order = np.argsort(key, kind="stable")
-    k, i, h = key[order], ids[order], hashes[order]
-    cut = np.flatnonzero(np.diff(k)) + 1
-    for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])):
-        if b > a:
-            yield int(k[a]), pack(i[a:b], h[a:b])
-
-
-def pack(ids: np.ndarray, hashes: np.ndarray) -> bytes:
-    new = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
-    runs = np.diff(np.concatenate([new, [len(ids)]])).astype(np.uint32)
-    return np.uint32(len(new)).tobytes() + ids[new].astype(np.int64).tobytes() + runs.tobytes() + hashes.astype(np.uint64).tobytes()
-
-
-def unpack(blob: bytes):
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    ids = np.frombuffer(blob, np.int64, n, 4)
-    runs = np.frombuffer(blob, np.uint32, n, 4 + 8 * n)
-    hashes = np.frombuffer(blob, np.uint64, -1, 4 + 12 * n)
-    return np.repeat(ids, runs), hashes
-
-
-def unpack_all(blobs):
-    parts = [unpack(b) for b in blobs]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def xxhash64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's ``xxhash64`` of one bigint column, as int64 (fixed values: the primes of xxHash)."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = (np.uint64(seed) + p5 + np.uint64(8)) ^ (turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
