@@ -8,7 +8,8 @@ between as a quarantined gap.
 
 Defined results: null html is an empty payload; null or hostile URLs are percent-encoded; a record
 with a null page_id is always a response and is never referred to; equal page_ids with equal payloads are
-responses together if they are the smallest; an empty table makes no archive and no records.
+responses together if they are the smallest; an empty table makes no archive and no records. An archive is read as one cell, which
+Spark bounds at 2 GB; the writer begins another after ROLL_BYTES.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MIN_REVISIT = 100
 #: Compressed bytes after which a task begins another archive.
 ROLL_BYTES = 4 << 20
 FEED = 1 << 15
+#: A record whose header is longer is broken.
+MAX_HEADER = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "file string, offset long, length long, kind string, page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, reason string"
 
@@ -140,12 +143,12 @@ def fields_of(lines: list) -> dict:
     return {k: x.partition(":")[2].strip() for k, x in zip(names, joined)}
 
 
-def parse_record(raw: bytes, pos: int):
-    """Fields of the record at ``pos`` of plain WARC bytes, and its end."""
+def parse_record(raw: bytes, pos: int, head_end: int | None = None):
+    """Fields of the record at ``pos`` of plain WARC bytes, and its end. head_end: where its first blank line begins, if known."""
     if raw[pos : pos + 5] != b"WARC/":
         raise Broken("no version line")
-    head_end = raw.find(b"\r\n\r\n", pos)
-    if head_end < 0:
+    head_end = raw.find(b"\r\n\r\n", pos) if head_end is None else head_end
+    if not 0 <= head_end - pos <= MAX_HEADER:
         raise Broken("no end of header")
     lines = raw[pos:head_end].decode("utf-8", "replace").split("\r\n")[1:]
     head = fields_of(lines)
@@ -185,15 +188,21 @@ def salvage(data: bytes, packed: bool = True):
     """
     view, pos, n = memoryview(data), 0, len(data)
     gap, why = None, ""
+    # next place of each, searched for again only once passed: the time is linear in the bytes
+    marks = {b"WARC/1.": -1} | ({MAGIC: -1} if packed else {})
+    blank = -1
 
     def take(at):
+        nonlocal blank
         if packed and data[at : at + 3] == MAGIC:
             raw, end = member_at(view, at)
             rows = list(salvage(raw, False))
             if not any(x["kind"] == "record" for x in rows):
                 raise Broken(rows[0]["reason"] if rows else "empty member")
             return rows, end
-        fields, end = parse_record(data, at)
+        if blank < at:
+            blank = blank if (blank := data.find(b"\r\n\r\n", at)) >= 0 else n + MAX_HEADER + 1
+        fields, end = parse_record(data, at, blank)
         return [fields | {"kind": "record"}], end
 
     while pos < n:
@@ -202,8 +211,10 @@ def salvage(data: bytes, packed: bool = True):
         except Broken as e:
             if gap is None:
                 gap, why = pos, str(e)
-            found = [x for x in (data.find(MAGIC, pos + 1) if packed else -1, data.find(b"WARC/1.", pos + 1)) if x >= 0]
-            pos = min(found, default=n)
+            for mark, at in marks.items():
+                if at <= pos:
+                    marks[mark] = at if (at := data.find(mark, pos + 1)) >= 0 else n
+            pos = min(marks.values())
             continue
         if gap is not None:
             yield {"kind": "gap", "offset": gap, "length": pos - gap, "reason": why}
