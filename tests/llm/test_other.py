@@ -52,7 +52,7 @@ def test_near_vectors_equal_brute_force_and_audit(spark):
 def test_saturated_lists_and_split_buckets(spark, monkeypatch):
     """Groups larger than the list, the bucket and the tile keep exact degrees."""
     monkeypatch.setattr(embedding_dedup, "BUCKET", 16)
-    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "CELL", 16)
     rng = np.random.default_rng(1)
     c = rng.standard_normal(8)
     rows = [(i, [float(x) for x in c + rng.standard_normal(8) * 0.02], 1) for i in range(70)]
