@@ -5,68 +5,104 @@ as the next stage's ``docs``. All but the last return the columns of ``documents
 
 1. toxicity: documents predicted toxic go.
 2. line dedup: near copies of earlier lines are cut; a document left without text goes.
-3. n-gram Jaccard join: of each component the document with the smallest id stays.
-4. benchmark decontamination: documents that hold a benchmark item go.
+3. n-gram Jaccard join: of each component the row with the smallest id stays (null last, then by hash of the text); of rows equal in id and text, one.
+4. benchmark decontamination: rows that hold a benchmark item go.
 5. mixing: words that the mix takes of each document.
 
-``n_chars`` follows the text. Rows that share an id live and die by their own row where the operator is per row, else together (stages 1, 3).
+Stages work on rows: rows that share an id live and die apart. ``n_chars`` follows the text. Null and blank texts have no lines, no shingles and no leaks, and stay.
+Empty tables give empty tables; without labels nothing is toxic.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.core import Scratch
+from tessera.core import Scratch, drop, scratch_scope
 from tessera.llm import decontaminate, line_dedup, mixing, ngram_jaccard, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Scratch folders of the last stage called, by input folder.
+_LEFT: dict[str, list] = {}
+
+
+def stage(f):
+    """A stage's scratch tables are read when the caller writes its result: they go when the next stage over the same input begins."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(_LEFT.get(sf_dir, []))
+        with scratch_scope() as made:
+            out = f(spark, docs, sf_dir)
+            _LEFT[sf_dir] = list(made)
+            made.clear()
+        return out
 
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.drop_all()
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, keep=COLUMNS).where("score < 0.5").select(COLUMNS)
 
 
+@stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.drop_all()
     out = line_dedup.with_lines_removed(docs.select(COLUMNS))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.where(~emptied).withColumn("n_chars", n_chars).select(COLUMNS)
 
 
-def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.drop_all()
-    gone = ngram_jaccard.jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+def row_key():
+    """A row by its id and text; rows equal in both are one."""
+    return F.xxhash64("doc_id", "text")
 
 
+@stage
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tmp = Scratch(spark, "documents")
+    keyed = docs.select(row_key().alias("_key"), "doc_id", "text")
+    comp = ngram_jaccard.jaccard_components(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    comp = tmp.save(comp.groupBy("_key").agg(F.first("component_id").alias("component_id"), F.count("*").alias("rows")))
+    # rows that have company: only their ids are looked at
+    groups = tmp.save(comp.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"))
+    some = comp.join(groups, "component_id").join(docs.select(row_key().alias("_key"), "doc_id"), "_key")
+    first = some.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("first"))
+    gone = tmp.save(some.join(first, "component_id").where("_key <> first._key").select("_key").distinct())
+    again = tmp.save(comp.where("rows > 1").select("_key"))
+    rows = docs.select(COLUMNS).withColumn("_key", row_key()).join(gone, "_key", "left_anti")
+    once = rows.join(again, "_key", "left_anti")
+    return once.unionByName(rows.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select(COLUMNS)
+
+
+@stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.drop_all()
-    # a row is keyed by its id and text: rows equal in both match alike, and a null id is a key like others
-    key = F.xxhash64("doc_id", "text")
-    leaks = decontaminate.find_leaks(docs.withColumn("doc_id", key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), key == F.col("_key"), "left_anti").select(COLUMNS)
+    leaks = decontaminate.find_leaks(docs.withColumn("doc_id", row_key()), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), row_key() == F.col("_key"), "left_anti").select(COLUMNS)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.drop_all()
     return mixing.mix_counts(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("ngram_jaccard", dedup_documents), ("decontaminate", drop_leaks), ("mixing", mix)]
 
-#: Toxicity is a learned score, which SQL can't express; tests hold run() against the brute-force stages.
+#: Toxicity is a learned score, which SQL can't express; tests hold run() against brute-force stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = Scratch(spark, "pipeline")
-    Scratch.made.pop()  # the stages clear scratch tables, but not these
-    for _, stage in STAGES:
-        docs = kept.save(stage(spark, docs, sf_dir))
+    """All stages over ``documents``; each result is written to the shared folder and read again, and goes once the next one is written."""
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for _, f in STAGES:
+        after = kept.save(f(spark, docs, sf_dir))
+        kept.drop(docs)
+        docs = after
+    drop(_LEFT.pop(sf_dir, []))
     return docs

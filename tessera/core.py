@@ -9,6 +9,8 @@ execution may split a skewed join over it.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import os
 import shutil
 import sys
@@ -53,16 +55,41 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-class Scratch:
-    """Written tables of one operator run, in a folder of their own under the shared one."""
+_SCOPE: contextvars.ContextVar[list | None] = contextvars.ContextVar("scope", default=None)
+
 
+@contextlib.contextmanager
+def scratch_scope():
+    """Owns the scratch tables of the operators called inside it: write or collect their results inside it too.
+
+    Yields the list of ``(session, folder)``; the folders are deleted at the end, unless the caller takes them off the list. Without a scope
+    they stay until their folder is cleared: a result that was not read yet still needs them.
+    """
     made: list[tuple[SparkSession, str]] = []
+    token = _SCOPE.set(made)
+    try:
+        yield made
+    finally:
+        _SCOPE.reset(token)
+        drop(made)
+
+
+def drop(made: list[tuple[SparkSession, str]]) -> None:
+    """Delete folders that a scope has listed, and empty the list."""
+    while made:
+        delete(*made.pop())
+
+
+class Scratch:
+    """Written tables of one operator run, in a folder of their own under the shared one."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        Scratch.made.append((spark, self.root))
+        owner = _SCOPE.get()
+        if owner is not None:
+            owner.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back; the schema is kept, so no file is opened to infer it."""
@@ -80,12 +107,6 @@ class Scratch:
             if path:
                 delete(self.spark, path)
 
-    @classmethod
-    def drop_all(cls) -> None:
-        """Delete the folders of all runs so far: for a caller that has written every result it needs."""
-        while cls.made:
-            delete(*cls.made.pop())
-
 
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
