@@ -10,8 +10,9 @@ Control strings inside texts cannot occur: a backslash is doubled and ``<|`` bec
 newline in a role gets a backslash before it. Dropping the first of each backslash pair undoes this.
 
 Defined results: null role or text is empty; turns are ordered by turn (null first), then role, then
-text; rows with a null conversation id form one conversation; a conversation is one output cell, so
-its turns are gathered, as any formatter must; repeated rows stay repeated turns.
+text; a row with a null conversation id is a conversation of its own; a conversation is one output cell, so
+its turns are gathered, as any formatter must; repeated rows stay repeated turns; very long texts are turns like others; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,21 +38,23 @@ def unescape(text: Column) -> Column:
 
 
 def expand(conversations: DataFrame) -> DataFrame:
-    """``conv_id, example, n_context, formatted, loss_start, loss_chars`` (offsets in code points, from 0).
+    """``conv_id, part, example, n_context, formatted, loss_start, loss_chars`` (offsets in code points, from 0).
 
-    ``example`` is the 1-based turn that the example ends with.
+    ``example`` is the 1-based turn that the example ends with; ``part`` tells conversations without id apart, else it is 0.
     """
-    rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    part = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("part")
+    rows = conversations.select("conv_id", part, F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    whole = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     pieces = F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END + "\n")))
     n = F.size("turns")
     ends = F.filter(F.sequence(F.lit(1), n), lambda k: (k == n) | (F.get("turns", k - 1)["role"] == "assistant"))
-    ex = whole.select("conv_id", "turns", pieces.alias("pieces"), F.explode(ends).alias("example"))
+    ex = whole.select("conv_id", "part", "turns", pieces.alias("pieces"), F.explode(ends).alias("example"))
     last = F.get("turns", F.col("example") - 1)
     context = F.array_join(F.slice("pieces", F.lit(1), F.col("example") - 1), "")
-    ex = ex.select("conv_id", "example", context.alias("context"), F.get("pieces", F.col("example") - 1).alias("piece"), (last["role"] == "assistant").alias("trains"), escape(last["text"]).alias("body"))
+    ex = ex.select("conv_id", "part", "example", context.alias("context"), F.get("pieces", F.col("example") - 1).alias("piece"), (last["role"] == "assistant").alias("trains"), escape(last["text"]).alias("body"))
     return ex.select(
         "conv_id",
+        "part",
         "example",
         (F.col("example") - 1).alias("n_context"),
         F.concat("context", "piece").alias("formatted"),
@@ -75,7 +78,7 @@ def read_turns(formatted: Column) -> Column:
 def read_back(examples: DataFrame) -> DataFrame:
     """Per conversation: its turns and the texts under the loss masks, both parsed from the formatted strings."""
     masked = unescape(F.substr("formatted", F.col("loss_start") + 1, F.col("loss_chars")))
-    g = examples.select("conv_id", "example", "formatted", masked.alias("loss")).groupBy("conv_id")
+    g = examples.select("conv_id", "part", "example", "formatted", masked.alias("loss")).groupBy("conv_id", "part")
     g = g.agg(F.max_by("formatted", "example").alias("longest"), F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("parts"), F.sum(F.length("formatted")).alias("formatted_chars"))
     return g.select("conv_id", read_turns(F.col("longest")).alias("turns"), F.array_join(F.transform("parts", lambda p: p["loss"]), "").alias("loss"), "formatted_chars")
 
@@ -92,15 +95,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) x(i)),
-o AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS part, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) x(i)),
+o AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id, part) AS n,
   12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS piece
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-u AS (SELECT *, sum(piece) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM o)
+  FROM c WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text)),
+u AS (SELECT *, sum(piece) OVER (PARTITION BY conv_id, part ORDER BY k) AS upto FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
   CAST(sum(CASE WHEN role = 'assistant' OR k = n THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
-FROM u GROUP BY conv_id
+FROM u GROUP BY conv_id, part
 """

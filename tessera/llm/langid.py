@@ -7,7 +7,8 @@ language, and the largest proportion of the chosen set is the prediction.
 
 Defined results: null text, or text without a letter: ``und``, score 0; null ids are predicted but
 never learned from; without training rows all is ``und``; ties go to the first language in code-point order.
-The model is languages x 2**14 numbers; more than MAX_LANGS languages raise.
+The model is languages x 2**14 numbers, gathered as one block a language; tasks work on as many texts at once as CELLS numbers hold.
+Very long texts are predicted whole; repeated rows alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from tessera.llm import by_value
 from tessera.llm import kernels as K
 
 BITS = 14
-MAX_LANGS = 256
+#: Numbers (languages x distinct trigrams) that a task holds at once.
+CELLS = 1 << 22
 ALPHA = 0.5
 PENALTY = 3.0
 ROUNDS = 12
@@ -66,14 +68,21 @@ def _count(bits: int):
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", bits: int = BITS):
     """``(languages, log probabilities)`` from all rows with a text and a language."""
     counts = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang).mapInArrow(_count(bits), "lang string, feature long, n long")
-    got = counts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the model holds {MAX_LANGS}")
-    table = np.full((len(langs), 1 << bits), ALPHA)
-    place = {x: k for k, x in enumerate(langs)}
-    np.add.at(table, (got["lang"].map(place).to_numpy(dtype=np.int64), got["feature"].to_numpy(dtype=np.int64)), got["n"].to_numpy(dtype=float))
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+    packed = counts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(_pack(bits), "lang string, n binary")
+    got = sorted((r["lang"], r["n"]) for r in packed.collect())
+    table = np.array([np.frombuffer(n, np.float64) for _, n in got]).reshape(len(got), 1 << bits) + ALPHA
+    return [lang for lang, _ in got], np.log(table / table.sum(axis=1, keepdims=True))
+
+
+def _pack(bits: int):
+    """All counts of one language in one cell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = np.zeros(1 << bits)
+        n[table.column("feature").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
+
+    return run
 
 
 def mixtures(f: np.ndarray, first: np.ndarray, logp: np.ndarray):
@@ -82,19 +91,13 @@ def mixtures(f: np.ndarray, first: np.ndarray, logp: np.ndarray):
     n = len(first) - 1
     total = np.diff(first)
     out = np.zeros((n, n_lang))
-    keep = [d for d in range(n) if total[d]]
-    feats, counts, sizes = [], [], []
-    for d in keep:
-        row = np.bincount(f[first[d] : first[d + 1]], minlength=n_feat)
-        at = np.flatnonzero(row)
-        feats.append(at)
-        counts.append(row[at])
-        sizes.append(len(at))
-    if not keep:
+    keep = np.flatnonzero(total)
+    if not len(keep):
         return out
-    keep = np.array(keep)
-    at, c = np.concatenate(feats), np.concatenate(counts).astype(float)
-    start = np.concatenate([[0], np.cumsum(sizes)])
+    # distinct trigrams of each text and their counts
+    both, c = np.unique(np.repeat(np.arange(n), total) * n_feat + f, return_counts=True)
+    at, c = both % n_feat, c.astype(float)
+    start = np.append(np.searchsorted(both // n_feat, keep), len(both))
     lp = logp[:, at]
     single = np.add.reduceat(lp * c, start[:-1], axis=1).T
     best = single.argmax(axis=1)
@@ -142,7 +145,7 @@ def _predict(langs: list, logp: np.ndarray):
         for b in batches:
             buf, off = K.buffer(b.column(1))
             letters = np.asarray(b.column(2).fill_null(False))
-            for i, j in K.chunks(off):
+            for i, j in K.chunks(off, max(1, min(K.CHUNK_BYTES, CELLS // max(len(langs), 1)))):
                 if langs:
                     f, first = trigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i], int(logp.shape[1]).bit_length() - 1)
                     pi = mixtures(f, first, logp)

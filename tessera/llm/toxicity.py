@@ -2,8 +2,8 @@
 
 Log-odds of words (toxic against other labelled texts) have Dirichlet priors in three levels: a word's prior is
 the estimate of its first six bytes, theirs that of the first four, theirs the class shares. So an unseen
-form of a known stem still scores. Each token scores its log-odds less DRIFT, so that ordinary text drifts
-down; one linear scan (Ruzzo & Tompa 1999) finds all maximal segments. Under the extreme-value law a clean text
+form of a known stem still scores. Each token scores its log-odds less a drift, so that ordinary text drifts
+down (of DRIFTS the one with the best likelihood on the calibrating texts); one linear scan (Ruzzo & Tompa 1999) finds all maximal segments. Under the extreme-value law a clean text
 of n tokens has about ``K n exp(-lambda S)`` segments of score S by chance; K and lambda are fitted on
 clean labelled texts that the log-odds did not see. The evidence of a text without a segment is 0, that of another is the sum of ``lambda S - log(K n)`` over its significant segments (that of its best one, if none is), and a logistic curve fitted on the same texts turns it into a score.
 
@@ -11,7 +11,8 @@ The labelled sample is at most MAX_LABELED rows in expectation (chosen by hash o
 can be broadcast; scoring covers every text whole.
 
 Defined results: null or empty text has no tokens and takes the score of the least evidence; null ids are scored and never learned
-from; several labels of one id: the largest; no labelled rows, or one class only: score 0 for all.
+from; several labels of one id: the largest; no labelled rows, or one class only: score 0 for all; very long texts are scored whole, in
+linear time; repeated rows score alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from tessera.llm import by_value
 from tessera.llm import kernels as K
 
 MAX_LABELED = 40_000
-#: Prefix bytes (0: the whole word) and table bits of each level; prior strength; drift per token.
+#: Prefix bytes (0: the whole word) and table bits of each level; prior strength; drifts per token to choose from.
 LEVELS = ((4, 18), (6, 18), (0, 20))
 PRIOR = (20.0, 8.0, 4.0)
-DRIFT = 2.0
+DRIFTS = (0.5, 1.0, 2.0, 3.0)
 SIGNIFICANT = 0.05
 
 
@@ -107,13 +108,16 @@ def segments(score: np.ndarray):
     return [(b, e, r - x) for b, e, x, r in kept]
 
 
-def text_segments(model, buf, off):
-    """Per text: number of tokens and its segments."""
+def text_segments(model, buf, off, drifts):
+    """Per text: number of tokens, and for each drift its segments."""
     feats, starts, ends, first = tokens(buf, off)
-    s = log_odds(model, feats) - DRIFT if len(starts) else np.zeros(0)
-    some = np.zeros(len(s) + 1, np.int64)
-    np.cumsum(s > 0, out=some[1:])
-    found = [segments(s[first[d] : first[d + 1]]) if some[first[d + 1]] > some[first[d]] else [] for d in range(len(off) - 1)]
+    odds = log_odds(model, feats) if len(starts) else np.zeros(0)
+    found = []
+    for drift in drifts:
+        s = odds - drift
+        some = np.zeros(len(s) + 1, np.int64)
+        np.cumsum(s > 0, out=some[1:])
+        found.append([segments(s[first[d] : first[d + 1]]) if some[first[d + 1]] > some[first[d]] else [] for d in range(len(off) - 1)])
     return np.diff(first), found
 
 
@@ -127,12 +131,15 @@ def evidence(law, n: int, found) -> float:
 
 
 def _measure(model):
+    """Scores of all segments of labelled texts, for each of DRIFTS."""
+
     def run(batches):
         for b in batches:
             buf, off = K.buffer(b.column(0))
             for i, j in K.chunks(off):
-                n, found = text_segments(model, buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([[s for _, _, s in x] for x in found], pa.list_(pa.float64()))], ["y", "n", "scores"])
+                n, found = text_segments(model, buf[off[i] : off[j]], off[i : j + 1] - off[i], DRIFTS)
+                scores = [[[s for _, _, s in x] for x in each] for each in zip(*found)]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.list_(pa.float64())))], ["y", "n", "scores"])
 
     return run
 
@@ -151,7 +158,7 @@ def gumbel(n: np.ndarray, most: np.ndarray):
 
 
 def logistic(z: np.ndarray, y: np.ndarray):
-    """Slope and offset by ridge Newton steps with Platt's smoothed targets.
+    """Slope, offset and loss by ridge Newton steps with Platt's smoothed targets.
 
     Four added texts of even odds at the significance level place the curve where the sample leaves a gap.
     """
@@ -176,7 +183,7 @@ def logistic(z: np.ndarray, y: np.ndarray):
         w = w - size * step
         if np.abs(size * step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return float(w[0] / scale), float(w[1]), loss(w)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold=None, max_labeled: int = MAX_LABELED):
@@ -200,18 +207,24 @@ def train(docs: DataFrame, labels: DataFrame, fold=None, max_labeled: int = MAX_
     if not 0 < n1 < n:
         return None
     model = {"base": n1 / n, "tables": tables}
-    held = seen.where("fold = 4").select("text", "y").mapInArrow(_measure(model), "y long, n long, scores array<double>").toPandas()
+    kind = "y long, n long, scores array<array<double>>"
+    held = seen.where("fold = 4").select("text", "y").mapInArrow(_measure(model), kind).toPandas()
     if not 0 < held["y"].sum() < len(held):
-        held = seen.select("text", "y").mapInArrow(_measure(model), "y long, n long, scores array<double>").toPandas()
+        held = seen.select("text", "y").mapInArrow(_measure(model), kind).toPandas()
     y, size = held["y"].to_numpy(dtype=float), np.maximum(held["n"].to_numpy(dtype=float), 1)
-    most = np.array([max(x, default=0.0) for x in held["scores"]])
     if not 0 < y.sum() < len(y):
         return None
+    return model | {"law": min((calibrate(drift, y, size, [x[k] for x in held["scores"]]) for k, drift in enumerate(DRIFTS)), key=lambda x: x["loss"])}
+
+
+def calibrate(drift: float, y: np.ndarray, size: np.ndarray, scores) -> dict:
+    """Extreme-value law and logistic curve of labelled texts that the log-odds did not see; scores: of all segments of each text."""
+    most = np.array([max(x, default=0.0) for x in scores])
     lam, k = gumbel(size[y == 0], most[y == 0])
-    law = {"lam": lam, "k": k}
-    z = np.array([evidence(law, n, [(0, 0, s) for s in x]) for n, x in zip(size, held["scores"])])
-    law["a"], law["b"] = logistic(z, y)
-    return model | {"law": law}
+    law = {"drift": drift, "lam": lam, "k": k}
+    z = np.array([evidence(law, n, [(0, 0, s) for s in x]) for n, x in zip(size, scores)])
+    law["a"], law["b"], law["loss"] = logistic(z, y)
+    return law
 
 
 def _score(model, names):
@@ -223,7 +236,7 @@ def _score(model, names):
                     score, parts = np.zeros(j - i), [[]] * (j - i)
                 else:
                     law = model["law"]
-                    n, found = text_segments(model, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                    n, (found,) = text_segments(model, buf[off[i] : off[j]], off[i : j + 1] - off[i], [law["drift"]])
                     z = np.array([evidence(law, int(a), x) for a, x in zip(n, found)])
                     score = 1 / (1 + np.exp(-np.clip(law["a"] * z + law["b"], -500, 500)))
                     parts = [[{"start": s, "end": e, "score": v, "expected": float(law["k"] * a * np.exp(-law["lam"] * v))} for s, e, v in x if law["k"] * a * np.exp(-law["lam"] * v) < SIGNIFICANT] for a, x in zip(n.tolist(), found)]
