@@ -22,14 +22,16 @@ def type_key(path: Column) -> Column:
 
 
 def grid_position(name: Column, strict: bool = False) -> tuple[Column, Column]:
-    """Row and column from ``r#_c#``, else ``col#...row#``, else ``row#...col#``; null (strict: an error) if none is there."""
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(name, "(?is)" + pattern, group).try_cast("int")
-
-    forms = ((r"r(\d+)_c(\d+)", 1, 2), (r"col(\d+).*row(\d+)", 2, 1), (r"row(\d+).*col(\d+)", 1, 2))
-    r = F.coalesce(*[part(p, i) for p, i, _ in forms])
-    c = F.coalesce(*[part(p, j) for p, _, j in forms])
+    """Row and column from ``r#_c#``, else ``col#...row#``, else ``row#...col#``; both from the first form that is there.
+
+    Null (strict: an error) if none is, or if its numbers are no ints.
+    """
+    forms = [("(?is)" + p, i, j) for p, i, j in ((r"r(\d+)_c(\d+)", 1, 2), (r"col(\d+).*row(\d+)", 2, 1), (r"row(\d+).*col(\d+)", 1, 2))]
+    r = c = None
+    for pattern, i, j in forms:
+        here = F.rlike(name, F.lit(pattern))
+        x, y = (F.regexp_extract(name, pattern, g).try_cast("int") for g in (i, j))
+        r, c = (F.when(here, x), F.when(here, y)) if r is None else (r.when(here, x), c.when(here, y))
     if strict:
         bad = F.raise_error(F.concat(F.lit("no row and column in "), name)).cast("int")
         r, c = F.coalesce(r, bad), F.coalesce(c, bad)
@@ -45,23 +47,24 @@ def real_levels(df: DataFrame, level: str = "level") -> DataFrame:
     return df.where(F.col(level).isNotNull() & (F.col(level).cast("string") != CONTROL_LEVEL))
 
 
-def testable(feature: Column) -> Column:
-    """Features that are tested: not in pixel units, and no normalised intensity."""
-    low = F.lower(feature)
-    return ~F.contains(low, F.lit("_px")) & ~F.contains(low, F.lit("density_per_px")) & ~(F.contains(low, F.lit("intensity")) & ~F.contains(low, F.lit("intensity_raw")))
-
-
 def legacy(feature: Column) -> Column:
+    """Features in pixel units, of outputs made before lengths were physical."""
     return F.contains(F.lower(feature), F.lit("_px"))
 
 
+def testable(feature: Column) -> Column:
+    """Features that are tested: not in pixel units, and no intensity but raw ones."""
+    low = F.lower(feature)
+    return ~legacy(feature) & (~F.contains(low, F.lit("intensity")) | F.contains(low, F.lit("intensity_raw")))
+
+
 def sanitize(s: Column) -> Column:
     return F.regexp_replace(s, r"[^A-Za-z0-9_.-]", "_")
 
 
 def length_label(um: float) -> str:
     """Three significant digits, with p for the point and m for minus: 0.2738 is ``0p274``."""
-    return format(um, ".3g").translate(str.maketrans(".-", "pm"))
+    return format(um, ".3g").replace(".", "p").replace("-", "m")
 
 
 def scale_label(um: float) -> str:

@@ -156,12 +156,11 @@ def a48(spark, d):
     return R.log_histogram(X.raster(spark, d), IM, "v")
 
 
-@query("R11_P24_downsample_crop", f"{RASTER} SELECT image, CAST(row // 2 AS BIGINT) AS row, CAST(col // 2 AS BIGINT) AS col, {r6('avg(v)', 'v')}, CAST(row // 2 IN (1, 2) AND col // 2 IN (1, 2) AS BOOLEAN) AS inside, {r6('2 / sqrt(4e0)', 'radius')} FROM raster GROUP BY ALL")
+@query("R11_downsample_crop", f"{RASTER} SELECT image, CAST(row // 2 AS BIGINT) AS row, CAST(col // 2 AS BIGINT) AS col, {r6('avg(v)', 'v')}, CAST(row // 2 IN (1, 2) AND col // 2 IN (1, 2) AS BOOLEAN) AS inside FROM raster GROUP BY ALL")
 def r11(spark, d):
     small = R.downsample(X.raster(spark, d), IM, 2, 8, 8, ["v"])
     window = R.crop(small, 4, 4, 2).select("image", "row", "col", F.lit(True).alias("in_"))
-    # a radius of 2 pixels at full size, on data reduced by 2 on both sides
-    return small.join(window, ["image", "row", "col"], "left").select("image", "row", "col", "v", F.coalesce("in_", F.lit(False)).alias("inside"), (F.lit(2.0) / F.sqrt(F.lit(4.0))).alias("radius"))
+    return small.join(window, ["image", "row", "col"], "left").select("image", "row", "col", "v", F.coalesce("in_", F.lit(False)).alias("inside"))
 
 
 QUANT = f"{MASKS}, {norm_sql('masks', 'v', 'm2', True)}, q AS (SELECT image, row, col, CAST(least(greatest(floor(norm * 31), 0), 31) AS INT) AS lv FROM nrm WHERE m2)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.core import load
+from tessera.core import Scratch, load
 from tessera.functions import keys as K
 from tessera.functions import stats as S
 from tessera.operators import difftest as T
@@ -170,13 +170,24 @@ def p05(spark, d):
     return K.real_levels(K.not_control(X.meta(spark, d)))
 
 
-NAMED = "unnest(['area_px','density_per_px','intensity_mean','intensity_raw_mean','tile_g4_intensity_mean_sd','solidity']) AS feature"
+SUFFIX = ("area_px", "density_per_px", "intensity_mean", "intensity_raw_mean", "tile_g4_intensity_mean_sd", "solidity")
+NAMED = f"named AS (SELECT p_partkey, lower(replace(p_brand, '#', '_')) || '_' || [{', '.join(repr(x) for x in SUFFIX)}][p_partkey % 6 + 1] AS feature FROM part)"
 
 
-@query("P07_P08_features", f"SELECT r_regionkey, feature, NOT (contains(lower(feature), '_px') OR contains(lower(feature), 'density_per_px')) AND NOT (contains(lower(feature), 'intensity') AND NOT contains(lower(feature), 'intensity_raw')) AS tested, contains(lower(feature), '_px') AS legacy FROM (SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, {NAMED} FROM region)")
+@query("P07_P08_features", f"WITH {NAMED} SELECT p_partkey, feature, feature NOT LIKE '%\\_px%' ESCAPE '\\' AND (feature LIKE '%intensity\\_raw%' ESCAPE '\\' OR feature NOT LIKE '%intensity%') AS tested, feature LIKE '%\\_px%' ESCAPE '\\' AS legacy FROM named")
 def p07(spark, d):
-    f = load(spark, d, "region").select("r_regionkey", F.explode(F.array(*map(F.lit, ("area_px", "density_per_px", "intensity_mean", "intensity_raw_mean", "tile_g4_intensity_mean_sd", "solidity")))).alias("feature"))
-    return f.select("r_regionkey", "feature", K.testable(F.col("feature")).alias("tested"), K.legacy(F.col("feature")).alias("legacy"))
+    name = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("_"), F.element_at(F.array(*map(F.lit, SUFFIX)), (F.col("p_partkey") % 6 + 1).cast("int")))
+    f = load(spark, d, "part").select("p_partkey", name.alias("feature"))
+    return f.select("p_partkey", "feature", K.testable(F.col("feature")).alias("tested"), K.legacy(F.col("feature")).alias("legacy"))
+
+
+@query("P08_legacy_outputs", "SELECT * FROM (VALUES ('summary', 'mean_area_px'), ('sites', 'perimeter_px')) t(part, \"column\")")
+def p08(spark, d):
+    """The check reads column names: of a summary, and of site files written from the line items."""
+    root = Scratch(spark, "legacy").root
+    s = X.sites(spark, d)
+    IO.write_csv(s.groupBy("channel").agg(F.sum("l_tax").alias("perimeter_px"), F.sum("l_quantity").alias("area_um2")), f"{root}/212/sites")
+    return IO.legacy_outputs(s.groupBy("image").agg(F.avg("l_quantity").alias("mean_area_px"), F.avg("l_tax").alias("solidity")), f"{root}/212/sites")
 
 
 @query("P09_sanitize", "SELECT p_partkey, regexp_replace(p_name || ' (' || p_type || ')', '[^A-Za-z0-9_.-]', '_', 'g') AS s FROM part")
@@ -184,10 +195,13 @@ def p09(spark, d):
     return load(spark, d, "part").select("p_partkey", K.sanitize(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("s"))
 
 
-@query("P10_scale_labels", "SELECT CAST(p_size AS BIGINT) AS p_size, count(*) AS n, CASE p_size % 4 WHEN 0 THEN 's0p274um' WHEN 1 THEN 's0p548um' WHEN 2 THEN 's1p1um' ELSE 's2p19um' END AS label FROM part GROUP BY p_size")
+@query("P10_scale_labels", "SELECT p_partkey, 's' || replace(replace(format('{:.3g}', p_size * 0.2738), '.', 'p'), '-', 'm') || 'um' AS label FROM part")
 def p10(spark, d):
-    labels = [K.scale_label(0.2738 * k) for k in (1, 2, 4, 8)]
-    return load(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n")).withColumn("label", F.element_at(F.array(*map(F.lit, labels)), (F.col("p_size") % 4 + 1).cast("int")))
+    """Labels are made once per distinct length, by the function that names feature columns."""
+    part = load(spark, d, "part").select("p_partkey", "p_size")
+    sizes = [r["p_size"] for r in part.select("p_size").distinct().collect()]  # the scales of a run are few
+    labels = spark.createDataFrame([(k, K.scale_label(k * 0.2738)) for k in sizes] or [(None, None)], "p_size int, label string")
+    return part.join(F.broadcast(labels), "p_size").select("p_partkey", "label")
 
 
 DUP = "(SELECT n_regionkey + 1 AS r, n_nationkey % 5 + 1 AS c, n_name AS level, CAST(n_nationkey AS BIGINT) AS name FROM nation)"
@@ -233,12 +247,112 @@ def s05(spark, d):
     return IO.clean_metadata(m.join(n, "level").select(F.when(F.col("bad"), "x").otherwise(F.col("r").cast("string")).alias("r"), F.col("c").cast("string").alias("c"), "level"))
 
 
-@query("S06_parameter_overlay", "WITH d AS (SELECT label AS type, 'otsu' AS method, 1e0 AS scale, CAST(NULL AS DOUBLE) AS absolute, label % 3 = 0 AS invert FROM (SELECT DISTINCT label FROM embeddings)), o AS (SELECT type, CASE WHEN type % 2 = 0 THEN 'yen' END AS method, CASE WHEN type % 2 = 0 THEN 0.1 * type END AS absolute FROM d WHERE type < 8) SELECT CAST(d.type AS BIGINT) AS type, coalesce(o.method, d.method) AS method, scale, round(coalesce(o.absolute, d.absolute), 6) + 0e0 AS absolute, invert FROM d LEFT JOIN o USING (type)")
+@query("S01_image_list", "SELECT DISTINCT regexp_extract(name, '_(\\d+)', 1) AS folder, 'png' AS kind, 1 AS n FROM (" + f"{NAMES} SELECT name FROM names" + ")")
+def s01(spark, d):
+    """Files of each type in a folder of its own: images with a capital extension, and notes that are no images."""
+    root = Scratch(spark, "files").root
+    n = X.names(spark, d).withColumn("type", K.type_key(F.col("name"))).repartition("type")
+    n.write.option("extension", "PNG").partitionBy("type").csv(f"{root}/a/images")
+    n.write.option("extension", "txt").partitionBy("type").csv(f"{root}/a/notes")
+    f = IO.list_images(spark, root)
+    return f.groupBy(F.regexp_extract("path", "type=([^/]*)/", 1).alias("folder"), F.lower(F.substring_index("name", ".", -1)).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("S03_site_scan", f"{SITES} SELECT l_linestatus AS image, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS channel, count(*) AS n, {r6('sum(l_tax)', 'tax')} FROM lineitem GROUP BY ALL")
+def s03(spark, d):
+    """Site files of an image each, in channel folders or (channel N) directly below the sites."""
+    root = Scratch(spark, "sites").root
+    s = load(spark, d, "lineitem").select(F.col("l_linestatus").alias("image"), "l_tax", "l_returnflag").persist()
+    for r in s.select("image", "l_returnflag").distinct().collect():
+        one = s.where((F.col("image") == r["image"]) & (F.col("l_returnflag") == r["l_returnflag"])).select("image", "l_tax")
+        one.coalesce(1).write.mode("append").option("header", True).csv(f"{root}/212/sites" + (f"/{r['l_returnflag']}" if r["l_returnflag"] != "N" else ""))
+    s.unpersist()
+    back = IO.read_sites(spark, root, "212", "image string, l_tax double")
+    return back.groupBy("image", "channel").agg(F.count("*").alias("n"), F.sum("l_tax").alias("tax"))
+
+
+SUMMARY = f"{NAMES}, s AS (SELECT name || '_' || o_orderkey AS image, regexp_extract(name, '_(\\d+)', 1) AS type, o_totalprice AS price, CAST(regexp_extract(name, 'row(\\d+)', 1) AS BIGINT) AS r, CAST(regexp_extract(name, 'col(\\d+)', 1) AS BIGINT) AS c FROM names JOIN orders USING (o_orderkey))"
+
+
+def summary(spark, d):
+    n = X.names(spark, d).join(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return n.select(F.concat_ws("_", "name", "o_orderkey").alias("image"), K.type_key(F.col("name")).alias("type"), F.col("o_totalprice").alias("price"))
+
+
+@query("S04_K02_summaries", f"{SUMMARY} SELECT source, image, type, {r6('price', 'price')}, r, c FROM s, (SELECT unnest(['combined', 'by_type']) AS source) WHERE NOT (r = 1 AND c = 1)")
+def s04_k02(spark, d):
+    """The summary sinks read back: combined, and where that is missing the union of those by type."""
+    root = Scratch(spark, "summaries").root
+    s = summary(spark, d)
+    IO.write_summaries(s, f"{root}/a")
+    IO.write_table(s, f"{root}/b/summary/by_type", ["type"], ["image"])
+    parts = [IO.load_summary(spark, f"{root}/{k}").select(F.lit(n).alias("source"), "image", F.col("type").cast("string").alias("type"), "price", "r", "c") for k, n in (("a", "combined"), ("b", "by_type"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("K01_site_sink", f"{SITES}, n AS (SELECT o_orderkey, regexp_extract(name, '_(\\d+)', 1) AS type FROM ({NAMES} SELECT * FROM names)) SELECT type, channel, image, count(*) AS n, {r6('sum(l_tax)', 'tax')} FROM sites JOIN n ON image = o_orderkey GROUP BY ALL")
+def k01(spark, d):
+    path = Scratch(spark, "sink").root
+    n = X.names(spark, d).select(F.col("o_orderkey").alias("image"), K.type_key(F.col("name")).alias("type"))
+    IO.write_table(X.sites(spark, d).join(n, "image"), path, ["type", "channel"], ["image"])
+    back = spark.read.parquet(path).withColumn("type", F.col("type").cast("string"))
+    return back.groupBy("type", "channel", "image").agg(F.count("*").alias("n"), F.sum("l_tax").alias("tax"))
+
+
+@query("K05_csv_sink", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part")
+def k05(spark, d):
+    path = Scratch(spark, "csv").root
+    IO.write_csv(load(spark, d, "part").select("p_partkey", "p_name", "p_size"), path)
+    return spark.read.schema("p_partkey long, p_name string, p_size int").option("header", True).csv(path)
+
+
+SAVED = """SELECT type, CASE WHEN type % 4 = 1 THEN 'hsv' END AS engine,
+  map('dab', named_struct('threshold', named_struct('method', CASE WHEN type % 2 = 0 THEN 'yen' END, 'absolute_raw', CASE WHEN type % 3 = 0 THEN type * 0.01D END), 'morph', named_struct('open_radius', CASE WHEN type % 2 = 1 THEN int(type) END)),
+      'other', named_struct('threshold', named_struct('method', 'li', 'absolute_raw', 1D), 'morph', named_struct('open_radius', 9))) AS channels,
+  CASE WHEN type = 4 THEN false END AS gating_enabled,
+  CASE type % 3 WHEN 1 THEN array(named_struct('target', 'dab', 'by', 'eosin', 'mode', 'intersect', 'dilate_px', '3', 'min_overlap_frac', '0.5'))
+    WHEN 2 THEN array(named_struct('target', 'dab', 'by', 'eosin', 'mode', 'intersect', 'dilate_px', 'many', 'min_overlap_frac', '0.5'), named_struct('target', string(null), 'by', string(null), 'mode', string(null), 'dilate_px', string(null), 'min_overlap_frac', string(null))) END AS gating_rules
+FROM {t} WHERE type < 8"""
+BUILT_IN = "c AS (SELECT * FROM (VALUES ('hematoxylin', pow(10, -1.75), 3, 70, true, 0.025), ('eosin', NULL, 7, 150, false, 0.08), ('dab', pow(10, -1.5), 7, 150, false, 0.08)) v(channel, raw, close_radius, small, border, share)), t AS (SELECT DISTINCT label AS type FROM embeddings)"
+MINE = "channel = 'dab' AND type < 8 AND type"
+RECORD = f"""WITH {BUILT_IN} SELECT CAST(type AS BIGINT) AS type, channel, CASE WHEN type < 8 AND type % 4 = 1 THEN 'hsv' ELSE 'hed' END AS engine, CASE WHEN {MINE} % 2 = 0 THEN 'yen' ELSE 'otsu' END AS method, {r6(f'CASE WHEN {MINE} % 3 = 0 THEN type * 0.01 ELSE raw END', 'absolute_raw')},
+CAST(CASE WHEN {MINE} % 2 = 1 THEN type ELSE 2 END AS BIGINT) AS open_radius, CAST(close_radius AS BIGINT) AS close_radius, CAST(small AS BIGINT) AS remove_small, border AS clear_border, {r6('share', 'large_area_frac')}, type < 8 AND type <> 4 AND type % 3 <> 0 AS gating_enabled,
+CASE WHEN type >= 8 THEN 'dab<hematoxylin:touching:15:0.0' WHEN type % 3 = 0 THEN '' WHEN type % 3 = 1 THEN 'dab<eosin:intersect:3:0.5' ELSE 'dab<hematoxylin:touching:2:0.0' END AS rules FROM t, c"""
+
+
+def types(spark, d):
+    return load(spark, d, "embeddings").select(F.col("label").alias("type")).distinct()
+
+
+def record(spark, d):
+    return IO.load_parameters(types(spark, d), spark.sql(SAVED, t=types(spark, d)))
+
+
+def flat_record(p):
+    c = p.select("type", "engine", "gating_enabled", F.array_join(F.transform("gating_rules", lambda r: F.concat_ws(":", F.concat(r["target"], F.lit("<"), r["by"]), r["mode"], r["dilate_px"].cast("string"), r["min_overlap_frac"].cast("string"))), ",").alias("rules"), F.explode("channels").alias("channel", "c"))
+    m = "c.morph"
+    return c.select("type", "channel", "engine", "c.threshold.method", "c.threshold.absolute_raw", f"{m}.open_radius", f"{m}.close_radius", f"{m}.remove_small", f"{m}.clear_border", f"{m}.large_area_frac", "gating_enabled", "rules")
+
+
+@query("S06_parameter_overlay", RECORD)
 def s06(spark, d):
-    t = load(spark, d, "embeddings").select(F.col("label").alias("type")).distinct()
-    base = t.select("type", F.lit("otsu").alias("method"), F.lit(1.0).alias("scale"), F.lit(None).cast("double").alias("absolute"), (F.col("type") % 3 == 0).alias("invert"))
-    over = t.where("type < 8").select("type", F.when(F.col("type") % 2 == 0, "yen").alias("method"), F.when(F.col("type") % 2 == 0, F.col("type") * 0.1).alias("absolute"))
-    return IO.overlay_parameters(base, over)
+    return flat_record(record(spark, d))
+
+
+@query("S07_saved_parameters", RECORD)
+def s07(spark, d):
+    path = Scratch(spark, "params").root
+    p = record(spark, d)
+    IO.save_parameters(p, path)
+    return flat_record(spark.read.schema(p.schema).json(path))
+
+
+@query("P24_preview_parameters", f"WITH {BUILT_IN}, s AS (SELECT *, (1 + type % 4)::DOUBLE AS h, (1 + type % 3)::DOUBLE AS w FROM t) SELECT CAST(type AS BIGINT) AS type, channel, CAST(round_even(2 / sqrt(h * w), 0) AS BIGINT) AS open_radius, CAST(round_even(close_radius / sqrt(h * w), 0) AS BIGINT) AS close_radius, CAST(round_even(small / (h * w), 0) AS BIGINT) AS remove_small FROM s, c")
+def p24(spark, d):
+    t = types(spark, d)
+    p = IO.default_parameters(t).join(t.select("type", (1 + F.col("type") % 4).cast("double").alias("height_scale"), (1 + F.col("type") % 3).cast("double").alias("width_scale")), "type")
+    c = IO.preview_parameters(p).select("type", F.explode("channels").alias("channel", "c"))
+    return c.select("type", "channel", "c.morph.open_radius", "c.morph.close_radius", "c.morph.remove_small")
 
 
 @query("TA_TD_welch_effect", f"""{DIFF}, s AS (SELECT channel, phenotype, feature, level, count(value) AS n, avg(value) AS m, var_samp(value) AS v, min(image) AS fi FROM diff WHERE value IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
@@ -301,6 +415,15 @@ def o01(spark, d):
     return q.orderBy("grp", F.col("q_value").asc_nulls_last(), F.col("p").asc_nulls_last(), "id")
 
 
+@query("K03_result_sink", f"{BH} SELECT 'p_' || (id % 3) AS phenotype, grp AS channel, CAST(id AS VARCHAR) AS feature, {r6('p', 'p_value')}, {r6('CASE WHEN p IS NOT NULL THEN q END', 'q_value')} FROM q")
+def k03(spark, d):
+    path = Scratch(spark, "results").root
+    q = T.benjamini_hochberg(X.pvals(spark, d), ["grp"], "p", [F.col("id")])
+    q = q.select(F.lit("212").alias("type"), F.col("grp").alias("channel"), F.concat(F.lit("p/"), (F.col("id") % 3).cast("string")).alias("phenotype"), F.col("id").cast("string").alias("feature"), F.col("p").alias("p_value"), "q_value")
+    IO.write_results(q, path)
+    return spark.read.parquet(path).select("phenotype", "channel", "feature", "p_value", "q_value")
+
+
 @query("O02_top_significant", f"{BH}, s AS (SELECT grp, id, p, q, row_number() OVER (PARTITION BY grp ORDER BY q, p, id) AS position FROM q WHERE p IS NOT NULL AND q <= 0.5) SELECT grp AS channel, 'x' AS phenotype, id AS feature, {r6('p', 'p_value')}, {r6('q', 'q_value')}, position FROM s WHERE position <= 24")
 def o02(spark, d):
     q = T.benjamini_hochberg(X.pvals(spark, d), ["grp"], "p", [F.col("id")]).select(F.col("grp").alias("channel"), F.lit("x").alias("phenotype"), F.col("id").alias("feature"), F.col("p").alias("p_value"), "q_value")

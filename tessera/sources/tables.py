@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import keys as K
 
 EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff")
 PHENOTYPES = ("Region", "Label", "C", "B")
+#: Built-in channels (fixed values): name, log10 of the raw threshold, closing radius, smallest object, border cleared, longest share.
+CHANNELS = (("hematoxylin", -1.75, 3, 70, True, 0.025), ("eosin", None, 7, 150, False, 0.08), ("dab", -1.5, 7, 150, False, 0.08))
 
 
 def list_images(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
@@ -27,13 +30,13 @@ def preview_sample(images: DataFrame, per_type: int = 6) -> DataFrame:
 def read_sites(spark: SparkSession, root: str, type_: str, schema: str) -> DataFrame:
     """Site rows of one type with ``channel`` (the directory name; null for files directly below ``sites``).
 
-    A file whose rows name no image gives nothing; an image is named by its file's first row.
+    An image is named by its file's first row; a file without rows, or whose first row names no image, gives nothing.
     """
     d = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").csv(f"{root}/{type_}/sites")
-    d = d.withColumn("_file", F.col("_metadata.file_path"))
+    d = d.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())})
     d = d.withColumn("channel", F.nullif(F.regexp_extract("_file", r"/sites/([^/]+)/[^/]+$", 1), F.lit("")))
-    first = d.where("image is not null").groupBy("_file").agg(F.min("image").alias("_image"))
-    return d.join(first, "_file").withColumn("image", F.col("_image")).drop("_image", "_file")
+    first = d.groupBy("_file").agg(F.min_by(F.struct("image"), "_place")["image"].alias("_image")).where("_image is not null")
+    return d.join(first, "_file").withColumn("image", F.col("_image")).drop("_image", "_file", "_place")
 
 
 def union_summaries(frames: list[DataFrame]) -> DataFrame:
@@ -44,6 +47,21 @@ def union_summaries(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def write_summaries(df: DataFrame, root: str) -> None:
+    """The summary sinks: by type (sorted by image in a file) and combined (sorted by type and image)."""
+    write_table(df, f"{root}/summary/by_type", ["type"], ["image"])
+    df.orderBy("type", "image").write.mode("overwrite").parquet(f"{root}/summary/all_types")
+
+
+def load_summary(spark: SparkSession, root: str) -> DataFrame:
+    """The combined summary, or where it is missing the union of those by type, with ``r, c`` and without the control."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/summary/all_types")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    d = spark.read.parquet(f"{root}/summary/all_types" if there else f"{root}/summary/by_type")
+    r, c = K.grid_position(F.col("image"))
+    return K.not_control(d.withColumn("r", r).withColumn("c", c))
+
+
 def clean_metadata(raw: DataFrame) -> DataFrame:
     """Metadata with integer ``r, c`` (bad values null) and without the control; both columns must exist."""
     missing = {"r", "c"} - set(raw.columns)
@@ -64,12 +82,77 @@ def with_metadata(summary: DataFrame, metadata: DataFrame) -> DataFrame:
     return summary.join(metadata, ["r", "c"], "left")
 
 
+def _over(o: Column, d: Column, kind: T.DataType, given: T.DataType) -> Column:
+    """``o`` over ``d``, through structs by field and through maps by the keys of ``d``."""
+    if isinstance(kind, T.StructType) and isinstance(given, T.StructType):
+        return F.struct(*[(_over(o[f.name], d[f.name], f.dataType, given[f.name].dataType) if f.name in given.names else d[f.name]).alias(f.name) for f in kind])
+    if isinstance(kind, T.MapType) and isinstance(given, T.MapType):
+        return F.when(o.isNull(), d).otherwise(F.transform_values(d, lambda k, v: _over(F.try_element_at(o, k), v, kind.valueType, given.valueType)))
+    return F.coalesce(o, d)
+
+
 def overlay_parameters(defaults: DataFrame, overrides: DataFrame, key: str = "type") -> DataFrame:
-    """Overrides over defaults, field by field; fields that only one side has are kept; types only in overrides are dropped."""
+    """Overrides over defaults, field by field, in structs and maps too: what an override leaves null keeps its default.
+
+    Fields that only one side has are kept (inside structs and maps: those of the defaults); types only in overrides are dropped.
+    """
     o = overrides.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in overrides.columns if c != key])
     j = defaults.join(o, key, "left")
+    kind = lambda df, c: df.schema[c].dataType
     both = [c for c in defaults.columns if c != key and c in overrides.columns]
-    return j.select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in both else F.col(c) for c in defaults.columns if c != key], *[F.col(f"_{c}").alias(c) for c in overrides.columns if c != key and c not in defaults.columns])
+    return j.select(key, *[_over(F.col(f"_{c}"), F.col(c), kind(defaults, c), kind(overrides, c)).alias(c) if c in both else F.col(c) for c in defaults.columns if c != key], *[F.col(f"_{c}").alias(c) for c in overrides.columns if c != key and c not in defaults.columns])
+
+
+def default_parameters(types: DataFrame) -> DataFrame:
+    """The built-in parameter record of each ``type``."""
+    lit = lambda **kw: F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in kw.items()])
+    none = lambda kind: F.lit(None).cast(kind)
+    channels = []
+    for name, absolute, close, small, border, share in CHANNELS:
+        raw = none("double") if absolute is None else F.lit(10.0**absolute)
+        threshold = lit(normalize=False, method="otsu", scale=1.0, absolute_normalized=none("double"), absolute_raw=raw, invert=none("boolean"), stain_estimation="default")
+        morph = lit(open_radius=2, close_radius=close, remove_small=small, fill_holes=True, fill_holes_max_area=64, clear_border=border, remove_large_connected=True, large_area_frac=share, large_span_ref_dim=none("int"))
+        channels += [F.lit(name), lit(enabled=True, threshold=threshold, morph=morph)]
+    rule = lit(target="dab", by="hematoxylin", mode="touching", dilate_px=15, min_overlap_frac=0.0)
+    tissue = lit(ignore_black=True, black_rgb_thresh=5, ignore_white=True, white_v_thresh=0.9, white_s_max=0.25)
+    return types.select(
+        "type", F.lit("hed").alias("engine"), tissue.alias("pre_mask"), F.array(F.lit("dab"), F.lit("hematoxylin")).alias("channels_to_output"),
+        F.create_map(*channels).alias("channels"), F.lit(False).alias("gating_enabled"), F.array(rule).alias("gating_rules"),
+    )
+
+
+def clean_rules(rules: Column) -> Column:
+    """Gate rules given as text fields: empty fields take their defaults, a rule with a malformed number goes; null is no rule."""
+    bad = lambda text, kind: text.isNotNull() & text.try_cast(kind).isNull()
+    good = F.filter(F.coalesce(rules, F.array()), lambda r: ~bad(r["dilate_px"], "int") & ~bad(r["min_overlap_frac"], "double"))
+    return F.transform(
+        good,
+        lambda r: F.struct(
+            F.coalesce(r["target"], F.lit("dab")).alias("target"), F.coalesce(r["by"], F.lit("hematoxylin")).alias("by"), F.coalesce(r["mode"], F.lit("touching")).alias("mode"),
+            F.coalesce(r["dilate_px"].try_cast("int"), F.lit(2)).alias("dilate_px"), F.coalesce(r["min_overlap_frac"].try_cast("double"), F.lit(0.0)).alias("min_overlap_frac"),
+        ),
+    )
+
+
+def load_parameters(types: DataFrame, saved: DataFrame) -> DataFrame:
+    """The record of each type: the saved one (gate rules as text) over the built-in one.
+
+    A saved record brings its own gate rules, or none; without its switch, gating is on if there are rules.
+    """
+    s = saved.withColumn("gating_rules", clean_rules(F.col("gating_rules"))).withColumn("gating_enabled", gating()).withColumn("_saved", F.lit(True))
+    return overlay_parameters(default_parameters(types), s).drop("_saved")
+
+
+def preview_parameters(params: DataFrame, height_scale: str = "height_scale", width_scale: str = "width_scale") -> DataFrame:
+    """Clean-up for images that are smaller by these factors: radii by the root of their product, areas by it; half rounds to even."""
+    area = F.col(height_scale) * F.col(width_scale)
+    fit = lambda x, by: F.greatest(F.lit(0), F.rint(x / by).cast("int"))
+
+    def smaller(k: Column, v: Column) -> Column:
+        m = v["morph"]
+        return v.withField("morph", m.withField("open_radius", fit(m["open_radius"], F.sqrt(area))).withField("close_radius", fit(m["close_radius"], F.sqrt(area))).withField("remove_small", fit(m["remove_small"], area)).withField("large_span_ref_dim", F.lit(None).cast("int")))
+
+    return params.withColumn("channels", F.transform_values("channels", smaller))
 
 
 def gating(rules: str = "gating_rules", enabled: str = "gating_enabled"):
@@ -77,9 +160,16 @@ def gating(rules: str = "gating_rules", enabled: str = "gating_enabled"):
     return F.coalesce(F.col(enabled), F.size(F.coalesce(F.col(rules), F.array())) > 0)
 
 
-def is_legacy(summary: DataFrame) -> bool:
-    """Whether a column name is in pixel units."""
-    return any("_px" in c.lower() or "density_per_px" in c.lower() for c in summary.columns)
+def legacy_outputs(summary: DataFrame, sites_root: str | None = None, most: int = 3) -> DataFrame:
+    """What is still in pixel units: one row (``part, column``) per such column of the summary and of the first ``most`` site files."""
+    spark = summary.sparkSession
+    found = [("summary", c) for c in summary.columns]
+    if sites_root is not None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(sites_root).select("path").orderBy("path").limit(most)
+        for r in files.collect():
+            found += [("sites", c) for c in spark.read.option("header", True).csv(r["path"]).columns]
+    d = spark.createDataFrame(found or [(None, None)], "part string, column string")
+    return d.where(K.legacy(F.col("column"))).distinct()
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str], sort: list[str] = ()) -> None:
