@@ -274,8 +274,15 @@ def hole_summary(pixels: DataFrame, mask: DataFrame, keys: list[str], height: in
     return j.select(*keys, (F.coalesce("hole_px", z) / F.col("n")).alias("topology_hole_area_frac"), F.greatest(F.lit(0.0), F.col("objects") - F.col("euler4")).alias("topology_hole_count"), F.coalesce("hole_count_exact", z).alias("hole_count_exact"), F.col("euler4").alias("topology_euler_number"))
 
 
+def largest(mask: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels of each group's largest object (of equals the first)."""
+    lab = label(mask, keys)
+    top = sizes(lab, keys).groupBy(*keys).agg(F.min(F.struct((-F.col("area")).alias("a"), "label"))["label"].alias("label"))
+    return lab.join(top, [*keys, "label"], "left_semi").select(*keys, "row", "col")
+
+
 def log_hu(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """Signed-log Hu moments of all mask pixels of a group (area moments)."""
+    """Signed-log Hu moments of the mask pixels of a group (area moments); below 1e-12 a moment counts as 0."""
     x, y = F.col("col").cast("double"), F.col("row").cast("double")
     c = mask.groupBy(*keys).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy"), F.count("*").cast("double").alias("_n"))
     d = mask.join(c, keys)
@@ -289,7 +296,7 @@ def log_hu(mask: DataFrame, keys: list[str]) -> DataFrame:
         (e30 - 3 * e12) * s * (s**2 - 3 * t**2) + (3 * e21 - e03) * t * (3 * s**2 - t**2), (e20 - e02) * (s**2 - t**2) + 4 * e11 * s * t,
         (3 * e21 - e03) * s * (s**2 - 3 * t**2) - (e30 - 3 * e12) * t * (3 * s**2 - t**2),
     ]
-    return m.select(*keys, *[F.when(h == 0, F.lit(0.0)).otherwise(-F.signum(h) * F.log10(F.abs(h))).alias(f"hu_{i}") for i, h in enumerate(hu, 1)])
+    return m.select(*keys, *[F.when(F.abs(h) < 1e-12, F.lit(0.0)).otherwise(-F.signum(h) * F.log10(F.abs(h))).alias(f"hu_{i}") for i, h in enumerate(hu, 1)])
 
 
 ship(__name__)

@@ -13,7 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.core import ship
+from tessera.core import Scratch, ship
+
+
+def counted(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Per test, level and distinct value: how often it occurs (``c``) and the first image that has it. All statistics follow from this table."""
+    d = long.where(F.col("value").isNotNull() & F.col("level").isNotNull()).withColumn("level", F.col("level").cast("string"))
+    return d.groupBy(*keys, "level", "value").agg(F.count("*").alias("c"), F.min("image").alias("image"))
 
 
 def group_stats(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,6 +28,15 @@ def group_stats(long: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys, "level").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"), F.min("image").alias("first_image"))
 
 
+def counted_stats(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``group_stats`` from counted values: sums of squares about the mean, so that large means cost no digits."""
+    k = [*keys, "level"]
+    m = values.groupBy(*k).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"), F.min("image").alias("first_image"))
+    gap = F.col("value") - F.col("mean")
+    v = values.join(m.select(*k, "mean"), k).groupBy(*k).agg(F.sum(F.col("c") * gap * gap).alias("ss"))
+    return m.join(v, k).select(*k, "n", "mean", F.try_divide(F.col("ss"), F.col("n") - 1).alias("var"), "first_image")
+
+
 def gate(stats: DataFrame, keys: list[str], min_per_group: int = 2) -> DataFrame:
     """Per test: which test applies (``insufficient``, ``welch_t``, ``kruskal``), levels and n."""
     g = stats.groupBy(*keys).agg(F.count("*").alias("levels"), F.min("n").alias("least"), F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("level", "mean")))).alias("means"))
@@ -50,17 +65,30 @@ def mid_ranks(long: DataFrame, keys: list[str]) -> DataFrame:
     return d.withColumn("ties", ties).withColumn("rank", F.rank().over(W.partitionBy(*keys).orderBy("value")) + (F.col("ties") - 1) / 2)
 
 
+#: Distinct values of a test that one task ranks.
+RANGE = 50_000
+
+
 def kruskal(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Per test: H with tie correction and its degrees of freedom; H is null if all values are equal.
+    """Per test: H with tie correction and its degrees of freedom; H is null if all values are equal."""
+    return counted_kruskal(counted(long, keys), keys)
+
+
+def counted_kruskal(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``kruskal`` from counted values.
 
-    Ranks come from counts per distinct value, so that one test's values are not sorted in one task:
-    the window runs over distinct values.
+    Ranks are sums in two levels: values are cut into ranges of one order (by a range partitioning of the sorted table), each range is summed in itself,
+    and the sums of the ranges before it are added, so that no test is sorted in one task.
     """
-    d = long.where(F.col("value").isNotNull() & F.col("level").isNotNull())
-    d = d.groupBy(*keys, F.col("level").cast("string").alias("level"), "value").agg(F.count("*").alias("c"))
-    v = d.groupBy(*keys, "value").agg(F.sum("c").alias("t"))
-    v = v.withColumn("rank", F.sum("t").over(W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, 0)) - (F.col("t") - 1) / 2)
-    ranked = d.join(v, [*keys, "value"])
+    tmp = Scratch(values.sparkSession, "ranks")
+    v = values.groupBy(*keys, "value").agg(F.sum("c").alias("t"))
+    parts = max(1, -(-v.count() // RANGE))
+    v = tmp.save(v.repartitionByRange(parts, *keys, "value").withColumn("part", F.spark_partition_id()))
+    ranges = v.groupBy(*keys, "part").agg(F.sum("t").alias("s"))
+    before = ranges.withColumn("before", F.sum("s").over(W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select(*keys, "part", F.coalesce("before", F.lit(0)).alias("before"))
+    inside = F.sum("t").over(W.partitionBy(*keys, "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    ranks = v.withColumn("upto", inside).join(before, [*keys, "part"]).select(*keys, "value", "t", (F.col("upto") + F.col("before") - (F.col("t") - 1) / 2).alias("rank"))
+    ranked = values.join(ranks, [*keys, "value"])
     per_level = ranked.groupBy(*keys, "level").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     whole = per_level.groupBy(*keys).agg(F.sum("n").cast("double").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     tied = v.groupBy(*keys).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
@@ -157,12 +185,14 @@ def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: list[str | C
 def differential(long: DataFrame, keys: list[str], min_per_group: int = 2) -> DataFrame:
     """Per ``keys..., phenotype, feature``: test, statistics, p, q (within keys and phenotype), effect, n, level means."""
     k = [*keys, "phenotype", "feature"]
-    stats = group_stats(long, k)
+    tmp = Scratch(long.sparkSession, "tests")
+    values = tmp.save(counted(long, k))
+    stats = tmp.save(counted_stats(values, k))
     out = gate(stats, k, min_per_group).join(two_level(stats, k), k, "left")
-    out = out.join(kruskal(long, k).withColumnRenamed("df", "h_df"), k, "left")
+    out = out.join(counted_kruskal(values, k).withColumnRenamed("df", "h_df"), k, "left")
     out = out.withColumn("p_value", p_value("test", "t", "df", "h", "h_df"))
     out = benjamini_hochberg(out, [*keys, "phenotype"], "p_value", [F.col("feature")])
-    return out.select(*k, "test", "p_value", "q_value", "effect_d", "n", "t", "df", "h", "h_df", "means")
+    return out.select(*k, "test", "p_value", "q_value", "effect_d", "levels", "n", "t", "df", "h", "h_df", "means")
 
 
 def ranked(results: DataFrame, keys: list[str]) -> DataFrame:

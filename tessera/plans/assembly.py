@@ -33,11 +33,11 @@ def wide_summary(families: list[DataFrame], keys: list[str], names: list[str]) -
     return IO.wide(reduce(DataFrame.unionByName, families), keys, names)
 
 
-def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw: str, height: int, width: int, pixel_um: float = PIXEL_UM) -> DataFrame:
+def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw: str, height: int, width: int, pixel_um: float = PIXEL_UM, others: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """All feature families of one channel's masks, long: ``key, feature, value``.
 
-    Sites, pixel values, object scores, topology, tiles, points, texture and granularity; families whose
-    definition libraries leave open follow the docstrings of their operators.
+    Sites, pixel values, object scores, burden, topology, tiles, points, texture, granularity, and 15 features of each of ``others``: other channels of the
+    same pixels, by name, with their columns ``mask, norm, raw``. Families whose definition libraries leave open follow the docstrings of their operators.
     """
     k = [key]
     fg = pixels.where(mask).select(*k, "row", "col")
@@ -56,11 +56,16 @@ def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: st
     scored = sites.join(top, k).withColumn("_share", F.when(F.col("_top") > 0, F.col("intensity_integrated") / F.col("_top")).otherwise(F.col("intensity_integrated")))
     scores = scored.groupBy(*k).agg(*S.score_bins("intensity_mean", "object_norm_mean"), *S.score_bins("_share", "object_norm_integrated"))
     tissue = pixels.groupBy(*k).agg(F.sum(F.col(valid).cast("long")).alias("tissue_px"))
+    px = pixel_um * pixel_um
+    area = pixels.groupBy(*k).agg((F.sum(F.col(valid).cast("double")) * px).alias("tissue_area_um2"), (F.sum((F.col(valid) & F.col(mask)).cast("double")) * px).alias("positive_area_um2"))
+    count = sites.groupBy(*k).agg(F.count("*").cast("double").alias("_n"))
+    area = area.join(count, k, "left").withColumn("num_sites_per_mm2_tissue", F.when(F.col("tissue_area_um2") > 0, F.coalesce("_n", F.lit(0.0)) / (F.col("tissue_area_um2") / 1e6))).drop("_n")
+    edge = C.boundary_length(fg, k).select(*k, (F.col("boundary_length") * pixel_um).alias("topology_boundary_length_um"))
     points = sites.select(F.col(key).alias("grp"), F.col("label").alias("pid"), F.col("centroid_row_um").alias("y"), F.col("centroid_col_um").alias("x"))
     nn = SP.knn(points, 5)
     frame = height * pixel_um, width * pixel_um
     spatial = [f.withColumnRenamed("grp", key) for f in (SP.nn_stats(points, nn, *frame), SP.grid_dispersion(points, *frame), SP.knn_means(points, nn), SP.proximity_graph(points, nn), SP.tree_stats(SP.spanning_tree(points)))]
-    parts = [site_family(sites, k, columns), *[long(f, k) for f in (R.pixel_features(pixels, k, mask, valid, norm, raw), scores, C.census(lab, k, tissue, pixel_um**2), C.hole_summary(pixels, fg, k, height, width).drop("hole_count_exact"), R.box_dimension(fg, k, height, width), R.tile_features(pixels, k, height, width, mask, valid, norm), *spatial)]]
+    parts = [site_family(sites, k, columns), *[long(f, k) for f in (R.pixel_features(pixels, k, mask, valid, norm, raw), scores, area, edge, C.census(lab, k, tissue, pixel_um**2), C.hole_summary(pixels, fg, k, height, width).drop("hole_count_exact"), R.box_dimension(fg, k, height, width), R.tile_features(pixels, k, height, width, mask, valid, norm), *spatial)]]
     for place, where in (("tissue", F.col(valid)), ("positive", F.col(valid) & F.col(mask))):
         for kind, value in (("norm", norm), ("raw", raw)):
             q = R.normalise(pixels.where(where), k, value, "_n", robust=True).select(*k, "row", "col", R.quantise(F.col("_n")).alias("lv"))
@@ -71,4 +76,20 @@ def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: st
             parts.append(t.where("scale is null").select(*k, F.concat(base, F.lit("_sd")).alias("feature"), F.col("sd").alias("value")))
         g = R.normalise(pixels.withColumn("_w", where), k, norm, "_n", where=F.col("_w"), robust=True)
         parts.append(long(FO.granularity(g, k, "_n", "_w", name=f"granularity_{place}_norm_s{{r}}"), k))
+    parts += [long(cross_channel(pixels, key, mask, valid, norm, raw, lab, points, name, other, pixel_um), k) for name, other in (others or {}).items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def cross_channel(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw: str, labels: DataFrame, points: DataFrame, name: str, other: dict[str, str], pixel_um: float) -> DataFrame:
+    """15 features of one channel against another of the same pixels: overlap, touching objects, nearest sites, correlations, rings around the other mask."""
+    k, prefix = [key], f"cross_with_{name}"
+    lab = C.label(pixels.where(other["mask"]).select(*k, "row", "col"), k)
+    centres = C.geometry(lab, k, pixel_um, pixel_um).select(F.col(key).alias("grp"), F.col("label").alias("pid"), F.col("centroid_row_um").alias("y"), F.col("centroid_col_um").alias("x"))
+    near = SP.nearest(points, centres, 1).groupBy("grp").agg(F.avg("d").alias(f"{prefix}_nn_other_mean_um")).withColumnRenamed("grp", key)
+    either = F.col(valid) & (F.col(mask) | F.col(other["mask"]))
+    corr = pixels.groupBy(*k).agg(
+        S.pearson(raw, other["raw"], F.col(valid)).alias(f"{prefix}_corr_raw_tissue"), S.pearson(raw, other["raw"], either).alias(f"{prefix}_corr_raw_union"), S.pearson(norm, other["norm"], F.col(valid)).alias(f"{prefix}_corr_norm_tissue"),
+    )
+    rings = SP.radial(SP.mask_distance(pixels.select(*k, "row", "col", F.col(other["mask"]).alias("_o"), F.col(valid).alias("_w"), F.col(norm).alias("_v")), k, "_o", 30.0, pixel_um, pixel_um), k, "_v", "_w", prefix)
+    out = R.region_pair(pixels, k, mask, other["mask"], prefix).join(corr, k).join(rings, k)
+    return out.join(C.touching(labels, pixels, other["mask"], k, prefix), k, "left").join(near, k, "left")

@@ -57,10 +57,14 @@ def g01b(spark, d):
     return C.label(fg(spark, d), IM, 4)
 
 
-@query("G02_components", "SELECT c_custkey AS node, CASE WHEN c_custkey % 7 = 0 AND c_custkey + 1 > (SELECT max(c_custkey) FROM customer) THEN NULL ELSE c_custkey // 7 * 7 END AS component FROM (SELECT DISTINCT unnest([c_custkey, c_custkey - 1]) AS c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+EDGES = "e0 AS (SELECT o_custkey * 4 AS a, o_orderkey * 4 + 1 AS b FROM orders UNION SELECT l_suppkey * 4 + 2, l_partkey * 4 + 3 FROM lineitem), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0)"
+
+
+@query("G02_components", f"WITH RECURSIVE {EDGES}, cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(cc.component) FROM cc JOIN e ON e.a = cc.node JOIN recurring.cc AS r ON r.node = e.b WHERE cc.component < r.component GROUP BY e.b) SELECT node, component FROM cc")
 def g02(spark, d):
-    """Paths of seven nodes."""
-    return connected_components(load(spark, d, "customer").where("c_custkey % 7 <> 0").select((F.col("c_custkey") - 1).alias("src"), F.col("c_custkey").alias("dst")))
+    """Customers and their orders (a star each), suppliers and the parts they ship (one large component)."""
+    o = load(spark, d, "orders").select((F.col("o_custkey") * 4).alias("src"), (F.col("o_orderkey") * 4 + 1).alias("dst"))
+    return connected_components(o.union(load(spark, d, "lineitem").select(F.col("l_suppkey") * 4 + 2, F.col("l_partkey") * 4 + 3)))
 
 
 L4 = f"{FG}, {label_sql('fg', 'lb', 4)}"
@@ -196,12 +200,32 @@ def p21(spark, d):
     return C.shape_ratios(j, "area", "perimeter", "area").select("image", "label", "circularity", "roughness", "hole_fraction")
 
 
-@query("A21_hulls")
+HULL = f"""{LB}, pt AS (SELECT DISTINCT image, label, row + dr AS y, col + dc AS x FROM lb, (SELECT unnest([-0.5, -0.5, 0.5, 0.5]) AS dr, unnest([-0.5, 0.5, -0.5, 0.5]) AS dc)),
+ed AS (SELECT p.image, p.label, p.y AS py, p.x AS px, q.y AS qy, q.x AS qx FROM pt p JOIN pt q ON p.image = q.image AND p.label = q.label AND (p.y <> q.y OR p.x <> q.x) JOIN pt r ON r.image = p.image AND r.label = p.label GROUP BY ALL
+  HAVING bool_and((q.y - p.y) * (r.x - p.x) - (q.x - p.x) * (r.y - p.y) > 0 OR ((q.y - p.y) * (r.x - p.x) - (q.x - p.x) * (r.y - p.y) = 0 AND (r.y - p.y) * (r.y - q.y) + (r.x - p.x) * (r.x - q.x) <= 0))),
+ha AS (SELECT image, label, abs(sum(px * qy - py * qx)) / 2 AS area FROM ed GROUP BY ALL), hc AS (SELECT p.image, p.label, max(sqrt(pow(p.y - q.y, 2) + pow(p.x - q.x, 2))) AS caliper FROM pt p JOIN pt q ON p.image = q.image AND p.label = q.label GROUP BY ALL)"""
+
+
+@query("A21_hulls", f"{HULL} SELECT image, label, CAST(n AS BIGINT) AS area, {r6('area', 'convex_area')}, {r6('n / area', 'solidity')}, {r6('caliper', 'caliper')} FROM ha JOIN hc USING (image, label) JOIN (SELECT image, label, count(*) AS n FROM lb GROUP BY ALL) USING (image, label)")
 def a21(spark, d):
-    """Convex hulls; tested on shapes of known hull."""
     return C.hulls(lab(spark, d), IM)
 
 
+HU = f"""{MASKS}, fg AS (SELECT image, row, col FROM masks WHERE m2), {label_sql('fg', 'lb')}, {SIZE.format(l='lb')}, top AS (SELECT image, arg_min(label, {{'a': -area, 'l': label}}) AS label FROM sz GROUP BY image),
+c0 AS (SELECT image, row, col, avg(row) OVER i AS cy, avg(col) OVER i AS cx, count(*) OVER i::DOUBLE AS n FROM lb JOIN top USING (image, label) WINDOW i AS (PARTITION BY image)),
+e AS (SELECT image, {', '.join(f"sum(pow(col - cx, {p}) * pow(row - cy, {q})) / pow(any_value(n), {1 + (p + q) / 2}) AS e{p}{q}" for p, q in ((2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3)))} FROM c0 GROUP BY image),
+f AS (SELECT *, e30 + e12 AS s, e21 + e03 AS t FROM e),
+h AS (SELECT image, e20 + e02 AS h1, pow(e20 - e02, 2) + 4 * e11 * e11 AS h2, pow(e30 - 3 * e12, 2) + pow(3 * e21 - e03, 2) AS h3, s * s + t * t AS h4,
+  (e30 - 3 * e12) * s * (s * s - 3 * t * t) + (3 * e21 - e03) * t * (3 * s * s - t * t) AS h5, (e20 - e02) * (s * s - t * t) + 4 * e11 * s * t AS h6, (3 * e21 - e03) * s * (s * s - 3 * t * t) - (e30 - 3 * e12) * t * (3 * s * s - t * t) AS h7 FROM f)"""
+
+
+@query("A44_hu_moments", f"{HU} SELECT image, {', '.join(f'CASE WHEN abs(h{i}) < 1e-12 THEN 0 ELSE round(-sign(h{i}) * log10(abs(h{i})), 3) + 0e0 END AS hu_{i}' for i in range(1, 8))} FROM h")
+def a44(spark, d):
+    """Area moments of the largest object; image libraries take those of its contour."""
+    h = C.log_hu(C.largest(fg(spark, d, "m2"), IM), IM)
+    return h.select("image", *[F.round(f"hu_{i}", 3).alias(f"hu_{i}") for i in range(1, 8)])
+
+
 @query("A22_census", f"""{LB}, {SIZE.format(l='lb')}, tp AS (SELECT image, count(*) FILTER (m2) AS t FROM masks GROUP BY image), c AS (SELECT image, count(*) AS n, max(area) / CAST(sum(area) AS DOUBLE) AS largest, median(area) AS med, quantile_cont(area, 0.75) - quantile_cont(area, 0.25) AS iqr FROM sz GROUP BY image)
 SELECT image, {r6('coalesce(n, 0)', 'topology_component_count')}, {r6('coalesce(n, 0) / CASE WHEN t > 0 THEN t / 1e6 END', 'topology_component_density_per_mm2')}, {r6('largest', 'topology_largest_component_frac')}, {r6('med', 'topology_component_area_median_um2')}, {r6('iqr', 'topology_component_area_iqr_um2')} FROM tp LEFT JOIN c USING (image)""")
 def a22(spark, d):
@@ -220,6 +244,54 @@ def a23(spark, d):
     return C.hole_summary(pix(spark, d), fg(spark, d, "m2"), IM, 8, 8)
 
 
+RULES = f"""{MASKS}, ca AS (SELECT image, row, col FROM masks WHERE m1), cb AS (SELECT image, row, col FROM masks WHERE m2), {label_sql('cb', 'l1')}, g1 AS (SELECT image, row, col, m1 AS g FROM masks WHERE image % 2 = 0), {focal_sql('g1', 'g', 1, 'bool_or', 'd1')},
+k1 AS (SELECT DISTINCT image, label FROM l1 JOIN d1 USING (image, row, col) WHERE x), b1 AS (SELECT image, row, col FROM l1 JOIN k1 USING (image, label) UNION ALL SELECT image, row, col FROM cb WHERE image % 2 = 1),
+{label_sql('ca', 'l2')}, k2 AS (SELECT image, label FROM l2 LEFT JOIN (SELECT *, 1e0 AS h FROM b1) USING (image, row, col) GROUP BY ALL HAVING avg(coalesce(h, 0)) >= 0.3), a2 AS (SELECT image, row, col FROM l2 JOIN k2 USING (image, label))"""
+
+
+@query("R10_rules", f"{RULES} SELECT image, 'a' AS channel, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col FROM a2 UNION ALL SELECT image, 'b', row, col FROM b1")
+def r10b(spark, d):
+    """Two rules in order: b by a (even images only), then a by what is left of b."""
+    p = X.masks(spark, d)
+    masks = p.where("m1").select("image", F.lit("a").alias("channel"), "row", "col").unionByName(p.where("m2").select("image", F.lit("b").alias("channel"), "row", "col"))
+    images = p.select("image").distinct()
+    rule = lambda t, by, mode, px, f: F.struct(F.lit(t).alias("target"), F.lit(by).alias("by"), F.lit(mode).alias("mode"), F.lit(px).alias("dilate_px"), F.lit(f).alias("min_overlap_frac"))
+    first, then = rule("b", "a", "touching", 1, 0.0), rule("a", "b", "intersect", 0, 0.3)
+    rules = images.withColumn("rules", F.when(F.col("image") % 2 == 0, F.array(first, then)).otherwise(F.array(then)))
+    return SG.apply_rules(masks, p.select("image", "row", "col"), rules)
+
+
+@query("JOB_segment")
+def job(spark, d):
+    """The whole job: images and saved parameters to site rows; a test holds it against the operators one by one."""
+    from tessera.plans.queries_stats import SAVED
+    from tessera.sources import tables as IO
+
+    rgb = X.rgb(spark, d)
+    images = rgb.select("image").distinct().withColumn("type", (F.col("image") % 3).cast("int"))
+    types = images.select("type").distinct()
+    small = "named_struct('open_radius', 0, 'close_radius', 1, 'remove_small', 3, 'fill_holes_max_area', 5, 'clear_border', false, 'large_area_frac', 1.1D)"
+    saved = spark.sql(
+        f"""SELECT type, map('dab', named_struct('threshold', named_struct('normalize', true, 'scale', 0.9D, 'absolute_normalized', CASE WHEN type = 1 THEN 0.5D END), 'morph', {small}),
+        'hematoxylin', named_struct('threshold', named_struct('normalize', true, 'scale', 1D, 'absolute_normalized', double(null)), 'morph', {small})) AS channels, boolean(null) AS gating_enabled,
+        CASE WHEN type = 2 THEN array(named_struct('target', 'dab', 'by', 'hematoxylin', 'mode', string(null), 'dilate_px', '1', 'min_overlap_frac', string(null))) END AS gating_rules FROM {{t}}""",
+        t=types,
+    )
+    out = SG.segment(rgb, images, IO.load_parameters(types, saved), 8, 8)
+    return SG.sites(out).select("image", "type", "channel", "label", "area_um2", "centroid_row_um", "centroid_col_um", "eccentricity", "intensity_mean", "intensity_raw_integrated")
+
+
+@query("A47_channel_summary")
+def a47c(spark, d):
+    """Every family of one channel's summary over all images, with the cross-channel ones; tests count the names and hold families against their operators."""
+    from tessera.operators import raster as R
+    from tessera.plans import assembly
+
+    p = R.normalise(X.masks(spark, d).withColumn("w", F.col("v") - F.col("row") / 100), IM, "v").withColumn("ok", F.col("v") > -0.4)
+    p = R.normalise(p, IM, "w", "wnorm")
+    return assembly.channel_summary(p, "image", "m1", "ok", "norm", "v", 8, 8, others={"other": {"mask": "m2", "norm": "wnorm", "raw": "w"}})
+
+
 GEO_LONG = ("area_um2", "eccentricity", "extent", "elongation")
 
 

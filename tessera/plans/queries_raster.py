@@ -256,7 +256,12 @@ def a34(spark, d):
     return TH.yen(X.raster(spark, d), IM, "v")
 
 
-@query("A35_li")
+LI = f"""{RASTER}, {hist_sql('raster', 'v')}, y AS (SELECT image, n, x - lo AS y, lo FROM x),
+li AS (SELECT image, 0 AS k, sum(y * n) / sum(n) AS t, 1e0 AS moved FROM y GROUP BY image UNION ALL SELECT image, k, t, moved FROM (SELECT image, k, coalesce(CASE WHEN a > 0 AND b > a THEN (b - a) / (ln(b) - ln(a)) END, o) AS t, abs(coalesce(CASE WHEN a > 0 AND b > a THEN (b - a) / (ln(b) - ln(a)) END, o) - o) AS moved
+  FROM (SELECT li.image, li.k + 1 AS k, li.t AS o, sum(y * n) FILTER (y <= t) / sum(n) FILTER (y <= t) AS a, sum(y * n) FILTER (y > t) / sum(n) FILTER (y > t) AS b FROM li JOIN y ON y.image = li.image WHERE moved > 0 AND li.k < 100 GROUP BY ALL)))"""
+
+
+@query("A35_li", f"{LI} SELECT image, {r6('any_value(t) + min(y.lo)', 't')} FROM (SELECT image, arg_max(t, k) AS t FROM li GROUP BY image) JOIN y USING (image) GROUP BY image")
 def a35(spark, d):
     """A fixed-point loop; unit tests hold it against the same iteration in numpy."""
     return TH.li(X.raster(spark, d), IM, "v")
@@ -318,9 +323,3 @@ def a25(spark, d):
 def a45(spark, d):
     m = X.masks(spark, d).where("m1").groupBy("image").agg(F.min("row").alias("r0"), F.min("col").alias("c0"), (F.max("row") + 1).alias("r1"), (F.max("col") + 1).alias("c1"))
     return m.withColumn("diagonal", F.hypot((F.col("r1") - 1 - F.col("r0")) * 0.5, (F.col("c1") - 1 - F.col("c0")) * 0.25))
-
-
-@query("A44_hu_moments")
-def a44(spark, d):
-    """Area moments, unlike the contour moments of image libraries; tested by invariance under shift and turn."""
-    return C.log_hu(X.masks(spark, d).where("m2"), IM)

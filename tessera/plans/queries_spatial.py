@@ -69,15 +69,18 @@ def g03(spark, d):
     return SP.proximity_graph(p, SP.knn(p, 1))
 
 
+PRIM = f"""{X.cte('pa')}, pts AS (SELECT grp, y, x, min(pid) AS pid FROM pa GROUP BY ALL), ed AS (SELECT a.grp, a.pid AS a, b.pid AS b, sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) AS d FROM pts a JOIN pts b ON a.grp = b.grp AND a.pid <> b.pid),
+pr AS (SELECT grp, [min(pid)] AS tree, CAST(NULL AS DOUBLE) AS d FROM pts GROUP BY grp UNION ALL SELECT grp, list_append(tree, m.b), m.d FROM (SELECT pr.grp, pr.tree, min(struct_pack(d := ed.d, b := ed.b)) AS m FROM pr JOIN ed ON ed.grp = pr.grp AND list_contains(pr.tree, ed.a) AND NOT list_contains(pr.tree, ed.b) GROUP BY ALL))"""
 
 
-@query("G04_spanning_tree")
+@query("G04_spanning_tree", f"{PRIM} SELECT grp, {r6('avg(d)', 'mst_edge_mean_um')}, {r6('stddev_samp(d)', 'mst_edge_sd_um')}, {r6('quantile_cont(d, 0.75) - quantile_cont(d, 0.25)', 'mst_edge_iqr_um')}, (SELECT count(*) FROM pa WHERE pa.grp = pr.grp) AS n FROM pr WHERE d IS NOT NULL GROUP BY grp")
 def g04(spark, d):
-    """Boruvka rounds; tests hold the edges against Prim's algorithm."""
+    """Boruvka rounds; the SQL grows each tree by Prim's rule."""
     p = X.points_a(spark, d)
     return SP.tree_stats(SP.spanning_tree(p)).join(p.groupBy("grp").agg(F.count("*").alias("n")), "grp")
 
 
+
 DIST = f"""{MASKS}, {norm_sql('masks', 'v', 'm2')}, bm AS (SELECT image, row, col FROM masks WHERE m1),
 ds AS (SELECT p.image, p.row, p.col, p.m2, p.norm, min(sqrt(pow((p.row - b.row) * 2e0, 2) + pow((p.col - b.col) * 1.5e0, 2))) AS dist FROM nrm p LEFT JOIN bm b ON p.image = b.image GROUP BY ALL)"""
 

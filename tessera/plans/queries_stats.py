@@ -9,7 +9,7 @@ from tessera.functions import keys as K
 from tessera.functions import stats as S
 from tessera.operators import difftest as T
 from tessera.plans import fixtures as X
-from tessera.plans.registry import query, r6
+from tessera.plans.registry import SQL, query, r6
 from tessera.sources import tables as IO
 
 SITES = X.cte("sites")
@@ -388,6 +388,12 @@ def te(spark, d):
     return T.ranked(T.differential(X.diff(spark, d), ["channel"]), ["channel"])
 
 
+@query("TE_statistics", f"SELECT g.*, w.t, w.df, w.effect_d, k.h, k.df AS h_df FROM ({SQL['TC_gate'].replace('4000', '2')}) g LEFT JOIN ({SQL['TA_TD_welch_effect']}) w USING (channel, phenotype, feature) LEFT JOIN ({SQL['TB_kruskal']}) k USING (channel, phenotype, feature)")
+def te_statistics(spark, d):
+    """The whole analysis up to its statistics."""
+    return T.differential(X.diff(spark, d), ["channel"]).select("channel", "phenotype", "feature", "test", "levels", "n", "t", "df", "effect_d", "h", "h_df")
+
+
 PV = X.cte("pvals")
 BH = f"{PV}, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p NULLS LAST, id) AS i, count(p) OVER (PARTITION BY grp) AS m FROM pvals), q AS (SELECT grp, id, p, least(1, min(p * m / i) OVER (PARTITION BY grp ORDER BY i DESC)) AS q FROM k)"
 
