@@ -13,8 +13,10 @@ KEYS blocks) and each block has its own tree. Two sets at the threshold miss all
 ``(1 - 0.75 ** 2) ** 36 < 2e-13``, the order of a hash collision; nothing else is approximate and no block is capped.
 Every candidate comes from a tree:
 
-1. Nearest pass: each point meets the point before it in its block's tree with the highest bound. This ties copies together
-   without pairing them all. A block over NEAR points is cut into tiles, and one of its points is in all of them.
+1. Nearest pass: of the pairs that a block's tree lets through, each point takes three: with the point before it that has the highest
+   bound, with the point that most others may link to, and with the block's most central one (that with the largest blocks). This
+   ties copies together, also those that only their common original links, without checking all pairs. A block over NEAR points is cut into
+   tiles, and its most central point is in all of them.
 2. Full pass: only blocks that then still hold two components, cut by size band and into pairs of tiles where they are large.
    All pairs whose bound suffices are checked, but for those inside one component.
 
@@ -44,7 +46,7 @@ NEAR, TILE = 256, 2048
 LEAF, BIN, ALL = 16, 8192, 24
 #: Boxes in one of the level above.
 FAN = 4
-MAX_GROUPS = 4096
+MAX_GROUPS = 8192
 #: Ids (of 8 bytes) that may be broadcast.
 BROADCAST_IDS = 100_000
 
@@ -77,8 +79,8 @@ def text_sets(buf: np.ndarray, off: np.ndarray, width: int):
 
 
 def groups_for(n: int) -> int:
-    """Number of groups (a power of two): one or two shingles in each, so that few unlike shingles meet in one."""
-    return min(MAX_GROUPS, 1 << max(3, int(n).bit_length() - 1))
+    """Number of groups (a power of two): about one shingle in each, so that few unlike shingles meet in one."""
+    return min(MAX_GROUPS, 1 << max(3, int(n).bit_length()))
 
 
 def point_of(h: np.ndarray) -> bytes:
@@ -256,36 +258,50 @@ def candidates(points: Points, unit: np.ndarray, num: int, den: int):
 
 def _sorted_bin(table: pa.Table):
     table = table.sort_by([("unit", "ascending"), ("node", "ascending")])
-    columns = {c: table.column(c).to_numpy() for c in table.column_names if c != "point"}
-    return columns, Points([x.as_buffer() for x in table.column("point")], columns["n"].astype(np.int64))
+    columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("point", "mins")}
+    mins = table.column("mins") if "mins" in table.column_names else None
+    return columns, Points([x.as_buffer() for x in table.column("point")], columns["n"].astype(np.int64)), mins
 
 
 def _nearest(num: int, den: int):
-    """Of each point the one before it with the highest bound."""
+    """Of each point the pairs with the one before it that has the highest bound, with the unit's most linked one, and with its hub."""
 
     def run(table: pa.Table) -> pa.Table:
-        c, points = _sorted_bin(table)
+        c, points, _ = _sorted_bin(table)
         a, b, bound = candidates(points, c["unit"], num, den)
         like = bound / (points.n[a] + points.n[b] - bound)
         order = np.lexsort((-like, b))
-        first = np.ones(len(order), bool)
-        first[1:] = b[order][1:] != b[order][:-1]
-        a, b = c["node"][a[order[first]]], c["node"][b[order[first]]]
-        return pa.table({"src": a, "dst": b})
+        take = np.zeros(len(a), bool)
+        take[order] = np.append(True, b[order][1:] != b[order][:-1])[: len(a)]
+        degree = np.bincount(np.concatenate([a, b]), minlength=len(points.n))
+        start = np.flatnonzero(np.append(True, c["unit"][1:] != c["unit"][:-1]))
+        most = np.maximum.reduceat(degree, start)
+        group = np.cumsum(np.append(False, c["unit"][1:] != c["unit"][:-1]))
+        centre = (degree == most[group]) & (degree > 1)
+        centre[np.flatnonzero(centre)[1:]] &= np.diff(group[np.flatnonzero(centre)]) > 0  # one a unit
+        centre |= c["node"] == c["hub"]
+        take |= centre[a] | centre[b]
+        return pa.table({"src": c["node"][a[take]], "dst": c["node"][b[take]]})
 
     return run
 
 
 def _full(num: int, den: int):
-    """All pairs of two components."""
+    """All pairs of two components, in the first of the blocks that hold both."""
 
     def run(table: pa.Table) -> pa.Table:
-        c, points = _sorted_bin(table)
+        c, points, mins = _sorted_bin(table)
         a, b, _ = candidates(points, c["unit"], num, den)
         ok = c["component"][a] != c["component"][b]
         # the pair belongs to the band of its smaller member, and to two tiles only where they differ
         ok &= ~c["banded"][a] | (np.minimum(c["band"][a], c["band"][b]) == c["at"][a])
         ok &= (c["ti"][a] == c["tj"][a]) | (c["tile"][a] != c["tile"][b])
+        a, b = a[ok], b[ok]
+        keys = np.stack([x.values.to_numpy() for x in mins])
+        ok = np.zeros(len(a), bool)
+        for i in range(0, len(a), 1 << 15):
+            x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+            ok[i : i + (1 << 15)] = (keys[x] == keys[y]).argmax(axis=1) == c["k"][x]
         return pa.table({"src": c["node"][a[ok]], "dst": c["node"][b[ok]]})
 
     return run
@@ -320,18 +336,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
         tmp.drop(pairs, ends, sets)
         return out
 
-    def binned(d: DataFrame, unit: list[str], columns: list[str]) -> DataFrame:
-        """Points of the units (blocks, tiles or pairs of tiles), about BIN of them in a bin."""
+    def binned(d: DataFrame, unit: list[str], columns: list[str], *more: str) -> DataFrame:
+        """Points (and ``more``) of the units (blocks, tiles or pairs of tiles), about BIN of them in a bin."""
         d = tmp.save(d.select(F.xxhash64(*unit).alias("unit"), *columns))
         bins = -(-d.count() // BIN) or 1
-        return d.join(nodes.select("node", "n", "point"), "node").withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(bins))).groupBy("bin")
+        return d.join(nodes.select("node", "n", "point", *more), "node").withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(bins))).groupBy("bin")
 
     keyed = nodes.select("node", F.posexplode("mins").alias("k", "key"))
-    sizes = tmp.save(keyed.groupBy("k", "key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"))
-    keyed = tmp.save(keyed.join(sizes, ["k", "key"]).withColumn("tiles", F.ceil(F.col("size") / NEAR)))
+    sizes = tmp.save(keyed.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1"))
+    keyed = tmp.save(keyed.join(sizes, ["k", "key"]))
+    central = tmp.save(keyed.groupBy("node").agg(F.sum("size").alias("weight")))
+    hubs = keyed.join(central, "node").groupBy("k", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    keyed = tmp.save(keyed.join(hubs, ["k", "key"]).withColumn("tiles", F.ceil(F.col("size") / NEAR)))
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     tile = F.explode(F.when(F.col("node") == F.col("hub"), every).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("tiles")))))
-    links = checked(binned(keyed.withColumn("tile", tile), ["k", "key", "tile"], ["node"]).applyInArrow(_nearest(num, den), "src long, dst long"), few=False)
+    links = checked(binned(keyed.withColumn("tile", tile), ["k", "key", "tile"], ["node", "hub"]).applyInArrow(_nearest(num, den), "src long, dst long"), few=False)
     comp = tmp.save(connected_components(links))
 
     # full pass: blocks with more than one component
@@ -345,7 +364,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     large = tmp.save(dealt.groupBy("k", "key", "at").agg(F.count("*").alias("points"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "key", "at", F.ceil(F.col("points") / TILE).alias("tiles")))
     dealt = dealt.join(large, ["k", "key", "at"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(every))
     dealt = dealt.withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
-    more = binned(dealt, ["k", "key", "at", "ti", "tj"], ["node", "component", "banded", "band", "at", "tile", "ti", "tj"]).applyInArrow(_full(num, den), "src long, dst long")
+    more = binned(dealt, ["k", "key", "at", "ti", "tj"], ["node", "k", "component", "banded", "band", "at", "tile", "ti", "tj"], "mins").applyInArrow(_full(num, den), "src long, dst long")
     links = links.union(checked(more, few=True))
 
     comp = tmp.save(connected_components(links))
