@@ -29,7 +29,7 @@ WIDTH = 13
 BUCKET_BYTES = 4 << 20
 MAX_BUCKETS = 1 << 19
 #: Windows that a task gathers before it deals them to buckets.
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
