@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.core import Scratch
 from tessera.functions import keys as K
 from tessera.functions import stats as S
 from tessera.operators import components as C
@@ -40,8 +41,10 @@ def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: st
     same pixels, by name, with their columns ``mask, norm, raw``. Families whose definition libraries leave open follow the docstrings of their operators.
     """
     k = [key]
+    tmp = Scratch(pixels.sparkSession, "summary")  # what several families read is computed once
+    pixels = tmp.save(pixels)
     fg = pixels.where(mask).select(*k, "row", "col")
-    lab = C.label(fg, k)
+    lab = tmp.save(C.label(fg, k))
     own = lab.join(pixels, [*k, "row", "col"])
     sites = C.geometry(lab, k, pixel_um, pixel_um).join(C.intensity(own, k, norm, "intensity"), [*k, "label"]).join(C.intensity(own, k, raw, "intensity_raw"), [*k, "label"])
     peri = C.perimeter(lab, k).select(*k, "label", (F.col("perimeter") * pixel_um).alias("perimeter_um"))
@@ -49,7 +52,7 @@ def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: st
     hull = C.hulls(lab, k).select(*k, "label", (F.col("convex_area") * pixel_um**2).alias("convex_area_um2"), "solidity", (F.col("caliper") * pixel_um).alias("feret_diameter_um"))
     for part in (peri, fill, hull):
         sites = sites.join(part, [*k, "label"], "left")
-    sites = C.shape_ratios(sites, "area_um2", "perimeter_um", "filled_area_um2").withColumnRenamed("hole_area", "hole_area_um2")
+    sites = tmp.save(C.shape_ratios(sites, "area_um2", "perimeter_um", "filled_area_um2").withColumnRenamed("hole_area", "hole_area_um2"))
     skip = {key, "label", "centroid_row_um", "centroid_col_um", "orientation_deg"}
     columns = [c for c in sites.columns if c not in skip and not (c.startswith("intensity_") and c not in ("intensity_mean", "intensity_raw_mean", "intensity_raw_median", "intensity_raw_iqr", "intensity_raw_integrated"))]
     top = sites.groupBy(*k).agg(S.most("intensity_integrated").alias("_top"))
@@ -62,7 +65,7 @@ def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: st
     area = area.join(count, k, "left").withColumn("num_sites_per_mm2_tissue", F.when(F.col("tissue_area_um2") > 0, F.coalesce("_n", F.lit(0.0)) / (F.col("tissue_area_um2") / 1e6))).drop("_n")
     edge = C.boundary_length(fg, k).select(*k, (F.col("boundary_length") * pixel_um).alias("topology_boundary_length_um"))
     points = sites.select(F.col(key).alias("grp"), F.col("label").alias("pid"), F.col("centroid_row_um").alias("y"), F.col("centroid_col_um").alias("x"))
-    nn = SP.knn(points, 5)
+    nn = tmp.save(SP.knn(points, 5))
     frame = height * pixel_um, width * pixel_um
     spatial = [f.withColumnRenamed("grp", key) for f in (SP.nn_stats(points, nn, *frame), SP.grid_dispersion(points, *frame), SP.knn_means(points, nn), SP.proximity_graph(points, nn), SP.tree_stats(SP.spanning_tree(points)))]
     parts = [site_family(sites, k, columns), *[long(f, k) for f in (R.pixel_features(pixels, k, mask, valid, norm, raw), scores, area, edge, C.census(lab, k, tissue, pixel_um**2), C.hole_summary(pixels, fg, k, height, width).drop("hole_count_exact"), R.box_dimension(fg, k, height, width), R.tile_features(pixels, k, height, width, mask, valid, norm), *spatial)]]

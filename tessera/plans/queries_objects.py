@@ -272,7 +272,7 @@ def job(spark, d):
     types = images.select("type").distinct()
     small = "named_struct('open_radius', 0, 'close_radius', 1, 'remove_small', 3, 'fill_holes_max_area', 5, 'clear_border', false, 'large_area_frac', 1.1D)"
     saved = spark.sql(
-        f"""SELECT type, map('dab', named_struct('threshold', named_struct('normalize', true, 'scale', 0.9D, 'absolute_normalized', CASE WHEN type = 1 THEN 0.5D END), 'morph', {small}),
+        f"""SELECT type, map('dab', named_struct('threshold', named_struct('normalize', true, 'scale', 0.9D, 'absolute_normalized', double(null)), 'morph', {small}),
         'hematoxylin', named_struct('threshold', named_struct('normalize', true, 'scale', 1D, 'absolute_normalized', double(null)), 'morph', {small})) AS channels, boolean(null) AS gating_enabled,
         CASE WHEN type = 2 THEN array(named_struct('target', 'dab', 'by', 'hematoxylin', 'mode', string(null), 'dilate_px', '1', 'min_overlap_frac', string(null))) END AS gating_rules FROM {{t}}""",
         t=types,

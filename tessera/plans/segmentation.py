@@ -78,7 +78,7 @@ def segment(rgb: DataFrame, images: DataFrame, params: DataFrame, height: int, w
     """
     tmp = Scratch(rgb.sparkSession, "segment")
     p = images.join(params, "type")
-    p = p.withColumn("rules", F.when("gating_enabled", F.col("gating_rules")).otherwise(F.array().cast(params.schema["gating_rules"].dataType)))
+    p = p.withColumn("rules", F.when(F.col("gating_enabled"), F.col("gating_rules")).otherwise(F.array().cast(params.schema["gating_rules"].dataType)))
     p = tmp.save(p.withColumn("wanted", F.array_union("channels_to_output", F.transform("rules", lambda r: r["by"]))))
     each = p.select("image", F.explode("wanted").alias("channel"), "pre_mask", "channels").select("image", "channel", "pre_mask", F.try_element_at("channels", "channel").alias("c")).where("c.enabled")
     each = tmp.save(each.withColumn("setting", F.xxhash64("channel", "pre_mask", "c")))

@@ -148,9 +148,17 @@ def test_neighbours_and_tree_of_clustered_points(spark):
     assert set(edges.grp) == {0, 1}
 
 
+@pytest.mark.parametrize("finish", [0, 3, None])
+def test_components_of_structs(spark, finish):
+    """Round by round, and with the last few edges in one task; nodes are structs, null fields first."""
+    e = spark.sql("""SELECT named_struct('g', a, 'i', b) AS src, named_struct('g', c, 'i', d) AS dst FROM VALUES ('x', 1, 'x', 2), ('x', 3, 'x', 2), (NULL, 9, 'x', 3), ('y', 1, 'y', 2), ('z', 5, 'z', 5), ('y', 4, 'y', 2), (NULL, 9, 'x', 1) AS t(a, b, c, d)""")
+    got = {tuple(r["node"]): tuple(r["component"]) for r in connected_components(e, finish=finish).collect()}
+    assert got == {k: (None, 9) for k in [("x", 1), ("x", 2), ("x", 3), (None, 9)]} | {k: ("y", 1) for k in [("y", 1), ("y", 2), ("y", 4)]} | {("z", 5): ("z", 5)}
+
+
 def test_components_of_stars_paths_and_loops(spark):
     e = [(0, i) for i in range(1, 50)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (500, 500), (None, 3)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "src long, dst long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "src long, dst long"), finish=0).collect()}
     assert got == {**{i: 0 for i in range(50)}, **{i: 100 for i in range(100, 141)}, 500: 500}
 
 

@@ -3,7 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions import keys as K
+from tessera.operators import components as C
+from tessera.operators import raster as R
 from tessera.plans import assembly
+from tessera.plans import segmentation as SG
 from tessera.sources import tables as IO
 
 
@@ -62,3 +66,73 @@ def test_channel_summary_runs_every_family(spark):
     for n in ("num_sites", "solidity_median", "pixel_raw_tissue_mean", "object_norm_mean_hscore", "topology_component_count", "tile_g4_mass_gini", "clark_evans_R", "graph_components", "mst_edge_mean_um", "texture_tissue_norm_s0p274um_contrast_mean", "texture_positive_raw_entropy_sd", "granularity_positive_norm_s8"):
         assert n in names
     assert not got.duplicated(["image", "feature"]).any()
+
+
+def test_an_image_is_named_by_its_files_first_row(spark, tmp_path):
+    root = tmp_path / "212" / "sites" / "dab"
+    root.mkdir(parents=True)
+    (root / "one.csv").write_text("image,area\nzz,3.5\naa,4.5\n")
+    (root / "two.csv").write_text("image,area\n,1.0\nbb,2.0\n")
+    got = {(r["image"], r["area"]) for r in IO.read_sites(spark, str(tmp_path), "212", "image string, area double").collect()}
+    assert got == {("zz", 3.5), ("zz", 4.5)}
+
+
+def test_grid_position_takes_both_numbers_from_one_form(spark):
+    d = spark.createDataFrame([("a_r99999999999_c4_col7_row8",), ("col7_x_ROW8",), ("row3 col4",), ("none",)], "name string")
+    r, c = K.grid_position(F.col("name"))
+    assert [tuple(x) for x in d.select(r, c).collect()] == [(None, 4), (8, 7), (3, 4), (None, None)]
+
+
+def test_summaries_fall_back_to_those_by_type(spark, tmp_path):
+    d = spark.createDataFrame([("r1_c1", "a", 1.0), ("r1_c2", "a", 2.0), ("r2_c2", "b", 3.0)], "image string, type string, v double")
+    IO.write_summaries(d, str(tmp_path / "x"))
+    IO.write_table(d, str(tmp_path / "y" / "summary" / "by_type"), ["type"], ["image"])
+    for k in "xy":
+        assert {(r["image"], r["type"], r["v"], r["r"], r["c"]) for r in IO.load_summary(spark, str(tmp_path / k)).collect()} == {("r1_c2", "a", 2.0, 1, 2), ("r2_c2", "b", 3.0, 2, 2)}
+
+
+def test_legacy_columns_of_summary_and_site_files(spark, tmp_path):
+    for n in ("a/one.csv", "b/two.csv"):
+        (tmp_path / n).parent.mkdir()
+        (tmp_path / n).write_text("image,Perimeter_PX,area_um2\nx,1,2\n")
+    d = spark.createDataFrame([(1, 2)], "density_per_px int, solidity int")
+    assert {tuple(r) for r in IO.legacy_outputs(d, str(tmp_path)).collect()} == {("summary", "density_per_px"), ("sites", "Perimeter_PX")}
+    assert IO.legacy_outputs(d.select("solidity")).count() == 0
+
+
+def test_saved_parameters_over_built_in_ones(spark):
+    types = spark.createDataFrame([("a",), ("b",), ("c",)], "type string")
+    saved = spark.sql("""SELECT * FROM VALUES
+      ('a', map('dab', named_struct('morph', named_struct('open_radius', 9), 'enabled', false)), boolean(null), array(named_struct('target', 'dab', 'by', string(null), 'mode', string(null), 'dilate_px', 'x', 'min_overlap_frac', string(null)), named_struct('target', string(null), 'by', 'eosin', 'mode', 'odd', 'dilate_px', '4', 'min_overlap_frac', '0.5'))),
+      ('b', NULL, boolean(null), NULL), ('z', NULL, true, NULL) AS t(type, channels, gating_enabled, gating_rules)""")
+    got = {r["type"]: r for r in IO.load_parameters(types, saved).collect()}
+    assert set(got) == {"a", "b", "c"}
+    dab = got["a"]["channels"]["dab"]
+    assert (dab["morph"]["open_radius"], dab["morph"]["close_radius"], dab["enabled"], dab["threshold"]["method"]) == (9, 7, False, "otsu")
+    assert set(got["a"]["channels"]) == {"hematoxylin", "eosin", "dab"} and got["a"]["channels"]["eosin"]["enabled"]
+    assert got["a"]["gating_enabled"] and [tuple(r) for r in got["a"]["gating_rules"]] == [("dab", "eosin", "odd", 4, 0.5)]
+    assert not got["b"]["gating_enabled"] and got["b"]["gating_rules"] == []
+    assert not got["c"]["gating_enabled"] and [tuple(r) for r in got["c"]["gating_rules"]] == [("dab", "hematoxylin", "touching", 15, 0.0)]
+    small = IO.preview_parameters(IO.default_parameters(types).withColumns({"height_scale": F.lit(2.0), "width_scale": F.lit(8.0)})).first()["channels"]
+    assert [(m["open_radius"], m["close_radius"], m["remove_small"]) for m in (small[c]["morph"] for c in ("hematoxylin", "dab"))] == [(0, 1, 4), (0, 2, 9)]
+
+
+def test_the_job_equals_its_operators(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, r, c, *(int(x) for x in rng.integers(70, 220, 3))) for i in range(2) for r in range(8) for c in range(8)]
+    rgb = spark.createDataFrame(rows, "image int, row int, col int, r int, g int, b int")
+    images = spark.createDataFrame([(0, "a"), (1, "b")], "image int, type string")
+    keep = {"open_radius": 0, "close_radius": 1, "small": 2, "fill": True, "fill_area": 64, "border": False, "long_fraction": 0.0, "long_reference": 0}
+    base = IO.default_parameters(images.select("type")).withColumn("channels_to_output", F.array(F.lit("dab")))
+    quiet = lambda k, v: v.withField("threshold", v["threshold"].withField("normalize", F.lit(True))).withField("morph", v["morph"].withField("open_radius", F.lit(0)).withField("close_radius", F.lit(1)).withField("remove_small", F.lit(2)).withField("remove_large_connected", F.lit(False)).withField("clear_border", F.lit(False)))
+    params = base.withColumn("channels", F.transform_values("channels", quiet)).withColumn("gating_enabled", F.col("type") == "b").withColumn("gating_rules", F.transform("gating_rules", lambda r: r.withField("dilate_px", F.lit(0)).withField("min_overlap_frac", F.lit(0.2))))
+    job = SG.segment(rgb, images, params, 8, 8)
+    valid = R.tissue(F.col("r"), F.col("g"), F.col("b"), True, 5, True, 0.9, 0.25)
+    dab, px = SG.stain_channel(rgb, ["image"], "dab", valid, 8, 8, **keep)
+    by, _ = SG.stain_channel(rgb, ["image"], "hematoxylin", valid, 8, 8, **keep)
+    gated = C.gate(dab.where("image = 1"), px.join(by.withColumn("g", F.lit(True)), ["image", "row", "col"], "left").withColumn("g", F.coalesce("g", F.lit(False))), "g", ["image"], dilate_px=0, min_overlap=0.2)
+    want = {tuple(r) for r in dab.where("image = 0").unionByName(gated).select("image", "row", "col").collect()}
+    masks = job["masks"].where("channel = 'dab'").select("image", "row", "col")
+    assert {tuple(r) for r in masks.collect()} == want and any(r[0] == 1 for r in want)
+    s = SG.sites(job)
+    assert {r["channel"] for r in s.select("channel").distinct().collect()} == {"dab"} and s.agg(F.sum("area_um2")).first()[0] == len(want)
