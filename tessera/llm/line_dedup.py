@@ -165,7 +165,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     links = tmp.save(both.where(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    comp = connected_components(links)
+    comp = connected_components(links, finish=0)
     keyed = distinct.select("k", "k2", "own", "again", "node").join(comp, "node", "left")
     least = tmp.save(keyed.where("component is not null").groupBy("component").agg(F.min("own").alias("first")))
     keyed = keyed.where("component is not null or again").join(least, "component", "left").select("k", "k2", F.coalesce("first", "own").alias("first"))
