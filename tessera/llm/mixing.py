@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
 #: floor(2**32 / golden ratio), odd: a Weyl sequence on 32 bits.
 GOLDEN = 2654435769
+#: Cells of the unit interval by which slots find their source: at least CELLS, and four times as many as sources.
 CELLS = 1024
 SLOT_CHUNK = 8192
 
@@ -77,11 +78,12 @@ def mix_schedule(docs: DataFrame, share: float = 1.5, max_repeat: int = 2, weigh
     spans = placed.select("s", "row", "a", "size", F.explode(F.sequence(F.floor(F.col("a") / block_words), F.floor((F.col("a") + F.col("size") - 1) / block_words))).alias("block"))
 
     # slots: golden-ratio points through the cumulative shares
-    goal = sources.agg(F.sum("target")).first()[0] or 0.0
+    goal, n = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
+    n_cells = max(CELLS, 4 * n)
     slots = spark.range(int(-(-goal // block_words))).withColumnRenamed("id", "slot")
     point = F.pmod((F.pmod(F.col("slot"), F.lit(1 << 31)) + 1) * F.lit(GOLDEN), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    slots = slots.withColumn("u", point).withColumn("cell", F.floor(F.col("u") * CELLS))
-    cells = sources.where("hi > lo").select("s", "lo", "hi", F.ceil(F.col("source_size") / block_words).alias("blocks"), F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    slots = slots.withColumn("u", point).withColumn("cell", F.floor(F.col("u") * n_cells))
+    cells = sources.where("hi > lo").select("s", "lo", "hi", F.ceil(F.col("source_size") / block_words).alias("blocks"), F.explode(F.sequence(F.floor(F.col("lo") * n_cells), F.least(F.floor(F.col("hi") * n_cells), F.lit(n_cells - 1)))).alias("cell"))
     slots = slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "s", "blocks", F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
     slots = tmp.save(slots)
     count = slots.groupBy("s", "chunk").agg(F.count("*").alias("n"))
