@@ -15,6 +15,8 @@ from tessera.core import Scratch
 from tessera.functions import stats as S
 from tessera.operators.graph import connected_components
 
+#: Halvings of the mean cell.
+LEVELS = 12
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
 
@@ -27,10 +29,25 @@ def _spread(df: DataFrame, side: str) -> DataFrame:
     return df.withColumn("_m", F.explode(moves)).withColumn("cy", _cell("y", side) + F.col("_m.a")).withColumn("cx", _cell("x", side) + F.col("_m.b")).drop("_m")
 
 
+def _finest(probes: DataFrame, base: DataFrame, box: DataFrame, k: int) -> DataFrame:
+    """``probes`` with the ``side`` to begin with, and the group's ``reach``."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+
+    def cells(points: DataFrame, *more: str) -> DataFrame:
+        p = points.join(box, "grp").select("grp", *more, "y", "x", "side", level).withColumn("side", F.col("side") / F.pow(F.lit(2.0), F.col("level")))
+        return p.select("grp", *more, "level", _cell("y", "side").alias("cy"), _cell("x", "side").alias("cx"))
+
+    full = cells(base).groupBy("grp", "level", "cy", "cx").agg(F.count("*").alias("n")).where((F.col("n") > k) & (F.col("level") > 0))
+    own = cells(probes, "pid").join(full, ["grp", "level", "cy", "cx"]).groupBy("grp", "pid").agg(F.max("level").alias("level"))
+    p = probes.join(own, ["grp", "pid"], "left").join(box, "grp")
+    return p.select("grp", "pid", "y", "x", (F.col("side") / F.pow(F.lit(2.0), F.coalesce("level", F.lit(0)))).alias("side"), "reach")
+
+
 def nearest(probes: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, max_rounds: int = 40) -> DataFrame:
     """Exact k nearest ``base`` points of each probe of the same group: ``grp, pid, rank, nid, d``.
 
-    A probe is settled when its k-th candidate among the 3x3 cells about it is no further than a cell's side, since all
+    A probe begins with the finest cells (the group's mean size halved up to LEVELS times) of which its own holds k other points, so that points that
+    crowd together do not all share a cell. It is settled when its k-th candidate among the 3x3 cells about it is no further than a cell's side, since all
     points outside are; the others go on with cells of twice the side until the block covers the group. Ties go to the smaller id.
     """
     tmp = Scratch(probes.sparkSession, "nearest")
@@ -40,7 +57,7 @@ def nearest(probes: DataFrame, base: DataFrame, k: int, exclude_self: bool = Fal
     reach = F.greatest(h, w)
     side = F.sqrt(h * w * (k + 1) / F.col("n"))
     box = tmp.save(box.select("grp", F.when(side > 0, side).when(reach > 0, reach).otherwise(F.lit(1.0)).alias("side"), reach.alias("reach")))
-    todo, done = probes.select("grp", "pid", "y", "x").join(box, "grp"), None
+    todo, done = tmp.save(_finest(probes.select("grp", "pid", "y", "x"), base, box, k)), None
     for round_ in range(max_rounds):
         b = base.join(todo.select("grp", "side").distinct(), "grp").select("grp", "side", F.col("pid").alias("nid"), F.col("y").alias("by"), F.col("x").alias("bx"), _cell("y", "side").alias("cy"), _cell("x", "side").alias("cx"))
         c = _spread(todo, "side").join(b, ["grp", "side", "cy", "cx"], "left")

@@ -68,7 +68,7 @@ def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: st
     nn = tmp.save(SP.knn(points, 5))
     frame = height * pixel_um, width * pixel_um
     spatial = [f.withColumnRenamed("grp", key) for f in (SP.nn_stats(points, nn, *frame), SP.grid_dispersion(points, *frame), SP.knn_means(points, nn), SP.proximity_graph(points, nn), SP.tree_stats(SP.spanning_tree(points)))]
-    parts = [site_family(sites, k, columns), *[long(f, k) for f in (R.pixel_features(pixels, k, mask, valid, norm, raw), scores, area, edge, C.census(lab, k, tissue, pixel_um**2), C.hole_summary(pixels, fg, k, height, width).drop("hole_count_exact"), R.box_dimension(fg, k, height, width), R.tile_features(pixels, k, height, width, mask, valid, norm), *spatial)]]
+    parts = [site_family(sites, k, columns), *[long(f, k) for f in (R.pixel_features(pixels, k, mask, valid, norm, raw), scores, area, edge, C.census(lab, k, tissue, pixel_um**2), C.hole_summary(pixels, fg, k, height, width).drop("hole_count_exact"), R.box_dimension(fg, k, height, width).withColumnRenamed("fractal_dimension", "topology_fractal_dimension"), R.tile_features(pixels, k, height, width, mask, valid, norm), *spatial)]]
     for place, where in (("tissue", F.col(valid)), ("positive", F.col(valid) & F.col(mask))):
         for kind, value in (("norm", norm), ("raw", raw)):
             q = R.normalise(pixels.where(where), k, value, "_n", robust=True).select(*k, "row", "col", R.quantise(F.col("_n")).alias("lv"))
@@ -78,7 +78,8 @@ def channel_summary(pixels: DataFrame, key: str, mask: str, valid: str, norm: st
             parts.append(t.select(*k, F.concat(base, F.lit("_mean")).alias("feature"), F.col("mean").alias("value")))
             parts.append(t.where("scale is null").select(*k, F.concat(base, F.lit("_sd")).alias("feature"), F.col("sd").alias("value")))
         g = R.normalise(pixels.withColumn("_w", where), k, norm, "_n", where=F.col("_w"), robust=True)
-        parts.append(long(FO.granularity(g, k, "_n", "_w", name=f"granularity_{place}_norm_s{{r}}"), k))
+        base = f"granularity_{place}_norm_"
+        parts.append(long(FO.granularity(g, k, "_n", "_w", name=base + "{r}").withColumnsRenamed({f"{base}{r}": base + K.scale_label(r * pixel_um) for r in (1, 2, 4, 8)}), k))
     parts += [long(cross_channel(pixels, key, mask, valid, norm, raw, lab, points, name, other, pixel_um), k) for name, other in (others or {}).items()]
     return reduce(DataFrame.unionByName, parts)
 

@@ -227,3 +227,15 @@ def test_strict_position_raises(spark):
     d = spark.createDataFrame([("nothing.png",)], "n string")
     with pytest.raises(Exception, match="no row and column"):
         d.select(*[c.alias(n) for c, n in zip(K.grid_position(F.col("n"), strict=True), "rc")]).collect()
+
+
+def test_neighbours_of_crowded_points_equal_brute_force(spark):
+    """Two crowds far apart and a few points between: crowds begin with fine cells."""
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.normal(0, 1e-3, (120, 2)), rng.normal(1000, 1e-2, (80, 2)), rng.random((12, 2)) * 1000, [[0.0, 0.0]] * 8])
+    d = spark.createDataFrame([(0, i, float(y), float(x)) for i, (y, x) in enumerate(p)], "grp int, pid int, y double, x double")
+    got = {(r["pid"], r["rank"]): r["nid"] for r in SP.knn(d, 3).collect()}
+    dist = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    for i in range(len(p)):
+        order = sorted((j for j in range(len(p)) if j != i), key=lambda j: (dist[i, j], j))[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == order

@@ -1,6 +1,7 @@
 """Sources, sinks, and the full channel summary."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys as K
@@ -61,11 +62,17 @@ def test_channel_summary_runs_every_family(spark):
     rng = np.random.default_rng(0)
     rows = [(i, r, c, float(v)) for i in range(2) for r in range(10) for c in range(10) for v in [rng.random()]]
     d = spark.createDataFrame(rows, "image int, row int, col int, v double").withColumn("m", F.col("v") > 0.6).withColumn("ok", F.col("v") > 0.05)
-    got = assembly.channel_summary(d, "image", "m", "ok", "v", "v", 10, 10).toPandas()
+    d = d.withColumn("o", F.col("v") < 0.3)
+    got = assembly.channel_summary(d, "image", "m", "ok", "v", "v", 10, 10, others={"dab": {"mask": "o", "norm": "v", "raw": "v"}}).toPandas()
     names = set(got[got.image == 0].feature)
-    for n in ("num_sites", "solidity_median", "pixel_raw_tissue_mean", "object_norm_mean_hscore", "topology_component_count", "tile_g4_mass_gini", "clark_evans_R", "graph_components", "mst_edge_mean_um", "texture_tissue_norm_s0p274um_contrast_mean", "texture_positive_raw_entropy_sd", "granularity_positive_norm_s8"):
+    for n in ("num_sites", "solidity_median", "pixel_raw_tissue_mean", "object_norm_mean_hscore", "topology_component_count", "tile_g4_mass_gini", "clark_evans_R", "graph_components", "mst_edge_mean_um", "texture_tissue_norm_s0p274um_contrast_mean", "texture_positive_raw_entropy_sd", "granularity_positive_norm_s2p19um", "topology_fractal_dimension", "topology_boundary_length_um", "num_sites_per_mm2_tissue", "cross_with_dab_jaccard", "cross_with_dab_annulus_15_30um_norm_mean"):
         assert n in names
     assert not got.duplicated(["image", "feature"]).any()
+    # 295 features and 15 of the other channel, less the five of Delaunay triangles
+    assert len(names) == 295 + 15 - 5 and sum(n.startswith("cross_with_dab_") for n in names) == 15
+    one = got[got.image == 0].set_index("feature").value
+    hits = d.where("image = 0").toPandas()
+    assert one["cross_with_dab_jaccard"] == 0 and one["percent_area_stained"] == hits.m.mean() and one["tissue_area_um2"] == pytest.approx(hits.ok.sum() * assembly.PIXEL_UM**2)
 
 
 def test_an_image_is_named_by_its_files_first_row(spark, tmp_path):
