@@ -27,18 +27,21 @@ def runs(mask: DataFrame, keys: list[str]) -> DataFrame:
     return mask.select(*keys, "row", "col", island.alias("_i")).groupBy(*keys, "row", "_i").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_i")
 
 
-def label(mask: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
-    """Foreground pixels with ``label`` (long)."""
-    spark = mask.sparkSession
-    tmp = Scratch(spark, "label")
+def label_runs(r: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
+    """Runs (``keys, row, c0, c1``) with ``label``: those of adjacent rows that overlap, or (8-connected) touch at a corner, are one object."""
+    tmp = Scratch(r.sparkSession, "label")
     reach = 1 if connectivity == 8 else 0
-    r = runs(mask, keys).withColumn("first", F.col("row").cast("long") * STRIDE + F.col("c0"))
+    r = r.select(*keys, "row", "c0", "c1", (F.col("row").cast("long") * STRIDE + F.col("c0")).alias("first"))
     r = tmp.save(r.withColumn("node", F.struct(*keys, "first")))
     up = r.select(*keys, (F.col("row") + 1).alias("row"), F.col("c0").alias("u0"), F.col("c1").alias("u1"), F.col("node").alias("src"))
     e = r.join(up, [*keys, "row"]).where((F.col("c0") <= F.col("u1") + reach) & (F.col("c1") >= F.col("u0") - reach)).select("src", F.col("node").alias("dst"))
     comp = tmp.save(connected_components(e).select("node", F.col("component.first").alias("label")))
-    r = r.join(comp, "node", "left").select(*keys, "row", "c0", "c1", F.coalesce("label", "first").alias("label"))
-    return r.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
+    return r.join(comp, "node", "left").select(*keys, "row", "c0", "c1", F.coalesce("label", "first").alias("label"))
+
+
+def label(mask: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
+    """Foreground pixels with ``label`` (long)."""
+    return label_runs(runs(mask, keys), keys, connectivity).select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
 
 
 def sizes(labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -210,14 +213,24 @@ def boundary_length(mask: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def filled_area(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Per object: area, hole area (4-connected background parts of its box that do not reach the box's edge) and Euler number (8)."""
+    """Per object: area, hole area (4-connected background parts of its box that do not reach the box's edge) and Euler number (8).
+
+    The background of a box, one pixel wider than the object, is taken as row runs: what lies between the object's own runs. So the work grows with
+    the object's runs, not with its box.
+    """
     k = [*keys, "label"]
-    box = sizes(labels, keys)
-    every = box.select(*k, F.explode(F.sequence(F.col("r0") - 1, F.col("r1") + 1)).alias("row"), "c0", "c1").select(*k, "row", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("col"))
-    bg = label(every.join(labels.select(*k, "row", "col"), [*k, "row", "col"], "left_anti").withColumnRenamed("label", "object"), [*keys, "object"], 4)
-    bg = sizes(bg, [*keys, "object"]).withColumnRenamed("label", "part").select(*keys, F.col("object").alias("label"), "area", F.col("r0").alias("h0"), F.col("r1").alias("h1"))
-    # the background ring around the box is one part; it holds the row above the box
-    hole = bg.join(box.select(*k, "r0"), k).where(F.col("h0") >= F.col("r0")).groupBy(*k).agg(F.sum("area").alias("hole_area"), F.count("*").alias("holes"))
+    own = runs(labels, k)
+    box = own.groupBy(*k).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.min("row").alias("r0"), F.max("row").alias("r1"), (F.min("c0") - 1).alias("b0"), (F.max("c1") + 1).alias("b1"))
+    by = W.partitionBy(*k, "row").orderBy("c0")
+    span = lambda a, z: F.struct(a.alias("c0"), z.alias("c1"))
+    d = own.join(box.select(*k, "b0", "b1"), k).withColumn("left", F.coalesce(F.lag("c1").over(by) + 1, F.col("b0"))).withColumn("last", F.lead("c0").over(by).isNull())
+    gaps = F.array(span(F.col("left"), F.col("c0") - 1), F.when(F.col("last"), span(F.col("c1") + 1, F.col("b1"))))
+    gaps = d.select(*k, "row", F.explode(F.filter(gaps, lambda g: g["c0"] <= g["c1"])).alias("g")).select(*k, "row", "g.c0", "g.c1")
+    rims = box.select(*k, F.explode(F.array(F.col("r0") - 1, F.col("r1") + 1)).alias("row"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
+    bg = label_runs(gaps.unionByName(rims).withColumnRenamed("label", "object"), [*keys, "object"], 4)
+    bg = bg.groupBy(*keys, "object", "label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.min("row").alias("h0")).select(*keys, F.col("object").alias("label"), F.col("area").alias("hole"), "h0")
+    # the ring around the object is one part; it holds the row above the box
+    hole = bg.join(box.select(*k, "r0"), k).where(F.col("h0") >= F.col("r0")).groupBy(*k).agg(F.sum("hole").alias("hole_area"), F.count("*").alias("holes"))
     out = box.select(*k, "area").join(hole, k, "left").select(*k, "area", F.coalesce("hole_area", F.lit(0)).alias("hole_area"), F.coalesce("holes", F.lit(0)).alias("holes"))
     return out.withColumn("filled_area", F.col("area") + F.col("hole_area")).withColumn("euler", 1 - F.col("holes")).withColumn("euler_reported", F.when(F.col("euler") == 0, F.lit(1)).otherwise(F.col("euler")))
 

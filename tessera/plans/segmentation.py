@@ -31,6 +31,7 @@ def stain_channel(rgb: DataFrame, keys: list[str], channel: str, valid, height:
     value = "norm" if normalised else "raw"
     t = TH.threshold(d, keys, value, "valid", method) if absolute is None else d.select(*keys).distinct().withColumn("t", F.lit(float(absolute)))
     d = d.join(t, keys).withColumn("_hit", R.over_threshold(F.col(value), F.col("t"), F.lit(absolute).cast("double"), scale, normalised, F.col("valid"))).drop("t")
+    d = Scratch(rgb.sparkSession, "stain").save(d)  # each step of the clean-up reads it
     return C.clean_up(d, keys, "_hit", height, width, **(MORPHOLOGY | morphology)), d.drop("_hit")
 
 
