@@ -41,7 +41,7 @@ from tessera.operators.graph import connected_components
 
 WIDTH, NUM, DEN, KEYS = 5, 75, 100, 36
 #: Points of one tree (a larger block is cut into tiles) in the nearest and in the full pass.
-NEAR, TILE = 256, 2048
+NEAR, TILE = 256, 1024
 #: Points of a box, and of a bin; units up to ALL points are one box.
 LEAF, BIN, ALL = 16, 8192, 24
 #: Boxes in one of the level above.
@@ -233,27 +233,31 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, num: int, den: int, seen: l
     return order[i], order[j]
 
 
-def candidates(points: Points, unit: np.ndarray, num: int, den: int):
-    """Row pairs (a before b, of one unit) that sizes and bounds allow, and their bounds. Rows are sorted by unit."""
+def candidates(points: Points, unit: np.ndarray, num: int, den: int, keep=None):
+    """Row pairs (a before b, of one unit) that sizes, ``keep`` and bounds allow, and their bounds. Rows are sorted by unit; a large unit is finished before the next."""
     cut = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
     many = np.diff(cut)
-    parts = []
+    n = points.n
+
+    def left(a, b):
+        ok = den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])
+        if keep is not None:
+            ok &= keep(a, b)
+        a, b = a[ok], b[ok]
+        bound = points.bounds(a, b)
+        ok = bound * (num + den) >= num * (n[a] + n[b])
+        return a[ok], b[ok], bound[ok]
+
     # small units: one box each, all of them at once
     row = np.flatnonzero(np.repeat(many <= ALL, many))
-    ends = np.repeat(cut[1:], many)[row]
-    reps = ends - row - 1
+    reps = np.repeat(cut[1:], many)[row] - row - 1
     a = np.repeat(row, reps)
-    parts.append((a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reps) - reps, reps)))
+    parts = [left(a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reps) - reps, reps))]
     for u in np.flatnonzero(many > ALL):
         rows = np.arange(cut[u], cut[u + 1])
-        i, j = tree_join(points.matrix(rows, int(points.width[rows].min())), points.n[rows], num, den)
-        parts.append((rows[np.minimum(i, j)], rows[np.maximum(i, j)]))
-    a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    ok = den * np.minimum(points.n[a], points.n[b]) >= num * np.maximum(points.n[a], points.n[b])
-    a, b = a[ok], b[ok]
-    bound = points.bounds(a, b)
-    ok = bound * (num + den) >= num * (points.n[a] + points.n[b])
-    return a[ok], b[ok], bound[ok]
+        i, j = tree_join(points.matrix(rows, int(points.width[rows].min())), n[rows], num, den)
+        parts.append(left(rows[np.minimum(i, j)], rows[np.maximum(i, j)]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _sorted_bin(table: pa.Table):
@@ -291,12 +295,13 @@ def _full(num: int, den: int):
 
     def run(table: pa.Table) -> pa.Table:
         c, points, mins = _sorted_bin(table)
-        a, b, _ = candidates(points, c["unit"], num, den)
-        ok = c["component"][a] != c["component"][b]
-        # the pair belongs to the band of its smaller member, and to two tiles only where they differ
-        ok &= ~c["banded"][a] | (np.minimum(c["band"][a], c["band"][b]) == c["at"][a])
-        ok &= (c["ti"][a] == c["tj"][a]) | (c["tile"][a] != c["tile"][b])
-        a, b = a[ok], b[ok]
+
+        def keep(a, b):
+            # the pair belongs to the band of its smaller member, and to two tiles only where they differ
+            ok = (c["component"][a] != c["component"][b]) & (~c["banded"][a] | (np.minimum(c["band"][a], c["band"][b]) == c["at"][a]))
+            return ok & ((c["ti"][a] == c["tj"][a]) | (c["tile"][a] != c["tile"][b]))
+
+        a, b, _ = candidates(points, c["unit"], num, den, keep)
         keys = np.stack([x.values.to_numpy() for x in mins])
         ok = np.zeros(len(a), bool)
         for i in range(0, len(a), 1 << 15):
