@@ -136,8 +136,8 @@ def test_the_job_equals_its_operators(spark):
     job = SG.segment(rgb, images, params, 8, 8)
     valid = R.tissue(F.col("r"), F.col("g"), F.col("b"), True, 5, True, 0.9, 0.25)
     dab, px = SG.stain_channel(rgb, ["image"], "dab", valid, 8, 8, **keep)
-    by, _ = SG.stain_channel(rgb, ["image"], "hematoxylin", valid, 8, 8, **keep)
-    gated = C.gate(dab.where("image = 1"), px.join(by.withColumn("g", F.lit(True)), ["image", "row", "col"], "left").withColumn("g", F.coalesce("g", F.lit(False))), "g", ["image"], dilate_px=0, min_overlap=0.2)
+    by = job["masks"].where("channel = 'hematoxylin'").select("image", "row", "col", F.lit(True).alias("gated"))
+    gated = C.gate(dab.where("image = 1"), px.join(by, ["image", "row", "col"], "left").withColumn("gated", F.coalesce("gated", F.lit(False))), "gated", ["image"], dilate_px=0, min_overlap=0.2)
     want = {tuple(r) for r in dab.where("image = 0").unionByName(gated).select("image", "row", "col").collect()}
     masks = job["masks"].where("channel = 'dab'").select("image", "row", "col")
     assert {tuple(r) for r in masks.collect()} == want and any(r[0] == 1 for r in want)
