@@ -29,6 +29,8 @@ the smallest id among rows reachable from that row; very long texts have points
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +45,7 @@ WIDTH, NUM, DEN, KEYS = 5, 75, 100, 36
 #: Points of one tree (a larger block is cut into tiles) in the nearest and in the full pass.
 NEAR, TILE = 256, 1024
 #: Points of a box, and of a bin; units up to ALL points are one box.
-LEAF, BIN, ALL = 16, 8192, 24
+LEAF, BIN, ALL = 16, 4096, 24
 #: Boxes in one of the level above.
 FAN = 4
 MAX_GROUPS = 8192
@@ -312,6 +314,18 @@ def _full(num: int, den: int):
     return run
 
 
+@contextlib.contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 256):
+    """A pair carries two whole sets: the default of 10,000 rows a batch would be hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id``.
 
@@ -337,7 +351,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
         sets = tmp.save(sets.join(ends.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "shingles").dropDuplicates(["node"]))
         left = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src")
         both = left.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst").select("src", "dst", "a", "b")
-        out = tmp.save(both.mapInArrow(_check(num, den), "src long, dst long"))
+        with few_rows_a_batch(spark):
+            out = tmp.save(both.mapInArrow(_check(num, den), "src long, dst long"))
         tmp.drop(pairs, ends, sets)
         return out
 
