@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
+import itertools
 import os
 import shutil
 import sys
@@ -86,15 +87,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+        self.ids = itertools.count(1)  # safe between threads
         owner = _SCOPE.get()
         if owner is not None:
             owner.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back; the schema is kept, so no file is opened to infer it."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = f"{self.root}/{next(self.ids)}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
