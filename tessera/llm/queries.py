@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from tessera.llm import chat_format, decontaminate, embedding_dedup, langid, line_dedup, mixing, ngram_jaccard, substring_dedup, toxicity, warc
+from tessera.llm import chat_format, decontaminate, embedding_dedup, langid, line_dedup, mixing, ngram_jaccard, prefix_trie, quality_rules, substring_dedup, toxicity, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 SQL = {
     "op2_ngram_jaccard": ngram_jaccard.OP2_SQL,
@@ -22,4 +25,5 @@ SQL = {
     "op7_warc": warc.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
