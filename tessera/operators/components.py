@@ -1,7 +1,7 @@
 """Connected objects of masks, clean-up by object, and object measures.
 
-Objects are found on runs: gaps-and-islands turn each row of the mask into runs, runs of adjacent rows
-that overlap (8-connected: or touch diagonally) are linked, and the run graph's components are the objects. A label
+Objects are found in two levels: inside tiles on arrays, then over the tiles' edges as components of an edge table. Where only runs of rows are at
+hand (holes of an object's box), runs of adjacent rows that overlap are linked, and the run graph's components are the objects. A label
 is the object's first pixel in row order (``row * STRIDE + col``), unique within the image keys.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.core import Scratch, ship
 from tessera.functions import stats as S
 from tessera.operators import focal
+from tessera.operators import tiles as TL
 from tessera.operators.graph import connected_components
 
 STRIDE = 1 << 24
@@ -40,8 +42,34 @@ def label_runs(r: DataFrame, keys: list[str], connectivity: int = 8) -> DataFram
 
 
 def label(mask: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
-    """Foreground pixels with ``label`` (long)."""
-    return label_runs(runs(mask, keys), keys, connectivity).select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
+    """Foreground pixels with ``label`` (long), in two levels: objects of tiles first, then components of the tiles' touching edges.
+
+    What is joined over tiles grows with the edges of tiles, and its rounds with the number of tiles that an object crosses, not with its pixels.
+    """
+    tmp = Scratch(mask.sparkSession, "label")
+    size, reach = TL.TILE, 1 if connectivity == 8 else 0
+    p = mask.select(*keys, "row", "col")
+
+    def work(t: TL.Tile) -> pa.Table:
+        r, c0, c1, root = TL.label_array(t.here, reach)
+        first = (r + t.r0) * STRIDE + c0 + t.c0
+        out = np.zeros(t.shape, np.int64)
+        n = c1 - c0 + 1
+        out[np.repeat(r, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(c0, n)] = np.repeat(first[root], n)
+        return t.pixels([*keys, "row", "col"], label=out)
+
+    lab = tmp.save(TL.over_tiles(p, keys, 0, work, TL.schema_of(p, p.columns, label="long"), size))
+    at = lambda x: F.pmod(F.col(x), F.lit(size))
+    rim = lab.where((at("row") == 0) | (at("row") == size - 1) | (at("col") == 0) | (at("col") == size - 1))
+    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if reach else [])]
+    moved = rim.select(*keys, F.col("label").alias("from"), F.explode(F.array(*[F.struct((F.col("row") + dy).alias("row"), (F.col("col") + dx).alias("col")) for dy, dx in steps])).alias("m"))
+    over = moved.select(*keys, "from", "m.row", "m.col").join(rim, [*keys, "row", "col"]).where("from <> label").select(*keys, "from", "label").distinct()
+    node = lambda x: F.struct(*keys, F.col(x).alias("label"))
+    edges = tmp.save(over.select(node("from").alias("src"), node("label").alias("dst")))
+    if edges.isEmpty():
+        return lab
+    comp = tmp.save(connected_components(edges).select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.label").alias("label"), F.col("component.label").alias("_to")))
+    return lab.join(comp, [*keys, "label"], "left").select(*keys, "row", "col", F.coalesce("_to", "label").alias("label"))
 
 
 def sizes(labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,10 +117,7 @@ def fill_holes(pixels: DataFrame, mask: DataFrame, keys: list[str], height: int,
 def clean_up(pixels: DataFrame, keys: list[str], mask: str, height: int, width: int, open_radius=0, close_radius=0, small=0, long_fraction=0.0, long_reference=0, fill: bool = False, fill_area: int = 64, border: bool = False) -> DataFrame:
     """Mask pixels after opening, closing, small objects, long objects, holes and border, in that order."""
     d = pixels.select(*keys, "row", "col", F.col(mask).cast("int").alias("_m"))
-    if open_radius:
-        d = focal.opened(d, keys, "_m", open_radius)
-    if close_radius:
-        d = focal.closed(d, keys, "_m", close_radius)
+    d = focal.chain(d, keys, "_m", [("min", open_radius), ("max", open_radius), ("max", close_radius), ("min", close_radius)])
     m = d.where("_m = 1").select(*keys, "row", "col")
     m = remove_small(m, keys, small)
     m = remove_long(m, keys, long_fraction, height, width, long_reference)
@@ -159,20 +184,9 @@ def shape_ratios(df: DataFrame, area: str, perimeter: str, filled: str) -> DataF
     return df.withColumns({"circularity": F.when(p > 0, F.try_divide(four_pi * a, p * p)).otherwise(F.lit(0.0)), "roughness": F.when(a > 0, F.try_divide(p * p, four_pi * a)), "hole_area": hole, "hole_fraction": F.coalesce(F.when(f > 0, F.try_divide(hole, f)), F.lit(0.0))})
 
 
-NEAR = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
-
-
-def _neighbours(labels: DataFrame, keys: list[str], out: dict[str, list[tuple[int, int]]]) -> DataFrame:
-    """For each pixel, the number of pixels of its own object at each set of offsets."""
-    moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in [*NEAR, (0, 0)]])
-    m = labels.select(*keys, "label", "row", "col", F.explode(moves).alias("m"))
-    m = m.select(*keys, "label", (F.col("row") + F.col("m.dy")).alias("row"), (F.col("col") + F.col("m.dx")).alias("col"), (-F.col("m.dy")).alias("dy"), (-F.col("m.dx")).alias("dx"))
-    hit = lambda off: sum(((F.col("dy") == dy) & (F.col("dx") == dx)).cast("int") for dy, dx in off)
-    g = m.groupBy(*keys, "label", "row", "col").agg(F.max(((F.col("dy") == 0) & (F.col("dx") == 0)).cast("int")).alias("own"), *[F.sum(hit(off)).alias(n) for n, off in out.items()])
-    return g.where("own = 1").drop("own")
-
-
 SIDES, CORNERS = [(0, 1), (1, 0), (0, -1), (-1, 0)], [(1, 1), (1, -1), (-1, 1), (-1, -1)]
+#: Weights of border codes (Benkrid & Crookes 2000; fixed values).
+CODES = {1.0: (5, 7, 15, 17, 25, 27), 2**0.5: (21, 33), (1 + 2**0.5) / 2: (13, 23)}
 
 
 def perimeter(labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,22 +194,39 @@ def perimeter(labels: DataFrame, keys: list[str]) -> DataFrame:
 
     A border pixel has a side neighbour outside its object. Its code counts border pixels of the object beside
     it (2 each) and diagonal (10 each); codes 5, 7, 15, 17, 25, 27 weigh 1, codes 21, 33 weigh sqrt 2, codes 13, 23 weigh
-    (1 + sqrt 2) / 2, once 1 is added for the pixel itself (Benkrid & Crookes 2000).
+    (1 + sqrt 2) / 2, once 1 is added for the pixel itself (Benkrid & Crookes 2000). Tiles give a sum for each object they hold.
     """
-    n = _neighbours(labels, keys, {"sides": SIDES})
-    border = n.where("sides < 4").select(*keys, "label", "row", "col")
-    b = _neighbours(border, keys, {"sides": SIDES, "corners": CORNERS}).withColumn("code", 1 + 2 * F.col("sides") + 10 * F.col("corners"))
-    root = 2**0.5
-    w = F.when(F.col("code").isin(5, 7, 15, 17, 25, 27), F.lit(1.0)).when(F.col("code").isin(21, 33), F.lit(root)).when(F.col("code").isin(13, 23), F.lit((1 + root) / 2)).otherwise(F.lit(0.0))
-    return b.groupBy(*keys, "label").agg(F.sum(w).alias("perimeter"))
+    weight = np.zeros(1 + 2 * 4 + 10 * 4 + 1)
+    for w, codes in CODES.items():
+        weight[list(codes)] = w
+
+    def work(t: TL.Tile) -> pa.Table | None:
+        lab = t.dense("label", -1, np.int64)
+        same = lambda a, moves: sum(((TL.shifted(a, dy, dx, -1) == a) & (a >= 0)).astype(int) for dy, dx in moves)
+        edge = np.where(same(lab, SIDES) < 4, lab, -1)
+        inside = t.inside()
+        w = weight[1 + 2 * same(edge, SIDES) + 10 * same(edge, CORNERS)][inside]
+        at = edge[inside]
+        names, where = np.unique(at[at >= 0], return_inverse=True)
+        return t.with_keys(keys, {"label": names, "perimeter": np.bincount(where, w[at >= 0], len(names))}) if len(names) else None
+
+    p = labels.select(*keys, "row", "col", "label")
+    return TL.over_tiles(p, keys, 2, work, TL.schema_of(p, keys, label="long", perimeter="double")).groupBy(*keys, "label").agg(F.sum("perimeter").alias("perimeter"))
 
 
 def quads(mask: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: counts of 2x2 patterns of the padded mask: ``q1`` one set, ``q2`` two beside, ``qd`` two diagonal, ``q3`` three set."""
-    bits = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(b).alias("b")) for dy, dx, b in ((0, 0, 8), (0, -1, 4), (-1, 0, 2), (-1, -1, 1))])
-    q = mask.select(*keys, "row", "col", F.explode(bits).alias("m")).groupBy(*keys, (F.col("row") + F.col("m.dy")).alias("r"), (F.col("col") + F.col("m.dx")).alias("c")).agg(F.sum("m.b").alias("code"))
-    n = lambda *codes: F.sum(F.col("code").isin(*codes).cast("long"))
-    return q.groupBy(*keys).agg(n(1, 2, 4, 8).alias("q1"), n(3, 12, 5, 10).alias("q2"), n(6, 9).alias("qd"), n(7, 11, 13, 14).alias("q3"))
+    kinds = {"q1": (1, 2, 4, 8), "q2": (3, 12, 5, 10), "qd": (6, 9), "q3": (7, 11, 13, 14)}
+
+    def work(t: TL.Tile) -> pa.Table:
+        m = np.pad(t.here, 1).astype(int)  # a quad is at its upper left place, which may lie above or left of the pixels
+        code = m[:-1, :-1] + 2 * m[:-1, 1:] + 4 * m[1:, :-1] + 8 * m[1:, 1:]
+        row, col = (np.arange(n) + at - 1 for n, at in zip(code.shape, (t.r0, t.c0)))
+        n = np.bincount(code[np.ix_(row // t.size == t.tr, col // t.size == t.tc)].ravel(), minlength=16)
+        return t.with_keys(keys, {k: np.array([n[list(c)].sum()]) for k, c in kinds.items()})
+
+    p = mask.select(*keys, "row", "col")
+    return TL.over_tiles(p, keys, 1, work, TL.schema_of(p, keys, **dict.fromkeys(kinds, "long"))).groupBy(*keys).agg(*[F.sum(k).alias(k) for k in kinds])
 
 
 def euler(mask: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,32 +1,64 @@
 """Focal minimum, maximum, opening and closing over discs, on pixel tables.
 
-A disc of radius r is done row by row: for each row distance dy its half width is floor(sqrt(r^2 - dy^2)),
-one range window per distinct half width gives the row extremes, and 2r + 1 shifted copies meet in one
-aggregate. Pixels outside the image do not take part (for a disc smaller than the image this equals a
-reflected border).
+Steps run on tiles with a rim (see ``tiles``). A disc of radius r is done row by row: for each row distance dy its half width is
+floor(sqrt(r^2 - dy^2)); each distinct half width is one sliding extreme along the rows, and 2r + 1 shifted copies meet. Places
+without a pixel do not take part (for a disc smaller than the image this equals a reflected border). A chain of steps, such as an opening or a
+whole granularity spectrum, is one exchange whose rim is the sum of the radii.
 """
 
 from __future__ import annotations
 
 from math import isqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.core import ship
+from tessera.operators import tiles as TL
 
-def focal(df: DataFrame, keys: list[str], value: str, radius: int, what: str) -> DataFrame:
-    """Rows of ``df`` with ``value`` replaced by its extreme (``max`` or ``min``) over the disc around each pixel."""
+_OPS = {"max": (np.maximum, -np.inf), "min": (np.minimum, np.inf)}
+
+
+def extreme(a: np.ndarray, here: np.ndarray, radius: int, what: str) -> np.ndarray:
+    """The extreme of an array over the disc about each place; places that are not ``here`` neither count nor have one."""
+    op, fill = _OPS[what]
     if radius <= 0:
-        return df
-    agg = F.max if what == "max" else F.min
+        return np.where(here, a, fill)
+    a = np.where(here, a, fill)
     reach = {dy: isqrt(radius * radius - dy * dy) for dy in range(-radius, radius + 1)}
-    d = df.select(*keys, "row", "col", F.col(value).alias("_v"))
-    for half in sorted(set(reach.values())):
-        d = d.withColumn(f"_w{half}", agg("_v").over(W.partitionBy(*keys, "row").orderBy("col").rangeBetween(-half, half)))
-    moved = d.select(*keys, "col", F.explode(F.array(*[F.struct((F.col("row") + dy).alias("row"), F.col(f"_w{half}").alias("e")) for dy, half in reach.items()])).alias("_m"))
-    best = moved.select(*keys, F.col("_m.row").alias("row"), "col", F.col("_m.e").alias("e")).groupBy(*keys, "row", "col").agg(agg("e").alias("_e"))
-    return df.join(best, [*keys, "row", "col"]).withColumn(value, F.col("_e")).select(*df.columns)
+    rows = {half: TL.slide(a, half, op, fill) for half in set(reach.values())}
+    out = np.full_like(a, fill)
+    for dy, half in reach.items():
+        out = op(out, TL.shifted(rows[half], dy, 0, fill))
+    return np.where(here, out, fill)
+
+
+def chain(df: DataFrame, keys: list[str], value: str, steps: list[tuple[str, int]]) -> DataFrame:
+    """Rows of ``df`` with ``value`` replaced by the outcome of ``steps`` (``max`` or ``min``, radius), one after the other, in one exchange."""
+    steps = [(what, r) for what, r in steps if r > 0]
+    if not steps:
+        return df
+    columns = df.columns
+    whole = df.schema[value].dataType.typeName()
+
+    def work(t: TL.Tile) -> pa.Table:
+        a = t.dense(value, np.nan)
+        for what, r in steps:
+            fill = _OPS[what][1]
+            a = extreme(np.where(np.isnan(a), fill, a), t.here, r, what)
+            a = np.where(a == fill, np.nan, a)
+        out = t.pixels(columns, _new=a)
+        new = out.column("_new").cast(pa.int64()) if whole == "boolean" else out.column("_new")
+        return out.set_column(columns.index(value), value, new.cast(out.schema.field(value).type)).select(columns)
+
+    return TL.over_tiles(df, keys, sum(r for _, r in steps), work, df.schema)
+
+
+def focal(df: DataFrame, keys: list[str], value: str, radius: int, what: str) -> DataFrame:
+    """Rows of ``df`` with ``value`` replaced by its extreme (``max`` or ``min``) over the disc around each pixel."""
+    return chain(df, keys, value, [(what, radius)])
 
 
 def dilate(df: DataFrame, keys: list[str], value: str, radius: int) -> DataFrame:
@@ -38,23 +70,38 @@ def erode(df: DataFrame, keys: list[str], value: str, radius: int) -> DataFrame:
 
 
 def opened(df: DataFrame, keys: list[str], value: str, radius: int) -> DataFrame:
-    return dilate(erode(df, keys, value, radius), keys, value, radius)
+    return chain(df, keys, value, [("min", radius), ("max", radius)])
 
 
 def closed(df: DataFrame, keys: list[str], value: str, radius: int) -> DataFrame:
-    return erode(dilate(df, keys, value, radius), keys, value, radius)
+    return chain(df, keys, value, [("max", radius), ("min", radius)])
 
 
 def granularity(df: DataFrame, keys: list[str], norm: str, mask: str, radii=(1, 2, 4, 8), name="granularity_{r}") -> DataFrame:
-    """Mass lost to each further opening over the mass inside the mask; null for an empty mask, 0 without mass."""
-    cur = df.select(*keys, "row", "col", F.col(mask).alias("_m"), F.when(F.col(mask), F.col(norm)).otherwise(F.lit(0.0)).alias("_x"))
-    sums = cur.groupBy(*keys).agg(F.max("_m").alias("_any"), F.sum(F.when(F.col("_m"), F.col("_x")).otherwise(0.0)).alias("_s0"))
-    for r in radii:
-        cur = opened(cur, keys, "_x", r).withColumn("_x", F.when(F.col("_m"), F.col("_x")).otherwise(F.lit(0.0)))
-        sums = sums.join(cur.groupBy(*keys).agg(F.sum(F.when(F.col("_m"), F.col("_x")).otherwise(0.0)).alias(f"_s{r}")), keys)
+    """Mass lost to each further opening over the mass inside the mask; null for an empty mask, 0 without mass.
+
+    All openings of a tile follow one another inside it; what leaves it is a sum for each radius.
+    """
+
+    def work(t: TL.Tile) -> pa.Table:
+        m = t.dense(mask, 0, np.uint8).astype(bool)
+        x = np.where(m, np.nan_to_num(t.dense(norm, 0.0)), 0.0)
+        inside = t.inside()
+        sums = [x[inside].sum()]
+        for r in radii:
+            x = np.where(m, extreme(extreme(x, t.here, r, "min"), t.here, r, "max"), 0.0)
+            sums.append(x[inside].sum())
+        return t.with_keys(keys, {"_any": np.array([m[inside].any()])} | {f"_s{r}": np.array([v]) for r, v in zip((0, *radii), sums)})
+
+    kinds = {"_any": "boolean"} | {f"_s{r}": "double" for r in (0, *radii)}
+    parts = TL.over_tiles(df.select(*keys, "row", "col", F.col(mask).alias(mask), F.col(norm).alias(norm)), keys, 2 * sum(radii), work, TL.schema_of(df, keys, **kinds))
+    sums = parts.groupBy(*keys).agg(F.max("_any").alias("_any"), *[F.sum(f"_s{r}").alias(f"_s{r}") for r in (0, *radii)])
     prev, out = "_s0", []
     for r in radii:
         loss = F.when(F.col("_s0") <= 0, F.lit(0.0)).otherwise(F.try_divide(F.greatest(F.lit(0.0), F.col(prev) - F.col(f"_s{r}")), F.col("_s0")))
         out.append(F.when(F.col("_any"), loss).alias(name.format(r=r)))
         prev = f"_s{r}"
     return sums.select(*keys, *out)
+
+
+ship(__name__)

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.core import Scratch
+from tessera.core import Scratch, ship
 from tessera.functions import stats as S
+from tessera.operators import tiles as TL
 from tessera.operators.graph import connected_components
 
 #: Halvings of the mean cell.
@@ -183,20 +186,41 @@ def tree_stats(tree: DataFrame) -> DataFrame:
     return tree.groupBy("grp").agg(F.avg("d").alias("mst_edge_mean_um"), S.sd("d").alias("mst_edge_sd_um"), S.iqr("d").alias("mst_edge_iqr_um"))
 
 
+def distance_array(mask: np.ndarray, reach: float, pixel_height: float, pixel_width: float) -> np.ndarray:
+    """Distance of each place to the nearest mask place, exact up to ``reach`` and infinite beyond.
+
+    Separable: first the nearest mask row of each column, by running extremes down and up; then the least sum of squares along each row, within the reach.
+    """
+    h, _ = mask.shape
+    at = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, at, -h - 1), 0)
+    below = np.minimum.accumulate(np.where(mask, at, 2 * h + 1)[::-1], 0)[::-1]
+    far = np.minimum(at - above, below - at)
+    square = np.where(far <= h, (far * pixel_height) ** 2, np.inf)
+    square[square > reach * reach] = np.inf
+    best = square.copy()
+    dx = 1
+    while dx < mask.shape[1] and dx * pixel_width <= reach:
+        step = (dx * pixel_width) ** 2
+        np.minimum(best[:, dx:], square[:, :-dx] + step, out=best[:, dx:])
+        np.minimum(best[:, :-dx], square[:, dx:] + step, out=best[:, :-dx])
+        dx += 1
+    dist = np.sqrt(best)
+    return np.where(dist <= reach, dist, np.inf)
+
+
 def mask_distance(pixels: DataFrame, keys: list[str], mask: str, reach: float, pixel_height: float = 1.0, pixel_width: float = 1.0) -> DataFrame:
     """Rows of ``pixels`` with ``dist`` to the nearest mask pixel, null beyond ``reach``; 0 inside.
 
-    Only mask pixels with a neighbour outside the mask are joined; cells have the side of the reach.
+    A distance transform of tiles whose rim is the reach: one exchange, and work in proportion to the pixels.
     """
-    m = pixels.where(mask).select(*keys, "row", "col")
-    moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]])
-    s = m.select(*keys, "row", "col", F.explode(moves).alias("m")).groupBy(*keys, (F.col("row") + F.col("m.a")).alias("row"), (F.col("col") + F.col("m.b")).alias("col")).agg(F.count("*").alias("n"), F.max(((F.col("m.a") == 0) & (F.col("m.b") == 0)).cast("int")).alias("own"))
-    edge = s.where("own = 1 and n < 5").select(*keys, (F.col("row") * pixel_height).alias("by"), (F.col("col") * pixel_width).alias("bx"))
-    edge = edge.withColumn("cy", F.floor(F.col("by") / reach)).withColumn("cx", F.floor(F.col("bx") / reach))
-    p = pixels.where(~F.col(mask)).select(*keys, "row", "col", (F.col("row") * pixel_height).alias("y"), (F.col("col") * pixel_width).alias("x")).withColumn("side", F.lit(float(reach)))
-    dy, dx = F.col("y") - F.col("by"), F.col("x") - F.col("bx")
-    near = _spread(p, "side").join(edge, [*keys, "cy", "cx"]).withColumn("d", F.sqrt(dy * dy + dx * dx)).where(F.col("d") <= reach).groupBy(*keys, "row", "col").agg(F.min("d").alias("_d"))
-    return pixels.join(near, [*keys, "row", "col"], "left").withColumn("dist", F.when(F.col(mask), F.lit(0.0)).otherwise(F.col("_d"))).drop("_d")
+    columns = pixels.columns
+
+    def work(t: TL.Tile) -> pa.Table:
+        d = distance_array(t.dense(mask, 0, np.uint8).astype(bool), reach, pixel_height, pixel_width)
+        return t.pixels(columns, dist=np.where(np.isinf(d), np.nan, d))
+
+    return TL.over_tiles(pixels, keys, (math.ceil(reach / pixel_height), math.ceil(reach / pixel_width)), work, TL.schema_of(pixels, columns, dist="double"))
 
 
 def radial(distances: DataFrame, keys: list[str], value: str, valid: str, prefix: str, bands=((0, 5), (5, 15), (15, 30))) -> DataFrame:
@@ -205,3 +229,6 @@ def radial(distances: DataFrame, keys: list[str], value: str, valid: str, prefix
     g = distances.groupBy(*keys).agg(*[F.avg(F.when(F.col(valid) & (F.col("dist") >= a) & (F.col("dist") < b), F.col(value))).alias(name(a, b)) for a, b in bands])
     near, far = F.col(name(*bands[0])), F.col(name(*bands[-1]))
     return g.withColumn(f"{prefix}_annulus_near_far_ratio", F.when(F.abs(far) > S.TINY, F.try_divide(near, far)))
+
+
+ship(__name__)

@@ -1,15 +1,18 @@
 """Grey-level co-occurrence of neighbouring pixels and its properties.
 
-Offsets are joined by key: each pixel is sent to the positions it is a neighbour of, so that one equi-join over
-(image, row, col) serves all offsets.
+Offsets are shifted slices of tiles that have a rim as wide as the largest offset: one exchange of the pixels serves all of them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.core import ship
 from tessera.functions import stats as S
+from tessera.operators import tiles as TL
 
 #: (distance, angle number, dy, dx): diagonals are rounded, so distance 2 repeats (1, 1) (fixed values).
 OFFSETS = (
@@ -20,18 +23,31 @@ OFFSETS = (
 PROPERTIES = ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation", "entropy")
 
 
-def pairs(df: DataFrame, keys: list[str], level: str, offsets=OFFSETS) -> DataFrame:
-    """``keys, d, a, i, j``: levels of each masked pixel and of its neighbour at each offset."""
-    moves = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for d, a, dy, dx in offsets])
-    src = df.select(*keys, "row", "col", F.col(level).alias("i"), F.explode(moves).alias("m"))
-    src = src.select(*keys, (F.col("row") + F.col("m.dy")).alias("row"), (F.col("col") + F.col("m.dx")).alias("col"), "i", "m.d", "m.a")
-    return src.join(df.select(*keys, "row", "col", F.col(level).alias("j")), [*keys, "row", "col"]).select(*keys, "d", "a", "i", "j")
+def counts(df: DataFrame, keys: list[str], level: str, offsets=OFFSETS) -> DataFrame:
+    """``keys, d, a, i, j, n``: how often a masked pixel of level i has a neighbour of level j at each offset, counted tile by tile."""
+
+    def work(t: TL.Tile) -> pa.Table | None:
+        v = t.dense(level, -1, np.int64)
+        inside, top = t.inside(), int(v.max()) + 1
+        out = []
+        for d, a, dy, dx in offsets:
+            i, j = v[inside].ravel(), TL.shifted(v, dy, dx, -1)[inside].ravel()
+            good = (i >= 0) & (j >= 0)
+            code, n = np.unique(i[good] * top + j[good], return_counts=True)
+            out.append(np.stack([np.full(len(n), d), np.full(len(n), a), code // top, code % top, n]))
+        out = np.concatenate(out, 1).astype(np.int64)
+        return t.with_keys(keys, dict(zip("daijn", out))) if out.shape[1] else None
+
+    rim = max(max(abs(dy), abs(dx)) for _, _, dy, dx in offsets)
+    schema = TL.schema_of(df, keys, d="long", a="long", i="long", j="long", n="long")
+    return TL.over_tiles(df.select(*keys, "row", "col", F.col(level).alias(level)), keys, rim, work, schema)
 
 
 def glcm(df: DataFrame, keys: list[str], level: str, offsets=OFFSETS) -> DataFrame:
-    """Symmetric co-occurrence shares: ``keys, d, a, i, j, p``. ``df`` holds the masked pixels only."""
-    p = pairs(df, keys, level, offsets).groupBy(*keys, "d", "a", "i", "j").agg(F.count("*").alias("n"))
-    both = p.union(p.select(*keys, "d", "a", F.col("j"), F.col("i"), "n")).groupBy(*keys, "d", "a", "i", "j").agg(F.sum("n").alias("n"))
+    """Symmetric co-occurrence shares: ``keys, d, a, i, j, p``. ``df`` holds the masked pixels only; levels are whole numbers from 0."""
+    p = counts(df, keys, level, offsets)
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("x")
+    both = p.select(*keys, "d", "a", both, "n").groupBy(*keys, "d", "a", "x.i", "x.j").agg(F.sum("n").alias("n"))
     total = both.groupBy(*keys, "d", "a").agg(F.sum("n").alias("t"))
     return both.join(total, [*keys, "d", "a"]).select(*keys, "d", "a", "i", "j", (F.col("n") / F.col("t")).alias("p"))
 
@@ -55,3 +71,6 @@ def rollup(props: DataFrame, keys: list[str]) -> DataFrame:
     per = long.groupBy(*keys, F.col("d").alias("scale"), "property").agg(S.mean("value").alias("mean"), F.lit(None).cast("double").alias("sd"))
     whole = long.groupBy(*keys, F.lit(None).cast("int").alias("scale"), "property").agg(S.mean("value").alias("mean"), S.sd("value").alias("sd"))
     return per.union(whole)
+
+
+ship(__name__)
