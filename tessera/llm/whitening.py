@@ -3,12 +3,12 @@
 Entries become integers first (``floor(scale * c) + shift``), so that equal vectors are equal exactly, sums are exact, and centring loses nothing: an
 entry x of a fit list of n vectors with sums S becomes ((n * (x - m)) - (S - n * m)) / n, with m = S div n, in integers up to the division.
 
-* The fit list holds each distinct vector once. Rows are numbered without gaps and dealt to *panels* of ``BLOCK * BLOCKS`` rows. A panel is one
-  BlockMatrix A of blocks of ``BLOCK`` rows: A' A, split along the rows, adds to the scatter matrix, which alone comes to the driver (dimension
-  squared). ``eigh`` there gives the components; the panel's projection is A times the whitening matrix, again as block matrices.
+* The fit list holds each distinct vector once. Centred rows are numbered without gaps and grouped into dense blocks of a megabyte; a file of blocks
+  is read as matrices by its schema alone, so no row passes through Python or a serializer of objects.
+* A *panel* of ``BLOCKS`` blocks is one BlockMatrix A: A' A, split along the rows, adds to the scatter matrix, which alone comes to the driver
+  (dimension squared). ``eigh`` there gives the components; a panel's projection is A times the whitening matrix, again as block matrices.
 * A block product keeps the blocks of a task in memory and the driver holds two integers a block, so panels bound both, however many rows there are.
   Panels are independent jobs, a few at a time; each writes its result.
-* Vectors stay on the JVM from file to result: no row passes through Python.
 
 Defined results: the dimension is the most frequent length of valid vectors (of equally frequent ones the greatest); rows whose vector is null, empty, of another
 length, or holds null, non-finite or (after scaling) too large entries for a long are left out. Directions without variance (eigenvalue not above the
@@ -21,23 +21,22 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from tessera.core import Scratch
 from tessera.llm import by_value
 
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 16
-#: Rows of a block, blocks of a task and of a panel; panels at work at a time.
-BLOCK, TASK_BLOCKS, BLOCKS, AT_ONCE = 1024, 8, 1024, 4
-WIDE = 1024
+#: Values of a block (its rows are as many as fit), blocks of a task and of a panel, most tasks of a projection, panels at work at a time.
+BLOCK_VALUES, TASK_BLOCKS, BLOCKS, TASKS, AT_ONCE = 131_072, 8, 1024, 16, 4
 #: Magnitude below which a scaled entry is sure to fit a long.
 FITS = 2.0**62
+_PLACE = StructType().add("_1", LongType()).add("_2", LongType())
 
 
 def as_integers(vector: Column, scale: int = SCALE, shift: int = SHIFT) -> Column:
@@ -47,39 +46,49 @@ def as_integers(vector: Column, scale: int = SCALE, shift: int = SHIFT) -> Colum
     return F.when(F.coalesce(good, F.lit(False)), F.transform(scaled, lambda c: F.floor(c).cast("long") + shift))
 
 
-def numbered(rows: DataFrame, tmp: Scratch, panel_rows: int) -> DataFrame:
-    """``rows`` with ``panel`` and ``at`` (their place in it, without gaps); written by panel. The driver reads one count for each partition."""
+def in_blocks(rows: DataFrame, tmp: Scratch, height: int) -> DataFrame:
+    """Blocks of ``height`` rows of ``rows`` (``centred`` and others): ``panel, place, matrix`` and an array of each other column, written.
+
+    Rows are numbered by their partition and place in it: the driver reads one count for each partition, and a group has ``height`` rows at most.
+    """
     marked = tmp.save(rows.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = sorted((r[0], r[1]) for r in marked.groupBy(part.alias("p")).count().collect())
     starts = np.concatenate([[0], np.cumsum([c for _, c in counts])])
     start = rows.sparkSession.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, starts)], "p long, s long")
     n = F.col("s") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    j = marked.withColumn("p", part).join(F.broadcast(start), "p").withColumn("_n", n).drop("p", "s", "_id")
-    out = tmp.save(j.withColumn("panel", F.floor(F.col("_n") / panel_rows)).withColumn("at", F.col("_n") % panel_rows).drop("_n"))
+    j = marked.withColumn("p", part).join(F.broadcast(start), "p").withColumn("_n", n)
+    g = j.groupBy(F.floor(F.col("_n") / height).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_n", *rows.columns))).alias("l"))
+    each = lambda c: F.transform("l", lambda x: x[c])
+    none, byte = F.lit(None).cast("array<int>"), F.lit(1).cast("tinyint")  # type 1: dense; by rows, so "transposed"
+    matrix = F.struct(byte.alias("type"), F.size("l").alias("numRows"), F.size(F.col("l")[0]["centred"]).alias("numCols"), none.alias("colPtrs"), none.alias("rowIndices"), F.flatten(each("centred")).alias("values"), F.lit(True).alias("isTransposed"))
+    place = F.struct((F.col("_b") % BLOCKS).alias("_1"), F.lit(0).cast("long").alias("_2"))
+    out = tmp.save(g.select(F.floor(F.col("_b") / BLOCKS).alias("panel"), place.alias("place"), matrix.alias("matrix"), *[each(c).alias(c) for c in rows.columns if c != "centred"]))
     out._rows = int(starts[-1])
     return out
 
 
-def block_matrix(panel: DataFrame, rows: int, dimension: int) -> BlockMatrix:
-    """Rows (``at, centred``) as distributed blocks. MLlib deals blocks to the root of the number of partitions given, hence its square."""
-    tasks = -(-rows // (BLOCK * TASK_BLOCKS))
-    v = panel.select("at", array_to_vector("centred").alias("v")).repartition(max(tasks * tasks, 1), "at")
-    java = callMLlibFunc("createIndexedRowMatrix", MLUtils.convertVectorColumnsFromML(v, "v"), rows, dimension)
-    return IndexedRowMatrix(java).toBlockMatrix(BLOCK, WIDE)
+def block_matrix(blocks: DataFrame, panel: int, height: int, width: int) -> BlockMatrix:
+    """The blocks of a panel as a BlockMatrix."""
+    spark, total = blocks.sparkSession, blocks._rows - panel * BLOCKS * height
+    kind = StructType().add("panel", LongType()).add("place", _PLACE).add("matrix", MatrixUDT())
+    t = spark.read.schema(kind).parquet(blocks._tessera_path).where(F.col("panel") == panel).select("place", "matrix")
+    rows = min(total, BLOCKS * height)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", t, height, width, rows, width), height, width)
 
 
 def scatter(a: BlockMatrix) -> np.ndarray:
     """A' A; the rows are split into as many parts as the blocks need tasks, whose products are added by Spark."""
     splits = max(-(-a.numRowBlocks // TASK_BLOCKS), 1)
-    t = a.transpose()
-    return BlockMatrix(t._java_matrix_wrapper.call("multiply", a._java_matrix_wrapper._java_model, splits), WIDE, WIDE).toLocalMatrix().toArray()
+    java = a.transpose()._java_matrix_wrapper.call("multiply", a._java_matrix_wrapper._java_model, splits)
+    return BlockMatrix(java, a.numCols(), a.numCols()).toLocalMatrix().toArray()
 
 
-def local_blocks(spark: SparkSession, m: np.ndarray) -> BlockMatrix:
-    """A small matrix of the driver as blocks."""
-    blocks = [((i // WIDE, j // WIDE), DenseMatrix(*(p := m[i : i + WIDE, j : j + WIDE]).shape, p.ravel(order="F"))) for i in range(0, m.shape[0], WIDE) for j in range(0, m.shape[1], WIDE)]
-    return BlockMatrix(spark.sparkContext.parallelize(blocks, 1), WIDE, WIDE)
+def project(spark: SparkSession, a: BlockMatrix, w: np.ndarray) -> BlockMatrix:
+    """A times a small matrix. MLlib deals the product to the root of the larger number of partitions, hence the square."""
+    tasks = min(-(-a.numRowBlocks // TASK_BLOCKS), TASKS)
+    block = ((0, 0), DenseMatrix(*w.shape, w.ravel(order="F")))
+    return a.multiply(BlockMatrix(spark.sparkContext.parallelize([block], tasks * tasks), *w.shape))
 
 
 def components(covariance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,31 +120,36 @@ def whiten(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     away = lambda v: F.zip_with(v, F.lit(np.array(rest, np.int64)), lambda a, r: (a - r / F.lit(float(n))))
     exact = F.zip_with(off, F.lit(np.array(rest, np.int64)), lambda a, r: F.try_subtract(F.try_multiply(a, F.lit(n).cast("long")), r))
     deviation = F.aggregate(exact, F.lit(0).cast("long"), lambda a, v: F.try_add(a, F.try_multiply(v, v)))
-    rows = numbered(x.select("id", deviation.alias("deviation"), away(off).alias("centred")), tmp, BLOCK * BLOCKS)
-    fit = numbered(distinct.select(away(off).alias("centred")), tmp, BLOCK * BLOCKS)
+    height = max(BLOCK_VALUES // size, 1)
+    rows = in_blocks(x.select("id", deviation.alias("deviation"), away(off).alias("centred")), tmp, height)
+    fit = in_blocks(distinct.select(away(off).alias("centred")), tmp, height)
 
-    def panels(table: DataFrame, f) -> list:
-        """``f(panel number, its rows, how many)`` for each panel, a few at a time."""
-        total, each = table._rows, BLOCK * BLOCKS
+    def panels(blocks: DataFrame, f) -> list:
+        """``f(panel number, its matrix)`` for each panel, a few at a time."""
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            return list(pool.map(lambda p: f(p, table.where(F.col("panel") == p), min(each, total - p * each)), range(-(-total // each))))
+            return list(pool.map(lambda p: f(p, block_matrix(blocks, p, height, size)), range(-(-blocks._rows // (BLOCKS * height)))))
 
-    v = sum(panels(fit, lambda p, t, k: scatter(block_matrix(t, k, size)))) / n
+    v = sum(panels(fit, lambda _, a: scatter(a))) / n
     e, q = components(v, most)
-    if not len(e):
+    k = len(e)
+    if not k:
         return empty
-    w = local_blocks(spark, q / np.sqrt(e))
-    check = sum(panels(fit, lambda p, t, k: scatter(block_matrix(t, k, size).multiply(w)))) / n
-    error = float(np.abs(check - np.eye(len(e))).max())
-
-    def project(p: int, t: DataFrame, k: int) -> DataFrame:
-        java = callMLlibFunc("getIndexedRows", block_matrix(t, k, size).multiply(w).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
-        out = MLUtils.convertVectorColumnsToML(java, "vector").select(F.lit(p).cast("long").alias("panel"), F.col("index").alias("at"), vector_to_array("vector").alias("whitened"))
-        return tmp.save(out)
-
-    done = panels(rows, project)
-    whitened = spark.read.schema(done[0].schema).parquet(*[d._tessera_path for d in done])
-    out = rows.select("panel", "at", "id", "deviation").join(whitened, ["panel", "at"])
+    w = q / np.sqrt(e)
+    check = sum(panels(fit, lambda _, a: scatter(project(spark, a, w)))) / n
+    error = float(np.abs(check - np.eye(k)).max())
+
+    def written(p: int, a: BlockMatrix) -> DataFrame:
+        t = callMLlibFunc("getMatrixBlocks", project(spark, a, w)._java_matrix_wrapper._java_model)
+        return tmp.save(t.select(F.lit(p).cast("long").alias("panel"), F.col("_1._1").cast("long").alias("block"), F.col("_2").alias("matrix")))
+
+    done = panels(rows, written)
+    plain = StructType().add("panel", LongType()).add("block", LongType()).add("matrix", MatrixUDT.sqlType())
+    whitened = spark.read.schema(plain).parquet(*[d._tessera_path for d in done])
+    m = F.col("matrix")
+    at = lambda i, j: F.get(m["values"], F.when(m["isTransposed"], i * k + j).otherwise(j * m["numRows"] + i))
+    lines = F.transform(F.sequence(F.lit(0), m["numRows"] - 1), lambda i: F.array(*[at(i, j) for j in range(k)]))
+    j = rows.select("panel", F.col("place._1").alias("block"), "id", "deviation").join(whitened.select("panel", "block", lines.alias("whitened")), ["panel", "block"])
+    out = j.select(F.explode(F.arrays_zip("id", "deviation", "whitened")).alias("r")).select("r.*")
     return out.select("id", F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.lit([float(a) for a in e / np.trace(v)]).alias("explained"), F.lit(error).alias("identity_error"))
 
 

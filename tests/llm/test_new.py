@@ -25,9 +25,10 @@ def exact(rows, size):
     return n, e, np.trace(v), {x: (sum((n * a - t) ** 2 for a, t in zip(x, s)), np.array([(n * a - t) / n for a, t in zip(x, s)]) @ q) for x in fit}
 
 
-@pytest.mark.parametrize("block,blocks", [(1024, 1024), (8, 3)])
-def test_whitening_equals_exact_integers(spark, monkeypatch, block, blocks):
-    monkeypatch.setattr(W, "BLOCK", block), monkeypatch.setattr(W, "BLOCKS", blocks), monkeypatch.setattr(W, "TASK_BLOCKS", 1)
+@pytest.mark.parametrize("values,blocks", [(131_072, 1024), (40, 3)])
+def test_whitening_equals_exact_integers(spark, monkeypatch, values, blocks):
+    """In one block, and in blocks of 8 rows, three to a panel."""
+    monkeypatch.setattr(W, "BLOCK_VALUES", values), monkeypatch.setattr(W, "BLOCKS", blocks), monkeypatch.setattr(W, "TASK_BLOCKS", 1)
     rng = np.random.default_rng(0)
     data = [(i, list(map(float, rng.normal(size=5) * [1, 2, 3, 4, 5]))) for i in range(80)]
     data += [(80, data[0][1]), (81, data[0][1]), (None, data[1][1]), (5, data[2][1])]
