@@ -108,9 +108,20 @@ class Scratch:
                 delete(self.spark, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark sees them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
 
 
 def ship(module: str) -> None:

@@ -8,7 +8,6 @@ is the object's first pixel in row order (``row * STRIDE + col``), unique within
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +17,7 @@ from tessera.core import Scratch, ship
 from tessera.functions import stats as S
 from tessera.operators import focal
 from tessera.operators import tiles as TL
+from tessera.operators.raster import Size, with_size
 from tessera.operators.graph import connected_components
 
 STRIDE = 1 << 24
@@ -76,45 +76,49 @@ def sizes(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.groupBy(*keys, "label").agg(F.count("*").alias("area"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
 
 
-def _keep(labels: DataFrame, keys: list[str], keep: Column) -> DataFrame:
-    good = sizes(labels, keys).where(keep).select(*keys, "label")
+def _keep(labels: DataFrame, keys: list[str], keep: Column, height: Size = 0, width: int | None = 0) -> DataFrame:
+    good = with_size(sizes(labels, keys), keys, height, width).where(keep).select(*keys, "label")
     return labels.join(good, [*keys, "label"], "left_semi").select(*keys, "row", "col")
 
 
+#: Objects off the border of their image.
+INSIDE = "r0 > 0 AND c0 > 0 AND r1 < _h - 1 AND c1 < _w - 1"
+
+
 def remove_small(mask: DataFrame, keys: list[str], least: int, connectivity: int = 4) -> DataFrame:
     """Objects below ``least`` pixels go."""
     return mask if least <= 0 else _keep(label(mask, keys, connectivity), keys, F.col("area") >= least)
 
 
-def remove_long(mask: DataFrame, keys: list[str], fraction: float, height: int, width: int, reference: int = 0, connectivity: int = 8) -> DataFrame:
+def remove_long(mask: DataFrame, keys: list[str], fraction: float, height: Size, width: int | None = None, reference: int = 0, connectivity: int = 8) -> DataFrame:
     """Objects whose longer box side reaches ``fraction`` of the reference length (the longer image side) go."""
     if fraction <= 0:
         return mask
     span = F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) + 1
-    return _keep(label(mask, keys, connectivity), keys, span / float(reference or max(height, width)) < fraction)
+    side = F.lit(float(reference)) if reference else F.greatest("_h", "_w").cast("double")
+    return _keep(label(mask, keys, connectivity), keys, span / side < fraction, height, width)
 
 
-def clear_border(mask: DataFrame, keys: list[str], height: int, width: int, connectivity: int = 8) -> DataFrame:
+def clear_border(mask: DataFrame, keys: list[str], height: Size, width: int | None = None, connectivity: int = 8) -> DataFrame:
     """Objects that touch the image border go."""
-    return _keep(label(mask, keys, connectivity), keys, (F.col("r0") > 0) & (F.col("c0") > 0) & (F.col("r1") < height - 1) & (F.col("c1") < width - 1))
+    return _keep(label(mask, keys, connectivity), keys, F.expr(INSIDE), height, width)
 
 
 def complement(pixels: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.select(*keys, "row", "col").join(mask.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti")
 
 
-def holes(pixels: DataFrame, mask: DataFrame, keys: list[str], height: int, width: int, max_area: int = 0) -> DataFrame:
+def holes(pixels: DataFrame, mask: DataFrame, keys: list[str], height: Size, width: int | None = None, max_area: int = 0) -> DataFrame:
     """Background pixels to fill: background objects (4-connected) off the border; with ``max_area``: all below that area."""
     bg = label(complement(pixels, mask, keys), keys, 4)
-    inside = (F.col("r0") > 0) & (F.col("c0") > 0) & (F.col("r1") < height - 1) & (F.col("c1") < width - 1)
-    return _keep(bg, keys, inside if max_area <= 0 else F.col("area") < max_area)
+    return _keep(bg, keys, F.expr(INSIDE) if max_area <= 0 else F.col("area") < max_area, height, width)
 
 
-def fill_holes(pixels: DataFrame, mask: DataFrame, keys: list[str], height: int, width: int, max_area: int = 0) -> DataFrame:
+def fill_holes(pixels: DataFrame, mask: DataFrame, keys: list[str], height: Size, width: int | None = None, max_area: int = 0) -> DataFrame:
     return mask.select(*keys, "row", "col").unionByName(holes(pixels, mask, keys, height, width, max_area))
 
 
-def clean_up(pixels: DataFrame, keys: list[str], mask: str, height: int, width: int, open_radius=0, close_radius=0, small=0, long_fraction=0.0, long_reference=0, fill: bool = False, fill_area: int = 64, border: bool = False) -> DataFrame:
+def clean_up(pixels: DataFrame, keys: list[str], mask: str, height: Size, width: int | None = None, open_radius=0, close_radius=0, small=0, long_fraction=0.0, long_reference=0, fill: bool = False, fill_area: int = 64, border: bool = False) -> DataFrame:
     """Mask pixels after opening, closing, small objects, long objects, holes and border, in that order."""
     d = pixels.select(*keys, "row", "col", F.col(mask).cast("int").alias("_m"))
     d = focal.chain(d, keys, "_m", [("min", open_radius), ("max", open_radius), ("max", close_radius), ("min", close_radius)])
@@ -229,29 +233,54 @@ def quads(mask: DataFrame, keys: list[str]) -> DataFrame:
     return TL.over_tiles(p, keys, 1, work, TL.schema_of(p, keys, **dict.fromkeys(kinds, "long"))).groupBy(*keys).agg(*[F.sum(k).alias(k) for k in kinds])
 
 
-def euler(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """Euler numbers for 4- and 8-connectivity."""
+def of_images(measure: DataFrame, keys: list[str], images: DataFrame | None) -> DataFrame:
+    """A measure of masks for every one of ``images``: 0 where the mask is empty and so has no row."""
+    return measure if images is None else images.select(*keys).distinct().join(measure, keys, "left").na.fill(0.0)
+
+
+def euler(mask: DataFrame, keys: list[str], images: DataFrame | None = None) -> DataFrame:
+    """Euler numbers for 4- and 8-connectivity; 0 for those of ``images`` whose mask is empty."""
     q = quads(mask, keys)
     base = F.col("q1") - F.col("q3")
-    return q.select(*keys, ((base + 2 * F.col("qd")) / 4).alias("euler4"), ((base - 2 * F.col("qd")) / 4).alias("euler8"))
+    return of_images(q.select(*keys, ((base + 2 * F.col("qd")) / 4).alias("euler4"), ((base - 2 * F.col("qd")) / 4).alias("euler8")), keys, images)
 
 
-def boundary_length(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """Length of all boundaries, outer and of holes: a step of 1 for a straight quad, sqrt(2) / 2 for a corner one."""
+def boundary_length(mask: DataFrame, keys: list[str], images: DataFrame | None = None) -> DataFrame:
+    """Length of all boundaries, outer and of holes: a step of 1 for a straight quad, sqrt(2) / 2 for a corner one; 0 for those of ``images`` whose mask is empty."""
     half = 2**0.5 / 2
     q = quads(mask, keys)
-    return q.select(*keys, (F.col("q2") + half * (F.col("q1") + F.col("q3") + 2 * F.col("qd"))).alias("boundary_length"))
+    return of_images(q.select(*keys, (F.col("q2") + half * (F.col("q1") + F.col("q3") + 2 * F.col("qd"))).alias("boundary_length")), keys, images)
 
 
-def filled_area(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Per object: area, hole area (4-connected background parts of its box that do not reach the box's edge) and Euler number (8).
+#: Runs of an object that one task may hold (24 bytes each); larger objects are filled by components of their background runs.
+MOST_RUNS = 4_000_000
 
-    The background of a box, one pixel wider than the object, is taken as row runs: what lies between the object's own runs. So the work grows with
-    the object's runs, not with its box.
-    """
+
+def _holes_of(k: list[str]):
+    """Hole area and holes of one object, from its runs: the background runs of its box, 4-connected, that do not reach the ring around it."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        row, c0, c1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("row", "c0", "c1"))
+        row, left, width = row - row.min() + 1, c0.min() - 1, int(c1.max() - c0.min()) + 3
+        c0, c1 = c0 - left, c1 - left
+        first, last = np.append(True, row[1:] != row[:-1]), np.append(row[1:] != row[:-1], True)
+        g0 = np.where(first, 0, np.append(0, c1[:-1] + 1))  # from the run before, or the ring
+        gaps = np.concatenate([np.stack([row, g0, c0 - 1]), np.stack([row[last], c1[last] + 1, np.full(last.sum(), width - 1)]), [[0], [0], [width - 1]], [[row.max() + 1], [0], [width - 1]]], 1)
+        gaps = gaps[:, gaps[1] <= gaps[2]]
+        gaps = gaps[:, np.lexsort(gaps[1::-1])]
+        wide = width + 2
+        root = TL.join_runs(gaps[0] * wide + gaps[1], gaps[0] * wide + gaps[2], wide, 0)
+        area = np.bincount(root, gaps[2] - gaps[1] + 1, len(root)).astype(np.int64)
+        n = np.bincount(root, minlength=len(root))
+        inside = (n > 0) & (np.arange(len(root)) != 0)  # the ring's part holds the first run
+        return pa.table(TL.repeated(rows, k, 1) | {"hole_area": [int(area[inside].sum())], "holes": [int(inside.sum())]})
+
+    return work
+
+
+def _large_holes(own: DataFrame, box: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for objects of any size: background runs as an edge table."""
     k = [*keys, "label"]
-    own = runs(labels, k)
-    box = own.groupBy(*k).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.min("row").alias("r0"), F.max("row").alias("r1"), (F.min("c0") - 1).alias("b0"), (F.max("c1") + 1).alias("b1"))
     by = W.partitionBy(*k, "row").orderBy("c0")
     span = lambda a, z: F.struct(a.alias("c0"), z.alias("c1"))
     d = own.join(box.select(*k, "b0", "b1"), k).withColumn("left", F.coalesce(F.lag("c1").over(by) + 1, F.col("b0"))).withColumn("last", F.lead("c0").over(by).isNull())
@@ -261,15 +290,31 @@ def filled_area(labels: DataFrame, keys: list[str]) -> DataFrame:
     bg = label_runs(gaps.unionByName(rims).withColumnRenamed("label", "object"), [*keys, "object"], 4)
     bg = bg.groupBy(*keys, "object", "label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.min("row").alias("h0")).select(*keys, F.col("object").alias("label"), F.col("area").alias("hole"), "h0")
     # the ring around the object is one part; it holds the row above the box
-    hole = bg.join(box.select(*k, "r0"), k).where(F.col("h0") >= F.col("r0")).groupBy(*k).agg(F.sum("hole").alias("hole_area"), F.count("*").alias("holes"))
+    return bg.join(box.select(*k, "r0"), k).where(F.col("h0") >= F.col("r0")).groupBy(*k).agg(F.sum("hole").alias("hole_area"), F.count("*").alias("holes"))
+
+
+def filled_area(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Per object: area, hole area (4-connected background parts of its box that do not reach the box's edge) and Euler number (8).
+
+    The background of a box, one pixel wider than the object, is taken as row runs: what lies between the object's own runs. So the work grows with
+    the object's runs, not with its box.
+    """
+    k = [*keys, "label"]
+    tmp = Scratch(labels.sparkSession, "filled")
+    own = tmp.save(runs(labels, k))
+    box = tmp.save(own.groupBy(*k).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.count("*").alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), (F.min("c0") - 1).alias("b0"), (F.max("c1") + 1).alias("b1")))
+    large = box.where(F.col("n") > MOST_RUNS)
+    some = not large.isEmpty()
+    small = own.join(large, k, "left_anti") if some else own
+    hole = TL.over_groups(small, k, _holes_of(k), TL.schema_of(own, k, hole_area="long", holes="long"), ("row", "c0"))
+    if some:
+        hole = hole.unionByName(_large_holes(own.join(large, k, "left_semi"), large, keys))
     out = box.select(*k, "area").join(hole, k, "left").select(*k, "area", F.coalesce("hole_area", F.lit(0)).alias("hole_area"), F.coalesce("holes", F.lit(0)).alias("holes"))
     return out.withColumn("filled_area", F.col("area") + F.col("hole_area")).withColumn("euler", 1 - F.col("holes")).withColumn("euler_reported", F.when(F.col("euler") == 0, F.lit(1)).otherwise(F.col("euler")))
 
 
-def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
+def _hull(k: list[str]):
     """Convex area (corner points of pixels) and greatest distance between hull vertices, of one object's row extremes."""
-    r, a, b = (pdf[c].to_numpy(float) for c in ("row", "c0", "c1"))
-    pts = np.unique(np.concatenate([np.stack([r + dr, c + dc], 1) for dr in (-0.5, 0.5) for c, dc in ((a, -0.5), (b, 0.5))]), axis=0)
 
     def half(points):
         out = []
@@ -279,22 +324,24 @@ def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
             out.append(p)
         return out[:-1]
 
-    h = np.array(half(pts.tolist()) + half(pts[::-1].tolist()))
-    x, y = h[:, 0], h[:, 1]
-    area = abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
-    caliper = max(float(np.sqrt(((h - p) ** 2).sum(axis=1)).max()) for p in h)
-    first = pdf.iloc[0]
-    return pd.DataFrame({"_key": [first["_key"]], "area": [float((b - a + 1).sum())], "convex_area": [area], "caliper": [caliper]})
+    def work(rows: pa.Table) -> pa.Table:
+        r, a, b = (rows.column(c).to_numpy().astype(float) for c in ("row", "c0", "c1"))
+        pts = np.unique(np.concatenate([np.stack([r + dr, c + dc], 1) for dr in (-0.5, 0.5) for c, dc in ((a, -0.5), (b, 0.5))]), axis=0)
+        h = np.array(half(pts.tolist()) + half(pts[::-1].tolist()))
+        x, y = h[:, 0], h[:, 1]
+        area = abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+        caliper = max(float(np.sqrt(((h - p) ** 2).sum(axis=1)).max()) for p in h)
+        return pa.table(TL.repeated(rows, k, 1) | {"area": [int(rows.column("n").to_numpy().sum())], "convex_area": [area], "caliper": [caliper]})
+
+    return work
 
 
 def hulls(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Per object: convex area, solidity and largest caliper. Objects are first reduced to the extremes of their rows."""
+    """Per object: convex area, solidity and largest caliper. Objects are first reduced to the extremes of their rows, which one task takes object by object."""
     k = [*keys, "label"]
-    ends = labels.groupBy(*k, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    full = labels.groupBy(*k).agg(F.count("*").alias("n"))
-    h = ends.withColumn("_key", F.to_json(F.struct(*k))).groupBy("_key").applyInPandas(_hull, "_key string, area double, convex_area double, caliper double")
-    h = h.select(F.from_json("_key", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.select(*k).schema)).alias("k"), "convex_area", "caliper").select("k.*", "convex_area", "caliper")
-    return full.join(h, k).select(*k, F.col("n").alias("area"), "convex_area", (F.col("n") / F.col("convex_area")).alias("solidity"), "caliper")
+    ends = labels.groupBy(*k, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n"))
+    h = TL.over_groups(ends, k, _hull(k), TL.schema_of(labels, k, area="long", convex_area="double", caliper="double"))
+    return h.select(*k, "area", "convex_area", (F.col("area") / F.col("convex_area")).alias("solidity"), "caliper")
 
 
 def census(labels: DataFrame, keys: list[str], tissue: DataFrame, pixel_area: float = 1.0) -> DataFrame:
@@ -307,15 +354,20 @@ def census(labels: DataFrame, keys: list[str], tissue: DataFrame, pixel_area: fl
     return j.select(*keys, n.alias("topology_component_count"), F.try_divide(n, F.when(mm2 > 0, mm2)).alias("topology_component_density_per_mm2"), F.col("largest").alias("topology_largest_component_frac"), F.col("median").alias("topology_component_area_median_um2"), F.col("iqr").alias("topology_component_area_iqr_um2"))
 
 
-def hole_summary(pixels: DataFrame, mask: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """Hole area over mask area; hole count as (8-connected objects - Euler number for 4-connectivity), not below 0; and the exact hole count."""
+def hole_summary(pixels: DataFrame, mask: DataFrame, keys: list[str], height: Size, width: int | None = None) -> DataFrame:
+    """Of every image of ``pixels``: hole area over mask area (null for an empty mask), hole count as (8-connected objects - Euler number for 4-connectivity), not below 0, the exact hole count, and that Euler number."""
+    tmp = Scratch(pixels.sparkSession, "holes")
+    images = pixels.select(*keys).distinct()
     area = mask.groupBy(*keys).agg(F.count("*").alias("n"))
-    filled = holes(pixels, mask, keys, height, width)
+    filled = tmp.save(holes(pixels, mask, keys, height, width))
     parts = label(filled, keys, 4).groupBy(*keys).agg(F.count("*").alias("hole_px"), F.count_distinct("label").alias("hole_count_exact"))
     objects = label(mask, keys).groupBy(*keys).agg(F.count_distinct("label").alias("objects"))
-    j = area.join(parts, keys, "left").join(objects, keys).join(euler(mask, keys), keys)
+    j = images
+    for part in (area, parts, objects, euler(mask, keys)):
+        j = j.join(part, keys, "left")
     z = F.lit(0)
-    return j.select(*keys, (F.coalesce("hole_px", z) / F.col("n")).alias("topology_hole_area_frac"), F.greatest(F.lit(0.0), F.col("objects") - F.col("euler4")).alias("topology_hole_count"), F.coalesce("hole_count_exact", z).alias("hole_count_exact"), F.col("euler4").alias("topology_euler_number"))
+    e = F.coalesce("euler4", F.lit(0.0))
+    return j.select(*keys, (F.coalesce("hole_px", z) / F.col("n")).alias("topology_hole_area_frac"), F.greatest(F.lit(0.0), F.coalesce("objects", z) - e).alias("topology_hole_count"), F.coalesce("hole_count_exact", z).alias("hole_count_exact"), e.alias("topology_euler_number"))
 
 
 def largest(mask: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,16 +1,23 @@
 """Pixel tables: colour and stain columns, tissue, normalisation, tiles, box counts, resampling.
 
-A pixel row has the image key(s), ``row``, ``col`` and value columns; all functions take the names of the keys.
+A pixel row has the image key(s), ``row``, ``col`` and value columns; all functions take the names of the keys. Sizes of images are two numbers, or one table
+``keys, height, width`` in place of the first (``Size``), as images of one job may differ.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.core import ship
 from tessera.functions import stats as S
+from tessera.operators import tiles as TL
+
+#: A height (with a width beside it), or a table ``keys, height, width``.
+Size = int | float | DataFrame
 
 #: Stain vectors of Ruifrok & Johnston (2001) for haematoxylin, eosin and DAB (fixed values).
 STAINS = ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11), (0.27, 0.57, 0.78))
@@ -23,6 +30,13 @@ def from_arrays(df: DataFrame, image: str, values: str, width: int, *more: str)
     return d.select("image", *more, F.floor(F.col("p") / width).cast("int").alias("row"), (F.col("p") % width).cast("int").alias("col"), F.col("v").cast("double").alias("v"))
 
 
+def with_size(df: DataFrame, keys: list[str], height: Size, width: float | None = None) -> DataFrame:
+    """``df`` with ``_h, _w``, the size of each row's image."""
+    if isinstance(height, DataFrame):
+        return df.join(height.select(*keys, F.col("height").alias("_h"), F.col("width").alias("_w")), keys)
+    return df.withColumn("_h", F.lit(height)).withColumn("_w", F.lit(width))
+
+
 def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Hue over 180 (0 for grey) scaled by 179, saturation and value by 255; all unrounded, in [0, 1]."""
     hi, lo = F.greatest(r, g, b).cast("double"), F.least(r, g, b).cast("double")
@@ -122,27 +136,51 @@ def pixel_features(df: DataFrame, keys: list[str], mask: str, valid: str, norm:
     return df.groupBy(*keys).agg(*out)
 
 
-def box_dimension(df: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """Box-count dimension of the foreground rows ``df`` (row, col): slope of ln N(s) on ln(1/s), s = 2, 4, ..."""
-    side = min(height, width)
-    sizes = [1 << k for k in range(1, (side.bit_length() - 1 if side > 1 else 0) + 1)]
-    if len(sizes) < 2:
-        return df.select(*keys).distinct().withColumn("fractal_dimension", F.lit(None).cast("double"))
-    d = df.withColumn("s", F.explode(F.array(*map(F.lit, sizes))))
-    d = d.groupBy(*keys, "s", F.floor(F.col("row") / F.col("s")), F.floor(F.col("col") / F.col("s"))).count().groupBy(*keys, "s").agg(F.count("*").alias("n"))
-    return d.groupBy(*keys).agg(F.regr_slope(F.log("n"), F.log(1.0 / F.col("s"))).alias("fractal_dimension"))
-
+def box_dimension(df: DataFrame, keys: list[str], height: Size, width: int | None = None) -> DataFrame:
+    """Box-count dimension of the foreground rows ``df`` (row, col): slope of ln N(s) on ln(1/s), s = 2, 4, ... up to the shorter side; null below two sizes.
 
-def tile_of(x: Column, size: int, grid: int) -> Column:
+    Boxes up to the size of a tile are counted inside tiles; larger ones from the tiles that hold anything.
+    """
+    small = TL.TILE.bit_length() - 1
+    if 1 << small != TL.TILE:
+        raise ValueError("boxes need tiles whose size is a power of two")
+
+    def work(t: TL.Tile) -> pa.Table:
+        m = np.zeros((t.size, t.size), bool)
+        m[t.row - t.tr * t.size, t.col - t.tc * t.size] = True
+        n = []
+        for _ in range(small):
+            m = m[0::2, 0::2] | m[0::2, 1::2] | m[1::2, 0::2] | m[1::2, 1::2]
+            n.append(int(m.sum()))
+        return t.with_keys(keys, {"tr": np.full(small, t.tr), "tc": np.full(small, t.tc), "k": np.arange(1, small + 1), "n": np.array(n)})
+
+    p = df.select(*keys, "row", "col")
+    tiles = TL.over_tiles(p, keys, 0, work, TL.schema_of(p, keys, tr="long", tc="long", k="long", n="long"))
+    tiles = with_size(tiles, keys, height, width).withColumn("most", F.length(F.bin(F.least("_h", "_w").cast("long"))) - 1)
+    last = F.col("k") == small
+    more = F.when(last & (F.col("most") > small), F.sequence(F.lit(small + 1), F.col("most"))).otherwise(F.array().cast("array<int>"))
+    part = lambda k, r, c, n: F.struct(k.cast("long").alias("k"), r.alias("r"), c.alias("c"), n.alias("n"))
+    none = F.lit(None).cast("long")
+    up = lambda t, k: F.floor(F.col(t) / F.pow(F.lit(2.0), k - small))
+    boxes = F.concat(F.array(part(F.col("k"), none, none, F.col("n"))), F.transform(more, lambda k: part(k, up("tr", k), up("tc", k), F.lit(1).cast("long"))))
+    each = tiles.select(*keys, "most", F.explode(boxes).alias("b")).where("b.k <= most")
+    each = each.groupBy(*keys, "most", "b.k", "b.r", "b.c").agg(F.when(F.col("r").isNull(), F.sum("b.n")).otherwise(F.lit(1)).alias("n"))
+    d = each.groupBy(*keys, "most", "k").agg(F.sum("n").alias("n"))
+    slope = F.regr_slope(F.log("n"), -F.col("k") * float(np.log(2)))
+    return d.groupBy(*keys).agg(F.when(F.max("most") >= 2, slope).alias("fractal_dimension"))
+
+
+def tile_of(x: Column, size: Column | int, grid: int) -> Column:
     """Tile with edges at floor(k * size / grid)."""
-    return sum(((x >= (k * size) // grid).cast("int") for k in range(1, grid)), F.lit(0))
+    size = F.lit(size) if isinstance(size, int) else size
+    return sum(((x >= F.floor(k * size / grid)).cast("int") for k in range(1, grid)), F.lit(0))
 
 
-def tile_features(df: DataFrame, keys: list[str], height: int, width: int, mask: str, valid: str, norm: str, grids=(4, 8)) -> DataFrame:
+def tile_features(df: DataFrame, keys: list[str], height: Size, width: int | None, mask: str, valid: str, norm: str, grids=(4, 8)) -> DataFrame:
     """Spread of positive mass, positive share and mean intensity over tiles that hold tissue."""
-    out = None
+    out, df = None, with_size(df, keys, height, width).where(valid)
     for g in grids:
-        tiles = df.where(valid).groupBy(*keys, tile_of(F.col("row"), height, g).alias("_r"), tile_of(F.col("col"), width, g).alias("_c"))
+        tiles = df.groupBy(*keys, tile_of(F.col("row"), F.col("_h"), g).alias("_r"), tile_of(F.col("col"), F.col("_w"), g).alias("_c"))
         tiles = tiles.agg(F.sum(F.col(mask).cast("double")).alias("mass"), F.avg(F.col(mask).cast("double")).alias("share"), F.avg(norm).alias("level"))
         base = f"tile_g{g}"
         part = tiles.groupBy(*keys).agg(
@@ -154,17 +192,20 @@ def tile_features(df: DataFrame, keys: list[str], height: int, width: int, mask:
     return out
 
 
-def downsample(df: DataFrame, keys: list[str], factor: int, height: int, width: int, values: list[str]) -> DataFrame:
+def downsample(df: DataFrame, keys: list[str], factor: int, height: Size, width: int | None, values: list[str]) -> DataFrame:
     """Block means; incomplete blocks at the edge are dropped."""
-    d = df.where((F.col("row") < height // factor * factor) & (F.col("col") < width // factor * factor))
+    d = with_size(df, keys, height, width)
+    whole = lambda size: F.floor(F.col(size) / factor) * factor
+    d = d.where((F.col("row") < whole("_h")) & (F.col("col") < whole("_w")))
     return d.groupBy(*keys, F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def crop(df: DataFrame, height: int, width: int, side: int, centre_row: float = 0.5, centre_col: float = 0.5) -> DataFrame:
+def crop(df: DataFrame, keys: list[str], height: Size, width: int | None, side: int, centre_row: float = 0.5, centre_col: float = 0.5) -> DataFrame:
     """A window of ``side`` pixels about a fractional centre, kept inside the image."""
-    r0 = max(0, min(height - side, int(centre_row * height) - side // 2))
-    c0 = max(0, min(width - side, int(centre_col * width) - side // 2))
-    return df.where(F.col("row").between(r0, r0 + side - 1) & F.col("col").between(c0, c0 + side - 1))
+    d = with_size(df, keys, height, width)
+    first = lambda size, at: F.greatest(F.lit(0), F.least(F.col(size) - side, F.floor(at * F.col(size)) - side // 2))
+    r0, c0 = first("_h", centre_row), first("_w", centre_col)
+    return d.where(F.col("row").between(r0, r0 + side - 1) & F.col("col").between(c0, c0 + side - 1)).select(*df.columns)
 
 
 def region_pair(df: DataFrame, keys: list[str], a: str, b: str, prefix: str) -> DataFrame:
@@ -186,3 +227,6 @@ def log_histogram(df: DataFrame, keys: list[str], value: str, bins: int = 100) -
     d = df.select(*keys, x.alias("x")).withColumn("lo", F.min("x").over(w)).withColumn("hi", F.max("x").over(w))
     b = F.least(F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1))
     return d.groupBy(*keys, b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+ship(__name__)

@@ -6,6 +6,7 @@ Every join has an equality key (group, cell). Points are ``grp, pid, y, x``.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,12 @@ from tessera.core import Scratch, ship
 from tessera.functions import stats as S
 from tessera.operators import tiles as TL
 from tessera.operators.graph import connected_components
+from tessera.operators.raster import Size, with_size
 
-#: Halvings of the mean cell.
-LEVELS = 12
+#: Halvings of the mean cell, and how many times k points make a cell full.
+LEVELS, CROWD = 12, 6
+#: Points of a group that one task does at once, in the square of their number; distances held at a time.
+SMALL, CHUNK = 4_096, 2_000_000
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
 
@@ -32,35 +36,96 @@ def _spread(df: DataFrame, side: str) -> DataFrame:
     return df.withColumn("_m", F.explode(moves)).withColumn("cy", _cell("y", side) + F.col("_m.a")).withColumn("cx", _cell("x", side) + F.col("_m.b")).drop("_m")
 
 
-def _finest(probes: DataFrame, base: DataFrame, box: DataFrame, k: int) -> DataFrame:
-    """``probes`` with the ``side`` to begin with, and the group's ``reach``."""
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+def _finest(probes: DataFrame, base: DataFrame, box: DataFrame, k: int, tmp: Scratch) -> DataFrame:
+    """``probes`` with the ``side`` to begin with, and the group's ``reach``.
 
-    def cells(points: DataFrame, *more: str) -> DataFrame:
-        p = points.join(box, "grp").select("grp", *more, "y", "x", "side", level).withColumn("side", F.col("side") / F.pow(F.lit(2.0), F.col("level")))
-        return p.select("grp", *more, "level", _cell("y", "side").alias("cy"), _cell("x", "side").alias("cx"))
-
-    full = cells(base).groupBy("grp", "level", "cy", "cx").agg(F.count("*").alias("n")).where((F.col("n") > k) & (F.col("level") > 0))
-    own = cells(probes, "pid").join(full, ["grp", "level", "cy", "cx"]).groupBy("grp", "pid").agg(F.max("level").alias("level"))
-    p = probes.join(own, ["grp", "pid"], "left").join(box, "grp")
-    return p.select("grp", "pid", "y", "x", (F.col("side") / F.pow(F.lit(2.0), F.coalesce("level", F.lit(0)))).alias("side"), "reach")
+    All begin with the group's mean cell. Cells that hold over CROWD times k points are halved, with their points only, until none is so full: without crowds
+    this is one count.
+    """
+    p = probes.join(box, "grp").select("grp", "pid", "y", "x", "side", "reach")
+    b = base.join(box, "grp").select("grp", "y", "x", "side")
+    out = None
+    for _ in range(LEVELS):
+        cell = lambda t: t.withColumn("cy", _cell("y", "side")).withColumn("cx", _cell("x", "side"))
+        full = tmp.save(cell(b).groupBy("grp", "cy", "cx").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * k).select("grp", "cy", "cx"))
+        if full.isEmpty():
+            break
+        at = ["grp", "cy", "cx"]
+        ready = cell(p).join(full, at, "left_anti").drop("cy", "cx")
+        out = ready if out is None else out.unionByName(ready)
+        half = lambda t: cell(t).join(full, at, "left_semi").drop("cy", "cx").withColumn("side", F.col("side") / 2)
+        p, b = tmp.save(half(p)), tmp.save(half(b))
+    return p if out is None else out.unionByName(p)
+
+
+def _sizes(tmp: Scratch, *points: DataFrame) -> tuple[DataFrame, bool]:
+    """Groups of more than SMALL points (written), and whether there are any."""
+    n = reduce(DataFrame.unionByName, [p.select("grp") for p in points]).groupBy("grp").agg(F.count("*").alias("n"))
+    large = tmp.save(n.where(F.col("n") > SMALL).select("grp"))
+    return large, not large.isEmpty()
+
+
+def _nearest_small(k: int, exclude_self: bool):
+    """All distances of a small group, ``CHUNK`` of them at a time. Base points are in the order of their ids, so that ties go to the smaller one."""
+
+    def work(rows: pa.Table) -> pa.Table | None:
+        is_base = np.asarray(rows.column("base")).astype(bool)
+        base, probe = rows.filter(pa.array(is_base)), rows.filter(pa.array(~is_base))
+        if not len(base) or not len(probe):
+            return None
+        base = base.sort_by("pid")
+        by, bx, py, px = (t.column(c).cast(pa.float64()).to_numpy() for t in (base, probe) for c in ("y", "x"))
+        bid, pid = (np.asarray(t.column("pid")) for t in (base, probe))
+        at, nid, rank, dist = [], [], [], []
+        step = max(CHUNK // len(by), 1)
+        for i in range(0, len(py), step):
+            dy, dx = py[i : i + step, None] - by, px[i : i + step, None] - bx
+            d = np.sqrt(dy * dy + dx * dx)
+            d[np.isnan(d)] = np.inf
+            if exclude_self:
+                d[pid[i : i + step, None] == bid] = np.inf
+            top = min(k, d.shape[1])
+            r, c = np.nonzero((d <= np.partition(d, top - 1, 1)[:, top - 1 : top]) & (d < np.inf))
+            v = d[r, c]
+            order = np.lexsort((c, v, r))
+            r, c, v = r[order], c[order], v[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            keep = place < k
+            at.append(r[keep] + i), nid.append(c[keep]), rank.append(place[keep] + 1), dist.append(v[keep])
+        at, nid, rank, dist = map(np.concatenate, (at, nid, rank, dist))
+        head = {"grp": probe.column("grp").take(pa.array(at)), "pid": probe.column("pid").take(pa.array(at))}
+        return pa.table(head | {"rank": rank.astype(np.int32), "nid": base.column("pid").take(pa.array(nid)), "d": dist})
+
+    return work
 
 
 def nearest(probes: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, max_rounds: int = 40) -> DataFrame:
-    """Exact k nearest ``base`` points of each probe of the same group: ``grp, pid, rank, nid, d``.
+    """Exact k nearest ``base`` points of each probe of the same group: ``grp, pid, rank, nid, d``; ties go to the smaller id.
 
-    A probe begins with the finest cells (the group's mean size halved up to LEVELS times) of which its own holds k other points, so that points that
-    crowd together do not all share a cell. It is settled when its k-th candidate among the 3x3 cells about it is no further than a cell's side, since all
-    points outside are; the others go on with cells of twice the side until the block covers the group. Ties go to the smaller id.
+    A group of at most SMALL points is done at once on arrays; larger ones by cells.
     """
     tmp = Scratch(probes.sparkSession, "nearest")
+    large, some = _sizes(tmp, *([probes] if probes is base else [probes, base]))
+    p, b = (t.select("grp", "pid", "y", "x") for t in (probes, base))
+    schema = TL.schema_of(p, ["grp", "pid"], rank="integer").add("nid", b.schema["pid"].dataType).add("d", "double")
+    both = p.withColumn("base", F.lit(False)).unionByName(b.withColumn("base", F.lit(True)))
+    out = TL.over_groups(both.join(large, "grp", "left_anti") if some else both, ["grp"], _nearest_small(k, exclude_self), schema)
+    return out.unionByName(_by_cells(*[t.join(large, "grp", "left_semi") for t in (p, b)], k, exclude_self, max_rounds, tmp)) if some else out
+
+
+def _by_cells(probes: DataFrame, base: DataFrame, k: int, exclude_self: bool, max_rounds: int, tmp: Scratch) -> DataFrame:
+    """``nearest`` by joins of cells.
+
+    A probe begins with cells of the group's mean size, halved where points crowd, so that those do not all share a cell. It is settled when its k-th candidate among the 3x3 cells about it is no further than a cell's side, since all
+    points outside are; the others go on with cells of twice the side until the block covers the group.
+    """
     box = base.select("grp", "y", "x").union(probes.select("grp", "y", "x")).groupBy("grp").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     box = box.join(base.groupBy("grp").agg(F.count("*").alias("n")), "grp")
     h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     reach = F.greatest(h, w)
     side = F.sqrt(h * w * (k + 1) / F.col("n"))
     box = tmp.save(box.select("grp", F.when(side > 0, side).when(reach > 0, reach).otherwise(F.lit(1.0)).alias("side"), reach.alias("reach")))
-    todo, done = tmp.save(_finest(probes.select("grp", "pid", "y", "x"), base, box, k)), None
+    todo, done = tmp.save(_finest(probes.select("grp", "pid", "y", "x"), base, box, k, tmp)), None
     for round_ in range(max_rounds):
         b = base.join(todo.select("grp", "side").distinct(), "grp").select("grp", "side", F.col("pid").alias("nid"), F.col("y").alias("by"), F.col("x").alias("bx"), _cell("y", "side").alias("cy"), _cell("x", "side").alias("cx"))
         c = _spread(todo, "side").join(b, ["grp", "side", "cy", "cx"], "left")
@@ -95,15 +160,14 @@ def within(points: DataFrame, radius: DataFrame) -> DataFrame:
     return c.select("grp", F.col("pid").alias("a"), "b", F.sqrt(dy * dy + dx * dx).alias("d"), "radius").where("d <= radius").drop("radius")
 
 
-def nn_stats(points: DataFrame, nn: DataFrame, height: float, width: float) -> DataFrame:
-    """Density, mean and deviation of nearest distances, Clark-Evans R and z, per group."""
-    area = height * width
-    n = points.groupBy("grp").agg(F.count("*").cast("double").alias("n"))
+def nn_stats(points: DataFrame, nn: DataFrame, height: Size, width: float | None = None) -> DataFrame:
+    """Density, mean and deviation of nearest distances, Clark-Evans R and z, per group; ``height`` may be a table ``grp, height, width``."""
+    n = with_size(points.groupBy("grp").agg(F.count("*").cast("double").alias("n")), ["grp"], height, width).withColumn("area", F.col("_h").cast("double") * F.col("_w"))
     g = n.join(nn.where("rank = 1").groupBy("grp").agg(F.avg("d").alias("nn_mean_um"), S.sd("d").alias("nn_sd_um")), "grp", "left")
-    lam = F.col("n") / area
+    lam = F.col("n") / F.col("area")
     expected = F.lit(0.5) / F.sqrt(lam)
     error = F.sqrt(F.lit((4 - math.pi) / (4 * math.pi)) / (lam * F.col("n")))
-    return g.select("grp", (F.col("n") / (area / 1e6)).alias("density_per_mm2"), "nn_mean_um", "nn_sd_um", (F.col("nn_mean_um") / expected).alias("clark_evans_R"), ((F.col("nn_mean_um") - expected) / error).alias("clark_evans_z"))
+    return g.select("grp", (F.col("n") / (F.col("area") / 1e6)).alias("density_per_mm2"), "nn_mean_um", "nn_sd_um", (F.col("nn_mean_um") / expected).alias("clark_evans_R"), ((F.col("nn_mean_um") - expected) / error).alias("clark_evans_z"))
 
 
 def knn_means(points: DataFrame, nn: DataFrame, ks=(1, 3, 5)) -> DataFrame:
@@ -113,10 +177,10 @@ def knn_means(points: DataFrame, nn: DataFrame, ks=(1, 3, 5)) -> DataFrame:
     return n.join(g, "grp", "left").select("grp", *[F.when(F.col("n") > k, F.col(f"m{k}")).alias(f"knn_k{k}_mean_um") for k in ks])
 
 
-def grid_dispersion(points: DataFrame, height: float, width: float, k: int = 10) -> DataFrame:
+def grid_dispersion(points: DataFrame, height: Size, width: float | None = None, k: int = 10) -> DataFrame:
     """Variance over mean and coefficient of variation of counts on a k x k grid, empty cells included."""
-    at = lambda v, size: F.least(F.greatest(F.floor(F.col(v) * k / max(size, 1)), F.lit(0)), F.lit(k - 1))
-    c = points.groupBy("grp", at("y", height).alias("r"), at("x", width).alias("c")).agg(F.count("*").cast("double").alias("n"))
+    at = lambda v, size: F.least(F.greatest(F.floor(F.col(v) * k / F.greatest(F.col(size).cast("double"), F.lit(1.0))), F.lit(0)), F.lit(k - 1))
+    c = with_size(points, ["grp"], height, width).groupBy("grp", at("y", "_h").alias("r"), at("x", "_w").alias("c")).agg(F.count("*").cast("double").alias("n"))
     g = c.groupBy("grp").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
     cells = float(k * k)
     mean = F.col("s") / cells
@@ -141,16 +205,48 @@ def proximity_graph(points: DataFrame, nn: DataFrame) -> DataFrame:
     return points.select("grp").distinct().join(out, "grp", "left")
 
 
+def _tree_small(rows: pa.Table) -> pa.Table | None:
+    """The tree of a small group, point by point from the one with the smallest id (Prim)."""
+    rows = rows.sort_by("pid")
+    y, x = (rows.column(c).cast(pa.float64()).to_numpy() for c in ("y", "x"))
+    n = len(y)
+    if n < 2:
+        return None
+    best, source, left = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+    now, a, b, d = 0, [], [], []
+    for _ in range(n - 1):
+        left[now] = False
+        dist = np.sqrt((y - y[now]) ** 2 + (x - x[now]) ** 2)
+        nearer = left & (dist < best)
+        best[nearer], source[nearer] = dist[nearer], now
+        now = int(np.argmin(np.where(left, best, np.inf)))
+        a.append(min(source[now], now)), b.append(max(source[now], now)), d.append(best[now])
+    ids = rows.column("pid")
+    return pa.table(TL.repeated(rows, ["grp"], n - 1) | {"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "d": pa.array(d, pa.float64())})
+
+
 def spanning_tree(points: DataFrame, k: int = 6, max_rounds: int = 60) -> DataFrame:
-    """Edges ``grp, a, b, d`` of the Euclidean minimum spanning tree of each group (Boruvka rounds).
+    """Edges ``grp, a, b, d`` of the Euclidean minimum spanning tree of each group. Coincident points are taken once (the smallest id).
+
+    A group of at most SMALL points is done at once on arrays; larger ones in Boruvka rounds.
+    """
+    tmp = Scratch(points.sparkSession, "tree")
+    pts = tmp.save(points.where("y is not null and x is not null").groupBy("grp", "y", "x").agg(F.min("pid").alias("pid")))
+    large, some = _sizes(tmp, pts)
+    kind = pts.schema["pid"].dataType
+    schema = TL.schema_of(pts, ["grp"]).add("a", kind).add("b", kind).add("d", "double")
+    out = TL.over_groups(pts.join(large, "grp", "left_anti") if some else pts, ["grp"], _tree_small, schema)
+    return out.unionByName(_boruvka(pts.join(large, "grp", "left_semi"), k, max_rounds)) if some else out
+
+
+def _boruvka(pts: DataFrame, k: int, max_rounds: int) -> DataFrame:
+    """Edges of the trees of ``pts`` (``grp, pid, y, x``; no two at one place), round by round.
 
     Each component takes its shortest edge out of the neighbour lists. The edge is sure if no point whose list lies wholly
     inside the component could have a shorter one (its k-th distance bounds it); else the lists are doubled.
-    Coincident points are taken once (the smallest id).
     """
-    spark = points.sparkSession
-    tmp = Scratch(spark, "tree")
-    pts = tmp.save(points.groupBy("grp", "y", "x").agg(F.min("pid").alias("pid")))
+    tmp = Scratch(pts.sparkSession, "boruvka")
+    pts = tmp.save(pts)
     most = pts.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     comp = tmp.save(pts.select("grp", "pid", F.col("pid").alias("comp")))
     lists = tmp.save(knn(pts, min(k, max(most - 1, 1))))

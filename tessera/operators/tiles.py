@@ -62,8 +62,7 @@ class Tile:
     def with_keys(self, keys: list[str], columns: dict[str, np.ndarray]) -> pa.Table:
         """Rows of the tile as a whole, with its keys."""
         n = len(next(iter(columns.values())))
-        head = {k: pa.chunked_array([self.rows.column(k).combine_chunks().take(pa.array(np.zeros(n, np.int64)))]) for k in keys}
-        return pa.table(head | {k: pa.array(v) for k, v in columns.items()})
+        return pa.table(repeated(self.rows, keys, n) | {k: pa.array(v) for k, v in columns.items()})
 
 
 def _changes(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -95,6 +94,24 @@ def _cut(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def over_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table | None], schema: StructType | str, sort: tuple[str, ...] = ()) -> DataFrame:
+    """``work`` on the rows of each group (sorted by ``sort``), one group at a time: for groups that are known to fit a task."""
+    names = StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
+
+    def run(batches):
+        for rows in _cut(batches, keys):
+            out = work(rows)
+            if out is not None and out.num_rows:
+                yield from out.select(names).to_batches(max_chunksize=100_000)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *sort).mapInArrow(run, schema)
+
+
+def repeated(rows: pa.Table, keys: list[str], n: int) -> dict[str, pa.ChunkedArray]:
+    """The keys of a group, ``n`` times."""
+    return {k: pa.chunked_array([rows.column(k).slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64)))]) for k in keys}
+
+
 def over_tiles(df: DataFrame, keys: list[str], rim: int | tuple[int, int], work: Callable[[Tile], pa.Table | None], schema: StructType | str, size: int | None = None) -> DataFrame:
     """``work`` on each tile of ``df`` (``keys, row, col``, values) with its rim (rows, columns), giving rows of ``schema``."""
     size = size or TILE
@@ -144,15 +161,11 @@ def shifted(a: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
     return out
 
 
-def label_array(mask: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Objects of an array by its row runs: ``row, first column, last column, index of the object's first run`` for each run. ``reach`` 1: 8-connected, 0: 4-connected.
+def join_runs(start: np.ndarray, end: np.ndarray, wide: int, reach: int) -> np.ndarray:
+    """For each run the index of the first run of its object. Runs are places in a flat array with rows of ``wide``, in order, two empty columns between rows.
 
     Runs of adjacent rows that meet are edges; every run takes the smallest number among its neighbours' roots until nothing changes.
     """
-    wide = mask.shape[1] + 2
-    f = np.pad(mask, ((0, 0), (1, 1))).ravel()
-    turn = np.flatnonzero(f[1:] != f[:-1])
-    start, end = turn[0::2] + 1, turn[1::2]
     lo, hi = np.searchsorted(end, start + wide - reach), np.searchsorted(start, end + wide + reach, "right")
     n = np.maximum(hi - lo, 0)
     a = np.repeat(np.arange(len(start)), n)
@@ -167,7 +180,16 @@ def label_array(mask: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, n
         np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
         while (up := root[root]).tobytes() != root.tobytes():
             root = up
-    return start // wide, start % wide - 1, end % wide - 1, root
+    return root
+
+
+def label_array(mask: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Objects of an array by its row runs: ``row, first column, last column, index of the object's first run`` for each run. ``reach`` 1: 8-connected, 0: 4-connected."""
+    wide = mask.shape[1] + 2
+    f = np.pad(mask, ((0, 0), (1, 1))).ravel()
+    turn = np.flatnonzero(f[1:] != f[:-1])
+    start, end = turn[0::2] + 1, turn[1::2]
+    return start // wide, start % wide - 1, end % wide - 1, join_runs(start, end, wide, reach)
 
 
 ship(__name__)

@@ -159,7 +159,7 @@ def a48(spark, d):
 @query("R11_downsample_crop", f"{RASTER} SELECT image, CAST(row // 2 AS BIGINT) AS row, CAST(col // 2 AS BIGINT) AS col, {r6('avg(v)', 'v')}, CAST(row // 2 IN (1, 2) AND col // 2 IN (1, 2) AS BOOLEAN) AS inside FROM raster GROUP BY ALL")
 def r11(spark, d):
     small = R.downsample(X.raster(spark, d), IM, 2, 8, 8, ["v"])
-    window = R.crop(small, 4, 4, 2).select("image", "row", "col", F.lit(True).alias("in_"))
+    window = R.crop(small, IM, 4, 4, 2).select("image", "row", "col", F.lit(True).alias("in_"))
     return small.join(window, ["image", "row", "col"], "left").select("image", "row", "col", "v", F.coalesce("in_", F.lit(False)).alias("inside"))
 
 
