@@ -292,6 +292,97 @@ def a47c(spark, d):
     return assembly.channel_summary(p, "image", "m1", "ok", "norm", "v", 8, 8, others={"other": {"mask": "m2", "norm": "wnorm", "raw": "w"}})
 
 
+#: Pixels with a mask that is empty in every seventh image.
+PZ = f"{MASKS}, pz AS (SELECT image, row, col, v, v + 0.5 AS nv, m1 AND image % 7 <> 0 AS m, m2 AS o, v > -0.4 AS ok FROM masks), im AS (SELECT DISTINCT image FROM pz), fg AS (SELECT image, row, col FROM pz WHERE m), {label_sql('fg', 'lb')}"
+
+
+def sparse(spark, d):
+    p = X.masks(spark, d)
+    return p.select("image", "row", "col", "v", (F.col("v") + 0.5).alias("nv"), (F.col("m1") & (F.col("image") % 7 != 0)).alias("m"), F.col("m2").alias("o"), (F.col("v") > -0.4).alias("ok"))
+
+
+def long_sql(wide: str, features: dict[str, str]) -> str:
+    """``wide`` ends in a FROM; one row per image and feature, nulls included."""
+    return f"SELECT image, feature, round(value, 6) + 0e0 AS value FROM (SELECT im.image, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in features.items())} {wide}) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(features)}))"
+
+
+def family(spark, d, only, pixel_um=0.2738, others=None, sizes=None):
+    from tessera.plans import assembly
+
+    return assembly.channel_summary(sparse(spark, d), "image", "m", "ok", "nv", "v", *(sizes or (8, 8)), pixel_um=pixel_um, others=others, only=only)
+
+
+UM = "0.2738"
+SITE_VALUES = {
+    "area_um2": f"n * {UM} * {UM}", "perimeter_um": f"perimeter * {UM}", "equivalent_diameter_um": f"sqrt(n * 4 / pi()) * {UM}", "major_axis_length_um": f"4 * sqrt(l1) * {UM}", "minor_axis_length_um": f"4 * sqrt(l2) * {UM}",
+    "eccentricity": "sqrt(greatest(1 - l2 / l1, 0))", "solidity": "n / ha.area", "extent": "n / (bh * bw)", "circularity": "CASE WHEN perimeter > 0 THEN 4 * pi() * n / (perimeter * perimeter) ELSE 0 END", "roughness": "perimeter * perimeter / (4 * pi() * n)",
+    "feret_diameter_um": f"caliper * {UM}", "bbox_area_um2": f"bh * bw * {UM} * {UM}", "bbox_fill_ratio": "n / (bh * bw)", "bbox_aspect_ratio": "bw / bh", "elongation": "sqrt(l1) / sqrt(l2)", "filled_area_um2": f"(n + coalesce(hole_area, 0)) * {UM} * {UM}",
+    "convex_area_um2": f"ha.area * {UM} * {UM}", "hole_area_um2": f"coalesce(hole_area, 0) * {UM} * {UM}", "hole_fraction": "coalesce(hole_area, 0) / (n + coalesce(hole_area, 0))", "euler_number": "CASE WHEN coalesce(holes, 0) = 1 THEN 1 ELSE 1 - coalesce(holes, 0) END",
+    "intensity_mean": "it.im_", "intensity_raw_mean": "it.rm", "intensity_raw_median": "it.rd", "intensity_raw_iqr": "it.ri", "intensity_raw_integrated": "it.rs",
+}
+SITES_SQL = f"""{PZ}, {SIZE.format(l='lb')}{GEO[len(LB):]}{PERI[len(LB):]}, {HOLE[HOLE.index('ring AS'):]}{HULL[len(LB):]},
+it AS (SELECT image, label, avg(nv) AS im_, avg(v) AS rm, median(v) AS rd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS ri, sum(v) AS rs FROM lb JOIN pz USING (image, row, col) GROUP BY ALL),
+si AS (SELECT e.image, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in SITE_VALUES.items())} FROM e JOIN pe USING (image, label) JOIN ha USING (image, label) JOIN hc USING (image, label) JOIN it USING (image, label) LEFT JOIN hk ON hk.image = e.image AND hk.label = e.label),
+su AS (SELECT image, count(*) AS num_sites, {', '.join(f'median({n}) AS {n}_median, quantile_cont({n}, 0.75) - quantile_cont({n}, 0.25) AS {n}_iqr' for n in SITE_VALUES)} FROM si GROUP BY image)
+""" + long_sql("FROM im LEFT JOIN su USING (image)", {"num_sites": "coalesce(num_sites, 0)"} | {f"{n}_{x}": f"{n}_{x}" for n in SITE_VALUES for x in ("median", "iqr")})
+
+
+@query("A47_sites_family", SITES_SQL)
+def a47s(spark, d):
+    """All 25 site columns summarised for every image, with and without objects."""
+    return family(spark, d, ["sites"])
+
+
+TOPOLOGY_SQL = f"""{PZ}, {SIZE.format(l='lb')}, bg AS (SELECT image, row, col FROM pz WHERE NOT m), {label_sql('bg', 'lh', 4)}, {SIZE.format(l='lh').replace('sz AS', 'sh AS')}, tp AS (SELECT image, count(*) FILTER (ok) AS t FROM pz GROUP BY image),
+cn AS (SELECT image, count(*) AS n, max(area) / CAST(sum(area) AS DOUBLE) AS largest, median(area) AS med, quantile_cont(area, 0.75) - quantile_cont(area, 0.25) AS iqr, sum(area) AS a FROM sz GROUP BY image),
+cd AS (SELECT image, row + dy AS r, col + dx AS c, sum(b) AS code FROM fg, (SELECT unnest([0,0,-1,-1]) AS dy, unnest([0,-1,0,-1]) AS dx, unnest([8,4,2,1]) AS b) GROUP BY ALL),
+qd AS (SELECT image, count(*) FILTER (code IN (1,2,4,8)) AS q1, count(*) FILTER (code IN (3,12,5,10)) AS q2, count(*) FILTER (code IN (6,9)) AS qd, count(*) FILTER (code IN (7,11,13,14)) AS q3 FROM cd GROUP BY image),
+ho AS (SELECT image, sum(area) AS px FROM sh WHERE r0 > 0 AND c0 > 0 AND r1 < 7 AND c1 < 7 GROUP BY image),
+bx AS (SELECT image, regr_slope(ln(n), ln(1e0 / s)) AS f FROM (SELECT image, s, count(DISTINCT (row // s) * 100 + col // s) AS n FROM fg, (SELECT unnest([2,4,8]) AS s) GROUP BY ALL) GROUP BY image)
+""" + long_sql("FROM im JOIN tp USING (image) LEFT JOIN cn USING (image) LEFT JOIN qd USING (image) LEFT JOIN ho USING (image) LEFT JOIN bx USING (image)", {
+    "topology_component_count": "coalesce(n, 0)", "topology_component_density_per_mm2": f"CASE WHEN t > 0 THEN coalesce(n, 0) / (t * {UM} * {UM} / 1e6) END", "topology_largest_component_frac": "largest", "topology_component_area_median_um2": f"med * {UM} * {UM}",
+    "topology_component_area_iqr_um2": f"iqr * {UM} * {UM}", "topology_euler_number": "coalesce((q1 - q3 + 2 * qd) / 4e0, 0)", "topology_hole_area_frac": "coalesce(px, 0) / CAST(a AS DOUBLE)", "topology_hole_count": "greatest(0, coalesce(n, 0) - coalesce((q1 - q3 + 2 * qd) / 4e0, 0))",
+    "topology_boundary_length_um": f"coalesce(q2 + sqrt(2) / 2 * (q1 + q3 + 2 * qd), 0) * {UM}", "topology_fractal_dimension": "f",
+})
+
+
+@query("A47_topology_family", TOPOLOGY_SQL)
+def a47t(spark, d):
+    """Counts, Euler number and lengths are 0 where the mask is empty; shares and medians are null. Sizes come from a table of images."""
+    sizes = X.masks(spark, d).groupBy("image").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    return family(spark, d, ["topology"], sizes=(sizes,))
+
+
+CROSS_SQL = f"""{PZ}, ot AS (SELECT image, row, col FROM pz WHERE o), {label_sql('ot', 'lo')}, {focal_sql('pz', 'o', 2, 'bool_or', 'dg')},
+rp AS (SELECT image, sum(CASE WHEN m AND o THEN 1e0 ELSE 0e0 END) AS i, sum(CASE WHEN m OR o THEN 1e0 ELSE 0e0 END) AS u, sum(CASE WHEN m THEN 1e0 ELSE 0e0 END) AS a, sum(CASE WHEN o THEN 1e0 ELSE 0e0 END) AS b,
+  corr(v, w) FILTER (ok) AS c1, corr(v, w) FILTER (ok AND (m OR o)) AS c2, corr(nv, w) FILTER (ok) AS c3 FROM (SELECT *, v * v + row / 10e0 AS w FROM pz) GROUP BY image),
+ob AS (SELECT image, label, max(CASE WHEN x THEN 1e0 ELSE 0e0 END) AS n, max(CASE WHEN o THEN 1e0 ELSE 0e0 END) AS o FROM lb JOIN dg USING (image, row, col) JOIN pz USING (image, row, col) GROUP BY ALL), tf AS (SELECT image, avg(n) AS n, avg(o) AS o FROM ob GROUP BY image),
+ca AS (SELECT image, label, avg(row) * 2 AS y, avg(col) * 2 AS x FROM lb GROUP BY ALL), cb AS (SELECT image, label, avg(row) * 2 AS y, avg(col) * 2 AS x FROM lo GROUP BY ALL),
+nd AS (SELECT image, avg(d) AS d FROM (SELECT ca.image, ca.label, min(sqrt(pow(ca.y - cb.y, 2) + pow(ca.x - cb.x, 2))) AS d FROM ca JOIN cb ON ca.image = cb.image GROUP BY ALL) GROUP BY image),
+ds AS (SELECT p.image, p.row, p.col, p.ok, p.nv, min(sqrt(pow((p.row - b.row) * 2e0, 2) + pow((p.col - b.col) * 2e0, 2))) AS dist FROM pz p JOIN ot b ON p.image = b.image GROUP BY ALL),
+ri AS (SELECT image, avg(nv) FILTER (ok AND dist < 5) AS b1, avg(nv) FILTER (ok AND dist >= 5 AND dist < 15) AS b2, avg(nv) FILTER (ok AND dist >= 15 AND dist < 30) AS b3 FROM ds GROUP BY image)
+""" + long_sql("FROM im JOIN rp USING (image) LEFT JOIN tf USING (image) LEFT JOIN nd USING (image) LEFT JOIN ri USING (image)", {f"cross_with_other_{n}": e for n, e in {
+    "jaccard": "i / nullif(u, 0)", "dice": "2 * i / nullif(a + b, 0)", "frac_self_overlap": "i / nullif(a, 0)", "frac_other_overlap": "i / nullif(b, 0)", "positive_area_ratio": "a / nullif(b, 0)", "corr_raw_tissue": "c1", "corr_raw_union": "c2", "corr_norm_tissue": "c3",
+    "touching_object_fraction": "tf.n", "overlapping_object_fraction": "tf.o", "nn_other_mean_um": "nd.d", "annulus_0_5um_norm_mean": "b1", "annulus_5_15um_norm_mean": "b2", "annulus_15_30um_norm_mean": "b3", "annulus_near_far_ratio": "CASE WHEN abs(b3) > 1e-12 THEN b1 / b3 END",
+}.items()})
+
+
+@query("A47_cross_family", CROSS_SQL)
+def a47x(spark, d):
+    """The 15 features of one channel against another, on pixels of 2 um so that all three rings are met."""
+    from tessera.plans import assembly
+
+    p = sparse(spark, d).withColumn("w", F.col("v") * F.col("v") + F.col("row") / 10)
+    return assembly.channel_summary(p, "image", "m", "ok", "nv", "v", 8, 8, pixel_um=2.0, others={"other": {"mask": "o", "norm": "w", "raw": "w"}}, only=["cross_other"])
+
+
+@query("A23_A25_empty_masks", f"{PZ}, bg AS (SELECT image, row, col FROM pz WHERE NOT m), {label_sql('bg', 'lh', 4)}, {SIZE.format(l='lh')}, cd AS (SELECT image, row + dy AS r, col + dx AS c, sum(b) AS code FROM fg, (SELECT unnest([0,0,-1,-1]) AS dy, unnest([0,-1,0,-1]) AS dx, unnest([8,4,2,1]) AS b) GROUP BY ALL), qd AS (SELECT image, count(*) FILTER (code IN (1,2,4,8)) AS q1, count(*) FILTER (code IN (3,12,5,10)) AS q2, count(*) FILTER (code IN (6,9)) AS qd, count(*) FILTER (code IN (7,11,13,14)) AS q3 FROM cd GROUP BY image), ho AS (SELECT image, sum(area) AS px, count(*) AS n FROM sz WHERE r0 > 0 AND c0 > 0 AND r1 < 7 AND c1 < 7 GROUP BY image), ob AS (SELECT image, count(*) AS a, count(DISTINCT label) AS k FROM lb GROUP BY image) SELECT image, {r6('coalesce(px, 0) / CAST(a AS DOUBLE)', 'topology_hole_area_frac')}, {r6('greatest(0, coalesce(k, 0) - coalesce((q1 - q3 + 2 * qd) / 4e0, 0))', 'topology_hole_count')}, coalesce(n, 0) AS hole_count_exact, {r6('coalesce((q1 - q3 + 2 * qd) / 4e0, 0)', 'topology_euler_number')}, {r6('coalesce((q1 - q3 - 2 * qd) / 4e0, 0)', 'euler8')}, {r6('coalesce(q2 + sqrt(2) / 2 * (q1 + q3 + 2 * qd), 0)', 'boundary_length')} FROM im LEFT JOIN ob USING (image) LEFT JOIN qd USING (image) LEFT JOIN ho USING (image)")
+def a23e(spark, d):
+    p = sparse(spark, d)
+    on, im = p.where("m").select("image", "row", "col"), p.select("image")
+    return C.hole_summary(p, on, IM, 8, 8).join(C.euler(on, IM, im).select("image", "euler8"), "image").join(C.boundary_length(on, IM, im), "image")
+
+
 GEO_LONG = ("area_um2", "eccentricity", "extent", "elongation")
 
 

@@ -72,6 +72,7 @@ def test_channel_summary_runs_every_family(spark):
     assert len(names) == 295 + 15 - 5 and sum(n.startswith("cross_with_dab_") for n in names) == 15
     one = got[got.image == 0].set_index("feature").value
     hits = d.where("image = 0").toPandas()
+    assert len(got) == 2 * len(names) and {"delaunay_edge_mean_um"} & names == set()
     assert one["cross_with_dab_jaccard"] == 0 and one["percent_area_stained"] == hits.m.mean() and one["tissue_area_um2"] == pytest.approx(hits.ok.sum() * assembly.PIXEL_UM**2)
 
 
@@ -143,3 +144,28 @@ def test_the_job_equals_its_operators(spark):
     assert {tuple(r) for r in masks.collect()} == want and any(r[0] == 1 for r in want)
     s = SG.sites(job)
     assert {r["channel"] for r in s.select("channel").distinct().collect()} == {"dab"} and s.agg(F.sum("area_um2")).first()[0] == len(want)
+
+
+def test_a_summary_goes_on_where_it_was_stopped(spark, tmp_path, monkeypatch):
+    """Families that are complete are not made again; images of different sizes and one without objects are in one table."""
+    rng = np.random.default_rng(1)
+    rows = [(i, r, c, float(rng.random())) for i, (h, w) in enumerate([(9, 12), (16, 7), (5, 5)]) for r in range(h) for c in range(w)]
+    d = spark.createDataFrame(rows, "image int, row int, col int, v double").withColumn("m", (F.col("v") > 0.6) & (F.col("image") < 2)).withColumn("ok", F.lit(True))
+    sizes = spark.createDataFrame([(0, 9, 12), (1, 16, 7), (2, 5, 5)], "image int, height int, width int")
+    root, run = f"file://{tmp_path}/s", lambda **kw: assembly.write_channel_summary(f"file://{tmp_path}/s", d, "image", "m", "ok", "v", "v", sizes, **kw)
+    run(only=["burden", "tiles"])
+    before = {n: (tmp_path / "s" / f"family={n}" / "_SUCCESS").stat().st_mtime_ns for n in ("burden", "tiles")}
+    made = []
+    real = assembly.families
+    monkeypatch.setattr(assembly, "families", lambda *a, **k: (made.append(n) or (n, x) for n, x in real(*a, **k)))
+    got = run(resume=True).toPandas()
+    assert set(made) == set(assembly.FAMILIES) - set(before) and before == {n: (tmp_path / "s" / f"family={n}" / "_SUCCESS").stat().st_mtime_ns for n in before}
+    assert len(got) == 3 * 290 and not got.duplicated(["image", "feature"]).any()
+    empty = got[got.image == 2].set_index("feature").value
+    for n in ("num_sites", "topology_component_count", "topology_euler_number", "topology_boundary_length_um", "topology_hole_count", "num_sites_per_mm2_tissue", "density_per_mm2", "positive_area_um2"):
+        assert empty[n] == 0, n
+    assert np.isnan(empty["area_um2_median"]) and np.isnan(empty["graph_components"]) and np.isnan(empty["texture_positive_raw_entropy_sd"])
+    for i, (h, w) in enumerate([(9, 12), (16, 7)]):
+        alone = assembly.channel_summary(d.where(F.col("image") == i), "image", "m", "ok", "v", "v", h, w, only=["topology", "tiles", "points"]).toPandas().set_index("feature").value
+        both = got[got.image == i].set_index("feature").value
+        assert np.allclose(alone, both[alone.index], equal_nan=True)
