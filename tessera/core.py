@@ -124,6 +124,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def replace(spark: SparkSession, new: str, old: str) -> None:
+    """Put a written folder in the place of another."""
+    fs, p = _at(spark, new)
+    q = _at(spark, old)[1]
+    fs.delete(q, True)
+    if not fs.rename(p, q):
+        raise OSError(f"{new} was not moved to {old}")
+
+
 def ship(module: str) -> None:
     """Send the task-side functions of a module to executors by value, so that workers need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

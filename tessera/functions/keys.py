@@ -70,6 +70,3 @@ def length_label(um: float) -> str:
 def scale_label(um: float) -> str:
     return f"s{length_label(um)}um"
 
-
-def band_label(a: float, b: float) -> str:
-    return "_".join(format(x, "g").replace(".", "p") for x in (a, b))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.core import Scratch, load
+from tessera.core import Scratch, _at, load
 from tessera.functions import keys as K
 from tessera.functions import stats as S
 from tessera.operators import difftest as T
@@ -181,13 +181,15 @@ def p07(spark, d):
     return f.select("p_partkey", "feature", K.testable(F.col("feature")).alias("tested"), K.legacy(F.col("feature")).alias("legacy"))
 
 
-@query("P08_legacy_outputs", "SELECT * FROM (VALUES ('summary', 'mean_area_px'), ('sites', 'perimeter_px')) t(part, \"column\")")
+@query("P08_legacy_outputs", "SELECT 'summary' AS part, 'n' || n_nationkey || CASE WHEN n_regionkey % 2 = 0 THEN '_px' ELSE '_per_px2' END AS \"column\" FROM nation WHERE n_regionkey % 3 <> 1 UNION ALL SELECT 'sites', 'r' || r_regionkey || '_PX' FROM region WHERE r_regionkey % 2 = 0")
 def p08(spark, d):
-    """The check reads column names: of a summary, and of site files written from the line items."""
+    """Column names come from the nations (of a summary) and from the regions (of site files)."""
     root = Scratch(spark, "legacy").root
-    s = X.sites(spark, d)
-    IO.write_csv(s.groupBy("channel").agg(F.sum("l_tax").alias("perimeter_px"), F.sum("l_quantity").alias("area_um2")), f"{root}/212/sites")
-    return IO.legacy_outputs(s.groupBy("image").agg(F.avg("l_quantity").alias("mean_area_px"), F.avg("l_tax").alias("solidity")), f"{root}/212/sites")
+    n = load(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey", F.when(F.col("n_regionkey") % 3 == 1, "_um").when(F.col("n_regionkey") % 2 == 0, "_px").otherwise("_per_px2")).alias("name"), F.col("n_regionkey").alias("v"))
+    r = load(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey", F.when(F.col("r_regionkey") % 2 == 0, "_PX").otherwise("_um2")).alias("name"), F.col("r_regionkey").alias("v"))
+    wide = lambda t: t.groupBy().pivot("name").agg(F.first("v"))
+    IO.write_csv(wide(r), f"{root}/212/sites")
+    return IO.legacy_outputs(wide(n), f"{root}/212/sites")
 
 
 @query("P09_sanitize", "SELECT p_partkey, regexp_replace(p_name || ' (' || p_type || ')', '[^A-Za-z0-9_.-]', '_', 'g') AS s FROM part")
@@ -247,28 +249,51 @@ def s05(spark, d):
     return IO.clean_metadata(m.join(n, "level").select(F.when(F.col("bad"), "x").otherwise(F.col("r").cast("string")).alias("r"), F.col("c").cast("string").alias("c"), "level"))
 
 
-@query("S01_image_list", "SELECT DISTINCT regexp_extract(name, '_(\\d+)', 1) AS folder, 'png' AS kind, 1 AS n FROM (" + f"{NAMES} SELECT name FROM names" + ")")
+@query("S01_image_list", f"{NAMES}, t AS (SELECT regexp_extract(name, '_(\\d+)', 1) AS folder, count(*) AS n FROM names GROUP BY ALL) SELECT folder, 'png' AS kind, CAST(ceil(n / 100e0) AS BIGINT) AS n FROM t")
 def s01(spark, d):
-    """Files of each type in a folder of its own: images with a capital extension, and notes that are no images."""
+    """Files of a hundred names at most, each type in a folder of its own: images with a capital extension, and notes that are no images."""
     root = Scratch(spark, "files").root
     n = X.names(spark, d).withColumn("type", K.type_key(F.col("name"))).repartition("type")
-    n.write.option("extension", "PNG").partitionBy("type").csv(f"{root}/a/images")
+    n.write.option("extension", "PNG").option("maxRecordsPerFile", 100).partitionBy("type").csv(f"{root}/a/images")
     n.write.option("extension", "txt").partitionBy("type").csv(f"{root}/a/notes")
     f = IO.list_images(spark, root)
     return f.groupBy(F.regexp_extract("path", "type=([^/]*)/", 1).alias("folder"), F.lower(F.substring_index("name", ".", -1)).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("S03_site_scan", f"{SITES} SELECT l_linestatus AS image, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS channel, count(*) AS n, {r6('sum(l_tax)', 'tax')} FROM lineitem GROUP BY ALL")
+@query("S03_site_scan", f"""SELECT 'dab' AS channel, l_linestatus AS image, count(*) AS n, {r6('sum(l_tax)', 'tax')}, {r6('sum(l_discount)', 'discount')}, 0 AS skipped FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL
+UNION ALL SELECT 'eosin', 'X' || l_linestatus, count(*), round(sum(l_tax), 6) + 0e0, NULL, 0 FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL
+UNION ALL SELECT '-', reason, NULL, NULL, NULL, count(*) FROM (SELECT DISTINCT l_linestatus, unnest(['no column image', 'not a site file', 'first row names no image', 'rows longer than the header', 'no rows', 'not in a channel folder']) AS reason FROM lineitem WHERE l_returnflag = 'N') GROUP BY reason""")
 def s03(spark, d):
-    """Site files of an image each, in channel folders or (channel N) directly below the sites."""
+    """A folder tree of two versions of site files, whose columns are in another order, and of files to be left out; each is one image's."""
     root = Scratch(spark, "sites").root
-    s = load(spark, d, "lineitem").select(F.col("l_linestatus").alias("image"), "l_tax", "l_returnflag").persist()
-    for r in s.select("image", "l_returnflag").distinct().collect():
-        one = s.where((F.col("image") == r["image"]) & (F.col("l_returnflag") == r["l_returnflag"])).select("image", "l_tax")
-        one.coalesce(1).write.mode("append").option("header", True).csv(f"{root}/212/sites" + (f"/{r['l_returnflag']}" if r["l_returnflag"] != "N" else ""))
-    s.unpersist()
-    back = IO.read_sites(spark, root, "212", "image string, l_tax double")
-    return back.groupBy("image", "channel").agg(F.count("*").alias("n"), F.sum("l_tax").alias("tax"))
+    s = load(spark, d, "lineitem").select("l_linestatus", "l_returnflag", F.col("l_tax").cast("string").alias("tax"), F.col("l_discount").cast("string").alias("discount"))
+
+    def put(rows, folder: str, end: str, header: str):
+        """One file for each line status, as text lines below their header."""
+        lines = rows.select(F.col("l_linestatus").alias("f"), F.col("line"), F.lit(1).alias("o")).unionByName(rows.select(F.col("l_linestatus").alias("f"), F.lit(header).alias("line"), F.lit(0).alias("o")).distinct())
+        lines.repartition(1).sortWithinPartitions("f", "o").select("f", "line").write.mode("append").option("extension", end).partitionBy("f").text(f"{root}/_raw/{folder}")
+        fs, at = _at(spark, f"{root}/_raw/{folder}")
+        for i, part in enumerate(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_raw/{folder}/f=*/*"))):  # a file for each status
+            to = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/features/212/{folder}/{header.count(',')}_{i}{end}")
+            fs.mkdirs(to.getParent())
+            fs.rename(part.getPath(), to)
+        fs.delete(at, True)
+
+    of = lambda flag, *c: s.where(F.col("l_returnflag") == flag).select("l_linestatus", F.concat_ws(",", *c).alias("line"))
+    put(of("R", F.lit("7"), "l_linestatus", "tax", "discount"), "dab", "_sites.csv", "label,image,tax,discount")
+    put(of("A", "tax", F.concat(F.lit("X"), "l_linestatus")), "eosin", "_sites.csv", "tax,image")
+    one = s.where("l_returnflag = 'N'").select("l_linestatus").distinct()
+    line = lambda text: one.withColumn("line", F.lit(text))
+    put(line("1,2"), "dab", "_sites.csv", "label,tax")
+    put(line("hello"), "dab", "notes.csv", "image")
+    put(line(",2,3,4,5"), "dab", "_sites.csv", "image,tax,a,b,c")
+    put(line("im,2,3,4,5,6,7"), "dab", "_sites.csv", "image,tax,a,b,c,d")
+    put(line(" "), "dab", "_sites.csv", "image,tax,a,b,c,d,e")
+    put(line("im,2"), ".", "_sites.csv", "image,tax")
+    rows, left = IO.scan_sites(spark, root, "212", "image string, tax double, discount double")
+    good = rows.groupBy("channel", "image").agg(F.count("*").alias("n"), F.sum("tax").alias("tax"), F.sum("discount").alias("discount")).withColumn("skipped", F.lit(0))
+    none = lambda kind: F.lit(None).cast(kind)
+    return good.unionByName(left.groupBy("reason").agg(F.count("*").alias("skipped")).select(F.lit("-").alias("channel"), F.col("reason").alias("image"), none("long").alias("n"), none("double").alias("tax"), none("double").alias("discount"), "skipped"))
 
 
 SUMMARY = f"{NAMES}, s AS (SELECT name || '_' || o_orderkey AS image, regexp_extract(name, '_(\\d+)', 1) AS type, o_totalprice AS price, CAST(regexp_extract(name, 'row(\\d+)', 1) AS BIGINT) AS r, CAST(regexp_extract(name, 'col(\\d+)', 1) AS BIGINT) AS c FROM names JOIN orders USING (o_orderkey))"
@@ -279,22 +304,27 @@ def summary(spark, d):
     return n.select(F.concat_ws("_", "name", "o_orderkey").alias("image"), K.type_key(F.col("name")).alias("type"), F.col("o_totalprice").alias("price"))
 
 
-@query("S04_K02_summaries", f"{SUMMARY} SELECT source, image, type, {r6('price', 'price')}, r, c FROM s, (SELECT unnest(['combined', 'by_type']) AS source) WHERE NOT (r = 1 AND c = 1)")
+@query("S04_K02_summaries", f"{SUMMARY} SELECT source, image, type, {r6('CASE WHEN type = 212 THEN price + 1 ELSE price END', 'price')}, r, c FROM s, (SELECT unnest(['combined', 'by_type']) AS source) WHERE NOT (r = 1 AND c = 1)")
 def s04_k02(spark, d):
-    """The summary sinks read back: combined, and where that is missing the union of those by type."""
+    """The summary sinks read back, combined and (where that is missing) by type, after a second run of one type only."""
     root = Scratch(spark, "summaries").root
     s = summary(spark, d)
-    IO.write_summaries(s, f"{root}/a")
-    IO.write_table(s, f"{root}/b/summary/by_type", ["type"], ["image"])
+    again = s.where("type = '212'").withColumn("price", F.col("price") + 1)
+    for t in (s, again):
+        IO.write_summaries(t, f"{root}/a")
+        IO.write_table(t, f"{root}/b/summary/by_type", ["type"], ["image"])
     parts = [IO.load_summary(spark, f"{root}/{k}").select(F.lit(n).alias("source"), "image", F.col("type").cast("string").alias("type"), "price", "r", "c") for k, n in (("a", "combined"), ("b", "by_type"))]
     return parts[0].unionByName(parts[1])
 
 
-@query("K01_site_sink", f"{SITES}, n AS (SELECT o_orderkey, regexp_extract(name, '_(\\d+)', 1) AS type FROM ({NAMES} SELECT * FROM names)) SELECT type, channel, image, count(*) AS n, {r6('sum(l_tax)', 'tax')} FROM sites JOIN n ON image = o_orderkey GROUP BY ALL")
+@query("K01_site_sink", f"{SITES}, n AS (SELECT o_orderkey, regexp_extract(name, '_(\\d+)', 1) AS type FROM ({NAMES} SELECT * FROM names)) SELECT type, channel, image, count(*) AS n, {r6('sum(CASE WHEN type = 213 AND channel = ' + chr(39) + 'N' + chr(39) + ' THEN 2 * l_tax ELSE l_tax END)', 'tax')} FROM sites JOIN n ON image = o_orderkey GROUP BY ALL")
 def k01(spark, d):
+    """All types are written, then one channel of one type once more: the others stay."""
     path = Scratch(spark, "sink").root
     n = X.names(spark, d).select(F.col("o_orderkey").alias("image"), K.type_key(F.col("name")).alias("type"))
-    IO.write_table(X.sites(spark, d).join(n, "image"), path, ["type", "channel"], ["image"])
+    rows = X.sites(spark, d).join(n, "image")
+    for t in (rows, rows.where("type = '213' and channel = 'N'").withColumn("l_tax", 2 * F.col("l_tax"))):
+        IO.write_table(t, path, ["type", "channel"], ["image"])
     back = spark.read.parquet(path).withColumn("type", F.col("type").cast("string"))
     return back.groupBy("type", "channel", "image").agg(F.count("*").alias("n"), F.sum("l_tax").alias("tax"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.core import Scratch, exists, replace
 from tessera.functions import keys as K
 
 EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff")
@@ -27,16 +31,52 @@ def preview_sample(images: DataFrame, per_type: int = 6) -> DataFrame:
     return images.withColumn("n", F.row_number().over(W.partitionBy("type").orderBy("path"))).where(F.col("n") <= per_type)
 
 
-def read_sites(spark: SparkSession, root: str, type_: str, schema: str) -> DataFrame:
-    """Site rows of one type with ``channel`` (the directory name; null for files directly below ``sites``).
+def _first(df: DataFrame, what: Column, name: str) -> DataFrame:
+    """``_file, name``: of each file the value in its first row."""
+    return df.groupBy("_file").agg(F.min_by(what, "_place").alias(name))
+
 
-    An image is named by its file's first row; a file without rows, or whose first row names no image, gives nothing.
+def scan_sites(spark: SparkSession, root: str, type_: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Site rows of one type, and the files that were left out (``file, reason``).
+
+    Files are ``features/<type>/<channel>/*_sites.csv``, or ``features/<type>/*_sites.csv`` (channel null) where the type has no channel folders. Every file's own header says where its
+    columns are, as files of several versions lie side by side: columns of ``schema`` that a file lacks are null, values that do not fit their type too. An image is named by its file's
+    first row. Left out: other names, other depths, files without rows, without a column ``image``, with rows longer than the header, or whose first row names no image.
+    A row is a line: quoted line breaks are not read. A file without a byte is in neither result, as Spark does not list it.
     """
-    d = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").csv(f"{root}/{type_}/sites")
-    d = d.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())})
-    d = d.withColumn("channel", F.nullif(F.regexp_extract("_file", r"/sites/([^/]+)/[^/]+$", 1), F.lit("")))
-    first = d.groupBy("_file").agg(F.min_by(F.struct("image"), "_place")["image"].alias("_image")).where("_image is not null")
-    return d.join(first, "_file").withColumn("image", F.col("_image")).drop("_image", "_file", "_place")
+    tmp = Scratch(spark, "scan")
+    base = f"{root}/features/{type_}"
+    below = F.regexp_extract("path", r"/features/" + re.escape(type_) + r"/(.*)$", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select(F.col("path").alias("_file"), below.alias("below"))
+    files = tmp.save(files.withColumn("depth", F.size(F.split("below", "/"))))
+    folders = not files.where("depth > 1").isEmpty()
+    reason = F.when(~F.col("below").endswith("_sites.csv"), "not a site file").when(F.col("depth") != (2 if folders else 1), "not in a channel folder" if folders else "too deep")
+    files = files.select("_file", F.when(F.lit(folders), F.substring_index("below", "/", 1)).alias("channel"), reason.alias("reason"))
+    lines = spark.read.option("recursiveFileLookup", True).text(base).select("value", F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("_place"))
+    lines = tmp.save(lines.join(files.where("reason is null").select("_file"), "_file").where("trim(value) <> ''"))
+    most = lines.join(_first(lines, F.col("_place"), "_head"), "_file").where("_place = _head").agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    names = [f"c{i}" for i in range(most + 1)]
+    fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"mode": "PERMISSIVE"})
+    cells = lines.withColumn("v", fields).select("_file", "_place", F.array(*[F.col(f"v.{n}") for n in names]).alias("v"))
+    head = cells.join(_first(cells, F.col("_place"), "_head"), "_file")
+    columns = head.where("_place = _head").select("_file", F.transform("v", lambda c: F.coalesce(F.trim(F.ltrim(c, F.lit("\ufeff"))), F.lit(""))).alias("h"))
+    rows = head.where("_place > _head").select("_file", "_place", "v").join(columns, "_file")
+    at = lambda name: F.get("v", F.nullif(F.array_position("h", F.lit(name)), F.lit(0)).cast("int") - 1)
+    width = F.coalesce(F.array_max(F.transform("h", lambda c, i: F.when(c != "", i + 1))), F.lit(0))
+    over = F.exists(F.slice(F.col("v"), width + 1, F.lit(most + 1)), lambda c: c.isNotNull())
+    facts = rows.groupBy("_file").agg(F.min_by(at("image"), "_place").alias("_image"), F.max(over).alias("_over"), F.max(F.array_contains("h", "image")).alias("_named"))
+    facts = tmp.save(files.join(facts, "_file", "left"))
+    why = F.coalesce("reason", F.when(F.col("_named").isNull(), "no rows").when(~F.col("_named"), "no column image").when(F.col("_over"), "rows longer than the header").when(F.coalesce(F.col("_image"), F.lit("")) == "", "first row names no image"))
+    facts = facts.withColumn("reason", why)
+    kind = T.StructType.fromDDL(schema)
+    good = rows.join(facts.where("reason is null").select("_file", "channel", "_image"), "_file")
+    out = good.select(*[(F.col("_image") if f.name == "image" else at(f.name).try_cast(f.dataType)).alias(f.name) for f in kind], "channel")
+    return out, facts.where("reason is not null").select(F.col("_file").alias("file"), "reason")
+
+
+def read_sites(spark: SparkSession, root: str, type_: str, schema: str) -> DataFrame:
+    """Site rows of one type with ``channel``: see ``scan_sites``."""
+    return scan_sites(spark, root, type_, schema)[0]
 
 
 def union_summaries(frames: list[DataFrame]) -> DataFrame:
@@ -48,16 +88,23 @@ def union_summaries(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_summaries(df: DataFrame, root: str) -> None:
-    """The summary sinks: by type (sorted by image in a file) and combined (sorted by type and image)."""
+    """The summary sinks: by type (sorted by image in a file) and combined (sorted by type and image).
+
+    Types that are not in ``df`` keep their rows, and the combined summary is made from all types. It is written aside and then put in place; a run that ends
+    between the two leaves the summaries by type, which ``load_summary`` falls back to.
+    """
+    spark = df.sparkSession
     write_table(df, f"{root}/summary/by_type", ["type"], ["image"])
-    df.orderBy("type", "image").write.mode("overwrite").parquet(f"{root}/summary/all_types")
+    whole, aside = f"{root}/summary/all_types", f"{root}/summary/.all_types-{uuid.uuid4().hex[:8]}"
+    parts = spark.read.option("mergeSchema", True).parquet(f"{root}/summary/by_type")
+    parts.withColumn("type", F.col("type").cast(df.schema["type"].dataType)).orderBy("type", "image").write.parquet(aside)
+    replace(spark, aside, whole)
 
 
 def load_summary(spark: SparkSession, root: str) -> DataFrame:
     """The combined summary, or where it is missing the union of those by type, with ``r, c`` and without the control."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/summary/all_types")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    d = spark.read.parquet(f"{root}/summary/all_types" if there else f"{root}/summary/by_type")
+    there = exists(spark, f"{root}/summary/all_types/_SUCCESS")
+    d = spark.read.parquet(f"{root}/summary/all_types") if there else spark.read.option("mergeSchema", True).parquet(f"{root}/summary/by_type")
     r, c = K.grid_position(F.col("image"))
     return K.not_control(d.withColumn("r", r).withColumn("c", c))
 
@@ -173,8 +220,9 @@ def legacy_outputs(summary: DataFrame, sites_root: str | None = None, most: int
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str], sort: list[str] = ()) -> None:
-    """Parquet, one folder per key; rows sorted inside each file."""
-    (df.sortWithinPartitions(*partition_by, *sort) if sort else df).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Parquet, one folder per key; rows sorted inside each file. Keys that ``df`` holds are replaced when the job commits; folders of other keys stay as they are."""
+    d = df.sortWithinPartitions(*partition_by, *sort) if sort else df
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def save_parameters(params: DataFrame, path: str) -> None:

@@ -218,9 +218,8 @@ def test_statistics_guards(spark):
     assert r[3]["skew"] == pytest.approx(g1 * math.sqrt(12) / 2) and r[3]["r"] == pytest.approx(1)
 
 
-def test_names_of_scales_and_bands():
+def test_names_of_scales():
     assert [K.scale_label(0.2738 * k) for k in (1, 2, 4, 8)] == ["s0p274um", "s0p548um", "s1p1um", "s2p19um"]
-    assert K.band_label(0, 5) == "0_5" and K.band_label(2.5, 15) == "2p5_15"
 
 
 def test_strict_position_raises(spark):

@@ -20,14 +20,47 @@ def test_image_list_is_recursive_and_case_blind(spark, tmp_path):
     assert [(r["name"], r["type"]) for r in got] == [("S_212_r1_c2.PNG", "212"), ("S_213_r1_c3.tif", "213")]
 
 
+def put(folder, **files):
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_bytes(text.encode() if isinstance(text, str) else text)
+
+
 def test_sites_take_channel_and_image_from_files(spark, tmp_path):
-    root = tmp_path / "212" / "sites"
-    (root / "dab").mkdir(parents=True)
-    (root / "dab" / "one.csv").write_text("image,area\nim1,3.5\nim1,4.5\n")
-    (root / "dab" / "none.csv").write_text("image,area\n")
-    (root / "flat.csv").write_text("image,area\nim2,1.0\n")
-    got = {(r["image"], r["channel"], r["area"]) for r in IO.read_sites(spark, str(tmp_path), "212", "image string, area double").collect()}
-    assert got == {("im1", "dab", 3.5), ("im1", "dab", 4.5), ("im2", None, 1.0)}
+    put(tmp_path / "features" / "212" / "dab", one_sites="image,area\nim1,3.5\nim1,4.5\n", none_sites="image,area\n")
+    put(tmp_path / "features" / "213", flat_sites="image,area\nim2,1.0\n")
+    read = lambda t: {(r["image"], r["channel"], r["area"]) for r in IO.read_sites(spark, str(tmp_path), t, "image string, area double").collect()}
+    assert read("212") == {("im1", "dab", 3.5), ("im1", "dab", 4.5)} and read("213") == {("im2", None, 1.0)}
+
+
+def test_the_header_of_a_site_file_says_where_its_columns_are(spark, tmp_path):
+    root = tmp_path / "features" / "t.1"
+    put(
+        root / "dab", a_sites="label,image,area\n1,im1,3.5\n2,im1,x\n", b_sites="area,more,image\n7,\"a,b\",im2\n", c_sites="label,area\n1,hello\n", notes="hello\n1\n", d_sites="", e_sites="image\n", f_sites="image,area\n,1\nim,2\n",
+        g_sites="image,area\nim,1,2\n", h_sites=b"\xff\xfe\x00binary", i_sites="\ufeffimage,area\nim9,9\n\n",
+    )
+    put(root, flat_sites="image,area\nflat,1\n")
+    put(root / "dab" / "deep", x_sites="image,area\ndeep,1\n")
+    rows, left = IO.scan_sites(spark, str(tmp_path), "t.1", "image string, area double, label int")
+    assert {tuple(r) for r in rows.collect()} == {("im1", 3.5, 1, "dab"), ("im1", None, 2, "dab"), ("im2", 7.0, None, "dab"), ("im9", 9.0, None, "dab")}
+    why = {r["file"].rsplit("/", 1)[1]: r["reason"] for r in left.collect()}
+    assert why == {
+        "c_sites.csv": "no column image", "notes.csv": "not a site file", "e_sites.csv": "no rows", "f_sites.csv": "first row names no image", "g_sites.csv": "rows longer than the header", "h_sites.csv": "no rows",
+        "flat_sites.csv": "not in a channel folder", "x_sites.csv": "not in a channel folder",
+    }
+
+
+def test_a_second_run_of_one_type_keeps_the_others(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(rows, "image string, type string, v double")
+    root = f"file://{tmp_path}"
+    IO.write_summaries(make(("a", "212", 1.0), ("b", "213", 2.0)), root)
+    IO.write_summaries(make(("c", "212", 3.0)), root)
+    for d in (spark.read.parquet(f"{root}/summary/by_type"), spark.read.parquet(f"{root}/summary/all_types")):
+        assert {(r["image"], str(r["type"]), r["v"]) for r in d.collect()} == {("c", "212", 3.0), ("b", "213", 2.0)}
+    broken = make(("z", "213", 9.0)).withColumn("v", F.raise_error(F.lit("stopped")).cast("double"))
+    with pytest.raises(Exception, match="stopped"):
+        IO.write_summaries(broken, root)
+    assert {r["image"] for r in IO.load_summary(spark, root).collect()} == {"c", "b"} and {r["image"] for r in spark.read.parquet(f"{root}/summary/by_type").collect()} == {"c", "b"}
 
 
 def test_tables_round_trip(spark, tmp_path):
@@ -77,10 +110,7 @@ def test_channel_summary_runs_every_family(spark):
 
 
 def test_an_image_is_named_by_its_files_first_row(spark, tmp_path):
-    root = tmp_path / "212" / "sites" / "dab"
-    root.mkdir(parents=True)
-    (root / "one.csv").write_text("image,area\nzz,3.5\naa,4.5\n")
-    (root / "two.csv").write_text("image,area\n,1.0\nbb,2.0\n")
+    put(tmp_path / "features" / "212" / "dab", one_sites="image,area\nzz,3.5\naa,4.5\n", two_sites="image,area\n,1.0\nbb,2.0\n")
     got = {(r["image"], r["area"]) for r in IO.read_sites(spark, str(tmp_path), "212", "image string, area double").collect()}
     assert got == {("zz", 3.5), ("zz", 4.5)}
 
