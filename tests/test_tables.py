@@ -53,14 +53,14 @@ def test_the_header_of_a_site_file_says_where_its_columns_are(spark, tmp_path):
 def test_a_second_run_of_one_type_keeps_the_others(spark, tmp_path):
     make = lambda *rows: spark.createDataFrame(rows, "image string, type string, v double")
     root = f"file://{tmp_path}"
-    IO.write_summaries(make(("a", "212", 1.0), ("b", "213", 2.0)), root)
-    IO.write_summaries(make(("c", "212", 3.0)), root)
+    IO.write_summaries(make(("r2_c1", "212", 1.0), ("r2_c2", "213", 2.0)), root)
+    IO.write_summaries(make(("r2_c3", "212", 3.0)), root)
     for d in (spark.read.parquet(f"{root}/summary/by_type"), spark.read.parquet(f"{root}/summary/all_types")):
-        assert {(r["image"], str(r["type"]), r["v"]) for r in d.collect()} == {("c", "212", 3.0), ("b", "213", 2.0)}
-    broken = make(("z", "213", 9.0)).withColumn("v", F.raise_error(F.lit("stopped")).cast("double"))
+        assert {(r["image"], str(r["type"]), r["v"]) for r in d.collect()} == {("r2_c3", "212", 3.0), ("r2_c2", "213", 2.0)}
+    broken = make(("r2_c9", "213", 9.0)).withColumn("v", F.raise_error(F.lit("stopped")).cast("double"))
     with pytest.raises(Exception, match="stopped"):
         IO.write_summaries(broken, root)
-    assert {r["image"] for r in IO.load_summary(spark, root).collect()} == {"c", "b"} and {r["image"] for r in spark.read.parquet(f"{root}/summary/by_type").collect()} == {"c", "b"}
+    assert {r["image"] for r in IO.load_summary(spark, root).collect()} == {"r2_c3", "r2_c2"} and {r["image"] for r in spark.read.parquet(f"{root}/summary/by_type").collect()} == {"r2_c3", "r2_c2"}
 
 
 def test_tables_round_trip(spark, tmp_path):
