@@ -88,7 +88,10 @@ def log_odds(model, feats):
 
 
 def segments(score: np.ndarray):
-    """All maximal scoring segments ``(start, end, score)`` of one text, in linear time over its positive tokens."""
+    """All maximal scoring segments ``(start, end, score)`` of one text, in linear time over its positive tokens.
+
+    Every segment kept has a link to the last one before it whose left sum is lower. A search for a lower left sum follows links, and so passes each segment once.
+    """
     at = np.flatnonzero(score > 0)
     if not len(at):
         return []
@@ -99,13 +102,13 @@ def segments(score: np.ndarray):
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][2] >= left:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= right:
-                kept.append((begin, a + 1, left, right))
+                kept.append((begin, a + 1, left, right, j))
                 break
             begin, left = kept[j][0], kept[j][2]
             del kept[j:]
-    return [(b, e, r - x) for b, e, x, r in kept]
+    return [(b, e, r - x) for b, e, x, r, _ in kept]
 
 
 def text_segments(model, buf, off, drifts):

@@ -112,17 +112,45 @@ class Broken(Exception):
 
 
 def member_at(data: memoryview, pos: int):
-    """The inflated gzip member at ``pos`` and its end; Broken if it is not whole."""
+    """The gzip member at ``pos``: what could be inflated, where it ends, and what is wrong with it (None: whole)."""
     z, out, at = zlib.decompressobj(31), [], pos
-    try:
-        while not z.eof:
-            if at >= len(data):
-                raise Broken("cut off")
-            out.append(z.decompress(data[at : at + FEED]))
-            at += FEED
-    except zlib.error as e:
-        raise Broken("deflate or CRC") from e
-    return b"".join(out), min(at, len(data)) - len(z.unused_data)
+    while not z.eof:
+        if at >= len(data):
+            return b"".join(out), at, "cut off"
+        before, size = z.copy(), FEED
+        try:
+            out.append(z.decompress(data[at : at + size]))
+            at += size
+        except zlib.error:
+            # keep all that comes out before the fault: go on from the copy in ever smaller steps
+            z = before
+            while size:
+                before = z.copy()
+                try:
+                    out.append(z.decompress(data[at : at + size]))
+                    at += size
+                except zlib.error:
+                    z, size = before, size // 2
+            return b"".join(out), at, "deflate or CRC"
+    return b"".join(out), min(at, len(data)) - len(z.unused_data), None
+
+
+def place_of(data: memoryview, pos: int, size: int, step: int = 512) -> int:
+    """Where the member at ``pos`` has given ``size`` bytes (it gives as many)."""
+    z, have, at = zlib.decompressobj(31), 0, pos
+    while step:
+        while have < size:
+            before = z.copy()
+            try:
+                got = len(z.decompress(data[at : at + step]))
+            except zlib.error:
+                got = size
+            if have + got >= size and step > 1:
+                z = before
+                break
+            have, at = have + got, at + step
+        step = 1 if step > 1 else 0
+    return min(at, len(data))
 
 
 def fields_of(lines: list) -> dict:
@@ -184,7 +212,8 @@ def parse_record(raw: bytes, pos: int, head_end: int | None = None):
 def salvage(data: bytes, packed: bool = True):
     """Records (``kind`` record) and quarantined gaps (``kind`` gap) of one archive, in order, covering every byte.
 
-    A gzip member may hold several records. All its rows have the member's offset; the first has its length, the others 0.
+    A gzip member may hold several records. All its rows have the member's offset; the first has its length, the others 0. Of a damaged member all records that can be
+    inflated and pass their checks are kept; the rest of it, from the end of the last of them, is a gap (of length 0 if nothing is left of it).
     """
     view, pos, n = memoryview(data), 0, len(data)
     gap, why = None, ""
@@ -195,19 +224,23 @@ def salvage(data: bytes, packed: bool = True):
     def take(at):
         nonlocal blank
         if packed and data[at : at + 3] == MAGIC:
-            raw, end = member_at(view, at)
+            raw, end, fault = member_at(view, at)
             rows = list(salvage(raw, False))
-            if not any(x["kind"] == "record" for x in rows):
-                raise Broken(rows[0]["reason"] if rows else "empty member")
-            return rows, end
+            ends = [x["offset"] + x["length"] for x in rows if x["kind"] == "record"]
+            if not ends:
+                raise Broken(fault or (rows[0]["reason"] if rows else "empty member"))
+            if fault:
+                rows = [x for x in rows if x["kind"] == "record" or x["offset"] < max(ends)]
+                return rows, place_of(view, at, max(ends)), fault
+            return rows, end, None
         if blank < at:
             blank = blank if (blank := data.find(b"\r\n\r\n", at)) >= 0 else n + MAX_HEADER + 1
         fields, end = parse_record(data, at, blank)
-        return [fields | {"kind": "record"}], end
+        return [fields | {"kind": "record"}], end, None
 
     while pos < n:
         try:
-            rows, end = take(pos)
+            rows, end, fault = take(pos)
         except Broken as e:
             if gap is None:
                 gap, why = pos, str(e)
@@ -222,6 +255,8 @@ def salvage(data: bytes, packed: bool = True):
         for i, x in enumerate(rows):
             yield x | {"offset": pos, "length": 0 if i else end - pos}
         pos = end
+        if fault:
+            gap, why = pos, fault
     if gap is not None:
         yield {"kind": "gap", "offset": gap, "length": n - gap, "reason": why}
 
