@@ -14,27 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessera.core import Scratch, ship
+from tessera.operators import scans
+
+
+def tested(long: DataFrame) -> DataFrame:
+    return long.where(F.col("value").isNotNull() & F.col("level").isNotNull()).withColumn("level", F.col("level").cast("string"))
 
 
 def counted(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Per test, level and distinct value: how often it occurs (``c``) and the first image that has it. All statistics follow from this table."""
-    d = long.where(F.col("value").isNotNull() & F.col("level").isNotNull()).withColumn("level", F.col("level").cast("string"))
-    return d.groupBy(*keys, "level", "value").agg(F.count("*").alias("c"), F.min("image").alias("image"))
+    """Per test, level and distinct value: how often it occurs (``c``). A very common value is one row a level."""
+    return tested(long).groupBy(*keys, "level", "value").agg(F.count("*").alias("c"))
 
 
 def group_stats(long: DataFrame, keys: list[str]) -> DataFrame:
     """Per test and level: ``n, mean, var`` and the first image that has the level."""
-    d = long.where(F.col("value").isNotNull() & F.col("level").isNotNull()).withColumn("level", F.col("level").cast("string"))
-    return d.groupBy(*keys, "level").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"), F.min("image").alias("first_image"))
-
-
-def counted_stats(values: DataFrame, keys: list[str]) -> DataFrame:
-    """``group_stats`` from counted values: sums of squares about the mean, so that large means cost no digits."""
-    k = [*keys, "level"]
-    m = values.groupBy(*k).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"), F.min("image").alias("first_image"))
-    gap = F.col("value") - F.col("mean")
-    v = values.join(m.select(*k, "mean"), k).groupBy(*k).agg(F.sum(F.col("c") * gap * gap).alias("ss"))
-    return m.join(v, k).select(*k, "n", "mean", F.try_divide(F.col("ss"), F.col("n") - 1).alias("var"), "first_image")
+    return tested(long).groupBy(*keys, "level").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"), F.min("image").alias("first_image"))
 
 
 def gate(stats: DataFrame, keys: list[str], min_per_group: int = 2) -> DataFrame:
@@ -60,42 +54,28 @@ def two_level(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 def mid_ranks(long: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``rank`` (ties share their mean rank) and ``ties`` (size of the tie) among the values of a test."""
-    d = long.where(F.col("value").isNotNull() & F.col("level").isNotNull()).withColumn("level", F.col("level").cast("string"))
-    ties = F.count("*").over(W.partitionBy(*keys, "value"))
-    return d.withColumn("ties", ties).withColumn("rank", F.rank().over(W.partitionBy(*keys).orderBy("value")) + (F.col("ties") - 1) / 2)
-
-
-#: Distinct values of a test that one task ranks.
-RANGE = 50_000
+    return scans.mid_ranks(tested(long), keys, "value")
 
 
 def kruskal(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Per test: H with tie correction and its degrees of freedom; H is null if all values are equal."""
-    return counted_kruskal(counted(long, keys), keys)
-
-
-def counted_kruskal(values: DataFrame, keys: list[str]) -> DataFrame:
-    """``kruskal`` from counted values.
+    """Per test: H with tie correction and its degrees of freedom; H is null if all values are equal.
 
-    Ranks are sums in two levels: values are cut into ranges of one order (by a range partitioning of the sorted table), each range is summed in itself,
-    and the sums of the ranges before it are added, so that no test is sorted in one task.
+    Values are counted, cut into ranges of one order and ranked inside them; a level's sum of ranks over a range then only lacks the number of values
+    before the range, times the level's count: no row is joined with its rank, and no test is sorted in one task.
     """
-    tmp = Scratch(values.sparkSession, "ranks")
-    v = values.groupBy(*keys, "value").agg(F.sum("c").alias("t"))
-    parts = max(1, -(-v.count() // RANGE))
-    v = tmp.save(v.repartitionByRange(parts, *keys, "value").withColumn("part", F.spark_partition_id()))
-    ranges = v.groupBy(*keys, "part").agg(F.sum("t").alias("s"))
-    before = ranges.withColumn("before", F.sum("s").over(W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select(*keys, "part", F.coalesce("before", F.lit(0)).alias("before"))
-    inside = F.sum("t").over(W.partitionBy(*keys, "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    ranks = v.withColumn("upto", inside).join(before, [*keys, "part"]).select(*keys, "value", "t", (F.col("upto") + F.col("before") - (F.col("t") - 1) / 2).alias("rank"))
-    ranked = values.join(ranks, [*keys, "value"])
-    per_level = ranked.groupBy(*keys, "level").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
-    whole = per_level.groupBy(*keys).agg(F.sum("n").cast("double").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
-    tied = v.groupBy(*keys).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
+    r = scans.Ranged(counted(long, keys), keys, ["value"])
+    t = F.sum("c").over(W.partitionBy(*keys, "_part", "value"))
+    upto = F.sum("c").over(r.within().rangeBetween(W.unboundedPreceding, W.currentRow))
+    d = r.rows.withColumn("t", t).withColumn("rank", upto - (t - 1) / 2)
+    c = F.col("c").cast("double")
+    per = d.groupBy(*keys, "_part", "level").agg(F.sum(c).alias("n"), F.sum(c * F.col("rank")).alias("r"), F.sum(c * (F.pow(F.col("t").cast("double"), F.lit(2.0)) - 1)).alias("ties"))
+    d = r.with_offsets(per, r.offsets(per, F.sum("n")))
+    level = d.groupBy(*keys, "level").agg(F.sum("n").alias("n"), F.sum(F.col("r") + F.coalesce("_off", F.lit(0.0)) * F.col("n")).alias("r"), F.sum("ties").alias("ties"))
+    whole = level.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("ties").alias("ties"))
     n = F.col("n")
     h = F.try_divide(12 * F.col("s"), n * (n + 1)) - 3 * (n + 1)
     fix = 1 - F.try_divide(F.col("ties"), n * n * n - n)
-    return whole.join(tied, keys).select(*keys, F.when(fix > 1e-14, h / fix).alias("h"), (F.col("k") - 1).alias("df"))
+    return whole.select(*keys, F.when(fix > 1e-14, h / fix).alias("h"), (F.col("k") - 1).alias("df"))
 
 
 def _beta_cf(a, b, x):
@@ -172,24 +152,19 @@ def p_value(test: pd.Series, t: pd.Series, t_df: pd.Series, h: pd.Series, h_df:
     return pd.Series(out).where(~np.isnan(out), None)
 
 
-def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: list[str | Column], name: str = "q_value") -> DataFrame:
-    """Adds q: from the largest p down, the running minimum of p * m / rank, at most 1; null p keep a null q."""
-    order = [F.col(p).asc_nulls_last(), *tie]
-    m = F.count(p).over(W.partitionBy(*keys))
-    d = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).withColumn("_m", m)
-    d = d.withColumn("_v", F.when(F.col(p).isNotNull(), F.col(p) * F.col("_m") / F.col("_rank")))
-    run = F.min("_v").over(W.partitionBy(*keys).orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn(name, F.when(F.col(p).isNotNull(), F.least(run, F.lit(1.0)))).drop("_rank", "_m", "_v")
+benjamini_hochberg = scans.benjamini_hochberg
 
 
 def differential(long: DataFrame, keys: list[str], min_per_group: int = 2) -> DataFrame:
-    """Per ``keys..., phenotype, feature``: test, statistics, p, q (within keys and phenotype), effect, n, level means."""
+    """Per ``keys..., phenotype, feature``: test, statistics, p, q (within keys and phenotype), effect, n, level means.
+
+    One aggregate gives means and variances, one sorted pass the ranks; h stands beside t where a test has two levels.
+    """
     k = [*keys, "phenotype", "feature"]
     tmp = Scratch(long.sparkSession, "tests")
-    values = tmp.save(counted(long, k))
-    stats = tmp.save(counted_stats(values, k))
+    stats = tmp.save(group_stats(long, k))
     out = gate(stats, k, min_per_group).join(two_level(stats, k), k, "left")
-    out = out.join(counted_kruskal(values, k).withColumnRenamed("df", "h_df"), k, "left")
+    out = out.join(kruskal(long, k).withColumnRenamed("df", "h_df"), k, "left")
     out = out.withColumn("p_value", p_value("test", "t", "df", "h", "h_df"))
     out = benjamini_hochberg(out, [*keys, "phenotype"], "p_value", [F.col("feature")])
     return out.select(*k, "test", "p_value", "q_value", "effect_d", "levels", "n", "t", "df", "h", "h_df", "means")

@@ -8,6 +8,7 @@ from tessera.core import Scratch, _at, load
 from tessera.functions import keys as K
 from tessera.functions import stats as S
 from tessera.operators import difftest as T
+from tessera.operators import scans
 from tessera.plans import fixtures as X
 from tessera.plans.registry import SQL, query, r6
 from tessera.sources import tables as IO
@@ -65,7 +66,7 @@ def a09(spark, d):
 
 @query("A10_gini", f"{SITES}, p AS (SELECT image, l_discount AS v, row_number() OVER (PARTITION BY image ORDER BY l_discount) AS i FROM sites) SELECT image, {r6('CASE WHEN max(abs(v)) <= 1e-8 THEN 0 ELSE (2 * sum(i * v) - (count(*) + 1) * sum(v)) / (count(*) * sum(v)) END', 'gini')} FROM p GROUP BY image")
 def a10(spark, d):
-    return S.gini(X.sites(spark, d), ["image"], "l_discount")
+    return scans.gini(X.sites(spark, d), ["image"], S.finite("l_discount"))
 
 
 def bins_sql(v: str, p: str) -> str:
