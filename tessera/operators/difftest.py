@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from tessera.core import Scratch, ship
 from tessera.operators import scans
+from tessera.operators import tiles as TL
 
 
 def tested(long: DataFrame) -> DataFrame:
@@ -57,18 +59,34 @@ def mid_ranks(long: DataFrame, keys: list[str]) -> DataFrame:
     return scans.mid_ranks(tested(long), keys, "value")
 
 
+def _rank_sums(keys: list[str]):
+    """Of each test's stretch of a range (sorted counted values): per level the count, the sum of ranks inside the stretch, and the tie terms."""
+
+    def run(batches):
+        for rows in TL.cut(batches, keys):
+            v, c = rows.column("value").to_numpy(), rows.column("c").to_numpy().astype(float)
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            t = np.add.reduceat(c, first)
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
+            rank = (np.cumsum(t) - (t - 1) / 2)[of]
+            level = rows.column("level").combine_chunks().dictionary_encode()
+            at, k = level.indices.to_numpy(), len(level.dictionary)
+            part = rows.column("_part").slice(0, 1).combine_chunks().take(pa.array(np.zeros(k, np.int64)))
+            sums = {n: np.bincount(at, w, k) for n, w in (("n", c), ("r", c * rank), ("ties", c * (t[of] ** 2 - 1)))}
+            yield from pa.table(TL.repeated(rows, keys, k) | {"_part": part, "level": level.dictionary} | sums).to_batches()
+
+    return run
+
+
 def kruskal(long: DataFrame, keys: list[str]) -> DataFrame:
     """Per test: H with tie correction and its degrees of freedom; H is null if all values are equal.
 
     Values are counted, cut into ranges of one order and ranked inside them; a level's sum of ranks over a range then only lacks the number of values
     before the range, times the level's count: no row is joined with its rank, and no test is sorted in one task.
     """
-    r = scans.Ranged(counted(long, keys), keys, ["value"])
-    t = F.sum("c").over(W.partitionBy(*keys, "_part", "value"))
-    upto = F.sum("c").over(r.within().rangeBetween(W.unboundedPreceding, W.currentRow))
-    d = r.rows.withColumn("t", t).withColumn("rank", upto - (t - 1) / 2)
-    c = F.col("c").cast("double")
-    per = d.groupBy(*keys, "_part", "level").agg(F.sum(c).alias("n"), F.sum(c * F.col("rank")).alias("r"), F.sum(c * (F.pow(F.col("t").cast("double"), F.lit(2.0)) - 1)).alias("ties"))
+    r = scans.Ranged(counted(long, keys), keys, ["value"], keep=False)
+    kinds = TL.schema_of(r.rows, [*keys, "_part", "level"], n="double", r="double", ties="double")
+    per = r.tmp.save(r.rows.mapInArrow(_rank_sums(keys), kinds))
     d = r.with_offsets(per, r.offsets(per, F.sum("n")))
     level = d.groupBy(*keys, "level").agg(F.sum("n").alias("n"), F.sum(F.col("r") + F.coalesce("_off", F.lit(0.0)) * F.col("n")).alias("r"), F.sum("ties").alias("ties"))
     whole = level.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("ties").alias("ties"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.core import ship
 from tessera.functions import stats as S
+from tessera.operators import scans
 from tessera.operators import tiles as TL
 
 #: A height (with a width beside it), or a table ``keys, height, width``.
@@ -75,27 +76,33 @@ def unmix(r: Column, g: Column, b: Column) -> dict[str, Column]:
     return {name: F.greatest(sum(logs[i] * float(UNMIX[i, k]) for i in range(3)), F.lit(0.0)) for k, name in enumerate(("hematoxylin", "eosin", "dab"))}
 
 
-def limits(df: DataFrame, keys: list[str], value: str, where: Column | None = None) -> DataFrame:
-    """Per image: 1st and 99th percentile and range, of all values and of those ``where`` holds."""
+def limits(df: DataFrame, keys: list[str], value: str, where: Column | None = None, large: bool = False) -> DataFrame:
+    """Per image: 1st and 99th percentile and range, of all values and of those ``where`` holds.
+
+    ``large``: percentiles from ordered ranges instead of a map of an image's distinct values, for images that have very many.
+    """
     v = F.col(value)
     t = F.when(where, v) if where is not None else v
-    return df.groupBy(*keys).agg(
-        F.percentile(v, F.lit(0.01)).alias("lo"), F.percentile(v, F.lit(0.99)).alias("hi"), F.min(v).alias("mn"), F.max(v).alias("mx"),
-        F.percentile(t, F.lit(0.01)).alias("tlo"), F.percentile(t, F.lit(0.99)).alias("thi"), F.min(t).alias("tmn"), F.max(t).alias("tmx"),
-    )
+    ends = [F.min(v).alias("mn"), F.max(v).alias("mx"), F.min(t).alias("tmn"), F.max(t).alias("tmx")]
+    if not large:
+        return df.groupBy(*keys).agg(F.percentile(v, F.lit(0.01)).alias("lo"), F.percentile(v, F.lit(0.99)).alias("hi"), F.percentile(t, F.lit(0.01)).alias("tlo"), F.percentile(t, F.lit(0.99)).alias("thi"), *ends)
+    out = df.groupBy(*keys).agg(*ends)
+    for x, names in ((v, ["lo", "hi"]), (t, ["tlo", "thi"])):
+        out = out.join(scans.quantiles(df, keys, x, [0.01, 0.99], names), keys, "left")
+    return out
 
 
 def _stretch(v: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.greatest(F.try_divide(v - lo, hi - lo), F.lit(0.0)), F.lit(1.0))
 
 
-def normalise(df: DataFrame, keys: list[str], value: str, out: str = "norm", where: Column | None = None, robust: bool = False) -> DataFrame:
+def normalise(df: DataFrame, keys: list[str], value: str, out: str = "norm", where: Column | None = None, robust: bool = False, large: bool = False) -> DataFrame:
     """Percentile stretch to [0, 1].
 
     Without ``where``: over the image, else min to max, else 0. With it: limits from those pixels; without such pixels, or
     if they are flat, the image's rule (robust: 0).
     """
-    lim = limits(df.withColumn("_v", S.finite(value)), keys, "_v", where)
+    lim = limits(df.withColumn("_v", S.finite(value)), keys, "_v", where, large)
     whole = F.when(F.col("hi") > F.col("lo"), _stretch(F.col(value), F.col("lo"), F.col("hi"))).when(F.col("mx") > F.col("mn"), _stretch(F.col(value), F.col("mn"), F.col("mx"))).otherwise(F.lit(0.0))
     if where is None:
         expr = whole

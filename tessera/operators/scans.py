@@ -17,14 +17,21 @@ RANGE = 100_000
 
 
 class Ranged:
-    """``df`` cut into ranges by ``keys`` and ``order`` (columns, ascending as given), written: ``rows`` has ``_part``, which rises with the order."""
+    """``df`` cut into ranges by ``keys`` and ``order`` (columns, ascending as given): ``rows`` has ``_part``, which rises with the order.
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[Column | str], rows: int | None = None):
+    ``keep``: the ranges are written, as whoever reads them twice needs; else they are made anew, maybe elsewhere, at each reading, and are sorted.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column | str], rows: int | None = None, keep: bool = True):
         self.keys, self.order = keys, [F.col(o) if isinstance(o, str) else o for o in order]
         self.tmp = Scratch(df.sparkSession, "ranges")
         d = self.tmp.save(df)
         parts = -(-d.count() // (rows or RANGE))
-        self.rows = d.withColumn("_part", F.lit(0)) if parts <= 1 else self.tmp.save(d.repartitionByRange(parts, *keys, *self.order).withColumn("_part", F.spark_partition_id()))
+        if keep:
+            self.rows = d.withColumn("_part", F.lit(0)) if parts <= 1 else self.tmp.save(d.repartitionByRange(parts, *keys, *self.order).withColumn("_part", F.spark_partition_id()))
+        else:
+            cut = d.repartition(1) if parts <= 1 else d.repartitionByRange(parts, *keys, *self.order)
+            self.rows = cut.sortWithinPartitions(*keys, *self.order).withColumn("_part", F.spark_partition_id())
 
     def within(self) -> W:
         """The rows of a range up to this one, in order (by rows; ``W.partitionBy`` and ``orderBy`` as usual)."""
@@ -57,6 +64,23 @@ def mid_ranks(df: DataFrame, keys: list[str], value: str, rows: int | None = Non
     return d.withColumn("rank", F.col("_in") + F.coalesce("_off", F.lit(0)) + (F.col("ties") - 1) / 2).select(*df.columns, "ties", "rank")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: Column, qs: list[float], names: list[str], rows: int | None = None) -> DataFrame:
+    """Exact quantiles (linear between neighbours, as ``percentile``) of each group's non-null values, from the rows at the wanted places of the ranges: a group may have any number of distinct values."""
+    r = Ranged(df.select(*keys, value.alias("_v")).where("_v is not null"), keys, ["_v"], rows)
+    m = r.rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_m"))
+    d = r.with_offsets(r.rows.withColumn("_i", F.row_number().over(r.within()) - 1), r.offsets(r.rows, F.count("*"))).withColumn("_i", F.col("_i") + F.coalesce("_off", F.lit(0)))
+    d = d.join(m, same(keys)).drop(*[f"_k{i}" for i in range(len(keys))])
+    place = lambda q: (F.col("_m") - 1) * q
+    wanted = F.lit(False)
+    for q in qs:
+        wanted = wanted | (F.col("_i") == F.floor(place(q))) | (F.col("_i") == F.ceil(place(q)))
+    at = lambda q, f: F.max(F.when(F.col("_i") == f(place(q)), F.col("_v")))
+    share = lambda q: F.max(place(q) - F.floor(place(q)))
+    out = d.where(wanted).groupBy(*keys).agg(*[(at(q, F.floor) * (1 - share(q)) + at(q, F.ceil) * share(q)).alias(n) for q, n in zip(qs, names)])
+    out = out.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    return df.select(*keys).distinct().join(out, same(keys), "left").select(*keys, *names)
+
+
 def gini(df: DataFrame, keys: list[str], value: Column, name: str = "gini", rows: int | None = None) -> DataFrame:
     """Gini coefficient of each group's non-null values; 0 if all are (almost) 0, null without one. Each range adds its own sums, so no row is joined."""
     r = Ranged(df.select(*keys, value.alias("_v")), keys, [F.col("_v").asc_nulls_last()], rows)

@@ -188,21 +188,97 @@ def grid_dispersion(points: DataFrame, height: Size, width: float | None = None,
     return g.select("grp", (var / mean).alias("grid_vmr"), (F.sqrt(var) / mean).alias("grid_cv"))
 
 
+_GRAPH = {"graph_mean_degree": "double", "graph_sd_degree": "double", "graph_components": "double", "graph_largest_component_frac": "double", "graph_singleton_frac": "double"}
+
+
+def _graph_small(rows: pa.Table) -> pa.Table:
+    """The graph of a small group (``y, x`` and its ``radius``)."""
+    y, x = (rows.column(c).cast(pa.float64()).to_numpy() for c in ("y", "x"))
+    radius, n = rows.column("radius")[0].as_py(), len(y)
+    degree, edges, step = np.zeros(n), [], max(CHUNK // n, 1)
+    for i in range(0, n, step):
+        dy, dx = y[i : i + step, None] - y, x[i : i + step, None] - x
+        a, b = np.nonzero(np.sqrt(dy * dy + dx * dx) <= radius)
+        a = a + i
+        degree += np.bincount(a[a != b], minlength=n)
+        edges.append(np.stack([a, b])[:, a < b])
+    size = np.bincount(TL.unite(*np.concatenate(edges, 1), n))
+    size = size[size > 0]
+    values = [degree.mean(), degree.std(ddof=1) if n > 1 else 0.0, float(len(size)), size.max() / n, (size == 1).sum() / n]
+    return pa.table(TL.repeated(rows, ["grp", "radius"], 1) | {name: [float(v)] for name, v in zip(_GRAPH, values)})
+
+
 def proximity_graph(points: DataFrame, nn: DataFrame) -> DataFrame:
-    """Graph of points within 1.5 mean nearest distances (at least 1): degrees, components, largest share, singles."""
+    """Graph of points within 1.5 mean nearest distances (at least 1): degrees, components, largest share, singles.
+
+    A group of at most SMALL points is done at once on arrays; larger ones by joins of cells and components of their edges.
+    """
     tmp = Scratch(points.sparkSession, "proximity")
     radius = tmp.save(nn.where("rank = 1").groupBy("grp").agg(F.greatest(F.avg("d") * 1.5, F.lit(1.0)).alias("radius")))
-    e = tmp.save(within(points, radius))
-    p = points.join(radius, "grp").select("grp", "pid")
-    deg = e.select("grp", F.explode(F.array("a", "b")).alias("pid")).groupBy("grp", "pid").agg(F.count("*").alias("deg"))
-    comp = connected_components(e.select(F.struct("grp", F.col("a").alias("pid")).alias("src"), F.struct("grp", F.col("b").alias("pid")).alias("dst")))
-    comp = comp.select("node.grp", "node.pid", F.col("component.pid").alias("comp"))
-    p = p.join(deg, ["grp", "pid"], "left").join(comp, ["grp", "pid"], "left").select("grp", "pid", F.coalesce("deg", F.lit(0)).cast("double").alias("deg"), F.coalesce("comp", "pid").alias("comp"))
-    d = p.groupBy("grp").agg(F.avg("deg").alias("graph_mean_degree"), S.sd("deg").alias("graph_sd_degree"), F.count("*").cast("double").alias("n"))
-    c = p.groupBy("grp", "comp").agg(F.count("*").alias("s")).groupBy("grp").agg(F.count("*").cast("double").alias("graph_components"), F.max("s").alias("most"), F.sum((F.col("s") == 1).cast("double")).alias("single"))
+    large, some = _sizes(tmp, points)
+    p = points.select("grp", "pid", "y", "x").join(radius, "grp")
+    schema = TL.schema_of(p, ["grp", "radius"], **_GRAPH)
+    out = TL.over_groups(p.join(large, "grp", "left_anti") if some else p, ["grp"], _graph_small, schema)
+    if some:
+        out = out.unionByName(_graph_large(p.join(large, "grp", "left_semi"), tmp))
+    return points.select("grp").distinct().join(out.withColumnRenamed("radius", "graph_radius_um"), "grp", "left")
+
+
+#: Pairs of points that a pair of cells may hold before both are halved, and how often cells are.
+PAIRS, HALVINGS = 1_000_000, 24
+
+
+def _graph_large(p: DataFrame, tmp: Scratch) -> DataFrame:
+    """Degrees and components of groups of any size and crowding, without the pairs of a crowd.
+
+    Cells have half the radius as side, so all points of a cell are neighbours: cells, not points, are the nodes of the components. Pairs of cells that lie wholly within the radius count
+    as products, those beyond it not at all; of the others, the points are compared, after both cells were halved as long as they hold over PAIRS pairs.
+    """
+    radius = tmp.save(p.select("grp", "radius").distinct())
+    p = tmp.save(p.withColumn("side", F.col("radius") / 2).withColumn("cy", _cell("y", "side")).withColumn("cx", _cell("x", "side")))
+    n = tmp.save(p.groupBy("grp", "radius", "side", "cy", "cx").agg(F.count("*").alias("n")))
+    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-3, 4) for b in range(-3, 4)])
+    probe = n.withColumn("m", F.explode(near)).select("grp", "radius", "side", "cy", "cx", "n", (F.col("cy") + F.col("m.a")).alias("oy"), (F.col("cx") + F.col("m.b")).alias("ox"))
+    # pairs of cells at a level: (ay, ax) and (by, bx) in cells of side / 2^level; both orders, and a cell with itself
+    pairs = probe.join(n.select("grp", F.col("cy").alias("oy"), F.col("cx").alias("ox"), F.col("n").alias("m")), ["grp", "oy", "ox"])
+    pairs = pairs.select("grp", "radius", "side", F.col("cy").alias("ay"), F.col("cx").alias("ax"), F.col("oy").alias("by"), F.col("ox").alias("bx"), "n", "m")
+    full, close = [], []
+    for level in range(HALVINGS):
+        dy, dx = F.abs(F.col("ay") - F.col("by")), F.abs(F.col("ax") - F.col("bx"))
+        least = F.sqrt(F.pow(F.greatest(dy - 1, F.lit(0)), F.lit(2.0)) + F.pow(F.greatest(dx - 1, F.lit(0)), F.lit(2.0))) * F.col("side")
+        most = F.sqrt(F.pow(dy + 1.0, F.lit(2.0)) + F.pow(dx + 1.0, F.lit(2.0))) * F.col("side")
+        slack = 1 + 1e-9  # cells that touch the radius are compared by their points
+        state = F.when(most * slack <= F.col("radius"), "full").when(least > F.col("radius") * slack, "far").when(F.col("n") * F.col("m") <= PAIRS, "check").otherwise("split")
+        pairs = tmp.save(pairs.withColumn("level", F.lit(level)).withColumn("state", state).where("state <> 'far'"))
+        full.append(pairs.where("state = 'full'"))
+        close.append(pairs.where("state = 'check'" if level < HALVINGS - 1 else "state <> 'full'"))
+        split = pairs.where("state = 'split'")
+        if level == HALVINGS - 1 or split.isEmpty():
+            break
+        half = p.select("grp", (F.col("side") / 2 ** (level + 1)).alias("side"), "y", "x")
+        child = tmp.save(half.withColumn("cy", _cell("y", "side")).withColumn("cx", _cell("x", "side")).groupBy("grp", F.floor(F.col("cy") / 2).alias("py"), F.floor(F.col("cx") / 2).alias("px"), "cy", "cx").agg(F.count("*").alias("c")))
+        one = child.select("grp", F.col("py").alias("ay"), F.col("px").alias("ax"), F.col("cy").alias("ay2"), F.col("cx").alias("ax2"), F.col("c").alias("n2"))
+        two = child.select("grp", F.col("py").alias("by"), F.col("px").alias("bx"), F.col("cy").alias("by2"), F.col("cx").alias("bx2"), F.col("c").alias("m2"))
+        pairs = split.join(one, ["grp", "ay", "ax"]).join(two, ["grp", "by", "bx"]).select("grp", "radius", (F.col("side") / 2).alias("side"), F.col("ay2").alias("ay"), F.col("ax2").alias("ax"), F.col("by2").alias("by"), F.col("bx2").alias("bx"), F.col("n2").alias("n"), F.col("m2").alias("m"))
+    full, close = (reduce(DataFrame.unionByName, x) for x in (full, close))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(level))).alias("level")
+    at = p.select("grp", "pid", "y", "x", "side", levels).withColumn("side", F.col("side") / F.pow(F.lit(2.0), F.col("level"))).select("grp", "pid", "y", "x", "level", _cell("y", "side").alias("ay"), _cell("x", "side").alias("ax"))
+    counted = full.groupBy("grp", "level", "ay", "ax").agg(F.sum("m").alias("deg"))
+    by_cells = at.join(counted, ["grp", "level", "ay", "ax"]).select("grp", "pid", "deg")
+    other = at.select("grp", "level", F.col("ay").alias("by"), F.col("ax").alias("bx"), F.col("pid").alias("q"), F.col("y").alias("qy"), F.col("x").alias("qx"))
+    c = at.join(close.select("grp", "radius", "level", "ay", "ax", "by", "bx"), ["grp", "level", "ay", "ax"]).join(other, ["grp", "level", "by", "bx"])
+    dy, dx = F.col("y") - F.col("qy"), F.col("x") - F.col("qx")
+    met = c.where(F.sqrt(dy * dy + dx * dx) <= F.col("radius"))
+    found = tmp.save(met.groupBy("grp", "pid", "level", "ay", "ax", "by", "bx").agg(F.count("*").alias("deg")))
+    deg = by_cells.unionByName(found.select("grp", "pid", "deg")).groupBy("grp", "pid").agg((F.sum("deg") - 1).alias("deg"))  # itself is met once
+    up = lambda y, x: F.struct("grp", F.floor(F.col(y) / F.pow(F.lit(2.0), F.col("level"))).alias("y"), F.floor(F.col(x) / F.pow(F.lit(2.0), F.col("level"))).alias("x"))
+    edges = full.unionByName(found, allowMissingColumns=True).select(up("ay", "ax").alias("src"), up("by", "bx").alias("dst")).distinct()
+    comp = connected_components(edges).select("node.grp", F.col("node.y").alias("cy"), F.col("node.x").alias("cx"), "component")
+    d = p.join(deg, ["grp", "pid"], "left").groupBy("grp").agg(F.avg(F.coalesce("deg", F.lit(0)).cast("double")).alias("graph_mean_degree"), S.sd(F.coalesce("deg", F.lit(0))).alias("graph_sd_degree"), F.count("*").cast("double").alias("n"))
+    c = n.join(comp, ["grp", "cy", "cx"], "left").groupBy("grp", F.coalesce("component", F.struct("grp", F.col("cy").alias("y"), F.col("cx").alias("x"))).alias("comp")).agg(F.sum("n").alias("s"))
+    c = c.groupBy("grp").agg(F.count("*").cast("double").alias("graph_components"), F.max("s").alias("most"), F.sum((F.col("s") == 1).cast("double")).alias("single"))
     j = radius.join(d, "grp").join(c, "grp")
-    out = j.select("grp", F.col("radius").alias("graph_radius_um"), "graph_mean_degree", "graph_sd_degree", "graph_components", (F.col("most") / F.col("n")).alias("graph_largest_component_frac"), (F.col("single") / F.col("n")).alias("graph_singleton_frac"))
-    return points.select("grp").distinct().join(out, "grp", "left")
+    return j.select("grp", "radius", "graph_mean_degree", "graph_sd_degree", "graph_components", (F.col("most") / F.col("n")).alias("graph_largest_component_frac"), (F.col("single") / F.col("n")).alias("graph_singleton_frac"))
 
 
 def _tree_small(rows: pa.Table) -> pa.Table | None:

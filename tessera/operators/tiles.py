@@ -78,7 +78,8 @@ def _changes(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(out) + 1
 
 
-def _cut(batches, keys: list[str]) -> Iterator[pa.Table]:
+def cut(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows, group by group."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
@@ -99,7 +100,7 @@ def over_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Ta
     names = StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
 
     def run(batches):
-        for rows in _cut(batches, keys):
+        for rows in cut(batches, keys):
             out = work(rows)
             if out is not None and out.num_rows:
                 yield from out.select(names).to_batches(max_chunksize=100_000)
@@ -125,7 +126,7 @@ def over_tiles(df: DataFrame, keys: list[str], rim: int | tuple[int, int], work:
     names = StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
 
     def run(batches):
-        for rows in _cut(batches, by):
+        for rows in cut(batches, by):
             out = work(Tile(rows, size))
             if out is not None and out.num_rows:
                 yield from out.select(names).to_batches(max_chunksize=100_000)
@@ -161,16 +162,9 @@ def shifted(a: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
     return out
 
 
-def join_runs(start: np.ndarray, end: np.ndarray, wide: int, reach: int) -> np.ndarray:
-    """For each run the index of the first run of its object. Runs are places in a flat array with rows of ``wide``, in order, two empty columns between rows.
-
-    Runs of adjacent rows that meet are edges; every run takes the smallest number among its neighbours' roots until nothing changes.
-    """
-    lo, hi = np.searchsorted(end, start + wide - reach), np.searchsorted(start, end + wide + reach, "right")
-    n = np.maximum(hi - lo, 0)
-    a = np.repeat(np.arange(len(start)), n)
-    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    root = np.arange(len(start))
+def unite(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of each number's component, from edges between 0 ... n - 1: each takes the smallest among its neighbours' roots until nothing changes."""
+    root = np.arange(n)
     while len(a):
         x, y = root[a], root[b]
         apart = x != y
@@ -183,6 +177,15 @@ def join_runs(start: np.ndarray, end: np.ndarray, wide: int, reach: int) -> np.n
     return root
 
 
+def join_runs(start: np.ndarray, end: np.ndarray, wide: int, reach: int) -> np.ndarray:
+    """For each run the index of the first run of its object: runs of adjacent rows that meet are one. Runs are places in a flat array with rows of ``wide``, in order, two empty columns between rows."""
+    lo, hi = np.searchsorted(end, start + wide - reach), np.searchsorted(start, end + wide + reach, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(start)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    return unite(a, b, len(start))
+
+
 def label_array(mask: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Objects of an array by its row runs: ``row, first column, last column, index of the object's first run`` for each run. ``reach`` 1: 8-connected, 0: 4-connected."""
     wide = mask.shape[1] + 2

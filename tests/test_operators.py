@@ -238,3 +238,30 @@ def test_neighbours_of_crowded_points_equal_brute_force(spark):
     for i in range(len(p)):
         order = sorted((j for j in range(len(p)) if j != i), key=lambda j: (dist[i, j], j))[:3]
         assert [got[i, k] for k in (1, 2, 3)] == order
+
+
+def spread(spark, seed, n, crowd=0):
+    rng = np.random.default_rng(seed)
+    rows = [(int(i) % 2, int(i), float(y), float(x)) for i, (y, x) in enumerate(rng.random((n, 2)) * 100)]
+    rows += [(0, n + i, 50 + float(y), 50 + float(x)) for i, (y, x) in enumerate(rng.random((crowd, 2)) * 0.5)] + [(0, 10 * n + i, 7.0, 7.0) for i in range(crowd // 4)]
+    return spark.createDataFrame(rows, "grp int, pid int, y double, x double")
+
+
+def test_groups_of_any_size_have_the_same_neighbours_graphs_and_trees(spark, monkeypatch):
+    """On arrays and by cells: the same rows; points in one spot and at one place included."""
+    p = spread(spark, 3, 300, 60)
+    measure = lambda: (sorted((*r[:4], round(r["d"], 9)) for r in SP.knn(p, 3).collect()), sorted(tuple(None if v is None else round(v, 9) for v in r) for r in SP.proximity_graph(p, SP.knn(p, 1)).collect()), sorted((r["grp"], round(r["d"], 9)) for r in SP.spanning_tree(p).collect()))
+    arrays = measure()
+    monkeypatch.setattr(SP, "SMALL", 10)
+    monkeypatch.setattr(SP, "PAIRS", 50)
+    cells = measure()
+    assert arrays[0] == cells[0] and arrays[1] == cells[1] and arrays[2] == cells[2]
+
+
+def test_a_crowd_of_a_hundred_thousand_has_a_graph_without_its_pairs(spark):
+    """10^5 points in one spot and 10^5 spread: five thousand million pairs are counted, not made."""
+    p = spark.range(200_000).select(F.lit(1).alias("grp"), F.col("id").alias("pid"), F.when(F.col("id") < 100_000, F.col("id") % 317 * 1e-4).otherwise(F.floor(F.col("id") / 447) * 3.0).alias("y"), F.when(F.col("id") < 100_000, F.col("id") % 331 * 1e-4).otherwise(F.col("id") % 447 * 3.0).alias("x"))
+    nn = spark.createDataFrame([(1, 1, 4 / 3)], "grp int, rank int, d double")
+    got = SP.proximity_graph(p, nn).first()
+    assert got["graph_radius_um"] == pytest.approx(2.0) and got["graph_components"] == pytest.approx(100_001) and got["graph_largest_component_frac"] == 0.5
+    assert got["graph_mean_degree"] == pytest.approx(100_000 * 99_999 / 200_000)

@@ -66,3 +66,22 @@ def test_a_group_of_millions_has_no_window_over_it(spark, monkeypatch):
     assert len(sizes) > 10 and max(sizes) < 3 * scans.RANGE
     top = out.where("q_value is not null").agg(F.count("*"), F.max("q_value"), F.min("q_value")).first()
     assert top[0] == 2_000_000 and 0 <= top[2] <= top[1] <= 1
+
+
+@pytest.mark.parametrize("size", [None, 100])
+def test_quantiles_equal_percentiles(spark, size):
+    d = rows(spark).unionByName(spark.createDataFrame([("single", 1, 3.0), ("none", 1, None)], "g string, id int, v double"))
+    qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    got = {r["g"]: list(r)[1:] for r in scans.quantiles(d, ["g"], F.col("v"), qs, [f"q{i}" for i in range(6)], rows=size).collect()}
+    want = {r["g"]: list(r)[1:] for r in d.groupBy("g").agg(*[F.percentile("v", F.lit(q)) for q in qs]).collect()}
+    assert got.keys() == want.keys() and all(got[g] == (pytest.approx(want[g]) if want[g][0] is not None else want[g]) for g in want)
+
+
+def test_normalising_large_images(spark, monkeypatch):
+    from tessera.operators import raster as R
+
+    d = rows(spark).na.fill("z", ["g"]).withColumn("ok", F.col("id") % 3 == 0)
+    monkeypatch.setattr(scans, "RANGE", 200)
+    run = lambda large: sorted((r["g"], r["id"], None if r["norm"] is None else round(r["norm"], 9)) for r in R.normalise(d, ["g"], "v", where=F.col("ok"), large=large).collect())
+    key = lambda x: str(x)
+    assert sorted(run(True), key=key) == sorted(run(False), key=key)
