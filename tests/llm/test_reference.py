@@ -327,6 +327,41 @@ def test_rows_that_share_an_id_live_apart(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(1, a), (2, b), (3, None), (None, "alone")], key=str)
 
 
+def test_rows_whose_keys_clash_are_told_apart(spark, tmp_path, monkeypatch):
+    """With a key of two bits nearly all rows clash: no row goes but those that a full key would drop."""
+    rng = random.Random(9)
+    a, b, c = (made_up(rng, 40, [x + y for x in PLAIN for y in PLAIN]) for _ in range(3))
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = documents(spark, [(i, t) for i, t in enumerate([a, b, c, f"{a} {item}", f"{b} {item} {c}", b + " more", c + " again"])] + [(1, b), (None, item)])
+    want = sorted(map(str, corpus_pipeline.drop_leaks(spark, rows, str(tmp_path)).collect()))
+    assert len(want) == 6
+    monkeypatch.setattr(corpus_pipeline, "row_key", lambda: F.coalesce(F.col("doc_id"), F.lit(0)) % 3)
+    assert sorted(map(str, corpus_pipeline.drop_leaks(spark, rows, str(tmp_path)).collect())) == want
+    kept = [r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, rows, str(tmp_path)).collect()]
+    assert len(kept) == 8 and sorted(set(kept), key=str) == sorted([*range(7), None], key=str)
+
+
+def test_stages_can_be_composed_and_run_side_by_side(spark, tmp_path):
+    """One stage reads another's unread result; two runs over one folder do not touch each other's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rng = random.Random(10)
+    texts = [made_up(rng, 60, [x + y for x in PLAIN for y in PLAIN]) for _ in range(30)]
+    documents(spark, [(i, texts[i % 25]) for i in range(30)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[3][:60])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+    whole = sorted(r["doc_id"] for r in out.collect())
+    assert whole == [i for i in range(25) if i != 3]
+    with ThreadPoolExecutor(2) as pool:
+        for got in pool.map(lambda _: corpus_pipeline.run(spark, str(tmp_path)).collect(), range(2)):
+            assert sorted(r["doc_id"] for r in got) == whole
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
