@@ -11,7 +11,8 @@ all, 2 TB, as much more as it takes; 95 MB at 100 TB). A very common window is o
 are spread evenly. Windows are compared by 64 bits of hash and 8 of a second one, and the bucket adds its own bits of a third (20 at 100 TB).
 
 Defined results: a null text has no words; a row with a null id keeps its words and makes no other
-row lose any; rows that share an id never remove from each other; empty tables give empty tables.
+row lose any; rows that share an id, repeated rows too, never remove from each other; a very long text is handled by one task in some 60 bytes a word; extra columns are
+not read; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -81,7 +82,9 @@ def _windows_out(width: int, n: int):
 
         def flush():
             ids, h, more, bucket = (np.concatenate(x) for x in zip(*held))
-            bucket = bucket.astype(np.min_scalar_type(n))
+            # a text lies in one flush: a window that it repeats is sent once
+            once = np.sort(np.unique(mark_of(h, more, ids), return_index=True)[1])
+            ids, h, more, bucket = ids[once], h[once], more[once], bucket[once].astype(np.min_scalar_type(n))
             if np.any(np.diff(ids) < 0):
                 order = np.argsort(ids, kind="stable")
                 ids, h, more, bucket = ids[order], h[order], more[order], bucket[order]
