@@ -12,6 +12,10 @@ A signature with more than HOT_SHARE of all (found on one line in SAMPLE, which
 lines get longer signatures: each segment is two halves, so that beside the segment that they share two more halves of a near
 copy survive; those are probed in the same way.
 
+Before pairs are formed, each line is compared with the line before it in the order of texts and in that of reversed texts. Numbered boilerplate, of which every line
+is near many others, thereby falls into few classes after about two checks a line; a signature whose lines are all of one class is done with, and
+pairs inside a class are left out.
+
 Near copies, and equal lines of any length that are not blank, are joined into classes; the class's first occurrence (by doc_id, then
 line) stays in its document and all others are removed. Lines are keyed by 96 bits of hash.
 
@@ -142,6 +146,18 @@ def shared_signatures(lines: DataFrame, edits: int, tmp: Scratch) -> DataFrame:
     return tmp.save(sigs.withColumn("twice", twice).where("twice").select("sig", "node", "probe").distinct())
 
 
+def next_lines(lines: DataFrame, edits: int, parts: int) -> DataFrame:
+    """``src, dst``: neighbours in the order of texts, or of reversed texts, that are near copies. Ranges are ordered each for itself; what lies across their borders is left to the signatures."""
+    out = None
+    for order in (F.col("line"), F.reverse("line")):
+        d = lines.select("node", "line", order.alias("by")).repartitionByRange(parts, "by").withColumn("part", F.spark_partition_id())
+        w = W.partitionBy("part").orderBy("by", "node")
+        d = d.select("node", "line", F.lag("node").over(w).alias("other"), F.lag("line").over(w).alias("before")).where("other is not null").where(F.abs(F.length("line") - F.length("before")) <= edits)
+        d = d.where(within_edits(F.col("before"), F.col("line"), edits)).select(F.col("other").alias("src"), F.col("node").alias("dst"))
+        out = d if out is None else out.union(d)
+    return out
+
+
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, th, gone``: the 0-based lines to remove, for documents that lose any (th: hash of the text)."""
     spark = docs.sparkSession
@@ -152,18 +168,26 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
     hits = shared_signatures(distinct.where(F.col("len") >= min_chars), edits, tmp)
     counts = [F.length("line") - F.length(F.translate("line", g + g.upper(), "")) for g in GROUPS]
-    some = distinct.join(hits.select("node").distinct(), "node", "left_semi").select("node", "len", *[c.alias(f"c{i}") for i, c in enumerate(counts)])
+    shared = distinct.join(hits.select("node").distinct(), "node", "left_semi")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    beside = tmp.save(next_lines(shared.select("node", "line"), edits, parts))
+    known = tmp.save(connected_components(beside, finish=0))
+    some = shared.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "len", *[c.alias(f"c{i}") for i, c in enumerate(counts)])
     some = tmp.save(some)
-    left = tmp.save(hits.where("not probe").join(some, "node"))
-    right = tmp.save(hits.join(some, "node"))
+    by = W.partitionBy("sig")
+    hits = hits.join(some, "node").withColumn("open", F.min("class").over(by) != F.max("class").over(by)).where("open").drop("open")
+    right = tmp.save(hits)
+    left = right.where("not probe")
     l, r = left.alias("l"), right.alias("r")
     gap = F.col("r.len") - F.col("l.len")
     apart = sum((F.abs(F.col(f"l.c{i}") - F.col(f"r.c{i}")) for i in range(len(GROUPS))), F.abs(gap - sum((F.col(f"r.c{i}") - F.col(f"l.c{i}") for i in range(len(GROUPS))), F.lit(0))))
     order = (gap > 0) | ((gap == 0) & (F.col("l.node") < F.col("r.node")))
-    pairs = l.join(r, (F.col("l.sig") == F.col("r.sig")) & order & (gap <= edits) & (apart <= 2 * edits)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    new = F.col("l.class") != F.col("r.class")
+    pairs = l.join(r, (F.col("l.sig") == F.col("r.sig")) & order & new & (gap <= edits) & (apart <= 2 * edits)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     text = distinct.select("node", "line")
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    links = tmp.save(both.where(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found = both.where(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = tmp.save(found.union(known.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
     comp = connected_components(links, finish=0)
     keyed = distinct.select("k", "k2", "own", "again", "node").join(comp, "node", "left")

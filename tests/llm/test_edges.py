@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,15 @@ def test_many_lines_with_one_common_segment(spark):
     assert (out["n"], out["most"]) == (1000, 1)
 
 
+def test_thousands_of_numbered_lines_are_one_class(spark):
+    """Lines that are all near one another through their neighbours: checked about once each, not pair by pair."""
+    line = "Annual report of the company, page {:04d} of 9000, all rights reserved by the owner"
+    rows = [(k, "\n".join(line.format(i) for i in range(k * 100, k * 100 + 100)) + f"\nshort {k}") for k in range(40)]
+    began = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.with_lines_removed(documents(spark, rows)).collect()}
+    assert got == {k: (101, 100 if k else 99) for k in range(40)} and time.time() - began < 200
+
+
 def test_lines_of_a_repeated_id(spark):
     a, b = "a line that is long enough to be compared", "another line that is long enough as well"
     rows = [(5, a), (5, b), (5, a), (4, b + "!"), (-1, "x\n" + a), (7, "x"), (8, "")]
@@ -81,6 +91,16 @@ def test_windows_survive_small_flushes_and_unordered_ids(spark, monkeypatch):
     assert got == sorted([(9, 20), (3, 20), (-4, 0), (7, 20), (7, 20), (None, 0)], key=str)
 
 
+def test_a_text_of_one_repeated_word_sends_its_window_once(spark):
+    """200,000 equal words have 199,988 windows and one hash; other texts lose what they share with it."""
+    text = "w " * 200_000
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 9]), pa.array([text, "w " * 50])], ["doc_id", "text"])
+    sent = [substring_dedup.unpack(x) for b in substring_dedup._windows_out(13, 16)([batch]) for x in b.column("block").to_pylist()]
+    assert sum(len(h) for _, h, _ in sent) == 2
+    got = substring_dedup.remove_repeats(documents(spark, [(5, text), (9, "w " * 50), (7, "a b")])).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(5, 200_000, 0), (7, 2, 0), (9, 50, 50)]
+
+
 def test_mixing_with_repeated_rows_and_odd_ids(spark):
     rows = [(i, "w " * n, s) for i, n, s in [(-5, 300, "a"), (-5, 300, "a"), (-5, 10, "b"), (None, 200, "b"), (None, 200, "b"), (0, 400, None)]]
     got = mixing.mix_counts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
