@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.core import load
@@ -281,6 +283,29 @@ def job(spark, d):
     return SG.sites(out).select("image", "type", "channel", "label", "area_um2", "centroid_row_um", "centroid_col_um", "eccentricity", "intensity_mean", "intensity_raw_integrated")
 
 
+HUE = re.sub(r"\b(c1|c2|s0|la|la_r|z1|s1|b1|lh|lh_r|z3|s3)\b", r"\1h", clean_sql("hx", "hit", "hx"))
+ENGINES = f"""{SEG}, {clean_sql('hh', 'hit', 'hh')}, hx AS (SELECT image, row, col, (h >= 0.9 OR h <= 0.2) AND s >= 0.05 AND v >= 0.2 AND v <= 0.95 AND ({VALID}) AS hit FROM hsv), {HUE},
+ms AS (SELECT * FROM s3 WHERE image % 2 = 0 UNION ALL SELECT * FROM s3h WHERE image % 2 = 1), {label_sql('ms', 'lz')}"""
+
+
+@query("JOB_engines", f"{ENGINES} SELECT image, CASE WHEN image % 2 = 0 THEN 'hed' ELSE 'hsv' END AS engine, 'dab' AS channel, label, {r6('count(*)', 'area_um2')}, {r6('avg(row)', 'centroid_row_um')}, {r6('avg(col)', 'centroid_col_um')} FROM lz GROUP BY image, label")
+def job_engines(spark, d):
+    """The job from images, their sizes and saved parameters to site rows, with the engine that each type's record names."""
+    from tessera.sources import tables as IO
+
+    rgb = X.rgb(spark, d)
+    images = rgb.select("image").distinct().withColumn("type", F.when(F.col("image") % 2 == 0, "hed").otherwise("hsv"))
+    sizes = rgb.groupBy("image").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    saved = spark.sql(
+        """SELECT type, type AS engine, named_struct('h_low', 0.9D, 'h_high', 0.2D, 's_min', 0.05D, 'v_min', 0.2D, 'v_max', 0.95D) AS hsv, named_struct('black_rgb_thresh', 90, 'white_v_thresh', 0.7D, 'white_s_max', 0.1D) AS pre_mask, array('dab') AS channels_to_output,
+        map('dab', named_struct('threshold', named_struct('normalize', true, 'scale', 0.9D, 'absolute_normalized', double(null)), 'morph', named_struct('open_radius', 0, 'close_radius', 1, 'remove_small', 3, 'fill_holes_max_area', 5, 'clear_border', false, 'large_area_frac', 1.1D))) AS channels,
+        false AS gating_enabled, CAST(array() AS array<struct<target: string, by: string, mode: string, dilate_px: string, min_overlap_frac: string>>) AS gating_rules FROM {t}""",
+        t=images.select("type").distinct(),
+    )
+    out = SG.segment(rgb, images, IO.load_parameters(images.select("type").distinct(), saved), sizes)
+    return SG.sites(out).select("image", F.col("type").alias("engine"), "channel", "label", "area_um2", "centroid_row_um", "centroid_col_um")
+
+
 @query("A47_channel_summary")
 def a47c(spark, d):
     """Every family of one channel's summary over all images, with the cross-channel ones; tests count the names and hold families against their operators."""

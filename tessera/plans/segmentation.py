@@ -17,7 +17,7 @@ from tessera.operators import thresholds as TH
 MORPHOLOGY = {"open_radius": 0, "close_radius": 0, "small": 0, "long_fraction": 0.0, "fill": False, "fill_area": 64, "border": False}
 
 
-def stain_channel(rgb: DataFrame, keys: list[str], channel: str, valid, height: int, width: int, method: str = "otsu", scale: float = 1.0, absolute: float | None = None, invert: bool | None = None, normalised: bool = True, **morphology) -> tuple[DataFrame, DataFrame]:
+def stain_channel(rgb: DataFrame, keys: list[str], channel: str, valid, height: R.Size, width: int | None = None, method: str = "otsu", scale: float = 1.0, absolute: float | None = None, invert: bool | None = None, normalised: bool = True, **morphology) -> tuple[DataFrame, DataFrame]:
     """``(mask, pixels)``: mask pixels of one stain, and all pixels with ``valid, raw, norm`` (oriented).
 
     Unmix, normalise on tissue, orient (inferred unless given), threshold, keep tissue, clean up. Images without
@@ -35,7 +35,7 @@ def stain_channel(rgb: DataFrame, keys: list[str], channel: str, valid, height:
     return C.clean_up(d, keys, "_hit", height, width, **(MORPHOLOGY | morphology)), d.drop("_hit")
 
 
-def hue_range(rgb: DataFrame, keys: list[str], valid, height: int, width: int, h_low: float, h_high: float, s_min: float, v_min: float, v_max: float, **morphology) -> tuple[DataFrame, DataFrame]:
+def hue_range(rgb: DataFrame, keys: list[str], valid, height: R.Size, width: int | None, h_low: float, h_high: float, s_min: float, v_min: float, v_max: float, **morphology) -> tuple[DataFrame, DataFrame]:
     """``(mask, pixels)`` of the hue-range engine; ``norm`` is the stretched darkness S * (1 - V)."""
     h, s, v = R.hsv(F.col("r"), F.col("g"), F.col("b"))
     d = rgb.withColumn("_hit", R.stain_range(h, s, v, h_low, h_high, s_min, v_min, v_max) & valid).withColumn("raw", s * (1 - v))
@@ -70,31 +70,35 @@ def apply_rules(masks: DataFrame, pixels: DataFrame, rules: DataFrame) -> DataFr
     return masks
 
 
-def segment(rgb: DataFrame, images: DataFrame, params: DataFrame, height: int, width: int) -> dict[str, DataFrame]:
+def segment(rgb: DataFrame, images: DataFrame, params: DataFrame, height: R.Size, width: int | None = None) -> dict[str, DataFrame]:
     """The job up to its masks, from ``image, row, col, r, g, b``, ``image, type`` and a parameter record per type.
 
     Returns ``masks`` (``image, channel, row, col``; after the gate rules), ``pixels`` (``image, channel, row, col, valid, raw, norm``) and ``images`` (with
     ``channels_to_output``). Channels that are put out or gate another are segmented. Images of types with equal settings share a plan: the loop is over distinct
-    settings, of which there are as many as people have saved. Engine ``hsv`` is taken as ``hed``, as the batch job does; sizes are the same for all images.
+    settings, of which there are as many as people have saved. Where a type's engine is ``hsv``, its DAB channel is what lies in the record's hue range, cleaned as DAB is;
+    its other channels are unmixed as ever. ``height`` may be a table ``image, height, width``.
     """
     tmp = Scratch(rgb.sparkSession, "segment")
-    p = images.join(params, "type")
+    p = images.join(params if "hsv" in params.columns else params.withColumn("hsv", F.lit(None).cast("struct<h_low:double,h_high:double,s_min:double,v_min:double,v_max:double>")), "type")
     p = p.withColumn("rules", F.when(F.col("gating_enabled"), F.col("gating_rules")).otherwise(F.array().cast(params.schema["gating_rules"].dataType)))
     p = tmp.save(p.withColumn("wanted", F.array_union("channels_to_output", F.transform("rules", lambda r: r["by"]))))
-    each = p.select("image", F.explode("wanted").alias("channel"), "pre_mask", "channels").select("image", "channel", "pre_mask", F.try_element_at("channels", "channel").alias("c")).where("c.enabled")
-    each = tmp.save(each.withColumn("setting", F.xxhash64("channel", "pre_mask", "c")))
+    hue = F.when((F.col("engine") == "hsv") & (F.col("channel") == "dab"), F.col("hsv"))
+    each = p.select("image", F.explode("wanted").alias("channel"), "pre_mask", "channels", "engine", "hsv").select("image", "channel", "pre_mask", F.try_element_at("channels", "channel").alias("c"), hue.alias("hue")).where("c.enabled")
+    each = tmp.save(each.withColumn("setting", F.xxhash64("channel", "pre_mask", "c", "hue")))
     masks, pixels = [], []
-    for s in each.dropDuplicates(["setting"]).select("setting", "channel", "pre_mask", "c").collect():
+    for s in each.dropDuplicates(["setting"]).select("setting", "channel", "pre_mask", "c", "hue").collect():
         t, m, w = s["c"]["threshold"], s["c"]["morph"], s["pre_mask"]
         valid = R.tissue(F.col("r"), F.col("g"), F.col("b"), w["ignore_black"], w["black_rgb_thresh"], w["ignore_white"], w["white_v_thresh"], w["white_s_max"])
         here = rgb.join(each.where(F.col("setting") == s["setting"]).select("image"), "image", "left_semi")
         absolute = t["absolute_normalized"] if t["normalize"] else t["absolute_raw"]
         large = m["large_area_frac"] if m["remove_large_connected"] else 0.0
         channel = "macenko" if t["stain_estimation"] == "macenko" and s["channel"] == "dab" else s["channel"]
-        mask, px = stain_channel(
-            here, ["image"], channel, valid, height, width, t["method"], t["scale"], absolute, t["invert"], t["normalize"], open_radius=m["open_radius"], close_radius=m["close_radius"], small=m["remove_small"],
-            long_fraction=large, long_reference=m["large_span_ref_dim"] or 0, fill=m["fill_holes"], fill_area=m["fill_holes_max_area"] or 0, border=m["clear_border"],
-        )
+        morph = {"open_radius": m["open_radius"], "close_radius": m["close_radius"], "small": m["remove_small"], "long_fraction": large, "long_reference": m["large_span_ref_dim"] or 0, "fill": m["fill_holes"], "fill_area": m["fill_holes_max_area"] or 0, "border": m["clear_border"]}
+        if s["hue"] is not None:
+            mask, px = hue_range(here, ["image"], valid, height, width, *[s["hue"][f] for f in ("h_low", "h_high", "s_min", "v_min", "v_max")], **morph)
+            px = px.withColumn("valid", valid)
+        else:
+            mask, px = stain_channel(here, ["image"], channel, valid, height, width, t["method"], t["scale"], absolute, t["invert"], t["normalize"], **morph)
         masks.append(mask.select("image", F.lit(s["channel"]).alias("channel"), "row", "col"))
         pixels.append(px.select("image", F.lit(s["channel"]).alias("channel"), "row", "col", "valid", "raw", "norm"))
     if not masks:

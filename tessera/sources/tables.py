@@ -163,7 +163,7 @@ def default_parameters(types: DataFrame) -> DataFrame:
     rule = lit(target="dab", by="hematoxylin", mode="touching", dilate_px=15, min_overlap_frac=0.0)
     tissue = lit(ignore_black=True, black_rgb_thresh=5, ignore_white=True, white_v_thresh=0.9, white_s_max=0.25)
     return types.select(
-        "type", F.lit("hed").alias("engine"), tissue.alias("pre_mask"), F.array(F.lit("dab"), F.lit("hematoxylin")).alias("channels_to_output"),
+        "type", F.lit("hed").alias("engine"), lit(h_low=0.05, h_high=0.15, s_min=0.2, v_min=0.0, v_max=0.9).alias("hsv"), tissue.alias("pre_mask"), F.array(F.lit("dab"), F.lit("hematoxylin")).alias("channels_to_output"),
         F.create_map(*channels).alias("channels"), F.lit(False).alias("gating_enabled"), F.array(rule).alias("gating_rules"),
     )
 

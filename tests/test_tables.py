@@ -199,3 +199,19 @@ def test_a_summary_goes_on_where_it_was_stopped(spark, tmp_path, monkeypatch):
         alone = assembly.channel_summary(d.where(F.col("image") == i), "image", "m", "ok", "v", "v", h, w, only=["topology", "tiles", "points"]).toPandas().set_index("feature").value
         both = got[got.image == i].set_index("feature").value
         assert np.allclose(alone, both[alone.index], equal_nan=True)
+
+
+def test_the_job_over_images_of_two_sizes(spark):
+    """Objects at the border of the smaller image are cleared by its own size, and its hue engine is honoured."""
+    sizes = [(0, 12, 9), (1, 7, 15)]
+    brown = lambda r, c, h, w: (r, c) in {(0, 3), (1, 3), (4, 4), (4, 5), (5, 4), (5, 5), (h - 1, 4), (h - 2, 4)} or c == w - 1 and r in (2, 3)
+    rows = [(i, r, c, *((150, 90, 40) if brown(r, c, h, w) else (200, 180, 190))) for i, h, w in sizes for r in range(h) for c in range(w)]
+    rgb = spark.createDataFrame(rows, "image int, row int, col int, r int, g int, b int")
+    images = spark.createDataFrame([(i, "t") for i, _, _ in sizes], "image int, type string")
+    plain = lambda k, v: v.withField("morph", v["morph"].withField("open_radius", F.lit(0)).withField("close_radius", F.lit(0)).withField("remove_small", F.lit(2)).withField("remove_large_connected", F.lit(False)).withField("clear_border", F.lit(True)))
+    params = IO.default_parameters(images.select("type").distinct()).withColumn("channels", F.transform_values("channels", plain)).withColumn("engine", F.lit("hsv")).withColumn("channels_to_output", F.array(F.lit("dab"))).withColumn("gating_enabled", F.lit(False))
+    job = SG.segment(rgb, images, params, spark.createDataFrame(sizes, "image int, height int, width int"))
+    got = {(r["image"], r["row"], r["col"]) for r in job["masks"].collect()}
+    inner = {(4, 4), (4, 5), (5, 4), (5, 5)}
+    # in the image of seven rows the square reaches the stain at its border
+    assert got == {(0, *x) for x in inner}
