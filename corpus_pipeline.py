@@ -10,7 +10,8 @@ as the next stage's ``docs``. All but the last return the columns of ``documents
 5. mixing: words that the mix takes of each document.
 
 Stages work on rows: rows that share an id live and die apart. ``n_chars`` follows the text. Null and blank texts have no lines, no shingles and no leaks, and stay.
-Empty tables give empty tables; without labels nothing is toxic.
+Very long texts go through each stage whole, as its operator states; other columns of the input are dropped by the first stage, also those with names that stages use; ties go by id, then by hash of the text. Empty tables give empty tables;
+without labels nothing is toxic.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ newline in a role gets a backslash before it. Dropping the first of each backsla
 
 Defined results: null role or text is empty; turns are ordered by turn (null first), then role, then
 text; a row with a null conversation id is a conversation of its own; a conversation is one output cell, so
-its turns are gathered, as any formatter must; repeated rows stay repeated turns; very long texts are turns like others; an empty table
-gives an empty table.
+its turns are gathered, as any formatter must; repeated rows stay repeated turns; very long texts are turns like others; turns equal in turn, role and text tie without a
+difference; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

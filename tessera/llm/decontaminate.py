@@ -8,7 +8,8 @@ a window, and Myers' bit-parallel distance decides it.
 The items of one pass are a bounded batch (PASS_CHARS); a larger benchmark takes several passes over the texts.
 
 Defined results: null and blank texts match nothing; null and blank items are ignored; items below
-``1 / rate`` characters match exactly only; repeated items are separate items; a null doc_id is carried.
+``1 / rate`` characters match exactly only; repeated items are separate items, repeated rows are found each for itself; a null doc_id is carried; of equally near places the first is given; a very long text is
+searched whole by one task, window by window; other columns are not read; empty texts, items or tables give no row.
 """
 
 from __future__ import annotations

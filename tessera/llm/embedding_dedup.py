@@ -15,7 +15,7 @@ neither list holds, one of them not saturated: ``audit`` measures that against b
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with
 a null label, link with nothing; vectors of different length never link; repeated rows link with each other; rows with a null vec_id
-are nodes whose component is the smallest non-null id, or null; ties in a list go by node number; empty tables give empty tables.
+are nodes whose component is the smallest non-null id, or null; ties in a list go by node number; very long vectors are vectors like others; other columns are not read; empty tables give empty tables.
 """
 
 from __future__ import annotations

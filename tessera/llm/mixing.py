@@ -10,7 +10,8 @@ Ranks and positions are prefix sums in two levels (within a bucket, then over bu
 that holds a third of all rows is not sorted in one task. Only sums over sources reach the driver.
 
 Defined results: null text has size 0; null source is a source of its own, ordered last; null ids are rows
-like others; repeated rows are separate documents; an empty table gives an empty mix.
+like others; repeated rows are separate documents; a very long text is one document of many blocks, counted where it is read; ties in the shuffle go by hash and position; other columns are not read; an empty
+table gives an empty mix.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ One tree over all points does not scale: the counts of unlike texts of one size
 several unlike points bounds nothing. So points are first dealt to blocks by KEYS pairs of independent minimum hashes (a text is in
 KEYS blocks) and each block has its own tree. Two sets at the threshold miss all KEYS blocks with probability
 ``(1 - 0.75 ** 2) ** 36 < 2e-13``, the order of a hash collision; nothing else is approximate and no block is capped.
-Every candidate comes from a tree:
+Candidates come from the trees. A unit of at most ALL points is a tree of one box: its pairs are not skipped box by box, each is bounded by its own minima.
 
 1. Nearest pass: of the pairs that a block's tree lets through, each point takes three: with the point before it that has the highest
    bound, with the point that most others may link to, and with the block's most central one (that with the largest blocks). This
@@ -24,7 +24,8 @@ Many small blocks share a task-side call (a bin); a bin has about BIN points how
 
 Defined results: null or blank text: empty set, linked with nothing; null id: shingles counted, component
 null, never linked; rows with one id and several texts: every row keeps its own set, and its component is
-the smallest id among rows reachable from that row; very long texts have points of at most MAX_GROUPS counts.
+the smallest id among rows reachable from that row; repeated rows are one set with one component; ties between candidates go by node number and change no component; very long texts have points of at
+most MAX_GROUPS counts, and their whole sets are compared; other columns, whatever their names, are not read; empty tables give empty tables.
 """
 
 from __future__ import annotations

@@ -4,11 +4,11 @@ Tasks write gzip-per-record archives into the shared folder; a file counts once
 row is committed, so a retried task leaves no second copy behind. The reader walks members (or bare
 ``WARC/`` version lines); after a failed check (bad header, broken deflate stream, CRC, length or digest)
 it searches for the next member or version line that parses, goes on there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap. Of a damaged gzip member the records before the fault are kept, as far as they inflate and pass their checks.
 
 Defined results: null html is an empty payload; null or hostile URLs are percent-encoded; a record
 with a null page_id is always a response and is never referred to; equal page_ids with equal payloads are
-responses together if they are the smallest; an empty table makes no archive and no records. An archive is read as one cell, which
+responses together if they are the smallest; repeated rows are records each; a very long page is one record, built in one task; other columns are not read; an empty table makes no archive and no records. An archive is read as one cell, which
 Spark bounds at 2 GB; the writer begins another after ROLL_BYTES.
 """
 
