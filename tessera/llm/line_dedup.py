@@ -12,7 +12,7 @@ A signature with more than HOT_SHARE of all (found on one line in SAMPLE, which
 lines get longer signatures: each segment is two halves, so that beside the segment that they share two more halves of a near
 copy survive; those are probed in the same way.
 
-Before pairs are formed, each line is compared with the line before it in the order of texts and in that of reversed texts. Numbered boilerplate, of which every line
+Lines of crowded signatures (CROWD lines or more) are first compared with the line before them in the order of texts and in that of reversed texts. Numbered boilerplate, of which every line
 is near many others, thereby falls into few classes after about two checks a line; a signature whose lines are all of one class is done with, and
 pairs inside a class are left out.
 
@@ -37,6 +37,8 @@ EDITS, MIN_CHARS = 2, 30
 GROUPS = ("ae", "io", "tn", "rs", "hd", "lu", "cmfgyp")
 #: A signature is hot with this share of the sampled ones and HOT_LEAST of them: so there are at most 1 / HOT_SHARE.
 SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1e-4, 64
+#: Lines that make a signature crowded.
+CROWD = 1024
 
 
 def segment(length: Column, i: Column, parts: int):
@@ -131,7 +133,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_signatures(lines: DataFrame, edits: int, tmp: Scratch) -> DataFrame:
-    """``sig, node, probe`` of the signatures (of ``lines``: ``node, line, len``) that two lines hold and one of them indexes."""
+    """``sig, node, probe, n`` (lines of the signature) of the signatures (of ``lines``: ``node, line, len``) that two lines hold and one of them indexes."""
     every = signatures(lines.select("node", "len", F.encode("line", "UTF-32").alias("utf32")), edits)
     part = every.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
     seen = tmp.save(part.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST))
@@ -143,7 +145,7 @@ def shared_signatures(lines: DataFrame, edits: int, tmp: Scratch) -> DataFrame:
     if total:
         hot = F.broadcast(seen.where(F.col("n") >= HOT_SHARE * total).select("sig"))  # at most 1 / HOT_SHARE rows
         sigs = sigs.join(hot, "sig", "left_anti").select("node", "sig", "probe").union(longer_signatures(every.join(hot, "sig"), edits))
-    return tmp.save(sigs.withColumn("twice", twice).where("twice").select("sig", "node", "probe").distinct())
+    return tmp.save(sigs.withColumns({"twice": twice, "n": F.count("*").over(by)}).where("twice").select("sig", "node", "probe", "n").distinct())
 
 
 def next_lines(lines: DataFrame, edits: int, parts: int) -> DataFrame:
@@ -169,15 +171,20 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     hits = shared_signatures(distinct.where(F.col("len") >= min_chars), edits, tmp)
     counts = [F.length("line") - F.length(F.translate("line", g + g.upper(), "")) for g in GROUPS]
     shared = distinct.join(hits.select("node").distinct(), "node", "left_semi")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    beside = tmp.save(next_lines(shared.select("node", "line"), edits, parts))
-    known = tmp.save(connected_components(beside, finish=0))
-    some = shared.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "len", *[c.alias(f"c{i}") for i, c in enumerate(counts)])
-    some = tmp.save(some)
-    by = W.partitionBy("sig")
-    hits = hits.join(some, "node").withColumn("open", F.min("class").over(by) != F.max("class").over(by)).where("open").drop("open")
-    right = tmp.save(hits)
-    left = right.where("not probe")
+    crowd = tmp.save(hits.where(F.col("n") >= CROWD).select("node").distinct())
+    known = None
+    if not crowd.isEmpty():
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        beside = tmp.save(next_lines(shared.join(crowd, "node", "left_semi").select("node", "line"), edits, parts))
+        known = tmp.save(connected_components(beside, finish=0))
+        shared = shared.join(known, "node", "left")
+    label = F.coalesce("component", "node") if known is not None else F.col("node")
+    some = tmp.save(shared.select("node", label.alias("class"), "len", *[c.alias(f"c{i}") for i, c in enumerate(counts)]))
+    hits = hits.drop("n").join(some, "node")
+    if known is not None:
+        by = W.partitionBy("sig")
+        hits = hits.withColumn("open", F.min("class").over(by) != F.max("class").over(by)).where("open").drop("open")
+    left, right = tmp.save(hits.where("not probe")), tmp.save(hits)
     l, r = left.alias("l"), right.alias("r")
     gap = F.col("r.len") - F.col("l.len")
     apart = sum((F.abs(F.col(f"l.c{i}") - F.col(f"r.c{i}")) for i in range(len(GROUPS))), F.abs(gap - sum((F.col(f"r.c{i}") - F.col(f"l.c{i}") for i in range(len(GROUPS))), F.lit(0))))
@@ -187,7 +194,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     text = distinct.select("node", "line")
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     found = both.where(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    links = tmp.save(found.union(known.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+    links = tmp.save(found if known is None else found.union(known.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
     comp = connected_components(links, finish=0)
     keyed = distinct.select("k", "k2", "own", "again", "node").join(comp, "node", "left")
