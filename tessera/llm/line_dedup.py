@@ -133,7 +133,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_signatures(lines: DataFrame, edits: int, tmp: Scratch) -> DataFrame:
-    """``sig, node, probe, n`` (lines of the signature) of the signatures (of ``lines``: ``node, line, len``) that two lines hold and one of them indexes."""
+    """``sig, node, probe, crowded`` of the signatures (of ``lines``: ``node, line, len``) that two lines hold and one of them indexes."""
     every = signatures(lines.select("node", "len", F.encode("line", "UTF-32").alias("utf32")), edits)
     part = every.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
     seen = tmp.save(part.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST))
@@ -145,7 +145,7 @@ def shared_signatures(lines: DataFrame, edits: int, tmp: Scratch) -> DataFrame:
     if total:
         hot = F.broadcast(seen.where(F.col("n") >= HOT_SHARE * total).select("sig"))  # at most 1 / HOT_SHARE rows
         sigs = sigs.join(hot, "sig", "left_anti").select("node", "sig", "probe").union(longer_signatures(every.join(hot, "sig"), edits))
-    return tmp.save(sigs.withColumns({"twice": twice, "n": F.count("*").over(by)}).where("twice").select("sig", "node", "probe", "n").distinct())
+    return tmp.save(sigs.withColumns({"twice": twice, "crowded": F.count("*").over(by) >= CROWD}).where("twice").select("sig", "node", "probe", "crowded").distinct())
 
 
 def next_lines(lines: DataFrame, edits: int, parts: int) -> DataFrame:
@@ -171,7 +171,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     hits = shared_signatures(distinct.where(F.col("len") >= min_chars), edits, tmp)
     counts = [F.length("line") - F.length(F.translate("line", g + g.upper(), "")) for g in GROUPS]
     shared = distinct.join(hits.select("node").distinct(), "node", "left_semi")
-    crowd = tmp.save(hits.where(F.col("n") >= CROWD).select("node").distinct())
+    crowd = tmp.save(hits.where("crowded").select("node").distinct())
     known = None
     if not crowd.isEmpty():
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -180,7 +180,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         shared = shared.join(known, "node", "left")
     label = F.coalesce("component", "node") if known is not None else F.col("node")
     some = tmp.save(shared.select("node", label.alias("class"), "len", *[c.alias(f"c{i}") for i, c in enumerate(counts)]))
-    hits = hits.drop("n").join(some, "node")
+    hits = hits.drop("crowded").join(some, "node")
     if known is not None:
         by = W.partitionBy("sig")
         hits = hits.withColumn("open", F.min("class").over(by) != F.max("class").over(by)).where("open").drop("open")
