@@ -123,7 +123,8 @@ def test_salvage_goes_on_after_damage(pack):
     assert kinds(whole) == [0, 1, 2, 3, 4]
     at = len(parts[0]) + len(parts[1]) + len(parts[2]) // 2
     assert kinds(whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :]) == [0, 1, "gap", 3, 4]
-    assert kinds(whole[:-7]) == [0, 1, 2, 3, "gap"]
+    # a member whose trailer is cut off has inflated whole: its record is kept, the rest of it is the gap
+    assert kinds(whole[:-7]) == ([0, 1, 2, 3, 4, "gap"] if pack is gzip.compress else [0, 1, 2, 3, "gap"])
     assert kinds(b"noise" + whole) == ["gap", 0, 1, 2, 3, 4]
     assert kinds(parts[0] + parts[1][:40] + parts[2] + b"\x1f\x8b\x08junk") == [0, "gap", 2, "gap"]
     assert kinds(b"") == []
