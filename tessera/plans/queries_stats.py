@@ -386,23 +386,32 @@ def p24(spark, d):
     return c.select("type", "channel", "c.morph.open_radius", "c.morph.close_radius", "c.morph.remove_small")
 
 
-@query("TA_TD_welch_effect", f"""{DIFF}, s AS (SELECT channel, phenotype, feature, level, count(value) AS n, avg(value) AS m, var_samp(value) AS v, min(image) AS fi FROM diff WHERE value IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
+def exact(expr: str, name: str) -> str:
+    return f"{expr} AS {name}"
+
+
+def welch_sql(out) -> str:
+    return f"""{DIFF}, s AS (SELECT channel, phenotype, feature, level, count(value) AS n, avg(value) AS m, var_samp(value) AS v, min(image) AS fi FROM diff WHERE value IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
 c AS (SELECT channel, phenotype, feature FROM s GROUP BY ALL HAVING count(*) = 2),
 o AS (SELECT s.*, row_number() OVER (PARTITION BY channel, phenotype, feature ORDER BY level) AS i, row_number() OVER (PARTITION BY channel, phenotype, feature ORDER BY fi, level) AS j FROM s JOIN c USING (channel, phenotype, feature)),
 a AS (SELECT channel, phenotype, feature, max(CASE WHEN i=1 THEN n END) AS n1, max(CASE WHEN i=2 THEN n END) AS n2, max(CASE WHEN i=1 THEN m END) AS m1, max(CASE WHEN i=2 THEN m END) AS m2, max(CASE WHEN i=1 THEN v END) AS v1, max(CASE WHEN i=2 THEN v END) AS v2, max(CASE WHEN j=1 THEN m END) - max(CASE WHEN j=2 THEN m END) AS dm FROM o GROUP BY ALL)
-SELECT channel, phenotype, feature, {r6('CASE WHEN n1>1 AND n2>1 THEN (m1-m2)/nullif(sqrt(v1/n1+v2/n2),0) END', 't')}, {r6('CASE WHEN n1>1 AND n2>1 THEN (v1/n1+v2/n2)*(v1/n1+v2/n2)/nullif((v1/n1)*(v1/n1)/(n1-1)+(v2/n2)*(v2/n2)/(n2-1),0) END', 'df')}, {r6('CASE WHEN n1>1 AND n2>1 THEN dm/nullif(sqrt(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)),0) END', 'effect_d')} FROM a""")
+SELECT channel, phenotype, feature, {out('CASE WHEN n1>1 AND n2>1 THEN (m1-m2)/nullif(sqrt(v1/n1+v2/n2),0) END', 't')}, {out('CASE WHEN n1>1 AND n2>1 THEN (v1/n1+v2/n2)*(v1/n1+v2/n2)/nullif((v1/n1)*(v1/n1)/(n1-1)+(v2/n2)*(v2/n2)/(n2-1),0) END', 'df')}, {out('CASE WHEN n1>1 AND n2>1 THEN dm/nullif(sqrt(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)),0) END', 'effect_d')} FROM a"""
+
+
+@query("TA_TD_welch_effect", welch_sql(r6))
 def ta(spark, d):
     k = ["channel", "phenotype", "feature"]
     return T.two_level(T.group_stats(X.diff(spark, d), k), k)
 
 
-KW = f"""{DIFF}, r AS (SELECT channel, phenotype, feature, level, count(*) OVER (PARTITION BY channel, phenotype, feature, value) AS t, rank() OVER (PARTITION BY channel, phenotype, feature ORDER BY value) AS rk FROM diff WHERE value IS NOT NULL AND level IS NOT NULL),
+def kruskal_sql(out) -> str:
+    return f"""{DIFF}, r AS (SELECT channel, phenotype, feature, level, count(*) OVER (PARTITION BY channel, phenotype, feature, value) AS t, rank() OVER (PARTITION BY channel, phenotype, feature ORDER BY value) AS rk FROM diff WHERE value IS NOT NULL AND level IS NOT NULL),
 q AS (SELECT channel, phenotype, feature, level, count(*) AS n, sum(rk + (t - 1) / 2e0) AS s, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY ALL),
 w AS (SELECT channel, phenotype, feature, CAST(sum(n) AS DOUBLE) AS n, count(*) AS k, sum(s * s / n) AS s, sum(ties) AS ties FROM q GROUP BY ALL)
-SELECT channel, phenotype, feature, {r6('CASE WHEN 1 - ties / (n*n*n - n) > 1e-14 THEN (12 * s / (n * (n + 1)) - 3 * (n + 1)) / (1 - ties / (n*n*n - n)) END', 'h')}, k - 1 AS df FROM w"""
+SELECT channel, phenotype, feature, {out('CASE WHEN 1 - ties / (n*n*n - n) > 1e-14 THEN (12 * s / (n * (n + 1)) - 3 * (n + 1)) / (1 - ties / (n*n*n - n)) END', 'h')}, k - 1 AS df FROM w"""
 
 
-@query("TB_kruskal", KW)
+@query("TB_kruskal", kruskal_sql(r6))
 def tb(spark, d):
     return T.kruskal(X.diff(spark, d), ["channel", "phenotype", "feature"])
 
@@ -413,13 +422,31 @@ def tc(spark, d):
     return T.gate(T.group_stats(X.diff(spark, d), k), k, 4000).drop("means")
 
 
-@query("TE_differential")
+K3 = "channel, phenotype, feature"
+
+#: Both tails by sums of positive terms, ``z^p (1-z)^q / (p B(p, q)) * sum((p+q)_n / (p+1)_n z^n)`` for the incomplete beta function (from the end that is nearer) and
+#: ``x^s e^-x / G(s+1) * sum(x^n / (s+1)_n)`` for the incomplete gamma function; beyond t*t = 1500 or h = 1400 a tail is 0 in all places shown.
+TE_SQL = f"""WITH g AS ({SQL['TC_gate'].replace('4000', '2')}), w AS ({welch_sql(exact)}), h AS ({kruskal_sql(exact)}),
+m AS (SELECT {K3}, string_agg(level || '=' || CAST(CAST(round(mean * 10000, 0) AS BIGINT) AS VARCHAR), ';' ORDER BY level) AS means FROM (SELECT {K3}, level, avg(value) AS mean FROM ({DIFF} SELECT * FROM diff WHERE value IS NOT NULL AND level IS NOT NULL) GROUP BY ALL) GROUP BY ALL),
+j AS (SELECT g.*, w.t, w.df, w.effect_d, h.h, h.df AS h_df, w.df / (w.df + w.t * w.t) AS x FROM g LEFT JOIN w USING ({K3}) LEFT JOIN h USING ({K3})),
+b AS (SELECT {K3}, x, t, CASE WHEN x < 0.5 THEN x ELSE 1 - x END AS z, CASE WHEN x < 0.5 THEN df / 2 ELSE 0.5e0 END AS p, CASE WHEN x < 0.5 THEN 0.5e0 ELSE df / 2 END AS q FROM j WHERE test = 'welch_t' AND t <> 0 AND x > 0 AND x < 1),
+i AS (SELECT {K3}, x, t, sum(exp(lgamma(p + q + n) - lgamma(p) - lgamma(q) - ln(p) + lgamma(p + 1) - lgamma(p + 1 + n) + (p + n) * ln(z) + q * ln(1 - z))) AS i FROM b, (SELECT CAST(unnest(range(3000)) AS DOUBLE) AS n) GROUP BY ALL),
+c AS (SELECT {K3}, h / 2 AS x, h_df / 2e0 AS s FROM j WHERE test = 'kruskal' AND h > 0 AND h <= 1400),
+d AS (SELECT {K3}, 1 - sum(exp((s + n) * ln(x) - x - lgamma(s + 1 + n))) AS p FROM c, (SELECT CAST(unnest(range(3000)) AS DOUBLE) AS n) GROUP BY ALL),
+p AS (SELECT j.*, CASE test WHEN 'welch_t' THEN CASE WHEN j.t = 0 THEN 1 WHEN j.x >= 1 THEN 1 WHEN j.x < 0.5 THEN i.i WHEN j.t * j.t > 1500 THEN 0 ELSE greatest(1 - i.i, 0) END WHEN 'kruskal' THEN CASE WHEN h <= 0 THEN 1 WHEN h > 1400 THEN 0 ELSE greatest(d.p, 0) END END AS p FROM j LEFT JOIN i USING ({K3}) LEFT JOIN d USING ({K3})),
+k AS (SELECT *, row_number() OVER (PARTITION BY channel, phenotype ORDER BY p NULLS LAST, feature) AS place, count(p) OVER (PARTITION BY channel, phenotype) AS tests FROM p)
+SELECT {K3}, test, {r6('p', 'p_value')}, {r6('CASE WHEN p IS NOT NULL THEN least(1, min(p * tests / place) OVER (PARTITION BY channel, phenotype ORDER BY place DESC)) END', 'q_value')}, {r6('effect_d', 'effect_d')}, levels, n, {r6('t', 't')}, {r6('df', 'df')}, {r6('h', 'h')}, h_df, means FROM k LEFT JOIN m USING ({K3})"""
+
+
+@query("TE_differential", TE_SQL)
 def te(spark, d):
-    """The whole analysis; p needs the tails of t and chi-square, which SQL lacks."""
-    return T.ranked(T.differential(X.diff(spark, d), ["channel"]), ["channel"])
+    """The whole analysis; level means, in ten-thousandths, as one text."""
+    r = T.ranked(T.differential(X.diff(spark, d), ["channel"]), ["channel"])
+    mean = lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 10000).cast("long").cast("string"))
+    return r.withColumn("means", F.array_join(F.transform(F.array_sort(F.map_entries("means")), mean), ";"))
 
 
-@query("TE_statistics", f"SELECT g.*, w.t, w.df, w.effect_d, k.h, k.df AS h_df FROM ({SQL['TC_gate'].replace('4000', '2')}) g LEFT JOIN ({SQL['TA_TD_welch_effect']}) w USING (channel, phenotype, feature) LEFT JOIN ({SQL['TB_kruskal']}) k USING (channel, phenotype, feature)")
+@query("TE_statistics", f"SELECT g.*, w.t, w.df, w.effect_d, k.h, k.df AS h_df FROM ({SQL['TC_gate'].replace('4000', '2')}) g LEFT JOIN ({welch_sql(r6)}) w USING (channel, phenotype, feature) LEFT JOIN ({kruskal_sql(r6)}) k USING (channel, phenotype, feature)")
 def te_statistics(spark, d):
     """The whole analysis up to its statistics."""
     return T.differential(X.diff(spark, d), ["channel"]).select("channel", "phenotype", "feature", "test", "levels", "n", "t", "df", "effect_d", "h", "h_df")
