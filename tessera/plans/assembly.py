@@ -6,8 +6,11 @@ skeleton of images, so an image without a single object has its zeros (counts, l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextvars
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from threading import Lock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from tessera.operators import texture as TX
 from tessera.sources import tables as IO
 
 PIXEL_UM = 0.2738
+#: Families whose jobs run side by side: many of them are short jobs that leave executors idle.
+AT_ONCE = 4
 #: Site columns that are summarised (fixed names).
 SITE_COLUMNS = (
     "area_um2", "perimeter_um", "equivalent_diameter_um", "major_axis_length_um", "minor_axis_length_um", "eccentricity", "solidity", "extent", "circularity", "roughness", "feret_diameter_um",
@@ -68,16 +73,18 @@ def centres(sites: DataFrame, key: str) -> DataFrame:
     return sites.select(F.col(key).alias("grp"), F.col("label").alias("pid"), F.col("centroid_row_um").alias("y"), F.col("centroid_col_um").alias("x"))
 
 
-def families(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw: str, height: R.Size, width: int | None = None, pixel_um: float = PIXEL_UM, others: dict[str, dict[str, str]] | None = None, only: list[str] | None = None) -> Iterator[tuple[str, DataFrame]]:
-    """``name, rows`` (``key, feature, value``) of each family, one after the other; what several of them read is written once, when the first of them needs it."""
+def families(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw: str, height: R.Size, width: int | None = None, pixel_um: float = PIXEL_UM, others: dict[str, dict[str, str]] | None = None, only: list[str] | None = None) -> list[tuple[str, Callable[[], DataFrame]]]:
+    """Name and job of each family; a job gives ``key, feature, value``. Jobs may run side by side: what several of them read is written once, by the first that needs it."""
     k = [key]
     tmp = Scratch(pixels.sparkSession, "summary")
     made: dict[str, DataFrame] = {}
+    making = {name: Lock() for name in ("pixels", "images", "labels", "sites", "near")}
 
     def kept(name: str, f) -> DataFrame:
-        if name not in made:
-            made[name] = tmp.save(f())
-        return made[name]
+        with making[name]:  # a table's maker waits only for tables named before it
+            if name not in made:
+                made[name] = tmp.save(f())
+            return made[name]
 
     px = lambda: kept("pixels", lambda: pixels)
     images = lambda: kept("images", lambda: px().select(key).distinct() if not isinstance(height, DataFrame) else height.select(key).distinct())
@@ -151,24 +158,33 @@ def families(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw:
     }
     for name, other in (others or {}).items():
         jobs[f"cross_{name}"] = lambda n=name, o=other: cross_channel(px(), key, mask, valid, norm, raw, lab(), points(), n, o, pixel_um)
-    for name, job in jobs.items():
-        if only is None or name in only:
-            out = job()
-            yield name, out if "feature" in out.columns else long(on_skeleton(out, k, images()), k)
+
+    def rows(job: Callable[[], DataFrame]) -> DataFrame:
+        out = job()
+        return out if "feature" in out.columns else long(on_skeleton(out, k, images()), k)
+
+    return [(name, lambda job=job: rows(job)) for name, job in jobs.items() if only is None or name in only]
 
 
 def write_channel_summary(root: str, pixels: DataFrame, key: str, *args, resume: bool = False, only: list[str] | None = None, **kw) -> DataFrame:
-    """Each family of ``families`` below ``root/family=...``, one job after the other, and all of them as read back (``key, feature, value, family``).
+    """Each family of ``families`` below ``root/family=...``, ``AT_ONCE`` at a time, and all of them as read back (``key, feature, value, family``).
 
-    ``resume``: families that an earlier run has completed stay as they are.
+    ``resume``: families that an earlier run has completed stay as they are. If one fails, those not yet begun are left out and its error is raised.
     """
     spark = pixels.sparkSession
     done = lambda name: exists(spark, f"{root}/family={name}/_SUCCESS")
     names = [*FAMILIES, *[f"cross_{n}" for n in kw.get("others") or {}]]
     wanted = [n for n in names if (only is None or n in only)]
     todo = [n for n in wanted if not (resume and done(n))]
-    for name, rows in families(pixels, key, *args, only=todo, **kw):
-        rows.select(key, "feature", "value").write.mode("overwrite").parquet(f"{root}/family={name}")
+    write = lambda name, job: job().select(key, "feature", "value").write.mode("overwrite").parquet(f"{root}/family={name}")
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        # each in a copy of this context: the caller's scope owns their scratch tables
+        runs = [pool.submit(contextvars.copy_context().run, write, name, job) for name, job in families(pixels, key, *args, only=todo, **kw)]
+        try:
+            for run in runs:
+                run.result()
+        finally:
+            pool.shutdown(wait=True, cancel_futures=True)
     kind = spark.read.parquet(f"{root}/family={wanted[0]}").schema
     parts = [spark.read.schema(kind).parquet(f"{root}/family={n}").withColumn("family", F.lit(n)) for n in wanted]
     return reduce(DataFrame.unionByName, parts)
