@@ -19,9 +19,9 @@ from tessera.operators import raster
 BINS = 256
 
 
-def histogram(df: DataFrame, keys: list[str], value: str, bins: int = BINS) -> DataFrame:
-    """``keys, bin, n, x`` (centre), ``lo, hi``; empty bins are left out."""
-    lim = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+def histogram(df: DataFrame, keys: list[str], value: str, bins: int = BINS, lim: DataFrame | None = None) -> DataFrame:
+    """``keys, bin, n, x`` (centre), ``lo, hi``; empty bins are left out. ``lim``: the limits ``keys, lo, hi``, where they are at hand."""
+    lim = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi")) if lim is None else lim
     step = (F.col("hi") - F.col("lo")) / bins
     b = F.least(F.floor(F.coalesce(F.try_divide((F.col(value) - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1)).cast("int")
     h = df.where(F.col(value).isNotNull()).join(lim, keys).groupBy(*keys, "lo", "hi", b.alias("bin")).agg(F.count("*").alias("n"))
@@ -34,11 +34,11 @@ def _pick(h: DataFrame, keys: list[str], score: str) -> DataFrame:
     return best.select(*keys, F.when((F.col("lo") == F.col("hi")) | F.col("m.s").isNull(), F.col("lo")).otherwise(F.col("m.x")).alias("t"))
 
 
-def otsu(df: DataFrame, keys: list[str], value: str, bins: int = BINS) -> DataFrame:
+def otsu(df: DataFrame, keys: list[str], value: str, bins: int = BINS, lim: DataFrame | None = None) -> DataFrame:
     """Greatest between-class variance (Otsu 1979); class 0 holds the bins up to t."""
     up = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     all_ = W.partitionBy(*keys)
-    h = histogram(df, keys, value, bins)
+    h = histogram(df, keys, value, bins, lim)
     h = h.withColumn("w0", F.sum("n").over(up)).withColumn("s0", F.sum(F.col("n") * F.col("x")).over(up)).withColumn("w", F.sum("n").over(all_)).withColumn("s", F.sum(F.col("n") * F.col("x")).over(all_))
     w1 = F.col("w") - F.col("w0")
     gap = F.try_divide(F.col("s0"), F.col("w0")) - F.try_divide(F.col("s") - F.col("s0"), w1)
@@ -46,23 +46,23 @@ def otsu(df: DataFrame, keys: list[str], value: str, bins: int = BINS) -> DataFr
     return _pick(h.withColumn("v", F.when(w1 > 0, F.round(F.col("w0") * w1 * gap * gap, 9))), keys, "v")
 
 
-def yen(df: DataFrame, keys: list[str], value: str, bins: int = BINS) -> DataFrame:
+def yen(df: DataFrame, keys: list[str], value: str, bins: int = BINS, lim: DataFrame | None = None) -> DataFrame:
     """Yen's maximum correlation criterion (Yen et al. 1995)."""
     up = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy(*keys).orderBy("bin").rowsBetween(1, W.unboundedFollowing)
-    h = histogram(df, keys, value, bins).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*keys)))
+    h = histogram(df, keys, value, bins, lim).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*keys)))
     h = h.withColumn("p1", F.sum("p").over(up)).withColumn("q1", F.sum(F.col("p") * F.col("p")).over(up)).withColumn("q2", F.sum(F.col("p") * F.col("p")).over(down))
     crit = F.log(F.try_divide(F.pow(F.col("p1") * (1 - F.col("p1")), F.lit(2.0)), F.col("q1") * F.col("q2")))
     return _pick(h.withColumn("v", F.when(F.col("q2") > 0, F.round(crit, 9))), keys, "v")
 
 
-def li(df: DataFrame, keys: list[str], value: str, bins: int = BINS, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
+def li(df: DataFrame, keys: list[str], value: str, bins: int = BINS, lim: DataFrame | None = None, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
     """Minimum cross entropy (Li & Tam 1998): ``(m1 - m0) / (ln m1 - ln m0)`` of the means above and below, until it rests.
 
     Values are shifted so that the least is 0. The loop runs over the histogram; the driver reads one number a round.
     """
     tmp = Scratch(df.sparkSession, "li")
-    h = tmp.save(histogram(df, keys, value, bins).withColumn("y", F.col("x") - F.col("lo")))
+    h = tmp.save(histogram(df, keys, value, bins, lim).withColumn("y", F.col("x") - F.col("lo")))
     t = tmp.save(h.groupBy(*keys).agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("t")))
     for _ in range(max_rounds):
         m = h.join(t, keys).groupBy(*keys, "t").agg(
@@ -81,16 +81,27 @@ def li(df: DataFrame, keys: list[str], value: str, bins: int = BINS, tolerance:
     return t.join(lo, keys).select(*keys, (F.col("t") + F.col("lo")).alias("t"))
 
 
+def _on_tissue(df: DataFrame, keys: list[str], valid: str, values: list[str], tmp: Scratch) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Tissue rows (all rows of images without tissue), and for each value its limits on them.
+
+    Limits are written, one row an image: joins by image that follow one another are one stage, and a task would sort the pixels again for each.
+    """
+    ends = {"lo": F.min, "hi": F.max}
+    per = df.groupBy(*keys).agg(F.max(valid).alias("_any"), *[g(F.when(c, F.col(v))).alias(f"_{e}{n}{i}") for i, v in enumerate(values) for e, g in ends.items() for n, c in (("t", F.col(valid)), ("a", F.lit(True)))])
+    per = tmp.save(per.select(*keys, "_any", *[F.when(F.col("_any"), F.col(f"_{e}t{i}")).otherwise(F.col(f"_{e}a{i}")).alias(f"_{e}{i}") for i, v in enumerate(values) for e in ends]))
+    use = df.join(per.select(*keys, "_any"), keys).where(F.col(valid) | ~F.col("_any")).drop("_any")
+    return use, {v: per.select(*keys, *[F.col(f"_{e}{i}").alias(e) for e in ends]) for i, v in enumerate(values)}
+
+
 def choose_orientation(df: DataFrame, keys: list[str], norm: str, valid: str, low: float = 0.005, high: float = 0.35) -> DataFrame:
     """``keys, invert``: whether 1 - x leaves the more plausible share over its own Otsu threshold.
 
     Thresholds come from tissue, shares from all pixels. A share in [low, high] wins; else the one nearer the middle.
     """
+    tmp = Scratch(df.sparkSession, "orientation")
     d = df.select(*keys, F.col(norm).alias("x"), (1 - F.col(norm)).alias("y"), F.col(valid).alias("ok"))
-    any_ok = d.groupBy(*keys).agg(F.max("ok").alias("any"))
-    d = d.join(any_ok, keys)
-    use = d.where(F.col("ok") | ~F.col("any"))
-    a, b = otsu(use, keys, "x").withColumnRenamed("t", "t1"), otsu(use, keys, "y").withColumnRenamed("t", "t2")
+    use, lim = _on_tissue(d, keys, "ok", ["x", "y"], tmp)
+    a, b = (tmp.save(otsu(use, keys, v, lim=lim[v])).withColumnRenamed("t", t) for v, t in (("x", "t1"), ("y", "t2")))
     f = d.join(a, keys).join(b, keys).groupBy(*keys).agg(F.avg((F.col("x") > F.col("t1")).cast("double")).alias("f1"), F.avg((F.col("y") > F.col("t2")).cast("double")).alias("f2"))
     ok1, ok2, mid = F.col("f1").between(low, high), F.col("f2").between(low, high), (low + high) / 2
     near = F.abs(F.col("f1") - mid) <= F.abs(F.col("f2") - mid)
@@ -99,9 +110,8 @@ def choose_orientation(df: DataFrame, keys: list[str], norm: str, valid: str, lo
 
 def threshold(df: DataFrame, keys: list[str], value: str, valid: str, method: str = "otsu") -> DataFrame:
     """``keys, t`` from tissue pixels (all pixels of images without tissue); unknown methods mean Otsu."""
-    any_ok = df.groupBy(*keys).agg(F.max(valid).alias("_any"))
-    use = df.join(any_ok, keys).where(F.col(valid) | ~F.col("_any"))
-    return {"yen": yen, "li": li}.get(method, otsu)(use, keys, value)
+    use, lim = _on_tissue(df.select(*keys, valid, value), keys, valid, [value], Scratch(df.sparkSession, "threshold"))
+    return {"yen": yen, "li": li}.get(method, otsu)(use, keys, value, lim=lim[value])
 
 
 @F.pandas_udf(StructType([StructField("v1", ArrayType(DoubleType())), StructField("v2", ArrayType(DoubleType()))]))

@@ -23,15 +23,16 @@ def stain_channel(rgb: DataFrame, keys: list[str], channel: str, valid, height:
     Unmix, normalise on tissue, orient (inferred unless given), threshold, keep tissue, clean up. Images without
     tissue have an empty mask.
     """
+    tmp = Scratch(rgb.sparkSession, "stain")  # each step reads the one before more than once
     d = rgb.withColumn("valid", valid).withColumn("raw", R.unmix(F.col("r"), F.col("g"), F.col("b"))[channel]) if channel != "macenko" else TH.macenko(rgb, keys).withColumnRenamed("dab", "raw").withColumn("valid", valid)
-    d = R.normalise(d, keys, "raw", "norm", where=F.col("valid"))
+    d = tmp.save(R.normalise(tmp.save(d), keys, "raw", "norm", where=F.col("valid")))
     flip = d.select(*keys).distinct().withColumn("invert", F.lit(bool(invert))) if invert is not None else TH.choose_orientation(d, keys, "norm", "valid")
     raw, norm = R.orient(F.col("raw"), F.col("norm"), F.col("invert"))
-    d = d.join(flip, keys).withColumn("_raw", raw).withColumn("_norm", norm).drop("raw", "norm", "invert").withColumnsRenamed({"_raw": "raw", "_norm": "norm"})
+    d = tmp.save(d.join(flip, keys).withColumn("_raw", raw).withColumn("_norm", norm).drop("raw", "norm", "invert").withColumnsRenamed({"_raw": "raw", "_norm": "norm"}))
     value = "norm" if normalised else "raw"
     t = TH.threshold(d, keys, value, "valid", method) if absolute is None else d.select(*keys).distinct().withColumn("t", F.lit(float(absolute)))
     d = d.join(t, keys).withColumn("_hit", R.over_threshold(F.col(value), F.col("t"), F.lit(absolute).cast("double"), scale, normalised, F.col("valid"))).drop("t")
-    d = Scratch(rgb.sparkSession, "stain").save(d)  # each step of the clean-up reads it
+    d = tmp.save(d)
     return C.clean_up(d, keys, "_hit", height, width, **(MORPHOLOGY | morphology)), d.drop("_hit")
 
 
