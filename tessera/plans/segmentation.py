@@ -39,7 +39,7 @@ def stain_channel(rgb: DataFrame, keys: list[str], channel: str, valid, height:
 def hue_range(rgb: DataFrame, keys: list[str], valid, height: R.Size, width: int | None, h_low: float, h_high: float, s_min: float, v_min: float, v_max: float, **morphology) -> tuple[DataFrame, DataFrame]:
     """``(mask, pixels)`` of the hue-range engine; ``norm`` is the stretched darkness S * (1 - V)."""
     h, s, v = R.hsv(F.col("r"), F.col("g"), F.col("b"))
-    d = rgb.withColumn("_hit", R.stain_range(h, s, v, h_low, h_high, s_min, v_min, v_max) & valid).withColumn("raw", s * (1 - v))
+    d = Scratch(rgb.sparkSession, "hue").save(rgb.withColumn("_hit", R.stain_range(h, s, v, h_low, h_high, s_min, v_min, v_max) & valid).withColumn("raw", s * (1 - v)))
     return C.clean_up(d, keys, "_hit", height, width, **(MORPHOLOGY | morphology)), R.normalise(d, keys, "raw", "norm").drop("_hit")
 
 

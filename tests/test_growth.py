@@ -35,6 +35,13 @@ def test_no_step_of_a_stain_channel_reads_pixels_again_and_again(spark, written)
     assert max(map(leaves, written)) <= 4  # joins by image are one stage: each leaf is a sort that a task holds
 
 
+def test_no_step_of_the_hue_engine_makes_its_pixels_anew(spark, written):
+    rgb = spark.range(64).selectExpr("1 image", "int(id / 8) row", "int(id % 8) col", "int(id * 3) r", "int(255 - id) g", "int(id) b")
+    mask, _ = SG.hue_range(rgb, ["image"], F.lit(True), 8, 8, 0.9, 0.2, 0.05, 0.2, 0.95, small=2, fill=True)
+    mask.count()
+    assert sum(p.count("Range (") for p in written) == 1
+
+
 def test_thresholds_of_images_with_and_without_tissue(spark):
     rows = [(i, r, 0, v, ok) for i in range(2) for r, (v, ok) in enumerate([(0.1, True), (0.2, True), (0.8, True), (5.0, False)]) for ok in [ok and i == 0]]
     d = spark.createDataFrame(rows, "image int, row int, col int, v double, ok boolean")
