@@ -139,7 +139,8 @@ def macenko(df: DataFrame, keys: list[str], r: str = "r", g: str = "g", b: str =
     use = d.join(few, keys).where(dense | F.col("_few"))
     names = ("r", "g", "b")
     cov = use.groupBy(*keys).agg(*[F.covar_samp(f"_{x}", f"_{y}").alias(x + y) for i, x in enumerate(names) for y in names[i:]])
-    axes = cov.select(*keys, _main_axes(F.struct("rr", "rg", "rb", "gg", "gb", "bb")).alias("v"))
+    tmp = Scratch(df.sparkSession, "macenko")  # one row an image each, so that no stage sorts the pixels for all steps at once
+    axes = tmp.save(cov.select(*keys, _main_axes(F.struct("rr", "rg", "rb", "gg", "gb", "bb")).alias("v")))
     dot = lambda v, cols: sum((v[i] * c for i, c in enumerate(cols)), F.lit(0.0))
     od = [F.col("_r"), F.col("_g"), F.col("_b")]
     angle = F.atan2(dot(F.col("v.v2"), od), dot(F.col("v.v1"), od))
@@ -153,7 +154,7 @@ def macenko(df: DataFrame, keys: list[str], r: str = "r", g: str = "g", b: str =
     one, two = unit(at(0)), unit(at(1))
     ref = [F.lit(x) for x in REFERENCE]
     near = F.abs(sum((x * y for x, y in zip(one, ref)), F.lit(0.0))) >= F.abs(sum((x * y for x, y in zip(two, ref)), F.lit(0.0)))
-    vector = ends.select(*keys, *[F.when(near, x).otherwise(y).alias(f"_s{i}") for i, (x, y) in enumerate(zip(one, two))])
+    vector = tmp.save(ends.select(*keys, *[F.when(near, x).otherwise(y).alias(f"_s{i}") for i, (x, y) in enumerate(zip(one, two))]))
     return d.join(vector, keys).withColumn("dab", F.greatest(sum((F.col(f"_s{i}") * c for i, c in enumerate(od)), F.lit(0.0)), F.lit(0.0))).select(*df.columns, "dab")
 
 

@@ -26,11 +26,12 @@ def leaves(plan: str) -> int:
     return sum(plan.count(x) for x in ("LogicalRDD", "Relation ", "LocalRelation", "Range ("))
 
 
-def test_no_step_of_a_stain_channel_reads_pixels_again_and_again(spark, written):
+@pytest.mark.parametrize("channel", ["dab", "macenko"])
+def test_no_step_of_a_stain_channel_reads_pixels_again_and_again(spark, written, channel):
     rng = np.random.default_rng(3)
     rows = [(i, r, c, *map(int, rng.integers(0, 256, 3))) for i in range(3) for r in range(8) for c in range(8)]
     rgb = spark.createDataFrame(rows, "image int, row int, col int, r int, g int, b int")
-    mask, pixels = SG.stain_channel(rgb, ["image"], "dab", F.col("r") > 20, 8, 8, scale=0.9)
+    mask, pixels = SG.stain_channel(rgb, ["image"], channel, F.col("r") > 20, 8, 8, scale=0.9)
     assert mask.count() and pixels.count() == len(rows)
     assert max(map(leaves, written)) <= 4  # joins by image are one stage: each leaf is a sort that a task holds
 
