@@ -20,8 +20,8 @@ from tessera.operators import tiles as TL
 from tessera.operators.graph import connected_components
 from tessera.operators.raster import Size, with_size
 
-#: Halvings of the mean cell, and how many times k points make a cell full.
-LEVELS, CROWD = 12, 6
+#: Halvings of the mean cell, how many times its mean points make a cell full, and how many times k points it has in the mean.
+LEVELS, CROWD, BLOCK = 12, 4, 48
 #: Points of a group that one task does at once, in the square of their number; distances held at a time.
 SMALL, CHUNK = 4_096, 2_000_000
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
@@ -36,10 +36,10 @@ def _spread(df: DataFrame, side: str) -> DataFrame:
     return df.withColumn("_m", F.explode(moves)).withColumn("cy", _cell("y", side) + F.col("_m.a")).withColumn("cx", _cell("x", side) + F.col("_m.b")).drop("_m")
 
 
-def _finest(probes: DataFrame, base: DataFrame, box: DataFrame, k: int, tmp: Scratch) -> DataFrame:
+def _finest(probes: DataFrame, base: DataFrame, box: DataFrame, many: int, tmp: Scratch) -> DataFrame:
     """``probes`` with the ``side`` to begin with, and the group's ``reach``.
 
-    All begin with the group's mean cell. Cells that hold over CROWD times k points are halved, with their points only, until none is so full: without crowds
+    All begin with the group's mean cell. Cells that hold over CROWD times ``many`` points are halved, with their points only, until none is so full: without crowds
     this is one count.
     """
     p = probes.join(box, "grp").select("grp", "pid", "y", "x", "side", "reach")
@@ -47,7 +47,7 @@ def _finest(probes: DataFrame, base: DataFrame, box: DataFrame, k: int, tmp: Scr
     out = None
     for _ in range(LEVELS):
         cell = lambda t: t.withColumn("cy", _cell("y", "side")).withColumn("cx", _cell("x", "side"))
-        full = tmp.save(cell(b).groupBy("grp", "cy", "cx").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * k).select("grp", "cy", "cx"))
+        full = tmp.save(cell(b).groupBy("grp", "cy", "cx").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * many).select("grp", "cy", "cx"))
         if full.isEmpty():
             break
         at = ["grp", "cy", "cx"]
@@ -76,23 +76,7 @@ def _nearest_small(k: int, exclude_self: bool):
         base = base.sort_by("pid")
         by, bx, py, px = (t.column(c).cast(pa.float64()).to_numpy() for t in (base, probe) for c in ("y", "x"))
         bid, pid = (np.asarray(t.column("pid")) for t in (base, probe))
-        at, nid, rank, dist = [], [], [], []
-        step = max(CHUNK // len(by), 1)
-        for i in range(0, len(py), step):
-            dy, dx = py[i : i + step, None] - by, px[i : i + step, None] - bx
-            d = np.sqrt(dy * dy + dx * dx)
-            d[np.isnan(d)] = np.inf
-            if exclude_self:
-                d[pid[i : i + step, None] == bid] = np.inf
-            top = min(k, d.shape[1])
-            r, c = np.nonzero((d <= np.partition(d, top - 1, 1)[:, top - 1 : top]) & (d < np.inf))
-            v = d[r, c]
-            order = np.lexsort((c, v, r))
-            r, c, v = r[order], c[order], v[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            keep = place < k
-            at.append(r[keep] + i), nid.append(c[keep]), rank.append(place[keep] + 1), dist.append(v[keep])
-        at, nid, rank, dist = map(np.concatenate, (at, nid, rank, dist))
+        at, rank, nid, dist = _nearest_of((pid, py, px), (bid, by, bx), k, exclude_self)
         head = {"grp": probe.column("grp").take(pa.array(at)), "pid": probe.column("pid").take(pa.array(at))}
         return pa.table(head | {"rank": rank.astype(np.int32), "nid": base.column("pid").take(pa.array(nid)), "d": dist})
 
@@ -113,38 +97,97 @@ def nearest(probes: DataFrame, base: DataFrame, k: int, exclude_self: bool = Fal
     return out.unionByName(_by_cells(*[t.join(large, "grp", "left_semi") for t in (p, b)], k, exclude_self, max_rounds, tmp)) if some else out
 
 
+def _reach_of(v: str, side, rim):
+    """The cells of ``side`` whose rims a point lies in."""
+    return F.explode(F.sequence(F.floor((F.col(v) - rim) / side), F.floor((F.col(v) + rim) / side)))
+
+
+def _nearest_of(probe: tuple, base: tuple, k: int, exclude_self: bool):
+    """Place of the probe, rank, base place and distance of the k nearest (ids, y, x; the base in the order of its ids, so that ties go to the smaller), CHUNK distances at a time."""
+    (pid, py, px), (bid, by, bx) = probe, base
+    at, nid, rank, dist = [], [], [], []
+    step = max(CHUNK // len(by), 1)
+    for i in range(0, len(py), step):
+        dy, dx = py[i : i + step, None] - by, px[i : i + step, None] - bx
+        d = np.sqrt(dy * dy + dx * dx)
+        d[np.isnan(d)] = np.inf
+        if exclude_self:
+            d[pid[i : i + step, None] == bid] = np.inf
+        top = min(k, d.shape[1])
+        r, c = np.nonzero((d <= np.partition(d, top - 1, 1)[:, top - 1 : top]) & (d < np.inf))
+        v = d[r, c]
+        order = np.lexsort((c, v, r))
+        r, c, v = r[order], c[order], v[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < k
+        at.append(r[keep] + i), nid.append(c[keep]), rank.append(place[keep] + 1), dist.append(v[keep])
+    return tuple(map(np.concatenate, (at, rank, nid, dist)))
+
+
+def _nearest_in_block(k: int, exclude_self: bool):
+    """Neighbours of a cell's probes among the points of the cell and its rim. A probe whose k-th is beyond what the rim shows comes back without neighbours."""
+
+    def work(rows: pa.Table) -> pa.Table | None:
+        is_base = np.asarray(rows.column("base")).astype(bool)
+        base, probe = rows.filter(pa.array(is_base)), rows.filter(pa.array(~is_base))
+        if not len(probe):
+            return None
+        base = base.sort_by("nid")
+        side, reach, cy, cx, rim = (rows.column(c)[0].as_py() for c in ("side", "reach", "cy", "cx", "rim"))
+        by, bx, py, px = (t.column(c).to_numpy() for t in (base, probe) for c in ("y", "x"))
+        at, rank, nid, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(base):
+            at, rank, nid, dist = _nearest_of((np.asarray(probe.column("pid")), py, px), (np.asarray(base.column("nid")), by, bx), k, exclude_self)
+        shown = np.minimum.reduce([py - (cy * side - rim), (cy + 1) * side + rim - py, px - (cx * side - rim), (cx + 1) * side + rim - px])
+        shown = shown - 1e-9 * (np.abs(py) + np.abs(px) + side)  # cells are cut in floating point
+        last, n = np.full(len(py), np.inf), np.bincount(at, minlength=len(py))
+        last[at[rank == k]] = dist[rank == k]
+        ok = (n >= k) & (last <= shown) if side < reach else np.ones(len(py), bool)
+        keep, open_ = ok[at], np.flatnonzero(~ok)
+        take = lambda name, i: probe.column(name).take(pa.array(i))
+        done = {"grp": take("grp", at[keep]), "pid": take("pid", at[keep]), "rank": pa.array(rank[keep], pa.int32()), "nid": base.column("nid").take(pa.array(nid[keep])), "d": pa.array(dist[keep])}
+        rest = {c: take(c, open_) for c in ("grp", "pid", "y", "x", "side", "reach")}
+        return pa.concat_tables([pa.table(done), pa.table(rest)], promote_options="default")
+
+    return work
+
+
 def _by_cells(probes: DataFrame, base: DataFrame, k: int, exclude_self: bool, max_rounds: int, tmp: Scratch) -> DataFrame:
-    """``nearest`` by joins of cells.
+    """``nearest`` by blocks: a cell with its probes, and base points up to a rim of a sixth of its side.
 
-    A probe begins with cells of the group's mean size, halved where points crowd, so that those do not all share a cell. It is settled when its k-th candidate among the 3x3 cells about it is no further than a cell's side, since all
-    points outside are; the others go on with cells of twice the side until the block covers the group.
+    A probe begins with cells that hold some tens of k points in the group's mean, halved where points crowd, so that those do not all share a cell. It is settled when its k-th neighbour is no further
+    than the block shows; the few others go on with cells of twice the side until the block covers the group. So what is exchanged is the points, once or twice, not their pairs.
     """
+    on = "not isnan(y) and not isnan(x)"  # drops nulls too
+    probes, base = (t.select("grp", "pid", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).where(on) for t in (probes, base))
     box = base.select("grp", "y", "x").union(probes.select("grp", "y", "x")).groupBy("grp").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     box = box.join(base.groupBy("grp").agg(F.count("*").alias("n")), "grp")
     h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     reach = F.greatest(h, w)
-    side = F.sqrt(h * w * (k + 1) / F.col("n"))
-    box = tmp.save(box.select("grp", F.when(side > 0, side).when(reach > 0, reach).otherwise(F.lit(1.0)).alias("side"), reach.alias("reach")))
-    todo, done = tmp.save(_finest(probes.select("grp", "pid", "y", "x"), base, box, k, tmp)), None
+    side = F.sqrt(h * w * (BLOCK * k) / F.col("n"))
+    box = tmp.save(box.select("grp", F.when(side > 0, F.least(side, reach)).when(reach > 0, reach).otherwise(F.lit(1.0)).alias("side"), reach.alias("reach")))
+    todo, done = _finest(probes, base, box, BLOCK * k, tmp), None
+    schema = TL.schema_of(probes, ["grp", "pid"], rank="integer").add("nid", base.schema["pid"].dataType)
+    for name in ("d", "y", "x", "side", "reach"):
+        schema = schema.add(name, "double")
+    at = ["grp", "side", "cy", "cx"]
+    rim = F.when(F.col("side") < F.col("reach"), F.col("side") / 6).otherwise(F.col("side"))
     for round_ in range(max_rounds):
-        b = base.join(todo.select("grp", "side").distinct(), "grp").select("grp", "side", F.col("pid").alias("nid"), F.col("y").alias("by"), F.col("x").alias("bx"), _cell("y", "side").alias("cy"), _cell("x", "side").alias("cx"))
-        c = _spread(todo, "side").join(b, ["grp", "side", "cy", "cx"], "left")
-        if exclude_self:
-            c = c.withColumn("nid", F.when(F.col("nid") != F.col("pid"), F.col("nid")))
-        dy, dx = F.col("y") - F.col("by"), F.col("x") - F.col("bx")
-        c = c.withColumn("d", F.when(F.col("nid").isNotNull(), F.sqrt(dy * dy + dx * dx)))
-        by = W.partitionBy("grp", "pid").orderBy(F.col("d").asc_nulls_last(), "nid")
-        c = c.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        top = c.groupBy("grp", "pid", "y", "x", "side", "reach").agg(F.sort_array(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "nid", "rank")))).alias("l"))
-        ok = (F.size("l") == k) & (F.element_at("l", -1)["d"] <= F.col("side")) | (F.col("side") >= F.col("reach"))
-        top = tmp.save(top.withColumn("ok", F.coalesce(ok, F.lit(False))))
-        part = top.where("ok")
-        done = part if done is None else done.union(part)
-        rest = top.where("not ok")
+        todo = tmp.save(todo.withColumn("rim", rim).withColumn("cy", _cell("y", "side")).withColumn("cx", _cell("x", "side")))
+        cells = tmp.save(todo.select(*at, "rim", "reach").distinct())
+        b = base.join(cells.select("grp", "side", "rim").distinct(), "grp").withColumn("cy", _reach_of("y", F.col("side"), F.col("rim"))).withColumn("cx", _reach_of("x", F.col("side"), F.col("rim")))
+        b = b.join(cells.select(*at, "reach"), at)
+        columns = [*at, "rim", "reach", "y", "x"]
+        both = todo.select(*columns, "pid", F.lit(None).cast(schema["nid"].dataType).alias("nid"), F.lit(False).alias("base"))
+        both = both.unionByName(b.select(*columns, F.lit(None).cast(schema["pid"].dataType).alias("pid"), F.col("pid").alias("nid"), F.lit(True).alias("base")))
+        out = tmp.save(TL.over_groups(both, at, _nearest_in_block(k, exclude_self), schema))
+        part = out.where("nid is not null").select("grp", "pid", "rank", "nid", "d")
+        done = part if done is None else done.unionByName(part)
+        rest = out.where("nid is null")
         if rest.isEmpty():
             break
         todo = rest.select("grp", "pid", "y", "x", (F.col("side") * 2).alias("side"), "reach")
-    return done.select("grp", "pid", F.explode("l").alias("e")).select("grp", "pid", F.col("e.rank").alias("rank"), F.col("e.nid").alias("nid"), F.col("e.d").alias("d"))
+    return done
 
 
 def knn(points: DataFrame, k: int) -> DataFrame:

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import core
+from tessera.operators import spatial as SP
 from tessera.operators import thresholds as TH
+from tessera.operators import tiles as TL
 from tessera.plans import segmentation as SG
 
 
@@ -49,3 +51,35 @@ def test_thresholds_of_images_with_and_without_tissue(spark):
     got = {r["image"]: r["t"] for r in TH.threshold(d, ["image"], "v", "ok").collect()}
     want = {i: {r["image"]: r["t"] for r in TH.otsu(d.where("ok" if i == 0 else "image = 1"), ["image"], "v").collect()}[i] for i in range(2)}
     assert got == want
+
+
+@pytest.fixture
+def exchanged(monkeypatch):
+    """Rows that each grouping of points exchanges."""
+    rows, over = [], TL.over_groups
+
+    def spy(df, keys, *args, **kw):
+        rows.append(df.count())
+        return over(df, keys, *args, **kw)
+
+    monkeypatch.setattr(TL, "over_groups", spy)
+    monkeypatch.setattr(SP, "SMALL", 50)
+    return rows
+
+
+def points(spark, n=3000, groups=2):
+    rng = np.random.default_rng(5)
+    xy = np.round(np.concatenate([rng.random((n - n // 4, 2)) * 200, 50 + rng.random((n // 4, 2))]), 3)
+    return xy, spark.createDataFrame([(i % groups, i, float(y), float(x)) for i, (y, x) in enumerate(xy)], "grp int, pid long, y double, x double")
+
+
+def test_neighbours_exchange_points_not_pairs(spark, exchanged):
+    xy, p = points(spark)
+    got = {(r["pid"], r["rank"]): (r["nid"], r["d"]) for r in SP.knn(p, 5).collect()}
+    assert sum(exchanged[1:]) and sum(exchanged) <= 5 * len(xy)
+    for i, (y, x) in enumerate(xy):
+        d = np.sqrt((xy[:, 0] - y) ** 2 + (xy[:, 1] - x) ** 2)
+        d[np.arange(len(xy)) % 2 != i % 2] = np.inf
+        d[i] = np.inf
+        near = np.lexsort((np.arange(len(xy)), d))[:5]
+        assert [got[i, r] for r in range(1, 6)] == [(j, d[j]) for j in near]
