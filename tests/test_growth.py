@@ -83,3 +83,38 @@ def test_neighbours_exchange_points_not_pairs(spark, exchanged):
         d[i] = np.inf
         near = np.lexsort((np.arange(len(xy)), d))[:5]
         assert [got[i, r] for r in range(1, 6)] == [(j, d[j]) for j in near]
+
+
+def test_means_of_neighbours_are_those_of_one_array(spark, exchanged, monkeypatch):
+    xy, p = points(spark, 900)
+    rows = lambda: sorted(map(tuple, SP.knn_means(p, SP.knn(p, 5)).collect()))
+    got, n = rows(), sum(exchanged)
+    assert 900 <= n <= 5 * 900
+    monkeypatch.setattr(SP, "SMALL", 4096)
+    assert np.allclose(got, rows())
+
+
+def test_a_graph_exchanges_points_not_cells_around_them(spark, exchanged, monkeypatch):
+    xy, p = points(spark)
+    p = p.union(spark.createDataFrame([(1, 9000, None, 3.0)], p.schema))
+    nn = SP.knn(p, 1).localCheckpoint()
+    exchanged.clear()
+    rows = lambda: sorted(map(tuple, SP.proximity_graph(p, nn).collect()))
+    got, n = rows(), sum(exchanged)
+    assert len(xy) <= n <= 3 * len(xy)
+    monkeypatch.setattr(SP, "GRAPH_BLOCK", 3)
+    assert np.allclose(got, rows())
+    monkeypatch.setattr(SP, "SMALL", 4096)
+    assert np.allclose(got, rows())
+
+
+@pytest.mark.parametrize("work", [1_000_000_000, 400])
+def test_a_radius_join_exchanges_points_not_nine_of_each(spark, exchanged, monkeypatch, work):
+    xy, p = points(spark, 1200)
+    monkeypatch.setattr(SP, "JOIN_WORK", work)
+    got = {(r["a"], r["b"]): r["d"] for r in SP.within(p, spark.createDataFrame([(0, 4.0), (1, 6.0)], "grp int, radius double")).collect()}
+    d = np.sqrt(((xy[:, None] - xy) ** 2).sum(2))
+    i, j = np.indices(d.shape)
+    hit = (i < j) & (i % 2 == j % 2) & (d <= np.where(i % 2, 6.0, 4.0))
+    assert got.keys() == set(zip(*map(np.ndarray.tolist, np.nonzero(hit)))) and all(abs(d[k] - v) < 1e-9 for k, v in got.items())
+    assert exchanged and (work < 1000 or sum(exchanged) <= 3 * len(xy))
