@@ -27,11 +27,13 @@ def extreme(a: np.ndarray, here: np.ndarray, radius: int, what: str) -> np.ndarr
     if radius <= 0:
         return np.where(here, a, fill)
     a = np.where(here, a, fill)
-    reach = {dy: isqrt(radius * radius - dy * dy) for dy in range(-radius, radius + 1)}
+    h, w = a.shape
+    reach = {dy: min(isqrt(radius * radius - dy * dy), w) for dy in range(min(radius + 1, h))}
     rows = {half: TL.slide(a, half, op, fill) for half in set(reach.values())}
-    out = np.full_like(a, fill)
-    for dy, half in reach.items():
-        out = op(out, TL.shifted(rows[half], dy, 0, fill))
+    out = rows[reach[0]].copy()
+    for dy, half in list(reach.items())[1:]:
+        op(out[:-dy], rows[half][dy:], out=out[:-dy])
+        op(out[dy:], rows[half][:-dy], out=out[dy:])
     return np.where(here, out, fill)
 
 

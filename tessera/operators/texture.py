@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import ship
+from tessera.core import Scratch, ship
 from tessera.functions import stats as S
 from tessera.operators import tiles as TL
 
@@ -29,14 +29,14 @@ def counts(df: DataFrame, keys: list[str], level: str, offsets=OFFSETS) -> DataF
     def work(t: TL.Tile) -> pa.Table | None:
         v = t.dense(level, -1, np.int64)
         inside, top = t.inside(), int(v.max()) + 1
-        out = []
-        for d, a, dy, dx in offsets:
-            i, j = v[inside].ravel(), TL.shifted(v, dy, dx, -1)[inside].ravel()
+        codes, i = [], v[inside].ravel()
+        for at, (_, _, dy, dx) in enumerate(offsets):
+            j = TL.shifted(v, dy, dx, -1)[inside].ravel()
             good = (i >= 0) & (j >= 0)
-            code, n = np.unique(i[good] * top + j[good], return_counts=True)
-            out.append(np.stack([np.full(len(n), d), np.full(len(n), a), code // top, code % top, n]))
-        out = np.concatenate(out, 1).astype(np.int64)
-        return t.with_keys(keys, dict(zip("daijn", out))) if out.shape[1] else None
+            codes.append((at * top + i[good]) * top + j[good])
+        code, n = np.unique(np.concatenate(codes), return_counts=True)  # once for all offsets
+        d, a = np.array([o[:2] for o in offsets], np.int64)[code // (top * top)].T
+        return t.with_keys(keys, {"d": d, "a": a, "i": code // top % top, "j": code % top, "n": n}) if len(n) else None
 
     rim = max(max(abs(dy), abs(dx)) for _, _, dy, dx in offsets)
     schema = TL.schema_of(df, keys, d="long", a="long", i="long", j="long", n="long")
@@ -67,6 +67,7 @@ def properties(g: DataFrame, keys: list[str]) -> DataFrame:
 
 def rollup(props: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, scale, property, mean, sd``: per distance (sd null), and over all offsets (scale null)."""
+    props = Scratch(props.sparkSession, "texture").save(props)  # read twice, and dear
     long = props.select(*keys, "d", F.explode(F.array(*[F.struct(F.lit(n).alias("property"), F.col(n).alias("value")) for n in PROPERTIES])).alias("x")).select(*keys, "d", "x.property", "x.value")
     per = long.groupBy(*keys, F.col("d").alias("scale"), "property").agg(S.mean("value").alias("mean"), F.lit(None).cast("double").alias("sd"))
     whole = long.groupBy(*keys, F.lit(None).cast("int").alias("scale"), "property").agg(S.mean("value").alias("mean"), S.sd("value").alias("sd"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import core
 from tessera.operators import spatial as SP
+from tessera.operators import texture as TX
 from tessera.operators import thresholds as TH
 from tessera.operators import tiles as TL
 from tessera.plans import segmentation as SG
@@ -118,3 +119,10 @@ def test_a_radius_join_exchanges_points_not_nine_of_each(spark, exchanged, monke
     hit = (i < j) & (i % 2 == j % 2) & (d <= np.where(i % 2, 6.0, 4.0))
     assert got.keys() == set(zip(*map(np.ndarray.tolist, np.nonzero(hit)))) and all(abs(d[k] - v) < 1e-9 for k, v in got.items())
     assert exchanged and (work < 1000 or sum(exchanged) <= 3 * len(xy))
+
+
+def test_texture_makes_its_matrices_once(spark, written):
+    d = spark.range(64).selectExpr("1 image", "int(id / 8) row", "int(id % 8) col", "int(id % 5) lv")
+    out = TX.rollup(TX.properties(TX.glcm(d, ["image"], "lv"), ["image"]), ["image"])
+    assert out.count() == 7 * 4
+    assert len(written) == 1 and "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
