@@ -450,36 +450,51 @@ def _boruvka(pts: DataFrame, k: int, max_rounds: int) -> DataFrame:
     """Edges of the trees of ``pts`` (``grp, pid, y, x``; no two at one place), round by round.
 
     Each component takes its shortest edge out of the neighbour lists. The edge is sure if no point whose list lies wholly
-    inside the component could have a shorter one (its k-th distance bounds it); else the lists are doubled.
+    inside the component could have a shorter one (its k-th distance bounds it). If few are sure, the lists of such points are doubled, except in a group's largest component: what
+    leads out of it leads into another one. What is read again in a round are the edges that still lead out. Tables with a row a point are joined by merging: a broadcast goes through the driver.
     """
     tmp = Scratch(pts.sparkSession, "boruvka")
     pts = tmp.save(pts)
-    most = pts.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    size = tmp.save(pts.groupBy("grp").agg(F.count("*").alias("all")))
+    most = size.agg(F.max("all")).first()[0] or 0
     comp = tmp.save(pts.select("grp", "pid", F.col("pid").alias("comp")))
+    of = lambda lists: lists.groupBy("grp", "pid").agg(F.max("d").alias("reach"), F.count("*").alias("n"))
     lists = tmp.save(knn(pts, min(k, max(most - 1, 1))))
-    tree = None
+    seen, tree = tmp.save(of(lists)), None
+    out = tmp.save(lists.select("grp", "pid", "nid", "d"))
     for _ in range(max_rounds):
-        e = lists.join(comp, ["grp", "pid"]).join(comp.select("grp", F.col("pid").alias("nid"), F.col("comp").alias("to")), ["grp", "nid"])
-        e = e.withColumn("a", F.least("pid", "nid")).withColumn("b", F.greatest("pid", "nid"))
-        per = e.groupBy("grp", "pid", "comp").agg(F.min(F.when(F.col("comp") != F.col("to"), F.struct("d", "a", "b"))).alias("out"), F.max("d").alias("reach"), F.count("*").alias("n"))
-        size = comp.groupBy("grp").agg(F.count("*").alias("all"))
-        per = per.join(size, "grp").withColumn("bound", F.when(F.col("out").isNull() & (F.col("n") < F.col("all") - 1), F.col("reach")))
-        best = tmp.save(per.groupBy("grp", "comp").agg(F.min("out").alias("out"), F.min("bound").alias("bound")))
-        pieces = best.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1")
-        best = best.join(pieces, "grp")
+        to = comp.select("grp", F.col("pid").alias("nid"), F.col("comp").alias("to")).hint("merge")
+        e = tmp.save(out.select("grp", "pid", "nid", "d").join(comp.hint("merge"), ["grp", "pid"]).join(to, ["grp", "nid"]).where("comp <> to"))
+        tmp.drop(out)
+        out = e
+        inside = seen.join(e.select("grp", "pid").distinct().hint("merge"), ["grp", "pid"], "left_anti").join(size, "grp").where(F.col("n") < F.col("all") - 1)
+        inside = tmp.save(inside.join(comp.hint("merge"), ["grp", "pid"]).select("grp", "pid", "comp", "reach", "n"))
+        edge = e.select("grp", "comp", F.struct("d", F.least("pid", "nid").alias("a"), F.greatest("pid", "nid").alias("b")).alias("out"), F.lit(None).cast("double").alias("bound"), F.lit(0).cast("long").alias("one"))
+        more = inside.select("grp", "comp", F.lit(None).cast(edge.schema["out"].dataType).alias("out"), F.col("reach").alias("bound"), F.lit(0).cast("long").alias("one"))
+        every = comp.select("grp", "comp", F.lit(None).cast(edge.schema["out"].dataType).alias("out"), F.lit(None).cast("double").alias("bound"), F.lit(1).cast("long").alias("one"))
+        best = tmp.save(edge.unionByName(more).unionByName(every).groupBy("grp", "comp").agg(F.min("out").alias("out"), F.min("bound").alias("bound"), F.sum("one").alias("points")))
+        pieces = best.groupBy("grp").agg(F.count("*").alias("c"), F.max(F.struct("points", "comp")).alias("main")).where("c > 1")
+        best = tmp.save(best.join(pieces, "grp"))
         if best.isEmpty():
             break
-        sure = tmp.save(best.where(F.col("out").isNotNull() & (F.col("bound").isNull() | (F.col("out.d") < F.col("bound")))).select("grp", "comp", "out.d", "out.a", "out.b"))
-        if sure.isEmpty():
+        good = F.col("out").isNotNull() & (F.col("bound").isNull() | (F.col("out.d") < F.col("bound")))
+        sure = tmp.save(best.where(good).select("grp", "comp", "out.d", "out.a", "out.b"))
+        n = sure.count()
+        if n * 4 < best.count():
+            short = best.where(~good & (F.col("comp") != F.col("main.comp"))).select("grp", "comp", F.col("out.d").alias("limit"))
+            asked = tmp.save(inside.join(short.hint("merge"), ["grp", "comp"]).where("limit IS NULL OR reach <= limit").select("grp", "pid"))
             k = min(k * 2, most - 1)
-            lists = tmp.save(knn(pts, k))
+            lists = tmp.save(nearest(pts.join(asked.hint("merge"), ["grp", "pid"], "left_semi"), pts, k, exclude_self=True))
+            seen = tmp.save(seen.join(asked.hint("merge"), ["grp", "pid"], "left_anti").unionByName(of(lists)))
+            out = tmp.save(out.select("grp", "pid", "nid", "d").unionByName(lists.select("grp", "pid", "nid", "d")))
+        if not n:
             continue
         new = tmp.save(sure.select("grp", "a", "b", "d").distinct())
         tree = new if tree is None else tree.union(new)
-        at = comp.select("grp", F.col("pid").alias("a"), F.col("comp").alias("ca")), comp.select("grp", F.col("pid").alias("b"), F.col("comp").alias("cb"))
+        at = comp.select("grp", F.col("pid").alias("a"), F.col("comp").alias("ca")).hint("merge"), comp.select("grp", F.col("pid").alias("b"), F.col("comp").alias("cb")).hint("merge")
         joined = new.join(at[0], ["grp", "a"]).join(at[1], ["grp", "b"]).select(F.struct("grp", F.col("ca").alias("c")).alias("src"), F.struct("grp", F.col("cb").alias("c")).alias("dst"))
         merged = connected_components(joined).select("node.grp", F.col("node.c").alias("comp"), F.col("component.c").alias("new"))
-        comp = tmp.save(comp.join(merged, ["grp", "comp"], "left").select("grp", "pid", F.coalesce("new", "comp").alias("comp")))
+        comp = tmp.save(comp.join(merged.hint("merge"), ["grp", "comp"], "left").select("grp", "pid", F.coalesce("new", "comp").alias("comp")))
     else:
         raise RuntimeError("spanning tree did not settle")
     return tree if tree is not None else pts.select("grp", F.col("pid").alias("a"), F.col("pid").alias("b"), F.col("y").alias("d")).where("false")

@@ -126,3 +126,23 @@ def test_texture_makes_its_matrices_once(spark, written):
     out = TX.rollup(TX.properties(TX.glcm(d, ["image"], "lv"), ["image"]), ["image"])
     assert out.count() == 7 * 4
     assert len(written) == 1 and "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_tree_broadcasts_no_table_of_points(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    yx = np.round(np.concatenate([rng.normal(c, 1, (30, 2)) for c in (0, 60)] + [rng.random((3, 2)) * 300 - 100]), 4)
+    p = spark.createDataFrame([(0, i, float(y), float(x)) for i, (y, x) in enumerate(yx)], "grp int, pid long, y double, x double")
+    plans, save = [], core.Scratch.save
+
+    def spy(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(self, df)
+
+    monkeypatch.setattr(core.Scratch, "save", spy)
+    rows = lambda: sorted(tuple(r)[1:3] for r in SP.spanning_tree(p).collect())
+    monkeypatch.setattr(SP, "SMALL", 10)
+    got = rows()
+    tables = [x for plan in plans for x in plan.splitlines() if "Join " in x and ("comp#" in x or "m#" in x)]
+    assert tables and all("strategy=merge" in x or "all#" in x for x in tables)
+    monkeypatch.setattr(SP, "SMALL", 4096)
+    assert len(got) == len(yx) - 1 and got == rows()
