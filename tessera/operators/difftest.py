@@ -28,9 +28,27 @@ def counted(long: DataFrame, keys: list[str]) -> DataFrame:
     return tested(long).groupBy(*keys, "level", "value").agg(F.count("*").alias("c"))
 
 
+#: One image in so many gives the bounds of first images.
+BOUND = 512
+
+
+def first_images(t: DataFrame, by: list[str]) -> DataFrame:
+    """The smallest image of each group: ``_k0, _k1, ..., first_image``.
+
+    Spark can only sort for an extreme of strings, all rows of a task. So bounds come first, from one image in BOUND by hash; only images below their group's bound (all, where it has none) can be the smallest.
+    """
+    t = t.select(*by, "image").where("image is not null")
+    bound = t.where(F.pmod(F.xxhash64("image"), F.lit(BOUND)) == 0).distinct().groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).agg(F.min("image").alias("_bound"))
+    low = t.join(F.broadcast(bound), scans.same(by), "left").where(F.col("_bound").isNull() | (F.col("image") < F.col("_bound"))).select(*by, "image").distinct()
+    low = low.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "image").unionByName(bound.withColumnRenamed("_bound", "image"))
+    return low.groupBy(*[f"_k{i}" for i in range(len(by))]).agg(F.min("image").alias("first_image"))
+
+
 def group_stats(long: DataFrame, keys: list[str]) -> DataFrame:
     """Per test and level: ``n, mean, var`` and the first image that has the level."""
-    return tested(long).groupBy(*keys, "level").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"), F.min("image").alias("first_image"))
+    t, by = tested(long), [*keys, "level"]
+    stats = t.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
+    return stats.join(first_images(t, by), scans.same(by), "left").drop(*[f"_k{i}" for i in range(len(by))])
 
 
 def gate(stats: DataFrame, keys: list[str], min_per_group: int = 2) -> DataFrame:

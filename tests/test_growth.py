@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import core
+from tessera.operators import difftest as DT
 from tessera.operators import spatial as SP
 from tessera.operators import texture as TX
 from tessera.operators import thresholds as TH
@@ -146,3 +147,18 @@ def test_a_tree_broadcasts_no_table_of_points(spark, monkeypatch):
     assert tables and all("strategy=merge" in x or "all#" in x for x in tables)
     monkeypatch.setattr(SP, "SMALL", 4096)
     assert len(got) == len(yx) - 1 and got == rows()
+
+
+def test_first_images_are_found_without_sorting_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(DT, "BOUND", 4)
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 9 == 0 else "c%d" % (i % 3), "p", "f", "im%03d" % rng.integers(40, 900) if i % 7 else None, "ab"[i % 2], float(i)) for i in range(600)] + [("z", "p", "f", "x", "a", 1.0), ("y", "p", "f", None, "a", 1.0)]
+    d = spark.createDataFrame(rows, "channel string, phenotype string, feature string, image string, level string, value double")
+    s = DT.group_stats(d, ["channel", "phenotype", "feature"])
+    want = {}
+    for c, _, _, im, lv, _ in rows:
+        n, first = want.get((c, lv), (0, None))
+        want[c, lv] = n + 1, im if first is None else first if im is None else min(first, im)
+    assert {(r["channel"], r["level"]): (r["n"], r["first_image"]) for r in s.collect()} == want
+    plan = s._jdf.queryExecution().sparkPlan().toString()
+    assert "avg(value" in plan and not any("SortAggregate" in x and "avg(value" in x for x in plan.splitlines())
