@@ -265,7 +265,10 @@ def s01(spark, d):
 UNION ALL SELECT 'eosin', 'X' || l_linestatus, count(*), round(sum(l_tax), 6) + 0e0, NULL, 0 FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL
 UNION ALL SELECT '-', reason, NULL, NULL, NULL, count(*) FROM (SELECT DISTINCT l_linestatus, unnest(['no column image', 'not a site file', 'first row names no image', 'rows longer than the header', 'no rows', 'not in a channel folder']) AS reason FROM lineitem WHERE l_returnflag = 'N') GROUP BY reason""")
 def s03(spark, d):
-    """A folder tree of two versions of site files, whose columns are in another order, and of files to be left out; each is one image's."""
+    """A folder tree of two versions of site files, whose columns are in another order, and of files to be left out; each is one image's.
+
+    A task of the table writes a file of each image, as one task for all rows would have to sort them.
+    """
     root = Scratch(spark, "sites").root
     s = load(spark, d, "lineitem").select("l_linestatus", "l_returnflag", F.col("l_tax").cast("string").alias("tax"), F.col("l_discount").cast("string").alias("discount"))
 
@@ -273,6 +276,14 @@ def s03(spark, d):
         """One file for each line status, as text lines below their header."""
         lines = rows.select(F.col("l_linestatus").alias("f"), F.col("line"), F.lit(1).alias("o")).unionByName(rows.select(F.col("l_linestatus").alias("f"), F.lit(header).alias("line"), F.lit(0).alias("o")).distinct())
         lines.repartition(1).sortWithinPartitions("f", "o").select("f", "line").write.mode("append").option("extension", end).partitionBy("f").text(f"{root}/_raw/{folder}")
+        place(folder, end, header)
+
+    def sheets(rows, folder: str):
+        """Files of all tasks, each with its header, as CSV."""
+        rows.write.option("header", True).partitionBy("f").csv(f"{root}/_raw/{folder}")
+        place(folder, "_sites.csv", ",".join(rows.columns[1:]))
+
+    def place(folder: str, end: str, header: str):
         fs, at = _at(spark, f"{root}/_raw/{folder}")
         for i, part in enumerate(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_raw/{folder}/f=*/*"))):  # a file for each status
             to = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/features/212/{folder}/{header.count(',')}_{i}{end}")
@@ -280,9 +291,9 @@ def s03(spark, d):
             fs.rename(part.getPath(), to)
         fs.delete(at, True)
 
-    of = lambda flag, *c: s.where(F.col("l_returnflag") == flag).select("l_linestatus", F.concat_ws(",", *c).alias("line"))
-    put(of("R", F.lit("7"), "l_linestatus", "tax", "discount"), "dab", "_sites.csv", "label,image,tax,discount")
-    put(of("A", "tax", F.concat(F.lit("X"), "l_linestatus")), "eosin", "_sites.csv", "tax,image")
+    of = lambda flag, *c: s.where(F.col("l_returnflag") == flag).select(F.col("l_linestatus").alias("f"), *c)
+    sheets(of("R", F.lit("7").alias("label"), F.col("l_linestatus").alias("image"), "tax", "discount"), "dab")
+    sheets(of("A", "tax", F.concat(F.lit("X"), "l_linestatus").alias("image")), "eosin")
     one = s.where("l_returnflag = 'N'").select("l_linestatus").distinct()
     line = lambda text: one.withColumn("line", F.lit(text))
     put(line("1,2"), "dab", "_sites.csv", "label,tax")

@@ -31,9 +31,15 @@ def preview_sample(images: DataFrame, per_type: int = 6) -> DataFrame:
     return images.withColumn("n", F.row_number().over(W.partitionBy("type").orderBy("path"))).where(F.col("n") <= per_type)
 
 
-def _first(df: DataFrame, what: Column, name: str) -> DataFrame:
-    """``_file, name``: of each file the value in its first row."""
-    return df.groupBy("_file").agg(F.min_by(what, "_place").alias(name))
+#: Files whose headers may be sent to all tasks; of more files, rows and headers are joined by file.
+FEW_FILES = 10_000
+
+
+def _first(df: DataFrame, name: str, near) -> DataFrame:
+    """``_file, name``: of each file the place of its first row. Blocks, then rows of a block: minima of numbers need no sort."""
+    block = df.groupBy("_file").agg(F.min("_place.b").alias("_b"))
+    row = df.join(near(block), "_file").where("_place.b = _b").groupBy("_file", "_b").agg(F.min("_place.i").alias("_i"))
+    return row.select("_file", F.struct(F.col("_b").alias("b"), F.col("_i").alias("i")).alias(name))
 
 
 def scan_sites(spark: SparkSession, root: str, type_: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -54,22 +60,25 @@ def scan_sites(spark: SparkSession, root: str, type_: str, schema: str) -> tuple
     files = files.select("_file", F.when(F.lit(folders), F.substring_index("below", "/", 1)).alias("channel"), reason.alias("reason"))
     lines = spark.read.option("recursiveFileLookup", True).text(base).select("value", F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("_place"))
     lines = tmp.save(lines.join(files.where("reason is null").select("_file"), "_file").where("trim(value) <> ''"))
-    most = lines.join(_first(lines, F.col("_place"), "_head"), "_file").where("_place = _head").agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    near = F.broadcast if files.count() <= FEW_FILES else lambda t: t  # so that the rows of a large file stay in many tasks
+    heads = tmp.save(lines.join(near(_first(lines, "_head", near)), "_file").where("_place = _head").select("_file", "_head", "value"))
+    most = heads.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
     names = [f"c{i}" for i in range(most + 1)]
     fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"mode": "PERMISSIVE"})
-    cells = lines.withColumn("v", fields).select("_file", "_place", F.array(*[F.col(f"v.{n}") for n in names]).alias("v"))
-    head = cells.join(_first(cells, F.col("_place"), "_head"), "_file")
-    columns = head.where("_place = _head").select("_file", F.transform("v", lambda c: F.coalesce(F.trim(F.ltrim(c, F.lit("\ufeff"))), F.lit(""))).alias("h"))
-    rows = head.where("_place > _head").select("_file", "_place", "v").join(columns, "_file")
+    cells = lambda t, *c: t.withColumn("v", fields).select("_file", *c, F.array(*[F.col(f"v.{n}") for n in names]).alias("v"))
+    columns = cells(heads, "_head").select("_file", "_head", F.transform("v", lambda c: F.coalesce(F.trim(F.ltrim(c, F.lit("\ufeff"))), F.lit(""))).alias("h"))
+    below = lines.join(near(heads.select("_file", "_head")), "_file").where("_place > _head")
+    rows = cells(lines, "_place").join(near(columns), "_file").where("_place > _head").select("_file", "_place", "v", "h")
     at = lambda name: F.get("v", F.nullif(F.array_position("h", F.lit(name)), F.lit(0)).cast("int") - 1)
     width = F.coalesce(F.array_max(F.transform("h", lambda c, i: F.when(c != "", i + 1))), F.lit(0))
     over = F.exists(F.slice(F.col("v"), width + 1, F.lit(most + 1)), lambda c: c.isNotNull())
-    facts = rows.groupBy("_file").agg(F.min_by(at("image"), "_place").alias("_image"), F.max(over).alias("_over"), F.max(F.array_contains("h", "image")).alias("_named"))
-    facts = tmp.save(files.join(facts, "_file", "left"))
+    facts = rows.groupBy("_file").agg(F.max(over).alias("_over"), F.max(F.array_contains("h", "image")).alias("_named"))
+    named = rows.join(near(_first(below, "_one", near)), "_file").where("_place = _one").select("_file", at("image").alias("_image"))
+    facts = tmp.save(files.join(facts, "_file", "left").join(named, "_file", "left"))
     why = F.coalesce("reason", F.when(F.col("_named").isNull(), "no rows").when(~F.col("_named"), "no column image").when(F.col("_over"), "rows longer than the header").when(F.coalesce(F.col("_image"), F.lit("")) == "", "first row names no image"))
     facts = facts.withColumn("reason", why)
     kind = T.StructType.fromDDL(schema)
-    good = rows.join(facts.where("reason is null").select("_file", "channel", "_image"), "_file")
+    good = rows.join(near(facts.where("reason is null").select("_file", "channel", "_image")), "_file")
     out = good.select(*[(F.col("_image") if f.name == "image" else at(f.name).try_cast(f.dataType)).alias(f.name) for f in kind], "channel")
     return out, facts.where("reason is not null").select(F.col("_file").alias("file"), "reason")
 

@@ -215,3 +215,15 @@ def test_the_job_over_images_of_two_sizes(spark):
     inner = {(4, 4), (4, 5), (5, 4), (5, 5)}
     # in the image of seven rows the square reaches the stain at its border
     assert got == {(0, *x) for x in inner}
+
+
+def test_rows_of_a_large_site_file_are_not_sorted_by_file(spark, tmp_path):
+    at = tmp_path / "features" / "9" / "dab"
+    at.mkdir(parents=True)
+    (at / "a_sites.csv").write_text("\n \nlabel,image,area\n" + "".join(f"{i},im,{i}.5\n" for i in range(500)))
+    (at / "b_sites.csv").write_text("image,area\n,2\n")
+    rows, left = IO.scan_sites(spark, str(tmp_path), "9", "image string, label int, area double")
+    assert [tuple(r) for r in rows.groupBy("image").agg(F.count("*"), F.sum("area")).collect()] == [("im", 500, 500 * 250.0)]
+    assert [r["reason"] for r in left.collect()] == ["first row names no image"]
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "SortAggregate" not in plan
