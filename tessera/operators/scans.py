@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.core import Scratch
+from tessera.functions import stats as S
 
 #: Rows of a range.
 RANGE = 100_000
@@ -81,6 +82,37 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, qs: list[float], na
     return df.select(*keys).distinct().join(out, same(keys), "left").select(*keys, *names)
 
 
+def counted_quantiles(df: DataFrame, keys: list[str], columns: list[str], qs: dict[str, float], rows: int | None = None) -> DataFrame:
+    """``keys`` and ``<column>_<name>`` for each of ``qs`` (name, share): exact quantiles (linear between neighbours, as ``percentile``) of finite values, for few groups of very many rows.
+
+    Values are counted; ranges of the distinct ones carry how many values lie before them. A task holds neither a group's rows nor its distinct values.
+    """
+    by = [*keys, "_c"]
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), S.finite(c).alias("_v")) for i, c in enumerate(columns)])).alias("_x")).select(*keys, "_x._c", "_x._v")
+    r = Ranged(long.where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n")), by, ["_v"], rows)
+    m = r.rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).agg(F.sum("_n").alias("_m"))
+    d = r.rows.withColumn("_end", F.sum("_n").over(r.within().rowsBetween(W.unboundedPreceding, 0)))
+    d = r.with_offsets(d, r.offsets(r.rows, F.sum("_n"))).withColumn("_end", F.col("_end") + F.coalesce("_off", F.lit(0))).join(F.broadcast(m), same(by))
+    place = lambda q: (F.col("_m") - 1) * q
+    holds = lambda at: (F.col("_end") - F.col("_n") <= at) & (at < F.col("_end"))
+    value = lambda q, f, i: F.max(F.when((F.col("_c") == i) & holds(f(place(q))), F.col("_v")))
+    part = lambda q, i: F.max(F.when(F.col("_c") == i, place(q) - F.floor(place(q))))
+    wanted = F.lit(False)
+    for q in qs.values():
+        wanted = wanted | holds(F.floor(place(q))) | holds(F.ceil(place(q)))
+    out = [(value(q, F.floor, i) * (1 - part(q, i)) + value(q, F.ceil, i) * part(q, i)).alias(f"{c}_{n}") for i, c in enumerate(columns) for n, q in qs.items()]
+    return d.where(wanted).groupBy(*keys).agg(*out)
+
+
+def summarise(df: DataFrame, keys: list[str], columns: list[str], aggs=("iqr", "median"), name="{col}_{agg}") -> DataFrame:
+    """``stats.summarise`` for few groups of very many rows: medians and quartiles from counted values instead of a map of a group's distinct values."""
+    q = counted_quantiles(df, keys, columns, {"_1": 0.25, "_2": 0.5, "_3": 0.75}).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    plain = [(c, a) for c in columns for a in aggs if a not in ("iqr", "median")]
+    d = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[S.SUMMARY[a](c).alias(f"_{a}_{c}") for c, a in plain]).join(q, same(keys), "left")
+    of = lambda c, a: F.col(f"{c}__3") - F.col(f"{c}__1") if a == "iqr" else F.col(f"{c}__2") if a == "median" else F.col(f"_{a}_{c}")
+    return d.select(*keys, *[of(c, a).alias(name.format(col=c, agg=a)) for c in columns for a in aggs])
+
+
 def gini(df: DataFrame, keys: list[str], value: Column, name: str = "gini", rows: int | None = None) -> DataFrame:
     """Gini coefficient of each group's non-null values; 0 if all are (almost) 0, null without one. Each range adds its own sums, so no row is joined."""
     r = Ranged(df.select(*keys, value.alias("_v")), keys, [F.col("_v").asc_nulls_last()], rows)

@@ -89,7 +89,7 @@ def summary_sql(keys: str, cols, aggs, name: str) -> str:
 
 @query("A12_numeric_columns", summary_sql("channel", X.MEASURES, ("mean", "sd", "iqr", "median"), "{col}_{agg}"))
 def a12(spark, d):
-    return S.summarise(X.sites(spark, d), ["channel"], list(X.MEASURES), ("mean", "sd", "iqr", "median"))
+    return scans.summarise(X.sites(spark, d), ["channel"], list(X.MEASURES), ("mean", "sd", "iqr", "median"))
 
 
 @query("A13_image_summary", summary_sql("image, channel", X.MEASURES, ("median", "iqr"), "{col}_{agg}"))

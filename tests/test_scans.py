@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import stats as S
 from tessera.operators import difftest as T
 from tessera.operators import scans
 
@@ -85,3 +86,15 @@ def test_normalising_large_images(spark, monkeypatch):
     run = lambda large: sorted((r["g"], r["id"], None if r["norm"] is None else round(r["norm"], 9)) for r in R.normalise(d, ["g"], "v", where=F.col("ok"), large=large).collect())
     key = lambda x: str(x)
     assert sorted(run(True), key=key) == sorted(run(False), key=key)
+
+
+def test_summaries_of_large_groups_are_those_of_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(scans, "RANGE", 40)
+    rows = [(None if i % 5 == 0 else i % 3, float(i * 7919 % 331) if i % 11 else None, float(i % 4) if i % 13 else float("inf")) for i in range(500)] + [(9, None, 2.0), (8, None, None)]
+    d = spark.createDataFrame(rows, "k int, a double, b double")
+    aggs = ("mean", "sd", "iqr", "median")
+    got, want = (sorted(map(tuple, f(d, ["k"], ["a", "b"], aggs).collect()), key=str) for f in (scans.summarise, S.summarise))
+    assert len(got) == 6 and [r[0] for r in got] == [r[0] for r in want]
+    for g, w in zip(got, want):
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(g[1:], w[1:]))
+    assert "percentile" not in scans.summarise(d, ["k"], ["a"], aggs)._jdf.queryExecution().optimizedPlan().toString()
