@@ -41,14 +41,14 @@ def _finish(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(name.values()), kind), pa.array([name[find(k)] for k in name], kind)], ["node", "component"])
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, finish: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, finish: int | None = None, merge: bool = False) -> DataFrame:
     """``node, component`` for every node that has an edge; component is the smallest reachable node.
 
     Once at most ``finish`` distinct edges are left (FINISH; 0 for DataFrame functions only), one task ends the work.
 
     Rows with a null end are ignored; self loops yield a component of their own node. Each half round
     is one min-aggregate (combined map-side, so a hub does not land in one task) and one join against
-    the written result, a merge join which adaptive execution may split (a broadcast would pass all nodes through the driver). The driver reads two numbers per round.
+    the written result, which adaptive execution may split; with ``merge`` it is a merge join, as broadcasts pass through the driver. The driver reads two numbers per round.
     """
     spark = edges.sparkSession
     tmp = Scratch(spark, "components")
@@ -62,6 +62,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         return r["n"], r["h"]
 
     few = FINISH if finish is None else finish
+    by = lambda t: t.hint("merge") if merge else t
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
     seen = mark(cur)
     for _ in range(max_rounds):
@@ -74,10 +75,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # large star: every neighbour above u is tied to the smallest of u's neighbourhood
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = tmp.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        big = tmp.save(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        big = tmp.save(both.where("v > u").join(by(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: u and its lower neighbours are tied to the smallest of them
         low2 = tmp.save(big.groupBy("u").agg(F.min("v").alias("m")))
-        nxt = tmp.save(big.join(low2.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).distinct())
+        nxt = tmp.save(big.join(by(low2), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).distinct())
         tmp.drop(cur, low, big, low2)
         cur, was, seen = nxt, seen, mark(nxt)
         if seen == was:

@@ -493,7 +493,7 @@ def _boruvka(pts: DataFrame, k: int, max_rounds: int) -> DataFrame:
         tree = new if tree is None else tree.union(new)
         at = comp.select("grp", F.col("pid").alias("a"), F.col("comp").alias("ca")).hint("merge"), comp.select("grp", F.col("pid").alias("b"), F.col("comp").alias("cb")).hint("merge")
         joined = new.join(at[0], ["grp", "a"]).join(at[1], ["grp", "b"]).select(F.struct("grp", F.col("ca").alias("c")).alias("src"), F.struct("grp", F.col("cb").alias("c")).alias("dst"))
-        merged = connected_components(joined).select("node.grp", F.col("node.c").alias("comp"), F.col("component.c").alias("new"))
+        merged = connected_components(joined, merge=True).select("node.grp", F.col("node.c").alias("comp"), F.col("component.c").alias("new"))
         comp = tmp.save(comp.join(merged.hint("merge"), ["grp", "comp"], "left").select("grp", "pid", F.coalesce("new", "comp").alias("comp")))
     else:
         raise RuntimeError("spanning tree did not settle")
