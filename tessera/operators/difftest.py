@@ -32,13 +32,19 @@ def counted(long: DataFrame, keys: list[str]) -> DataFrame:
 BOUND = 512
 
 
-def first_images(t: DataFrame, by: list[str]) -> DataFrame:
+def first_images(t: DataFrame, by: list[str], groups: DataFrame | None = None) -> DataFrame:
     """The smallest image of each group: ``_k0, _k1, ..., first_image``.
 
     Spark can only sort for an extreme of strings, all rows of a task. So bounds come first, from one image in BOUND by hash; only images below their group's bound (all, where it has none) can be the smallest.
+
+    With a written table of the ``groups``, and a bound for each of them, images above all bounds are left out where they are read: a plain filter, which Spark moves below joins and explosions.
     """
     t = t.select(*by, "image").where("image is not null")
     bound = t.where(F.pmod(F.xxhash64("image"), F.lit(BOUND)) == 0).distinct().groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).agg(F.min("image").alias("_bound"))
+    if groups is not None:
+        bound = Scratch(t.sparkSession, "first").save(bound)
+        if groups.join(bound, scans.same(by), "left_anti").isEmpty():
+            t = t.where(F.col("image") < F.lit(bound.agg(F.max("_bound")).first()[0]))
     low = t.join(F.broadcast(bound), scans.same(by), "left").where(F.col("_bound").isNull() | (F.col("image") < F.col("_bound"))).select(*by, "image").distinct()
     low = low.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "image").unionByName(bound.withColumnRenamed("_bound", "image"))
     return low.groupBy(*[f"_k{i}" for i in range(len(by))]).agg(F.min("image").alias("first_image"))
@@ -51,6 +57,17 @@ def group_stats(long: DataFrame, keys: list[str]) -> DataFrame:
     return stats.join(first_images(t, by), scans.same(by), "left").drop(*[f"_k{i}" for i in range(len(by))])
 
 
+def counted_stats(values: DataFrame, keys: list[str], long: DataFrame) -> DataFrame:
+    """``group_stats`` from the written counts of values; of the long rows only the images are read."""
+    by, names = [*keys, "level"], [f"_k{i}" for i in range(len(keys) + 1)]
+    tmp = Scratch(long.sparkSession, "stats")
+    c, v = F.col("c"), F.col("value").cast("double")
+    mean = tmp.save(values.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(c * v) / F.sum("c")).alias("mean")))
+    far = values.join(mean.select(*[F.col(k).alias(n) for k, n in zip(by, names)], "mean"), scans.same(by)).groupBy(*names).agg(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("_far"))
+    stats = mean.join(far, scans.same(by)).select(*by, "n", "mean", F.try_divide(F.col("_far"), F.col("n") - 1).alias("var"))
+    return stats.join(first_images(tested(long), by, mean), scans.same(by), "left").drop(*names)
+
+
 def gate(stats: DataFrame, keys: list[str], min_per_group: int = 2) -> DataFrame:
     """Per test: which test applies (``insufficient``, ``welch_t``, ``kruskal``), levels and n."""
     g = stats.groupBy(*keys).agg(F.count("*").alias("levels"), F.min("n").alias("least"), F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("level", "mean")))).alias("means"))
@@ -96,13 +113,13 @@ def _rank_sums(keys: list[str]):
     return run
 
 
-def kruskal(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Per test: H with tie correction and its degrees of freedom; H is null if all values are equal.
+def kruskal(long: DataFrame, keys: list[str], values: DataFrame | None = None) -> DataFrame:
+    """Per test: H with tie correction and its degrees of freedom; H is null if all values are equal. ``values``: the table's ``counted``, if written before.
 
     Values are counted, cut into ranges of one order and ranked inside them; a level's sum of ranks over a range then only lacks the number of values
     before the range, times the level's count: no row is joined with its rank, and no test is sorted in one task.
     """
-    r = scans.Ranged(counted(long, keys), keys, ["value"], keep=False)
+    r = scans.Ranged(counted(long, keys) if values is None else values, keys, ["value"], keep=False)
     kinds = TL.schema_of(r.rows, [*keys, "_part", "level"], n="double", r="double", ties="double")
     per = r.tmp.save(r.rows.mapInArrow(_rank_sums(keys), kinds))
     d = r.with_offsets(per, r.offsets(per, F.sum("n")))
@@ -194,13 +211,14 @@ benjamini_hochberg = scans.benjamini_hochberg
 def differential(long: DataFrame, keys: list[str], min_per_group: int = 2) -> DataFrame:
     """Per ``keys..., phenotype, feature``: test, statistics, p, q (within keys and phenotype), effect, n, level means.
 
-    One aggregate gives means and variances, one sorted pass the ranks; h stands beside t where a test has two levels.
+    Values are counted once; means, variances and ranks come from the counts. h stands beside t where a test has two levels.
     """
     k = [*keys, "phenotype", "feature"]
     tmp = Scratch(long.sparkSession, "tests")
-    stats = tmp.save(group_stats(long, k))
+    values = tmp.save(counted(long, k))
+    stats = tmp.save(counted_stats(values, k, long))
     out = gate(stats, k, min_per_group).join(two_level(stats, k), k, "left")
-    out = out.join(kruskal(long, k).withColumnRenamed("df", "h_df"), k, "left")
+    out = out.join(kruskal(long, k, values).withColumnRenamed("df", "h_df"), k, "left")
     out = out.withColumn("p_value", p_value("test", "t", "df", "h", "h_df"))
     out = benjamini_hochberg(out, [*keys, "phenotype"], "p_value", [F.col("feature")])
     return out.select(*k, "test", "p_value", "q_value", "effect_d", "levels", "n", "t", "df", "h", "h_df", "means")

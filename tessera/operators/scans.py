@@ -26,7 +26,7 @@ class Ranged:
     def __init__(self, df: DataFrame, keys: list[str], order: list[Column | str], rows: int | None = None, keep: bool = True):
         self.keys, self.order = keys, [F.col(o) if isinstance(o, str) else o for o in order]
         self.tmp = Scratch(df.sparkSession, "ranges")
-        d = self.tmp.save(df)
+        d = df if hasattr(df, "_tessera_path") else self.tmp.save(df)
         parts = -(-d.count() // (rows or RANGE))
         if keep:
             self.rows = d.withColumn("_part", F.lit(0)) if parts <= 1 else self.tmp.save(d.repartitionByRange(parts, *keys, *self.order).withColumn("_part", F.spark_partition_id()))

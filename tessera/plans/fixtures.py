@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.core import load
+from tessera.core import Scratch, load
 from tessera.operators import raster as R
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -79,10 +79,14 @@ def meta(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "nation").select((F.col("n_regionkey") + 1).alias("r"), (F.floor(F.col("n_nationkey") / 5) + 1).cast("int").alias("c"), F.col("n_name").alias("level"))
 
 
-def diff(spark: SparkSession, d: str) -> DataFrame:
-    """Four measures against three groupings, long."""
-    j = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+def diff(spark: SparkSession, d: str, keep: bool = False) -> DataFrame:
+    """Four measures against three groupings, long. Orders are hashed, so that no task sorts both tables.
+
+    ``keep``: the joined rows are written, for analyses that read them more than once.
+    """
+    j = load(spark, d, "lineitem").join(load(spark, d, "orders").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
     long = j.select(F.col("l_returnflag").alias("channel"), F.col("o_orderkey").cast("string").alias("image"), "l_linestatus", "o_orderstatus", "o_orderpriority", *MEASURES)
+    long = Scratch(spark, "diff").save(long) if keep else long
     long = long.unpivot(["channel", "image", "l_linestatus", "o_orderstatus", "o_orderpriority"], list(MEASURES), "feature", "value")
     ph = F.explode(F.array(*[F.struct(F.lit(n).alias("phenotype"), F.col(c).alias("level")) for n, c in (("linestatus", "l_linestatus"), ("orderstatus", "o_orderstatus"), ("orderpriority", "o_orderpriority"))]))
     return long.select("channel", "image", "feature", "value", ph.alias("p")).select("channel", "p.phenotype", "feature", "image", "p.level", "value")

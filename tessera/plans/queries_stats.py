@@ -452,7 +452,7 @@ SELECT {K3}, test, {r6('p', 'p_value')}, {r6('CASE WHEN p IS NOT NULL THEN least
 @query("TE_differential", TE_SQL)
 def te(spark, d):
     """The whole analysis; level means, in ten-thousandths, as one text."""
-    r = T.ranked(T.differential(X.diff(spark, d), ["channel"]), ["channel"])
+    r = T.ranked(T.differential(X.diff(spark, d, keep=True), ["channel"]), ["channel"])
     mean = lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 10000).cast("long").cast("string"))
     return r.withColumn("means", F.array_join(F.transform(F.array_sort(F.map_entries("means")), mean), ";"))
 
@@ -460,7 +460,7 @@ def te(spark, d):
 @query("TE_statistics", f"SELECT g.*, w.t, w.df, w.effect_d, k.h, k.df AS h_df FROM ({SQL['TC_gate'].replace('4000', '2')}) g LEFT JOIN ({welch_sql(r6)}) w USING (channel, phenotype, feature) LEFT JOIN ({kruskal_sql(r6)}) k USING (channel, phenotype, feature)")
 def te_statistics(spark, d):
     """The whole analysis up to its statistics."""
-    return T.differential(X.diff(spark, d), ["channel"]).select("channel", "phenotype", "feature", "test", "levels", "n", "t", "df", "effect_d", "h", "h_df")
+    return T.differential(X.diff(spark, d, keep=True), ["channel"]).select("channel", "phenotype", "feature", "test", "levels", "n", "t", "df", "effect_d", "h", "h_df")
 
 
 PV = X.cte("pvals")

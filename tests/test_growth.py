@@ -10,6 +10,7 @@ from tessera.operators import spatial as SP
 from tessera.operators import texture as TX
 from tessera.operators import thresholds as TH
 from tessera.operators import tiles as TL
+from tessera.plans import fixtures as FX
 from tessera.plans import segmentation as SG
 
 
@@ -162,3 +163,26 @@ def test_first_images_are_found_without_sorting_all_rows(spark, monkeypatch):
     assert {(r["channel"], r["level"]): (r["n"], r["first_image"]) for r in s.collect()} == want
     plan = s._jdf.queryExecution().sparkPlan().toString()
     assert "avg(value" in plan and not any("SortAggregate" in x and "avg(value" in x for x in plan.splitlines())
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_an_analysis_counts_its_values_once(spark, written, monkeypatch, named):
+    monkeypatch.setattr(DT, "BOUND", 4)
+    image = "concat('im', 100 + id % 800)" if named else "if(id % 3 = 0, concat('im', 100 + id % 800), null)"
+    long = spark.range(2000).selectExpr("if(id % 3 = 1, null, 'c') channel", "'p' phenotype", "'f' feature", f"{image} image", "if(id % 2 = 0, 'a', 'b') level", "double(id * id % 97 + 1e6) value")
+    k = ["channel", "phenotype", "feature"]
+    stats = lambda d: sorted(map(tuple, d.select(*k, "level", "n", F.round("mean", 6), F.round("var", 6), "first_image").collect()), key=str)
+    want = stats(DT.group_stats(long, k))
+    assert stats(DT.counted_stats(core.Scratch(spark, "values").save(DT.counted(long, k)), k, long)) == want
+    written.clear()
+    assert DT.differential(long.where("channel is not null"), ["channel"]).count() == 1
+    assert sum(p.count("Range (") for p in written) == 3  # values, bounds, images below them
+
+
+def test_grouped_rows_are_joined_without_sorting_them(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FX.diff(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
