@@ -101,22 +101,39 @@ def score_bins(x, prefix: str, where: Column | None = None) -> list[Column]:
     return [*shares, (F.avg(level.cast("double")) * 100).alias(f"{prefix}_hscore")]
 
 
-def entropy(df: DataFrame, keys: list[str], value: str, name: str = "entropy") -> DataFrame:
-    """Shannon entropy (bits) of the positive values of each group; 0 if none is positive, null if none is finite."""
+def with_entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds what ``entropy_of`` sums: the finite values ``_v`` and the terms ``_t`` of the positive ones."""
     p = F.when(finite(value) > 0, finite(value))
     share = F.try_divide(p, F.sum(p).over(W.partitionBy(*keys)))
-    t = df.select(*keys, finite(value).alias("_v"), (share * F.log2(share)).alias("_t"))
-    return t.groupBy(*keys).agg(F.when(F.count("_v") > 0, F.coalesce(-F.sum("_t"), F.lit(0.0))).alias(name))
+    return df.withColumns({"_v": finite(value), "_t": share * F.log2(share)})
+
+
+def entropy_of(v: Column, t: Column) -> Column:
+    return F.when(F.count(v) > 0, F.coalesce(-F.sum(t), F.lit(0.0)))
+
+
+def entropy(df: DataFrame, keys: list[str], value: str, name: str = "entropy") -> DataFrame:
+    """Shannon entropy (bits) of the positive values of each group; 0 if none is positive, null if none is finite."""
+    t = with_entropy(df.select(*keys, F.col(value)), keys, value)
+    return t.groupBy(*keys).agg(entropy_of(F.col("_v"), F.col("_t")).alias(name))
+
+
+def with_gini(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_i``, the place of ``_v`` among its group's finite values."""
+    w = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last())
+    return df.withColumn("_i", F.when(F.col("_v").isNotNull(), F.row_number().over(w)))
+
+
+def gini_of(v: Column, i: Column) -> Column:
+    n, s = F.count(v), F.sum(v)
+    top = 2 * F.sum(i * v) - (n + 1) * s
+    return F.when(n > 0, F.when(F.max(F.abs(v)) <= 1e-8, F.lit(0.0)).otherwise(F.try_divide(top, n * s)))
 
 
 def gini(df: DataFrame, keys: list[str], value: str, name: str = "gini") -> DataFrame:
     """Gini coefficient of each group's finite values; 0 if all are (almost) 0."""
-    t = df.select(*keys, finite(value).alias("_v"))
-    w = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last())
-    t = t.withColumn("_i", F.when(F.col("_v").isNotNull(), F.row_number().over(w)))
-    n, s = F.count("_v"), F.sum("_v")
-    top = 2 * F.sum(F.col("_i") * F.col("_v")) - (n + 1) * s
-    return t.groupBy(*keys).agg(F.when(n > 0, F.when(F.max(F.abs("_v")) <= 1e-8, F.lit(0.0)).otherwise(F.try_divide(top, n * s))).alias(name))
+    t = with_gini(df.select(*keys, finite(value).alias("_v")), keys)
+    return t.groupBy(*keys).agg(gini_of(F.col("_v"), F.col("_i")).alias(name))
 
 
 SUMMARY = {"mean": mean, "sd": sd, "iqr": iqr, "median": median}

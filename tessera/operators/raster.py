@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.core import ship
+from tessera.core import Scratch, ship
 from tessera.functions import stats as S
 from tessera.operators import scans
 from tessera.operators import tiles as TL
@@ -184,19 +184,25 @@ def tile_of(x: Column, size: Column | int, grid: int) -> Column:
 
 
 def tile_features(df: DataFrame, keys: list[str], height: Size, width: int | None, mask: str, valid: str, norm: str, grids=(4, 8)) -> DataFrame:
-    """Spread of positive mass, positive share and mean intensity over tiles that hold tissue."""
-    out, df = None, with_size(df, keys, height, width).where(valid)
+    """Spread of positive mass, positive share and mean intensity over tiles that hold tissue.
+
+    Pixels are summed once, over the cells that all grids cut, and the sums are written; what follows sorts an image's tiles once, for all grids and measures.
+    """
+    df = with_size(df, keys, height, width).where(valid)
+    m = F.col(mask).cast("double")
+    cuts = [tile_of(F.col(x), F.col(size), g).alias(f"_{x}{g}") for g in grids for x, size in (("row", "_h"), ("col", "_w"))]
+    cells = df.groupBy(*keys, *cuts).agg(F.sum(m).alias("mass"), F.count(m).alias("n"), F.sum(norm).alias("level"), F.count(norm).alias("k"))
+    cells = Scratch(df.sparkSession, "cells").save(cells)
+    at = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(f"_row{g}").alias("r"), F.col(f"_col{g}").alias("c")) for g in grids]))
+    tiles = cells.select(*keys, at.alias("_t"), "mass", "n", "level", "k").groupBy(*keys, "_t.g", "_t.r", "_t.c")
+    tiles = tiles.agg(F.sum("mass").alias("mass"), F.try_divide(F.sum("mass"), F.sum("n")).alias("share"), F.try_divide(F.sum("level"), F.sum("k")).alias("level"))
+    tiles = S.with_gini(S.with_entropy(tiles, [*keys, "g"], "mass"), [*keys, "g"])
+    out = []
     for g in grids:
-        tiles = df.groupBy(*keys, tile_of(F.col("row"), F.col("_h"), g).alias("_r"), tile_of(F.col("col"), F.col("_w"), g).alias("_c"))
-        tiles = tiles.agg(F.sum(F.col(mask).cast("double")).alias("mass"), F.avg(F.col(mask).cast("double")).alias("share"), F.avg(norm).alias("level"))
-        base = f"tile_g{g}"
-        part = tiles.groupBy(*keys).agg(
-            S.mean("share").alias(f"{base}_positive_frac_mean"), S.sd("share").alias(f"{base}_positive_frac_sd"), S.cv("share").alias(f"{base}_positive_frac_cv"), S.iqr("share").alias(f"{base}_positive_frac_iqr"),
-            S.sd("level").alias(f"{base}_intensity_mean_sd"), S.iqr("level").alias(f"{base}_intensity_mean_iqr"),
-        )
-        part = part.join(S.entropy(tiles, keys, "mass", f"{base}_mass_entropy"), keys).join(S.gini(tiles, keys, "mass", f"{base}_mass_gini"), keys)
-        out = part if out is None else out.join(part, keys)
-    return out
+        of, base = lambda x: F.when(F.col("g") == g, F.col(x)), f"tile_g{g}"  # noqa: B023,E731
+        out += [S.mean(of("share")).alias(f"{base}_positive_frac_mean"), S.sd(of("share")).alias(f"{base}_positive_frac_sd"), S.cv(of("share")).alias(f"{base}_positive_frac_cv"), S.iqr(of("share")).alias(f"{base}_positive_frac_iqr")]
+        out += [S.sd(of("level")).alias(f"{base}_intensity_mean_sd"), S.iqr(of("level")).alias(f"{base}_intensity_mean_iqr"), S.entropy_of(of("_v"), of("_t")).alias(f"{base}_mass_entropy"), S.gini_of(of("_v"), of("_i")).alias(f"{base}_mass_gini")]
+    return tiles.groupBy(*keys).agg(*out)
 
 
 def downsample(df: DataFrame, keys: list[str], factor: int, height: Size, width: int | None, values: list[str]) -> DataFrame:

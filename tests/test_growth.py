@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import core
 from tessera.operators import difftest as DT
+from tessera.operators import raster as RS
 from tessera.operators import spatial as SP
 from tessera.operators import texture as TX
 from tessera.operators import thresholds as TH
@@ -186,3 +187,26 @@ def test_grouped_rows_are_joined_without_sorting_them(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tiles_are_summed_once_and_sorted_once(spark, written):
+    d = spark.range(3 * 144).selectExpr("id div 144 image", "int(id % 144 div 12) row", "int(id % 12) col", "id % 3 = 0 m", "id % 7 <> 0 AND id div 144 < 2 ok", "if(id % 11 = 0, null, double(id % 13) / 12) n")
+    out = RS.tile_features(d, ["image"], 12, 12, "m", "ok", "n", (4, 5))
+    rows = sorted(out.collect())
+    assert len(rows) == 2 and sum(p.count("Range (") for p in written) == 1
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in rows:
+        at = [(y, x) for y in range(12) for x in range(12) if (i := r["image"] * 144 + y * 12 + x) % 7]
+        for g in (4, 5):
+            tiles = {}
+            for y, x in at:
+                i = r["image"] * 144 + y * 12 + x
+                tile = [max(k for k in range(g) if z >= k * 12 // g) for z in (y, x)]
+                tiles.setdefault(tuple(tile), []).append((i % 3 == 0, None if i % 11 == 0 else i % 13 / 12))
+            mass = np.sort([sum(m for m, _ in t) for t in tiles.values()]).astype(float)
+            level = [np.mean([n for _, n in t if n is not None]) for t in tiles.values()]
+            p = mass[mass > 0] / mass.sum()
+            got = [r[f"tile_g{g}_{n}"] for n in ("positive_frac_mean", "intensity_mean_sd", "mass_entropy", "mass_gini")]
+            k = len(mass)
+            gini = (2 * (np.arange(1, k + 1) * mass).sum() - (k + 1) * mass.sum()) / (k * mass.sum())
+            assert np.allclose(got, [np.mean([np.mean([m for m, _ in t]) for t in tiles.values()]), np.std(level, ddof=1), -(p * np.log2(p)).sum(), gini])
