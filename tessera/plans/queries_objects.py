@@ -66,7 +66,7 @@ EDGES = "e0 AS (SELECT o_custkey * 4 AS a, o_orderkey * 4 + 1 AS b FROM orders U
 def g02(spark, d):
     """Customers and their orders (a star each), suppliers and the parts they ship (one large component)."""
     o = load(spark, d, "orders").select((F.col("o_custkey") * 4).alias("src"), (F.col("o_orderkey") * 4 + 1).alias("dst"))
-    return connected_components(o.union(load(spark, d, "lineitem").select(F.col("l_suppkey") * 4 + 2, F.col("l_partkey") * 4 + 3)))
+    return connected_components(o.union(load(spark, d, "lineitem").select(F.col("l_suppkey") * 4 + 2, F.col("l_partkey") * 4 + 3)), stars=True)
 
 
 L4 = f"{FG}, {label_sql('fg', 'lb', 4)}"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import core
 from tessera.operators import difftest as DT
+from tessera.operators import graph as GR
 from tessera.operators import raster as RS
 from tessera.operators import spatial as SP
 from tessera.operators import texture as TX
@@ -13,6 +14,7 @@ from tessera.operators import thresholds as TH
 from tessera.operators import tiles as TL
 from tessera.plans import fixtures as FX
 from tessera.plans import segmentation as SG
+from tessera.plans.registry import QUERIES
 
 
 @pytest.fixture
@@ -210,3 +212,29 @@ def test_tiles_are_summed_once_and_sorted_once(spark, written):
             k = len(mass)
             gini = (2 * (np.arange(1, k + 1) * mass).sum() - (k + 1) * mass.sum()) / (k * mass.sum())
             assert np.allclose(got, [np.mean([np.mean([m for m, _ in t]) for t in tiles.values()]), np.std(level, ddof=1), -(p * np.log2(p)).sum(), gini])
+
+
+def test_components_exchange_nodes_not_edges(spark, monkeypatch):
+    rows, save = [], core.Scratch.save
+
+    def spy(self, df):
+        out = save(self, df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(core.Scratch, "save", spy)
+    out = QUERIES["G02_components"](spark, "/root/testdata/sf0.01")
+    nodes = out.count()
+    assert nodes == out.select("node").distinct().count() and sum(rows) <= 2 * nodes  # its 75,000 edges join 18,600 nodes
+
+
+@pytest.mark.parametrize("piece", [4, 60, 1 << 20])
+def test_components_by_stars_are_those_by_rounds(spark, monkeypatch, piece):
+    monkeypatch.setattr(GR, "PIECE", piece)
+    rng = np.random.default_rng(4)
+    e = [(0, i) for i in range(1, 50)] + [(i + 1, i) for i in range(100, 140)] + [(7, 7), (500, 500), (None, 3)] + [tuple(map(int, x)) for x in rng.integers(1000, 1300, (160, 2))]
+    d = spark.createDataFrame([e[i] for i in rng.permutation(len(e))], "src int, dst int").repartition(3)
+    rows = lambda **kw: sorted(map(tuple, GR.connected_components(d, **kw).collect()))
+    want = rows(finish=0)
+    assert want == rows(stars=True) == rows(stars=True, finish=0, merge=True) and len(dict(want)) == len(want)
+    assert GR.connected_components(d.where("src < 0"), stars=True).count() == 0
