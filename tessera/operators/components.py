@@ -303,9 +303,11 @@ def filled_area(labels: DataFrame, keys: list[str]) -> DataFrame:
     tmp = Scratch(labels.sparkSession, "filled")
     own = tmp.save(runs(labels, k))
     box = tmp.save(own.groupBy(*k).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.count("*").alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), (F.min("c0") - 1).alias("b0"), (F.max("c1") + 1).alias("b1")))
-    large = box.where(F.col("n") > MOST_RUNS)
+    # a hole lies between two runs of a row: objects with a run a row have none
+    apart = box.where(F.col("n") > F.col("r1") - F.col("r0") + 1)
+    large = apart.where(F.col("n") > MOST_RUNS)
     some = not large.isEmpty()
-    small = own.join(large, k, "left_anti") if some else own
+    small = own.join(apart.where(F.col("n") <= MOST_RUNS), k, "left_semi")
     hole = TL.over_groups(small, k, _holes_of(k), TL.schema_of(own, k, hole_area="long", holes="long"), ("row", "c0"))
     if some:
         hole = hole.unionByName(_large_holes(own.join(large, k, "left_semi"), large, keys))
@@ -313,34 +315,52 @@ def filled_area(labels: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("filled_area", F.col("area") + F.col("hole_area")).withColumn("euler", 1 - F.col("holes")).withColumn("euler_reported", F.when(F.col("euler") == 0, F.lit(1)).otherwise(F.col("euler")))
 
 
-def _hull(k: list[str]):
-    """Convex area (corner points of pixels) and greatest distance between hull vertices, of one object's row extremes."""
+#: Hull vertices of an object whose pairs are taken at once with those of others.
+FEW_VERTICES = 32
 
-    def half(points):
-        out = []
-        for p in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
 
-    def work(rows: pa.Table) -> pa.Table:
-        r, a, b = (rows.column(c).to_numpy().astype(float) for c in ("row", "c0", "c1"))
-        pts = np.unique(np.concatenate([np.stack([r + dr, c + dc], 1) for dr in (-0.5, 0.5) for c, dc in ((a, -0.5), (b, 0.5))]), axis=0)
-        h = np.array(half(pts.tolist()) + half(pts[::-1].tolist()))
-        x, y = h[:, 0], h[:, 1]
-        area = abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
-        caliper = max(float(np.sqrt(((h - p) ** 2).sum(axis=1)).max()) for p in h)
-        return pa.table(TL.repeated(rows, k, 1) | {"area": [int(rows.column("n").to_numpy().sum())], "convex_area": [area], "caliper": [caliper]})
+def _hulls(rows: pa.Table, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Area, convex area (corner points of pixels) and greatest distance between hull vertices, of many objects at once, from their row extremes by row.
 
-    return work
+    Places are doubled, so that corners are integers. A point that its chain's neighbours leave inside is no vertex, so all such points go at once, until none is left.
+    """
+    r, c0, c1, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("row", "c0", "c1", "n"))
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(r))))
+    of, y = np.repeat(of, 2), np.stack([2 * r - 1, 2 * r + 1], 1).ravel()
+    new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (y[1:] != y[:-1])))
+    left, right = np.minimum.reduceat(np.repeat(2 * c0 - 1, 2), new), np.maximum.reduceat(np.repeat(2 * c1 + 1, 2), new)
+    of, y = of[new], y[new]
+    chain, y, x = np.concatenate([of, of + len(starts)]), np.tile(y, 2), np.concatenate([left, -right])  # a right side is mirrored
+    while True:
+        same = (chain[2:] == chain[1:-1]) & (chain[1:-1] == chain[:-2])
+        inside = same & ((x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) >= (x[2:] - x[:-2]) * (y[1:-1] - y[:-2]))
+        if not inside.any():
+            break
+        keep = np.concatenate([[True], ~inside, [True]])
+        chain, y, x = chain[keep], y[keep], x[keep]
+    on = chain[1:] == chain[:-1]
+    twice = np.zeros(len(starts), np.int64)
+    np.add.at(twice, (chain[1:] % len(starts))[on], (-(x[1:] + x[:-1]) * (y[1:] - y[:-1]))[on])
+    x, of = np.where(chain < len(starts), x, -x), chain % len(starts)
+    order = np.argsort(of, kind="stable")
+    x, y, of = x[order], y[order], of[order]
+    size = np.bincount(of, minlength=len(starts))
+    first, most = np.cumsum(size) - size, np.zeros(len(starts), np.int64)
+    few = size[of] <= FEW_VERTICES
+    a = np.repeat(np.flatnonzero(few), size[of[few]])
+    b = np.arange(len(a)) - np.repeat(np.cumsum(size[of[few]]) - size[of[few]], size[of[few]]) + first[of[a]]
+    np.maximum.at(most, of[a], (x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2)
+    for i in np.flatnonzero(size > FEW_VERTICES):
+        u, v = x[first[i] : first[i] + size[i]], y[first[i] : first[i] + size[i]]
+        most[i] = max(((u - p) ** 2 + (v - q) ** 2).max() for p, q in zip(u, v))
+    return {"area": np.add.reduceat(n, starts), "convex_area": twice / 8, "caliper": np.sqrt(most) / 2}
 
 
 def hulls(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Per object: convex area, solidity and largest caliper. Objects are first reduced to the extremes of their rows, which one task takes object by object."""
+    """Per object: convex area, solidity and largest caliper. Objects are first reduced to the extremes of their rows; a task takes many objects at once."""
     k = [*keys, "label"]
     ends = labels.groupBy(*k, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n"))
-    h = TL.over_groups(ends, k, _hull(k), TL.schema_of(labels, k, area="long", convex_area="double", caliper="double"))
+    h = TL.over_many(ends, k, _hulls, TL.schema_of(labels, k, area="long", convex_area="double", caliper="double"), ("row",))
     return h.select(*k, "area", "convex_area", (F.col("area") / F.col("convex_area")).alias("solidity"), "caliper")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import core
+from tessera.operators import components as CO
 from tessera.operators import difftest as DT
 from tessera.operators import graph as GR
 from tessera.operators import raster as RS
@@ -238,3 +239,43 @@ def test_components_by_stars_are_those_by_rounds(spark, monkeypatch, piece):
     want = rows(finish=0)
     assert want == rows(stars=True) == rows(stars=True, finish=0, merge=True) and len(dict(want)) == len(want)
     assert GR.connected_components(d.where("src < 0"), stars=True).count() == 0
+
+
+def test_objects_are_measured_many_at_once(spark, exchanged, monkeypatch):
+    rng = np.random.default_rng(6)
+    d = [(i, i % 3, r, c) for i in range(60) for r, c in np.argwhere(rng.random((1 + i % 12, 9)) < 0.6).tolist()] + [(99, 0, r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+    d += [(98, 1, r, c) for r in range(3) for c in range(r, 5)]
+    lab = spark.createDataFrame(d, "image int, label long, row int, col int")
+    runs = CO.runs(lab, ["image", "label"]).toPandas()
+    apart = runs.groupby(["image", "label"]).filter(lambda g: len(g) > np.ptp(g.row) + 1)
+    holes = {r["image"]: (r["hole_area"], r["holes"]) for r in CO.filled_area(lab, ["image"]).collect()}
+    assert exchanged == [len(apart)] and len(apart) < len(runs)
+    assert holes[99] == (1, 1) and all(holes[i] == (0, 0) for i in set(holes) - set(apart.image))
+    exchanged.clear()
+    for few in (32, 2):
+        monkeypatch.setattr(CO, "FEW_VERTICES", few)
+        got = {r["image"]: r for r in CO.hulls(lab, ["image"]).collect()}
+        assert not exchanged and got.keys() == {r[0] for r in d}
+        for i, h in got.items():
+            p = np.array([(r, c) for im, _, r, c in d if im == i])
+            q = sorted({(r + y, c + x) for r, c in p.tolist() for y in (-0.5, 0.5) for x in (-0.5, 0.5)})
+            assert h["area"] == len(p) and h["caliper"] == max(np.hypot(a - c, b - e) for a, b in q for c, e in q)
+            hull = []
+            for way in (q, q[::-1]):
+                side = []
+                for a in way:
+                    while len(side) > 1 and (side[-1][0] - side[-2][0]) * (a[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (a[0] - side[-2][0]):
+                        side.pop()
+                    side.append(a)
+                hull += side[:-1]
+            assert h["convex_area"] == abs(sum(a * e - b * c for (a, b), (c, e) in zip(hull, hull[1:] + hull[:1]))) / 2
+
+
+def test_whole_groups_are_cut_from_sorted_batches():
+    import pyarrow as pa
+
+    t = pa.table({"k": [None, None, 1, 1, 1, 2, 3, 3], "v": range(8)})
+    for size in (1, 2, 3, 8):
+        got = [(x["v"].to_pylist(), s.tolist()) for x, s in TL.cut_many(iter(t.to_batches(max_chunksize=size)), ["k"])]
+        assert [v for x, _ in got for v in x] == list(range(8))
+        assert [x[i] for x, s in got for i in s] == [0, 2, 5, 6]
