@@ -279,3 +279,14 @@ def test_whole_groups_are_cut_from_sorted_batches():
         got = [(x["v"].to_pylist(), s.tolist()) for x, s in TL.cut_many(iter(t.to_batches(max_chunksize=size)), ["k"])]
         assert [v for x, _ in got for v in x] == list(range(8))
         assert [x[i] for x, s in got for i in s] == [0, 2, 5, 6]
+
+
+def test_image_files_of_a_type_are_written_by_many_tasks(spark):
+    with core.scratch_scope() as made:
+        got = {r["folder"]: r["n"] for r in QUERIES["S01_image_list"](spark, "/root/testdata/sf0.01").collect()}
+        f = spark.read.schema("id long, name string").csv(f"{made[0][1]}/a/images").withColumn("file", F.col("_metadata.file_name")).withColumn("type", F.regexp_extract("name", r"_(\d+)", 1))
+        files = f.groupBy("type", "file").count().toPandas()
+        assert f.count() == f.select("id").distinct().count() == 15_000 and files["count"].max() == 100
+    for kind, of in files.groupby("type"):
+        assert got[kind] == len(of) == -(-of["count"].sum() // 100)
+        assert len({x.rsplit("-", 1)[0] for x in of.file}) == 3  # two parts of the session's, and what fills no file; part-00000-... of one task before
