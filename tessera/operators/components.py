@@ -104,8 +104,15 @@ def clear_border(mask: DataFrame, keys: list[str], height: Size, width: int | No
     return _keep(label(mask, keys, connectivity), keys, F.expr(INSIDE), height, width)
 
 
+#: Pixels that a task compares with a mask.
+TASK_PIXELS = 500_000
+
+
 def complement(pixels: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
-    return pixels.select(*keys, "row", "col").join(mask.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti")
+    """Pixels outside the mask. Tasks are as many as the pixels ask for: adaptive execution merges partitions by compressed bytes, of which places have few, so that a task would sort ever more rows."""
+    at = [*keys, "row", "col"]
+    n = pixels.count() // TASK_PIXELS + 1
+    return pixels.select(*at).repartition(n, *at).join(mask.select(*at).repartition(n, *at), at, "left_anti")
 
 
 def holes(pixels: DataFrame, mask: DataFrame, keys: list[str], height: Size, width: int | None = None, max_area: int = 0) -> DataFrame:

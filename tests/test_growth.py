@@ -290,3 +290,12 @@ def test_image_files_of_a_type_are_written_by_many_tasks(spark):
     for kind, of in files.groupby("type"):
         assert got[kind] == len(of) == -(-of["count"].sum() // 100)
         assert len({x.rsplit("-", 1)[0] for x in of.file}) == 3  # two parts of the session's, and what fills no file; part-00000-... of one task before
+
+
+def test_a_complement_has_tasks_by_its_pixels(spark, monkeypatch):
+    monkeypatch.setattr(CO, "TASK_PIXELS", 300, raising=False)
+    p = spark.range(2000).selectExpr("int(id div 100) image", "int(id % 100 div 10) row", "int(id % 10) col", "id % 3 = 0 m")
+    out = CO.complement(p, p.where("m"), ["image"])
+    sizes = out.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+    assert out.exceptAll(p.where("not m").select(*out.columns)).isEmpty() and sizes.sum() == 1333
+    assert len(sizes) == 7 and sizes.max() < 300  # two tasks, or one, before
