@@ -127,6 +127,17 @@ def test_a_radius_join_exchanges_points_not_nine_of_each(spark, exchanged, monke
     assert exchanged and (work < 1000 or sum(exchanged) <= 3 * len(xy))
 
 
+def test_a_radius_join_has_tasks_for_its_pairs(spark, monkeypatch):
+    _, p = points(spark, 1200)
+    radius = spark.createDataFrame([(0, 4.0), (1, 6.0)], "grp int, radius double")
+    few = SP.within(p, radius)
+    monkeypatch.setattr(SP, "JOIN_TASK", 5_000)
+    many = SP.within(p, radius)
+    least = 1200 * 600 // 4 // 5_000  # two groups of 600 points in four blocks at most
+    assert few.rdd.getNumPartitions() < least <= many.rdd.getNumPartitions()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_texture_makes_its_matrices_once(spark, written):
     d = spark.range(64).selectExpr("1 image", "int(id / 8) row", "int(id % 8) col", "int(id % 5) lv")
     out = TX.rollup(TX.properties(TX.glcm(d, ["image"], "lv"), ["image"]), ["image"])
