@@ -50,12 +50,12 @@ def label(mask: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
     size, reach = TL.TILE, 1 if connectivity == 8 else 0
     p = mask.select(*keys, "row", "col")
 
-    def work(t: TL.Tile) -> pa.Table:
-        r, c0, c1, root = TL.label_array(t.here, reach)
-        first = (r + t.r0) * STRIDE + c0 + t.c0
+    def work(t: TL.Tiles) -> pa.Table:
+        of, r, c0, c1, root = TL.label_stack(t.here, reach)
+        first = (r + t.r0[of]) * STRIDE + c0 + t.c0[of]
         out = np.zeros(t.shape, np.int64)
         n = c1 - c0 + 1
-        out[np.repeat(r, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(c0, n)] = np.repeat(first[root], n)
+        out[np.repeat(of, n), np.repeat(r, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(c0, n)] = np.repeat(first[root], n)
         return t.pixels([*keys, "row", "col"], label=out)
 
     lab = tmp.save(TL.over_tiles(p, keys, 0, work, TL.schema_of(p, p.columns, label="long"), size))
@@ -211,15 +211,15 @@ def perimeter(labels: DataFrame, keys: list[str]) -> DataFrame:
     for w, codes in CODES.items():
         weight[list(codes)] = w
 
-    def work(t: TL.Tile) -> pa.Table | None:
+    def work(t: TL.Tiles) -> pa.Table | None:
         lab = t.dense("label", -1, np.int64)
         same = lambda a, moves: sum(((TL.shifted(a, dy, dx, -1) == a) & (a >= 0)).astype(int) for dy, dx in moves)
         edge = np.where(same(lab, SIDES) < 4, lab, -1)
-        inside = t.inside()
-        w = weight[1 + 2 * same(edge, SIDES) + 10 * same(edge, CORNERS)][inside]
-        at = edge[inside]
-        names, where = np.unique(at[at >= 0], return_inverse=True)
-        return t.with_keys(keys, {"label": names, "perimeter": np.bincount(where, w[at >= 0], len(names))}) if len(names) else None
+        at = t.inside() & (edge >= 0)
+        w = weight[1 + 2 * same(edge, SIDES) + 10 * same(edge, CORNERS)][at]
+        names, name = np.unique(edge[at], return_inverse=True)
+        object_, where = np.unique(np.nonzero(at)[0] * len(names) + name, return_inverse=True)
+        return t.with_keys(keys, object_ // len(names), {"label": names[object_ % len(names)], "perimeter": np.bincount(where, w, len(object_))}) if len(names) else None
 
     p = labels.select(*keys, "row", "col", "label")
     return TL.over_tiles(p, keys, 2, work, TL.schema_of(p, keys, label="long", perimeter="double")).groupBy(*keys, "label").agg(F.sum("perimeter").alias("perimeter"))
@@ -229,12 +229,12 @@ def quads(mask: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: counts of 2x2 patterns of the padded mask: ``q1`` one set, ``q2`` two beside, ``qd`` two diagonal, ``q3`` three set."""
     kinds = {"q1": (1, 2, 4, 8), "q2": (3, 12, 5, 10), "qd": (6, 9), "q3": (7, 11, 13, 14)}
 
-    def work(t: TL.Tile) -> pa.Table:
-        m = np.pad(t.here, 1).astype(int)  # a quad is at its upper left place, which may lie above or left of the pixels
-        code = m[:-1, :-1] + 2 * m[:-1, 1:] + 4 * m[1:, :-1] + 8 * m[1:, 1:]
-        row, col = (np.arange(n) + at - 1 for n, at in zip(code.shape, (t.r0, t.c0)))
-        n = np.bincount(code[np.ix_(row // t.size == t.tr, col // t.size == t.tc)].ravel(), minlength=16)
-        return t.with_keys(keys, {k: np.array([n[list(c)].sum()]) for k, c in kinds.items()})
+    def work(t: TL.Tiles) -> pa.Table:
+        m = np.pad(t.here, ((0, 0), (1, 1), (1, 1))).astype(int)  # a quad is at its upper left place, which may lie above or left of the pixels
+        code = m[:, :-1, :-1] + 2 * m[:, :-1, 1:] + 4 * m[:, 1:, :-1] + 8 * m[:, 1:, 1:]
+        of = np.arange(len(code))
+        n = np.bincount((code + 16 * of[:, None, None])[t.inside(1)], minlength=16 * len(of)).reshape(-1, 16)
+        return t.with_keys(keys, of, {k: n[:, list(c)].sum(1) for k, c in kinds.items()})
 
     p = mask.select(*keys, "row", "col")
     return TL.over_tiles(p, keys, 1, work, TL.schema_of(p, keys, **dict.fromkeys(kinds, "long"))).groupBy(*keys).agg(*[F.sum(k).alias(k) for k in kinds])
@@ -263,26 +263,27 @@ def boundary_length(mask: DataFrame, keys: list[str], images: DataFrame | None =
 MOST_RUNS = 4_000_000
 
 
-def _holes_of(k: list[str]):
-    """Hole area and holes of one object, from its runs: the background runs of its box, 4-connected, that do not reach the ring around it."""
-
-    def work(rows: pa.Table) -> pa.Table:
-        row, c0, c1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("row", "c0", "c1"))
-        row, left, width = row - row.min() + 1, c0.min() - 1, int(c1.max() - c0.min()) + 3
-        c0, c1 = c0 - left, c1 - left
-        first, last = np.append(True, row[1:] != row[:-1]), np.append(row[1:] != row[:-1], True)
-        g0 = np.where(first, 0, np.append(0, c1[:-1] + 1))  # from the run before, or the ring
-        gaps = np.concatenate([np.stack([row, g0, c0 - 1]), np.stack([row[last], c1[last] + 1, np.full(last.sum(), width - 1)]), [[0], [0], [width - 1]], [[row.max() + 1], [0], [width - 1]]], 1)
-        gaps = gaps[:, gaps[1] <= gaps[2]]
-        gaps = gaps[:, np.lexsort(gaps[1::-1])]
-        wide = width + 2
-        root = TL.join_runs(gaps[0] * wide + gaps[1], gaps[0] * wide + gaps[2], wide, 0)
-        area = np.bincount(root, gaps[2] - gaps[1] + 1, len(root)).astype(np.int64)
-        n = np.bincount(root, minlength=len(root))
-        inside = (n > 0) & (np.arange(len(root)) != 0)  # the ring's part holds the first run
-        return pa.table(TL.repeated(rows, k, 1) | {"hole_area": [int(area[inside].sum())], "holes": [int(inside.sum())]})
-
-    return work
+def _holes(rows: pa.Table, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Hole area and holes of many objects at once, from their runs: the background runs of each box, 4-connected, that do not reach the ring around it. Boxes are placed one below the other."""
+    row, c0, c1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("row", "c0", "c1"))
+    of, every = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(row)))), np.arange(len(starts))
+    top, left = np.minimum.reduceat(row, starts), np.minimum.reduceat(c0, starts) - 1
+    high, width = np.maximum.reduceat(row, starts) - top + 1, np.maximum.reduceat(c1, starts) - left + 2
+    base = np.cumsum(high + 3) - (high + 3)  # two rows of the ring, and an empty one
+    row, c0, c1 = row - top[of] + 1 + base[of], c0 - left[of], c1 - left[of]
+    first, last = np.append(True, row[1:] != row[:-1]), np.append(row[1:] != row[:-1], True)
+    g0 = np.where(first, 0, np.append(0, c1[:-1] + 1))  # from the run before, or the ring
+    ring = lambda at: np.stack([at, np.zeros_like(at), width - 1, every])
+    gaps = np.concatenate([np.stack([row, g0, c0 - 1, of]), np.stack([row[last], c1[last] + 1, width[of[last]] - 1, of[last]]), ring(base), ring(base + high + 1)], 1)
+    gaps = gaps[:, gaps[1] <= gaps[2]]
+    gaps = gaps[:, np.lexsort(gaps[1::-1])]
+    wide = int(width.max()) + 2
+    root = TL.join_runs(gaps[0] * wide + gaps[1], gaps[0] * wide + gaps[2], wide, 0)
+    area = np.bincount(root, gaps[2] - gaps[1] + 1, len(root)).astype(np.int64)
+    inside = np.bincount(root, minlength=len(root)) > 0
+    inside[np.searchsorted(gaps[3], every)] = False  # the ring's part holds its box's first run
+    in_ = gaps[3][inside]
+    return {"hole_area": np.bincount(in_, area[inside], len(starts)).astype(np.int64), "holes": np.bincount(in_, minlength=len(starts))}
 
 
 def _large_holes(own: DataFrame, box: DataFrame, keys: list[str]) -> DataFrame:
@@ -315,7 +316,7 @@ def filled_area(labels: DataFrame, keys: list[str]) -> DataFrame:
     large = apart.where(F.col("n") > MOST_RUNS)
     some = not large.isEmpty()
     small = own.join(apart.where(F.col("n") <= MOST_RUNS), k, "left_semi")
-    hole = TL.over_groups(small, k, _holes_of(k), TL.schema_of(own, k, hole_area="long", holes="long"), ("row", "c0"))
+    hole = TL.over_many(small, k, _holes, TL.schema_of(own, k, hole_area="long", holes="long"), ("row", "c0"))
     if some:
         hole = hole.unionByName(_large_holes(own.join(large, k, "left_semi"), large, keys))
     out = box.select(*k, "area").join(hole, k, "left").select(*k, "area", F.coalesce("hole_area", F.lit(0)).alias("hole_area"), F.coalesce("holes", F.lit(0)).alias("holes"))

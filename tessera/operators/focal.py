@@ -22,18 +22,18 @@ _OPS = {"max": (np.maximum, -np.inf), "min": (np.minimum, np.inf)}
 
 
 def extreme(a: np.ndarray, here: np.ndarray, radius: int, what: str) -> np.ndarray:
-    """The extreme of an array over the disc about each place; places that are not ``here`` neither count nor have one."""
+    """The extreme of an array, or of each of a stack, over the disc about each place; places that are not ``here`` neither count nor have one."""
     op, fill = _OPS[what]
     if radius <= 0:
         return np.where(here, a, fill)
     a = np.where(here, a, fill)
-    h, w = a.shape
+    h, w = a.shape[-2:]
     reach = {dy: min(isqrt(radius * radius - dy * dy), w) for dy in range(min(radius + 1, h))}
     rows = {half: TL.slide(a, half, op, fill) for half in set(reach.values())}
     out = rows[reach[0]].copy()
     for dy, half in list(reach.items())[1:]:
-        op(out[:-dy], rows[half][dy:], out=out[:-dy])
-        op(out[dy:], rows[half][:-dy], out=out[dy:])
+        op(out[..., :-dy, :], rows[half][..., dy:, :], out=out[..., :-dy, :])
+        op(out[..., dy:, :], rows[half][..., :-dy, :], out=out[..., dy:, :])
     return np.where(here, out, fill)
 
 
@@ -45,7 +45,7 @@ def chain(df: DataFrame, keys: list[str], value: str, steps: list[tuple[str, int
     columns = df.columns
     whole = df.schema[value].dataType.typeName()
 
-    def work(t: TL.Tile) -> pa.Table:
+    def work(t: TL.Tiles) -> pa.Table:
         a = t.dense(value, np.nan)
         for what, r in steps:
             fill = _OPS[what][1]
@@ -79,21 +79,27 @@ def closed(df: DataFrame, keys: list[str], value: str, radius: int) -> DataFrame
     return chain(df, keys, value, [("max", radius), ("min", radius)])
 
 
+def spectrum(x: np.ndarray, mask: np.ndarray, here: np.ndarray, inside: np.ndarray, radii) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each of a stack: whether its mask has any place inside, and the mass inside the mask before and after the openings that follow one another."""
+    mass = lambda a: np.where(inside, a, 0.0).reshape(len(a), -1).sum(1)
+    x = np.where(mask, x, 0.0)
+    sums = [mass(x)]
+    for r in radii:
+        x = np.where(mask, extreme(extreme(x, here, r, "min"), here, r, "max"), 0.0)
+        sums.append(mass(x))
+    return (mask & inside).any((1, 2)), sums
+
+
 def granularity(df: DataFrame, keys: list[str], norm: str, mask: str, radii=(1, 2, 4, 8), name="granularity_{r}") -> DataFrame:
     """Mass lost to each further opening over the mass inside the mask; null for an empty mask, 0 without mass.
 
-    All openings of a tile follow one another inside it; what leaves it is a sum for each radius.
+    All openings of a tile follow one another inside it, for many small tiles at once; what leaves it is a sum for each radius.
     """
 
-    def work(t: TL.Tile) -> pa.Table:
+    def work(t: TL.Tiles) -> pa.Table:
         m = t.dense(mask, 0, np.uint8).astype(bool)
-        x = np.where(m, np.nan_to_num(t.dense(norm, 0.0)), 0.0)
-        inside = t.inside()
-        sums = [x[inside].sum()]
-        for r in radii:
-            x = np.where(m, extreme(extreme(x, t.here, r, "min"), t.here, r, "max"), 0.0)
-            sums.append(x[inside].sum())
-        return t.with_keys(keys, {"_any": np.array([m[inside].any()])} | {f"_s{r}": np.array([v]) for r, v in zip((0, *radii), sums)})
+        some, sums = spectrum(np.nan_to_num(t.dense(norm, 0.0)), m, t.here, t.inside(), radii)
+        return t.with_keys(keys, np.arange(len(some)), {"_any": some} | {f"_s{r}": v for r, v in zip((0, *radii), sums)})
 
     kinds = {"_any": "boolean"} | {f"_s{r}": "double" for r in (0, *radii)}
     parts = TL.over_tiles(df.select(*keys, "row", "col", F.col(mask).alias(mask), F.col(norm).alias(norm)), keys, 2 * sum(radii), work, TL.schema_of(df, keys, **kinds))

@@ -152,14 +152,19 @@ def box_dimension(df: DataFrame, keys: list[str], height: Size, width: int | Non
     if 1 << small != TL.TILE:
         raise ValueError("boxes need tiles whose size is a power of two")
 
-    def work(t: TL.Tile) -> pa.Table:
-        m = np.zeros((t.size, t.size), bool)
-        m[t.row - t.tr * t.size, t.col - t.tc * t.size] = True
-        n = []
-        for _ in range(small):
-            m = m[0::2, 0::2] | m[0::2, 1::2] | m[1::2, 0::2] | m[1::2, 1::2]
-            n.append(int(m.sum()))
-        return t.with_keys(keys, {"tr": np.full(small, t.tr), "tc": np.full(small, t.tc), "k": np.arange(1, small + 1), "n": np.array(n)})
+    def work(t: TL.Tiles) -> pa.Table:
+        r, c, tiles = t.row - t.tr[t.of] * t.size, t.col - t.tc[t.of] * t.size, len(t.starts)
+        side = 1 << int(max(r.max(), c.max())).bit_length()  # beyond it, a tile is in one box
+        n, step = np.ones((tiles, small), np.int64), max(TL.PLACES // (side * side), 1)
+        for i in range(0, tiles, step):
+            part = (t.of >= i) & (t.of < i + step)
+            m = np.zeros((min(step, tiles - i), side, side), bool)
+            m[t.of[part] - i, r[part], c[part]] = True
+            for k in range(side.bit_length() - 1):
+                m = m[:, 0::2, 0::2] | m[:, 0::2, 1::2] | m[:, 1::2, 0::2] | m[:, 1::2, 1::2]
+                n[i : i + step, k] = m.sum((1, 2))
+        which = np.repeat(np.arange(tiles), small)
+        return t.with_keys(keys, which, {"tr": t.tr[which], "tc": t.tc[which], "k": np.tile(np.arange(1, small + 1), tiles), "n": n.ravel()})
 
     p = df.select(*keys, "row", "col")
     tiles = TL.over_tiles(p, keys, 0, work, TL.schema_of(p, keys, tr="long", tc="long", k="long", n="long"))

@@ -62,23 +62,50 @@ def _sizes(tmp: Scratch, *points: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _nearest_small(k: int, exclude_self: bool):
-    """All distances of a small group, ``CHUNK`` of them at a time. Base points are in the order of their ids, so that ties go to the smaller one."""
-
-    def work(rows: pa.Table) -> pa.Table | None:
-        is_base = np.asarray(rows.column("base")).astype(bool)
-        base, probe = rows.filter(pa.array(is_base)), rows.filter(pa.array(~is_base))
-        if not len(base) or not len(probe):
-            return None
-        base = base.sort_by("pid")
-        by, bx, py, px = (t.column(c).cast(pa.float64()).to_numpy() for t in (base, probe) for c in ("y", "x"))
-        bid, pid = (np.asarray(t.column("pid")) for t in (base, probe))
-        at, rank, nid, dist = _nearest_of((pid, py, px), (bid, by, bx), k, exclude_self)
-        head = {"grp": probe.column("grp").take(pa.array(at)), "pid": probe.column("pid").take(pa.array(at))}
-        return pa.table(head | {"rank": rank.astype(np.int32), "nid": base.column("pid").take(pa.array(nid)), "d": dist})
+    """All distances of small groups, ``CHUNK`` of them at a time. Rows are probes, then base points in the order of their ids, so that ties go to the smaller one."""
+
+    def work(rows: pa.Table, starts: np.ndarray):
+        is_base = np.asarray(rows.column("base")).astype(np.int64)
+        y, x = (rows.column(c).cast(pa.float64()).to_numpy() for c in ("y", "x"))
+        pid = rows.column("pid")
+        ids = np.asarray(pid)
+        bases = np.add.reduceat(is_base, starts)
+        probes = np.diff(np.append(starts, len(y))) - bases
+        for of in TL.alike(probes, bases):
+            n, m = int(probes[of[0]]), int(bases[of[0]])
+            if not n or not m:
+                continue
+            step = max(CHUNK // (n * m), 1)
+            for i in range(0, len(of), step):
+                part = of[i : i + step]
+                for j in range(0, n, max(CHUNK // m, 1)):
+                    p = starts[part][:, None] + np.arange(j, min(j + max(CHUNK // m, 1), n))
+                    b = starts[part][:, None] + n + np.arange(m)
+                    g, at, rank, nid, dist = _nearest_of_groups((ids[p], y[p], x[p]), (ids[b], y[b], x[b]), k, exclude_self)
+                    yield part[g], {"pid": pid.take(pa.array(p[g, at])), "rank": pa.array(rank, pa.int32()), "nid": pid.take(pa.array(b[g, nid])), "d": pa.array(dist)}
 
     return work
 
 
+def _nearest_of_groups(probe: tuple, base: tuple, k: int, exclude_self: bool):
+    """``_nearest_of`` for a stack of groups: group and place of the probe, rank, base place and distance."""
+    (pid, py, px), (bid, by, bx) = probe, base
+    dy, dx = py[:, :, None] - by[:, None, :], px[:, :, None] - bx[:, None, :]
+    d = np.sqrt(dy * dy + dx * dx)
+    d[np.isnan(d)] = np.inf
+    if exclude_self:
+        d[pid[:, :, None] == bid[:, None, :]] = np.inf
+    top = min(k, d.shape[2])
+    g, r, c = np.nonzero((d <= np.partition(d, top - 1, 2)[:, :, top - 1 : top]) & (d < np.inf))
+    v = d[g, r, c]
+    order = np.lexsort((c, v, r, g))
+    g, r, c, v = g[order], r[order], c[order], v[order]
+    of = g * d.shape[1] + r
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    keep = place < k
+    return g[keep], r[keep], place[keep] + 1, c[keep], v[keep]
+
+
 def nearest(probes: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, max_rounds: int = 40) -> DataFrame:
     """Exact k nearest ``base`` points of each probe of the same group: ``grp, pid, rank, nid, d``; ties go to the smaller id.
 
@@ -89,7 +116,7 @@ def nearest(probes: DataFrame, base: DataFrame, k: int, exclude_self: bool = Fal
     p, b = (t.select("grp", "pid", "y", "x") for t in (probes, base))
     schema = TL.schema_of(p, ["grp", "pid"], rank="integer").add("nid", b.schema["pid"].dataType).add("d", "double")
     both = p.withColumn("base", F.lit(False)).unionByName(b.withColumn("base", F.lit(True)))
-    out = TL.over_groups(both.join(large, "grp", "left_anti") if some else both, ["grp"], _nearest_small(k, exclude_self), schema)
+    out = TL.over_alike(both.join(large, "grp", "left_anti") if some else both, ["grp"], _nearest_small(k, exclude_self), schema, ("base", "pid"))
     return out.unionByName(_by_cells(*[t.join(large, "grp", "left_semi") for t in (p, b)], k, exclude_self, max_rounds, tmp)) if some else out
 
 
@@ -273,21 +300,27 @@ def grid_dispersion(points: DataFrame, height: Size, width: float | None = None,
 _GRAPH = {"graph_mean_degree": "double", "graph_sd_degree": "double", "graph_components": "double", "graph_largest_component_frac": "double", "graph_singleton_frac": "double"}
 
 
-def _graph_small(rows: pa.Table) -> pa.Table:
-    """The graph of a small group (``y, x`` and its ``radius``)."""
-    y, x = (rows.column(c).cast(pa.float64()).to_numpy() for c in ("y", "x"))
-    radius, n = rows.column("radius")[0].as_py(), len(y)
-    degree, edges, step = np.zeros(n), [], max(CHUNK // n, 1)
-    for i in range(0, n, step):
-        dy, dx = y[i : i + step, None] - y, x[i : i + step, None] - x
-        a, b = np.nonzero(np.sqrt(dy * dy + dx * dx) <= radius)
-        a = a + i
-        degree += np.bincount(a[a != b], minlength=n)
-        edges.append(np.stack([a, b])[:, a < b])
-    size = np.bincount(TL.unite(*np.concatenate(edges, 1), n))
-    size = size[size > 0]
-    values = [degree.mean(), degree.std(ddof=1) if n > 1 else 0.0, float(len(size)), size.max() / n, (size == 1).sum() / n]
-    return pa.table(TL.repeated(rows, ["grp", "radius"], 1) | {name: [float(v)] for name, v in zip(_GRAPH, values)})
+def _graph_small(rows: pa.Table, starts: np.ndarray):
+    """The graphs of small groups (``y, x`` and their ``radius``)."""
+    y, x, radius = (rows.column(c).cast(pa.float64()).to_numpy() for c in ("y", "x", "radius"))
+    number = np.diff(np.append(starts, len(y)))
+    for of in TL.alike(number):
+        n = int(number[of[0]])
+        step = max(CHUNK // (n * n), 1)
+        for i in range(0, len(of), step):
+            part = of[i : i + step]
+            at, far = starts[part][:, None] + np.arange(n), radius[starts[part]][:, None, None]
+            degree, edges, rows_ = np.zeros(len(part) * n, np.int64), [], max(CHUNK // n, 1)
+            for j in range(0, n, rows_):
+                dy, dx = (v[at][:, j : j + rows_, None] - v[at][:, None, :] for v in (y, x))
+                g, a, b = np.nonzero(np.sqrt(dy * dy + dx * dx) <= far)
+                a, b = g * n + a + j, g * n + b
+                degree += np.bincount(a[a != b], minlength=len(degree))
+                edges.append(np.stack([a, b])[:, a < b])
+            size = np.bincount(TL.unite(*np.concatenate(edges, 1), len(degree)), minlength=len(degree)).reshape(-1, n)
+            degree = degree.reshape(-1, n)
+            values = [degree.mean(1), degree.std(1, ddof=1) if n > 1 else np.zeros(len(part)), (size > 0).sum(1).astype(float), size.max(1) / n, (size == 1).sum(1) / n]
+            yield part, dict(zip(("radius", *_GRAPH), map(pa.array, [radius[starts[part]], *values])))
 
 
 #: Side of a graph's blocks in radii, and points that a block may hold: groups with fuller ones are crowds.
@@ -346,7 +379,7 @@ def proximity_graph(points: DataFrame, nn: DataFrame) -> DataFrame:
     large, some = _sizes(tmp, points)
     p = points.select("grp", "pid", "y", "x").join(radius, "grp")
     schema = TL.schema_of(p, ["grp", "radius"], **_GRAPH)
-    out = TL.over_groups(p.join(large, "grp", "left_anti") if some else p, ["grp"], _graph_small, schema)
+    out = TL.over_alike(p.join(large, "grp", "left_anti") if some else p, ["grp"], _graph_small, schema)
     if some:
         big = p.join(large, "grp", "left_semi")
         cell = lambda v: F.floor(F.col(v) / (F.col("radius") * GRAPH_BLOCK))
@@ -415,24 +448,26 @@ def _graph_large(p: DataFrame, tmp: Scratch) -> DataFrame:
     return j.select("grp", "radius", "graph_mean_degree", "graph_sd_degree", "graph_components", (F.col("most") / F.col("n")).alias("graph_largest_component_frac"), (F.col("single") / F.col("n")).alias("graph_singleton_frac"))
 
 
-def _tree_small(rows: pa.Table) -> pa.Table | None:
-    """The tree of a small group, point by point from the one with the smallest id (Prim)."""
-    rows = rows.sort_by("pid")
-    y, x = (rows.column(c).cast(pa.float64()).to_numpy() for c in ("y", "x"))
-    n = len(y)
-    if n < 2:
-        return None
-    best, source, left = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
-    now, a, b, d = 0, [], [], []
-    for _ in range(n - 1):
-        left[now] = False
-        dist = np.sqrt((y - y[now]) ** 2 + (x - x[now]) ** 2)
-        nearer = left & (dist < best)
-        best[nearer], source[nearer] = dist[nearer], now
-        now = int(np.argmin(np.where(left, best, np.inf)))
-        a.append(min(source[now], now)), b.append(max(source[now], now)), d.append(best[now])
-    ids = rows.column("pid")
-    return pa.table(TL.repeated(rows, ["grp"], n - 1) | {"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "d": pa.array(d, pa.float64())})
+def _tree_small(rows: pa.Table, starts: np.ndarray):
+    """The trees of small groups, point by point from the one with the smallest id (Prim); rows are in the order of ids."""
+    every = [rows.column(c).cast(pa.float64()).to_numpy() for c in ("y", "x")]
+    ids, number = rows.column("pid"), np.diff(np.append(starts, len(rows)))
+    for of in TL.alike(number):
+        n, g = int(number[of[0]]), np.arange(len(of))
+        if n < 2:
+            continue
+        at = starts[of][:, None] + np.arange(n)
+        y, x = (v[at] for v in every)
+        best, source, left = np.full(at.shape, np.inf), np.zeros(at.shape, np.int64), np.ones(at.shape, bool)
+        now, a, b, d = np.zeros(len(of), np.int64), [], [], []
+        for _ in range(n - 1):
+            left[g, now] = False
+            dist = np.sqrt((y - y[g, now][:, None]) ** 2 + (x - x[g, now][:, None]) ** 2)
+            nearer = left & (dist < best)
+            best, source = np.where(nearer, dist, best), np.where(nearer, now[:, None], source)
+            now = np.argmin(np.where(left, best, np.inf), 1)
+            a.append(at[g, np.minimum(source[g, now], now)]), b.append(at[g, np.maximum(source[g, now], now)]), d.append(best[g, now])
+        yield np.tile(of, n - 1), {"a": ids.take(pa.array(np.concatenate(a))), "b": ids.take(pa.array(np.concatenate(b))), "d": pa.array(np.concatenate(d))}
 
 
 def spanning_tree(points: DataFrame, k: int = 6, max_rounds: int = 60) -> DataFrame:
@@ -445,7 +480,7 @@ def spanning_tree(points: DataFrame, k: int = 6, max_rounds: int = 60) -> DataFr
     large, some = _sizes(tmp, pts)
     kind = pts.schema["pid"].dataType
     schema = TL.schema_of(pts, ["grp"]).add("a", kind).add("b", kind).add("d", "double")
-    out = TL.over_groups(pts.join(large, "grp", "left_anti") if some else pts, ["grp"], _tree_small, schema)
+    out = TL.over_alike(pts.join(large, "grp", "left_anti") if some else pts, ["grp"], _tree_small, schema, ("pid",))
     return out.unionByName(_boruvka(pts.join(large, "grp", "left_semi"), k, max_rounds)) if some else out
 
 
@@ -508,23 +543,23 @@ def tree_stats(tree: DataFrame) -> DataFrame:
 
 
 def distance_array(mask: np.ndarray, reach: float, pixel_height: float, pixel_width: float) -> np.ndarray:
-    """Distance of each place to the nearest mask place, exact up to ``reach`` and infinite beyond.
+    """Distance of each place to the nearest mask place of its array (one, or a stack), exact up to ``reach`` and infinite beyond.
 
     Separable: first the nearest mask row of each column, by running extremes down and up; then the least sum of squares along each row, within the reach.
     """
-    h, _ = mask.shape
+    h = mask.shape[-2]
     at = np.arange(h)[:, None]
-    above = np.maximum.accumulate(np.where(mask, at, -h - 1), 0)
-    below = np.minimum.accumulate(np.where(mask, at, 2 * h + 1)[::-1], 0)[::-1]
+    above = np.maximum.accumulate(np.where(mask, at, -h - 1), -2)
+    below = np.minimum.accumulate(np.where(mask, at, 2 * h + 1)[..., ::-1, :], -2)[..., ::-1, :]
     far = np.minimum(at - above, below - at)
     square = np.where(far <= h, (far * pixel_height) ** 2, np.inf)
     square[square > reach * reach] = np.inf
     best = square.copy()
     dx = 1
-    while dx < mask.shape[1] and dx * pixel_width <= reach:
+    while dx < mask.shape[-1] and dx * pixel_width <= reach:
         step = (dx * pixel_width) ** 2
-        np.minimum(best[:, dx:], square[:, :-dx] + step, out=best[:, dx:])
-        np.minimum(best[:, :-dx], square[:, dx:] + step, out=best[:, :-dx])
+        np.minimum(best[..., dx:], square[..., :-dx] + step, out=best[..., dx:])
+        np.minimum(best[..., :-dx], square[..., dx:] + step, out=best[..., :-dx])
         dx += 1
     dist = np.sqrt(best)
     return np.where(dist <= reach, dist, np.inf)
@@ -537,7 +572,7 @@ def mask_distance(pixels: DataFrame, keys: list[str], mask: str, reach: float, p
     """
     columns = pixels.columns
 
-    def work(t: TL.Tile) -> pa.Table:
+    def work(t: TL.Tiles) -> pa.Table:
         d = distance_array(t.dense(mask, 0, np.uint8).astype(bool), reach, pixel_height, pixel_width)
         return t.pixels(columns, dist=np.where(np.isinf(d), np.nan, d))
 

@@ -23,20 +23,28 @@ OFFSETS = (
 PROPERTIES = ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation", "entropy")
 
 
+def pairs(v: np.ndarray, inside: np.ndarray, offsets=OFFSETS) -> tuple[np.ndarray, ...]:
+    """Array of the stack, offset, level and neighbour's level, of all places inside whose neighbour has a level (-1: none)."""
+    out, base = [], inside & (v >= 0)
+    for at, (_, _, dy, dx) in enumerate(offsets):
+        w = TL.shifted(v, dy, dx, -1)
+        good = base & (w >= 0)
+        of = np.nonzero(good)[0]
+        out.append((of, np.full(len(of), at), v[good], w[good]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def counts(df: DataFrame, keys: list[str], level: str, offsets=OFFSETS) -> DataFrame:
     """``keys, d, a, i, j, n``: how often a masked pixel of level i has a neighbour of level j at each offset, counted tile by tile."""
 
-    def work(t: TL.Tile) -> pa.Table | None:
+    def work(t: TL.Tiles) -> pa.Table | None:
         v = t.dense(level, -1, np.int64)
-        inside, top = t.inside(), int(v.max()) + 1
-        codes, i = [], v[inside].ravel()
-        for at, (_, _, dy, dx) in enumerate(offsets):
-            j = TL.shifted(v, dy, dx, -1)[inside].ravel()
-            good = (i >= 0) & (j >= 0)
-            codes.append((at * top + i[good]) * top + j[good])
-        code, n = np.unique(np.concatenate(codes), return_counts=True)  # once for all offsets
-        d, a = np.array([o[:2] for o in offsets], np.int64)[code // (top * top)].T
-        return t.with_keys(keys, {"d": d, "a": a, "i": code // top % top, "j": code % top, "n": n}) if len(n) else None
+        of, at, i, j = pairs(v, t.inside(), offsets)
+        top = int(v.max()) + 1
+        code, n = np.unique(((of * len(offsets) + at) * top + i) * top + j, return_counts=True)  # once for all offsets
+        at = code // (top * top)
+        d, a = np.array([o[:2] for o in offsets], np.int64)[at % len(offsets)].T
+        return t.with_keys(keys, at // len(offsets), {"d": d, "a": a, "i": code // top % top, "j": code % top, "n": n}) if len(n) else None
 
     rim = max(max(abs(dy), abs(dx)) for _, _, dy, dx in offsets)
     schema = TL.schema_of(df, keys, d="long", a="long", i="long", j="long", n="long")

@@ -23,6 +23,7 @@ from tessera.operators import focal as FO
 from tessera.operators import raster as R
 from tessera.operators import spatial as SP
 from tessera.operators import texture as TX
+from tessera.operators import whole as WH
 from tessera.sources import tables as IO
 
 PIXEL_UM = 0.2738
@@ -78,7 +79,7 @@ def families(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw:
     k = [key]
     tmp = Scratch(pixels.sparkSession, "summary")
     made: dict[str, DataFrame] = {}
-    making = {name: Lock() for name in ("pixels", "images", "labels", "sites", "near")}
+    making = {name: Lock() for name in ("pixels", "images", "labels", "sites", "near", "larger", "whole")}
 
     def kept(name: str, f) -> DataFrame:
         with making[name]:  # a table's maker waits only for tables named before it
@@ -93,14 +94,27 @@ def families(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw:
     sites = lambda: kept("sites", lambda: site_table(lab(), lab().join(px(), [*k, "row", "col"]), k, norm, raw, pixel_um))
     points = lambda: centres(sites(), key)
     near = lambda: kept("near", lambda: SP.knn(points(), 5))
+    scale = {r: K.scale_label(r * pixel_um) for r in (1, 2, 4, 8)}
+    columns = WH.names(scale)
     per_mm2 = pixel_um * pixel_um
     frame = height.select(F.col(key).alias("grp"), (F.col("height") * pixel_um).alias("height"), (F.col("width") * pixel_um).alias("width")) if isinstance(height, DataFrame) else height * pixel_um
     across = None if isinstance(height, DataFrame) else width * pixel_um
     named = lambda *dfs: reduce(lambda a, b: a.join(b, key, "left"), [images(), *[d.withColumnRenamed("grp", key) for d in dfs]])
 
+    def larger() -> tuple[DataFrame, bool]:
+        with making["larger"]:
+            if "larger" not in made:
+                made["larger"] = WH.larger(px(), k)
+            return made["larger"]
+
+    def on_arrays(name: str, by_tiles: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A family of pixels: images that fit a tile are measured once for all such families, larger ones each family on its own."""
+        far, some = larger()
+        out = kept("whole", lambda: WH.features(px().join(far, key, "left_anti") if some else px(), k, mask, valid, norm, raw, height, width, scale, pixel_um)).select(key, *columns[name])
+        return out.unionByName(by_tiles(px().join(far, key, "left_semi")).select(key, *columns[name])) if some else out
+
     def object_sites() -> DataFrame:
-        s = sites()
-        return S.summarise(s, k, list(SITE_COLUMNS), ("median", "iqr")).join(s.groupBy(*k).agg(F.count("*").alias("num_sites")), k)
+        return WH.summarise(sites(), k, list(SITE_COLUMNS)).withColumnRenamed("_n", "num_sites")
 
     def scores() -> DataFrame:
         s = sites()
@@ -113,48 +127,47 @@ def families(pixels: DataFrame, key: str, mask: str, valid: str, norm: str, raw:
         count = sites().groupBy(*k).agg(F.count("*").cast("double").alias("_n"))
         return area.join(count, k, "left").withColumn("num_sites_per_mm2_tissue", F.when(F.col("tissue_area_um2") > 0, F.coalesce("_n", F.lit(0.0)) / (F.col("tissue_area_um2") / 1e6))).drop("_n")
 
-    def topology() -> DataFrame:
-        tissue = px().groupBy(*k).agg(F.sum(F.col(valid).cast("long")).alias("tissue_px"))
-        edge = C.boundary_length(fg(), k).select(*k, (F.col("boundary_length") * pixel_um).alias("topology_boundary_length_um"))
-        box = R.box_dimension(fg(), k, height, width).withColumnRenamed("fractal_dimension", "topology_fractal_dimension")
-        return named(C.census(lab(), k, tissue, per_mm2), C.hole_summary(px(), fg(), k, height, width).drop("hole_count_exact"), edge, box)
+    def topology(px_: DataFrame) -> DataFrame:
+        tissue = px_.groupBy(*k).agg(F.sum(F.col(valid).cast("long")).alias("tissue_px"))
+        fg_ = px_.where(mask).select(*k, "row", "col")
+        edge = C.boundary_length(fg_, k).select(*k, (F.col("boundary_length") * pixel_um).alias("topology_boundary_length_um"))
+        box = R.box_dimension(fg_, k, height, width).withColumnRenamed("fractal_dimension", "topology_fractal_dimension")
+        parts = [C.census(lab().join(tissue, key, "left_semi"), k, tissue, per_mm2), C.hole_summary(px_, fg_, k, height, width).drop("hole_count_exact"), edge, box]
+        return reduce(lambda a, b: a.join(b, key, "left"), parts)
 
-    def texture() -> DataFrame:
+    def texture(px_: DataFrame) -> DataFrame:
         parts = []
         for place, where in (("tissue", F.col(valid)), ("positive", F.col(valid) & F.col(mask))):
             for kind, value in (("norm", norm), ("raw", raw)):
-                q = R.normalise(px().where(where), k, value, "_n", robust=True).select(*k, F.lit(f"texture_{place}_{kind}_").alias("_of"), "row", "col", R.quantise(F.col("_n")).alias("lv"))
+                q = R.normalise(px_.where(where), k, value, "_n", robust=True).select(*k, F.lit(f"texture_{place}_{kind}_").alias("_of"), "row", "col", R.quantise(F.col("_n")).alias("lv"))
                 parts.append(q)
         of = [*k, "_of"]
         t = TX.rollup(TX.properties(TX.glcm(reduce(DataFrame.unionByName, parts), of, "lv"), of), of)
         names = F.create_map(*[x for s in (1, 2, 4) for x in (F.lit(s).cast("long"), F.lit(K.scale_label(s * pixel_um)))])
         base = F.concat("_of", F.when(F.col("scale").isNull(), F.lit("")).otherwise(F.concat(F.element_at(names, F.col("scale").cast("long")), F.lit("_"))), "property")
         both = F.explode(F.filter(F.array(F.struct(F.concat(base, F.lit("_mean")).alias("feature"), F.col("mean").alias("value")), F.when(F.col("scale").isNull(), F.struct(F.concat(base, F.lit("_sd")).alias("feature"), F.col("sd").alias("value")))), lambda x: x.isNotNull()))
-        scales = ["", *[K.scale_label(s * pixel_um) + "_" for s in (1, 2, 4)]]
-        every = [f"texture_{p}_{v}_{s}{n}_{m}" for p in ("tissue", "positive") for v in ("norm", "raw") for s in scales for n in TX.PROPERTIES for m in (("mean", "sd") if not s else ("mean",))]
-        all_ = images().select(key, F.explode(F.lit(every)).alias("feature"))
-        return all_.join(t.select(*k, both.alias("x")).select(*k, "x.feature", "x.value"), [*k, "feature"], "left")
+        return IO.wide(t.select(*k, both.alias("x")).select(*k, "x.feature", "x.value"), k, columns["texture"])
 
-    def granularity() -> DataFrame:
+    def granularity(px_: DataFrame) -> DataFrame:
         parts = []
         for place, where in (("tissue", F.col(valid)), ("positive", F.col(valid) & F.col(mask))):
-            g = R.normalise(px().withColumn("_w", where), k, norm, "_n", where=F.col("_w"), robust=True)
+            g = R.normalise(px_.withColumn("_w", where), k, norm, "_n", where=F.col("_w"), robust=True)
             base = f"granularity_{place}_norm_"
-            parts.append(FO.granularity(g, k, "_n", "_w", name=base + "{r}").withColumnsRenamed({f"{base}{r}": base + K.scale_label(r * pixel_um) for r in (1, 2, 4, 8)}))
-        return named(*parts)
+            parts.append(FO.granularity(g, k, "_n", "_w", name=base + "{r}").withColumnsRenamed({f"{base}{r}": base + scale[r] for r in scale}))
+        return parts[0].join(parts[1], key)
 
     jobs = {
         "sites": object_sites,
-        "pixels": lambda: R.pixel_features(px(), k, mask, valid, norm, raw),
+        "pixels": lambda: on_arrays("pixels", lambda p: R.pixel_features(p, k, mask, valid, norm, raw)),
         "scores": scores,
         "burden": burden,
-        "topology": topology,
-        "tiles": lambda: R.tile_features(px(), k, height, width, mask, valid, norm),
+        "topology": lambda: on_arrays("topology", topology),
+        "tiles": lambda: on_arrays("tiles", lambda p: R.tile_features(p, k, height, width, mask, valid, norm)),
         "points": lambda: named(SP.nn_stats(points(), near(), frame, across), SP.grid_dispersion(points(), frame, across), SP.knn_means(points(), near())),
         "graph": lambda: SP.proximity_graph(points(), near()).withColumnRenamed("grp", key),
         "tree": lambda: SP.tree_stats(SP.spanning_tree(points())).withColumnRenamed("grp", key),
-        "texture": texture,
-        "granularity": granularity,
+        "texture": lambda: on_arrays("texture", texture),
+        "granularity": lambda: on_arrays("granularity", granularity),
     }
     for name, other in (others or {}).items():
         jobs[f"cross_{name}"] = lambda n=name, o=other: cross_channel(px(), key, mask, valid, norm, raw, lab(), points(), n, o, pixel_um)
