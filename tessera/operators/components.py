@@ -316,7 +316,7 @@ def filled_area(labels: DataFrame, keys: list[str]) -> DataFrame:
     large = apart.where(F.col("n") > MOST_RUNS)
     some = not large.isEmpty()
     small = own.join(apart.where(F.col("n") <= MOST_RUNS), k, "left_semi")
-    hole = TL.over_many(small, k, _holes, TL.schema_of(own, k, hole_area="long", holes="long"), ("row", "c0"))
+    hole = TL.over_groups(small, k, _holes, TL.schema_of(own, k, hole_area="long", holes="long"), ("row", "c0"), many=True)
     if some:
         hole = hole.unionByName(_large_holes(own.join(large, k, "left_semi"), large, keys))
     out = box.select(*k, "area").join(hole, k, "left").select(*k, "area", F.coalesce("hole_area", F.lit(0)).alias("hole_area"), F.coalesce("holes", F.lit(0)).alias("holes"))
